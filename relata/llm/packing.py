@@ -40,7 +40,8 @@ CLOSING_ID = 2
 CELL_ROWS = 4096
 SEARCH_STEPS = 5_000
 MAX_PLAN_BLOCKS = 1_000_000
-KEPT_UNITS = 500_000
+KEPT_UNITS, KEPT_MARKS = 500_000, 10_000
+MARKS = ",.;:!?|*#&%$)"
 
 
 def default_tokenizer() -> str:
@@ -59,7 +60,8 @@ class UnitEncoder(dict):
     The tokenizer's own pre-splitting never joins a single space and the
     characters after it with anything before, so the ids of a text are the ids
     of its units in a row as long as no unit is empty or begins or ends with
-    white space; texts with such units take the whole-text path.
+    white space; texts with such units take the whole-text path.  Nor does it
+    join letters and the marks that end a unit.
     """
 
     def __init__(self, path: str):
@@ -67,6 +69,7 @@ class UnitEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -74,10 +77,16 @@ class UnitEncoder(dict):
     def __missing__(self, unit: str) -> bytes:
         if not unit or unit[0].isspace() or unit[-1].isspace():
             raise Irregular
-        ids = self.whole(" " + unit)
-        if len(self) >= KEPT_UNITS:
-            self.clear()
-        self[unit] = ids
+        letters = unit.rstrip(MARKS)
+        if letters != unit and letters.isalpha():
+            marks = unit[len(letters) :]
+            if marks not in self.marks and len(self.marks) < KEPT_MARKS:
+                self.marks[marks] = self.whole(marks)
+            ids = self[letters] + (self.marks.get(marks) or self.whole(marks))
+        else:
+            ids = self.whole(" " + unit)
+        if len(self) < KEPT_UNITS:  # once full, what has come early, and so often, stays
+            self[unit] = ids
         return ids
 
     def encode(self, text: str) -> bytes:

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relata.llm import licenses
+from relata.llm import langid, licenses, media, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": langid.op1_language_id,
+    "op2_quality": quality.op2_quality,
     "op7_license_scan": licenses.op7_license_scan,
+    "op9_media_webp": media.op9_media_webp,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLES: dict[str, str] = {
