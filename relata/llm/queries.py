@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relata.llm import langid, licenses, media, packing, quality
+from relata.llm import conversations, decontam, langid, licenses, linededup, media, packing, quality, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.op1_language_id,
     "op2_quality": quality.op2_quality,
+    "op3_chat_format": conversations.op3_chat_format,
+    "op4_warc": warc.op4_warc,
+    "op5_simhash": simhash.op5_simhash,
+    "op6_decontamination": decontam.op6_decontamination,
     "op7_license_scan": licenses.op7_license_scan,
+    "op8_line_dedup": linededup.op8_line_dedup,
     "op9_media_webp": media.op9_media_webp,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_chat_format": conversations.oracle(),
     "op7_license_scan": licenses.oracle(),
 }
