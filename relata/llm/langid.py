@@ -253,7 +253,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_column: str = "text", ke
         for batch in batches:
             langs: list[str] = []
             scores: list[float] = []
-            texts = batch["__text"].to_pylist()
+            texts = batch["__text" if "__text" in batch.schema.names else text_column].to_pylist()
             for at in range(0, len(texts), 256):
                 rows = [words_of(t) for t in texts[at : at + 256]]
                 flat = [w for r in rows for w in r]
@@ -274,7 +274,8 @@ def predict(docs: DataFrame, model: LanguageModel, text_column: str = "text", ke
             kept = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *out])
 
-    return docs.select(*[F.col(c) for c in keep], F.col(text_column).alias("__text")).mapInArrow(score, schema)
+    given = [F.col(c) for c in keep] + ([] if text_column in keep else [F.col(text_column).alias("__text")])
+    return docs.select(*given).mapInArrow(score, schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
