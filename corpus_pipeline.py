@@ -33,7 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cleaned = linededup.dedup_lines(docs, out=("__n_removed", "__removed_bytes"))
     kept = cleaned.filter("__n_removed = 0 or text rlike '\\\\S'")
-    changed = {"n_chars": F.when(F.col("__n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
+    changed = {"n_chars": F.when(F.col("__n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
     return kept.withColumns(changed).select(*docs.columns)
 
 
