@@ -1,9 +1,11 @@
 """Line dedup by content-defined chunks of lines.
 
 Each line is hashed; a rolling hash over the last ``WINDOW`` line hashes ends a
-chunk where its low bits are zero, so inserting or losing a line moves only the
-boundaries next to it.  A chunk counts if it has several lines, or one line of
-``LONG_LINE`` words or more.  Chunks that occur again anywhere in the corpus
+chunk where it is smaller than at both neighbouring lines.  So a boundary
+depends on the few lines around it only, an inserted or lost line moves no
+others, and a chunk has at least two lines, three on average.  A chunk counts
+if it has several lines, or (in texts of one line) ``LONG_LINE`` words or more.
+Chunks that occur again anywhere in the corpus
 are removed everywhere but at their first place (least id, then least offset),
 after their bytes were compared with the bytes at that place.
 
@@ -29,26 +31,29 @@ from pyspark.sql import types as T
 
 from relata.llm.common import materialize, read_table
 
-WINDOW, DIVISOR = 2, 2
+WINDOW = 2
 LONG_LINE = 50
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-def chunks(data: bytes, window: int = WINDOW, divisor: int = DIVISOR) -> list[tuple[int, int, int]]:
+def chunks(data: bytes, window: int = WINDOW) -> list[tuple[int, int, int]]:
     """(start, end, number of lines) of the chunks of a text; the line break after a chunk is not in it."""
     lines = data.split(b"\n")
+    n = len(lines)
     hashes = [xxhash.xxh64_intdigest(x) for x in lines]
-    ends = list(accumulate(map(len, lines), lambda a, n: a + n + 1))
-    out, start, first = [], 0, 0
-    for i in range(len(lines)):
-        rolled = 0
-        for h in hashes[max(0, i - window + 1) : i + 1]:
-            rolled = (rolled * _MULTIPLIER + h) & _MASK
-        if (rolled >> 32) % divisor == 0 or i == len(lines) - 1:
-            out.append((start, ends[i], i + 1 - first))
-            start, first = ends[i] + 1, i + 1
-    return out
+    ends = list(accumulate(map(len, lines), lambda a, k: a + k + 1))
+    rolled, power = [], pow(_MULTIPLIER, window, 1 << 64)
+    r = 0
+    for i, h in enumerate(hashes):
+        r = (r * _MULTIPLIER + h - (hashes[i - window] * power if i >= window else 0)) & _MASK
+        rolled.append(r ^ (r >> 29))
+    out, first = [], 0
+    for i in range(1, n - 2):
+        if rolled[i - 1] > rolled[i] <= rolled[i + 1]:
+            out.append((ends[first - 1] + 1 if first else 0, ends[i], i + 1 - first))
+            first = i + 1
+    return [*out, (ends[first - 1] + 1 if first else 0, ends[-1], n - first)]
 
 
 def remove(data: bytes, spans: list[tuple[int, int]]) -> bytes:
