@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relata.storage import materialize
+
 
 def numbers_equal(a: Column, b: Column, tolerance: float = 0.0) -> Column:
     """Null equals only null, infinity itself, NaN nothing; else within an absolute tolerance."""
@@ -44,12 +46,18 @@ def diff_by_key(reference: DataFrame, candidate: DataFrame, key: list[str], inpu
 
 
 def number_rows(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Adds run_index from 1 in a stated order, numbering ranges of the order apart so no task holds all rows."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("n"))
-    shift = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
-    return ranged.withColumn("__own", own).join(shift, "__part").withColumn("run_index", F.col("__own") + F.col("__shift")).drop("__part", "__own", "__shift")
+    """Adds run_index from 1 in a stated order.
+
+    Ranges of the order are numbered apart, so no task holds all rows.  The
+    numbered ranges are written before their sizes are added up: computed
+    twice, a range could have other bounds the second time.
+    """
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(count, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    written = materialize(ranged, "numbered").withColumns({"__part": F.shiftright("__at", 33), "__own": F.col("__at").bitwiseAND((1 << 33) - 1)})
+    sizes = written.groupBy("__part").agg(F.count("*").alias("n"))  # one row per range
+    shift = sizes.select(F.col("__part"), F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
+    return written.join(shift, "__part").withColumn("run_index", F.col("__own") + F.col("__shift") + 1).drop("__at", "__part", "__own", "__shift")
 
 
 def diff_positional(reference: DataFrame, candidate: DataFrame, key: str, position: str = "run_index", inputs=(), stable=(), texts=(), numbers=(), tolerance: float = 0.0) -> DataFrame:

@@ -40,7 +40,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     A file's lines are numbered by the task that reads the whole file; for
     files of the size people write by hand.
     """
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
     return lines.filter(F.trim("line") != "").select((F.col("at") + 1).alias("line_number"), "line")
 
