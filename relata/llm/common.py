@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relata.storage import materialize, shared_dir
+
+__all__ = ["bounded_sample", "held_out", "materialize", "read_table", "shared_dir"]
+
 TRAIN_REMAINDER = 2
 
 
@@ -15,26 +16,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where the setting is absent (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    path = "file://" + tempfile.mkdtemp(prefix="relata-shared-")
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: the lineage ends there, on storage that outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(id_column: str = "doc_id") -> Column:
     """True where crc32 of the id as text leaves the remainder 2 by 4; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == TRAIN_REMAINDER, F.lit(False))
