@@ -28,7 +28,6 @@ null ids are kept.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,31 +40,19 @@ from pyspark.sql import types as T
 from relata.llm.common import materialize, read_table
 
 PASSAGE, STRIDE = 64, 32
-RANK, OVERSAMPLE, SEED = 120, 8, 7
-MIN_COSINE = 0.30
-MIN_IDF = 1.5
+RANK, OVERSAMPLE, SEED = 64, 8, 7
+MIN_COSINE = 0.5
+MIN_IDF = 3.0
 MIN_OVERLAP, MIN_PARAPHRASE, ANSWER_WORDS = 0.8, 0.5, 8
 MAX_VOCABULARY = 1_000_000
 ROW_BLOCK = 256
-KEPT_WORDS = 400_000
-MARKS = b".,;:!?\"'()[]*#&%$|-"
+MARKS = b".,;:!?\"()[]*#&%$|"
+TO_SPACES = bytes.maketrans(MARKS, b" " * len(MARKS))
 
 
-class WordIds(dict):
-    """Vocabulary position of a word as written (-1: not in it), kept for frequent words."""
-
-    def __init__(self, vocabulary: dict[bytes, int]):
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: bytes) -> int:
-        k = self.vocabulary.get(word.strip(MARKS), -1)
-        if len(self) < KEPT_WORDS:
-            self[word] = k
-        return k
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").lower().encode().split()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-case words; punctuation marks part words as white space does."""
+    return (text or "").lower().encode().translate(TO_SPACES).split()
 
 
 @dataclass
@@ -82,7 +69,7 @@ def load_benchmark(benchmark: DataFrame, id_column: str = "item_id", text_column
     vocabulary: dict[bytes, int] = {}
     items, ids = [], []
     for item, text in sorted(rows, key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1])):
-        words = [w for w in (x.strip(MARKS) for x in text.lower().encode().split()) if w]
+        words = words_of(text)
         if words:
             items.append(item)
             ids.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], dtype=np.int32))
@@ -91,22 +78,15 @@ def load_benchmark(benchmark: DataFrame, id_column: str = "item_id", text_column
     return Benchmark(items, ids, vocabulary)
 
 
-_IDS: dict[str, WordIds] = {}
-
-
 def encode_words(docs: DataFrame, bench: Benchmark, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, ids): every word of every text as a vocabulary position, in the narrowest integers that hold them."""
     small = len(bench.vocabulary) < 1 << 15
     shared = docs.sparkSession.sparkContext.broadcast(bench.vocabulary)
-    token = uuid.uuid4().hex
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _IDS:
-            _IDS.clear()
-            _IDS[token] = WordIds(shared.value)
-        known = _IDS[token]
+        get, kind = shared.value.get, np.int16 if small else np.int32
         for batch in batches:
-            found = [known.of(t).astype(np.int16 if small else np.int32).tobytes() for t in batch.column(1).to_pylist()]
+            found = [np.array([get(w, -1) for w in words_of(t)], dtype=kind).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "ids"])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_column].dataType), T.StructField("ids", T.BinaryType())])
@@ -155,14 +135,14 @@ def _row_blocks(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([p.astype(np.float32).tobytes() for _, p in parts], pa.binary())], names=["block", "data"])
 
 
-def _weighted(words: np.ndarray, block: np.ndarray, idf: np.ndarray, matrix: np.ndarray, n: int) -> np.ndarray:
-    """TF-IDF passages times a matrix: (passages, columns). Blocks ascend."""
+def _weighted(words: np.ndarray, block: np.ndarray, matrix: np.ndarray, n: int) -> np.ndarray:
+    """Sums of a matrix's rows over the words of each passage: (passages, columns). Blocks ascend."""
     out = np.zeros((n, matrix.shape[1]), np.float32)
     step = 1 << 16
     for at in range(0, len(words), step):
         w, b = words[at : at + step], block[at : at + step]
         heads = np.concatenate([[0], np.nonzero(np.diff(b))[0] + 1])
-        out[b[heads]] += np.add.reduceat(matrix[w] * idf[w, None], heads, axis=0)
+        out[b[heads]] += np.add.reduceat(matrix[w], heads, axis=0)
     return out
 
 
@@ -183,7 +163,11 @@ def latent_space(encoded: DataFrame, bench: Benchmark, rank: int = RANK, oversam
         for batch in batches:
             ids, lengths = _decode(batch, small, 0)
             words, block, _ = _passages(ids, lengths, everything, PASSAGE)
-            total[:, 0] += np.bincount(np.unique(block * size + words) % size, minlength=size)
+            order = _by_word(words, size)
+            w, b = words[order], block[order]
+            new = np.ones(len(w), bool)
+            new[1:] = (w[1:] != w[:-1]) | (b[1:] != b[:-1])
+            total[:, 0] += np.bincount(w[new], minlength=size)
         yield _row_blocks(total)
 
     blocks = -(-size // ROW_BLOCK)
@@ -220,14 +204,19 @@ def latent_space(encoded: DataFrame, bench: Benchmark, rank: int = RANK, oversam
 
 
 def _add_gram(total: np.ndarray, words: np.ndarray, block: np.ndarray, idf: np.ndarray, matrix: np.ndarray, n: int) -> None:
-    projected = _weighted(words, block, idf, matrix, n)
-    order = np.argsort(words, kind="stable")
+    projected = _weighted(words, block, matrix * idf[:, None], n)
+    order = _by_word(words, len(idf))
     step = 1 << 16
     for at in range(0, len(order), step):
         part = order[at : at + step]
         w = words[part]
         heads = np.concatenate([[0], np.nonzero(np.diff(w))[0] + 1])
-        total[w[heads]] += np.add.reduceat(projected[block[part]] * idf[w, None], heads, axis=0)
+        total[w[heads]] += np.add.reduceat(projected[block[part]], heads, axis=0) * idf[w[heads], None]
+
+
+def _by_word(words: np.ndarray, size: int) -> np.ndarray:
+    """Stable order by word; short integers sort by radix."""
+    return np.argsort(words.astype(np.int16) if size < 1 << 15 else words, kind="stable")
 
 
 def _query_words(bench: Benchmark, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -236,19 +225,22 @@ def _query_words(bench: Benchmark, keep: np.ndarray) -> tuple[np.ndarray, np.nda
     return words, block, int(first[-1])
 
 
-def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
-    """Length of the longest common subsequence, bit-parallel over the item's words."""
+def _places(item: np.ndarray) -> dict[int, int]:
+    """Where each word stands in an item, as bits."""
     where: dict[int, int] = {}
     for k, w in enumerate(item.tolist()):
         where[w] = where.get(w, 0) | 1 << k
-    full = (1 << len(item)) - 1
+    return where
+
+
+def common_subsequence(where: dict[int, int], length: int, text: list[int]) -> int:
+    """Length of the longest common subsequence of an item, given by its words' places, and a text; bit-parallel over the item."""
+    full = (1 << length) - 1
     row = full
-    for w in text.tolist():
-        hit = where.get(w)
-        if hit:
-            both = row & hit
-            row = ((row + both) | (row - both)) & full
-    return len(item) - row.bit_count()
+    for hit in [where[w] for w in text if w in where]:
+        both = row & hit
+        row = ((row + both) | (row - both)) & full
+    return length - row.bit_count()
 
 
 def _contains(text: np.ndarray, part: np.ndarray) -> bool:
@@ -266,24 +258,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     encoded = materialize(encode_words(docs, bench, id_column, text_column), "decontam-words")
     space = latent_space(encoded, bench, rank)
     words, block, n = _query_words(bench, space.keep)
-    queries = _weighted(words, block, space.idf, space.basis, n)
+    weighted_basis = space.basis * space.idf[:, None]
+    queries = _weighted(words, block, weighted_basis, n)
     norms = np.linalg.norm(queries, axis=1)
     per_item = -(-np.array([len(x) for x in bench.ids]) // PASSAGE)
     owner = np.repeat(np.arange(len(bench.ids)), per_item)
     queries = queries / np.maximum(norms, 1e-9)[:, None]
     small = len(bench.vocabulary) < 1 << 15
-    shared = docs.sparkSession.sparkContext.broadcast((bench.items, bench.ids, space, queries, owner))
+    shared = docs.sparkSession.sparkContext.broadcast((bench.items, bench.ids, space.keep, weighted_basis, queries, owner))
     item_type = pa.int64() if isinstance(benchmark.schema[item_column].dataType, T.LongType) else None
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, item_ids, space, queries, owner = shared.value
+        items, item_ids, keep, basis, queries, owner = shared.value
+        places = [_places(x) for x in item_ids]
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 ids, lengths = _decode(part, small, 1)
                 starts = np.concatenate([[0], np.cumsum(lengths)])
-                words, block, first = _passages(ids, lengths, space.keep, STRIDE)
-                halves = _weighted(words, block, space.idf, space.basis, int(first[-1]))
+                words, block, first = _passages(ids, lengths, keep, STRIDE)
+                halves = _weighted(words, block, basis, int(first[-1]))
                 # A window is a block of STRIDE words and the next one of the same document.
                 windows = halves.copy()
                 inner = np.ones(len(halves), bool)
@@ -300,7 +294,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
                         item = item_ids[one]
                         begin = (w - int(first[d])) * STRIDE
                         text = ids[starts[d] + max(0, begin - len(item)) : min(starts[d + 1], starts[d] + begin + PASSAGE + len(item))]
-                        overlap = common_subsequence(item, text) / len(item)
+                        overlap = common_subsequence(places[one], len(item), text.tolist()) / len(item)
                         if overlap < MIN_PARAPHRASE:
                             continue
                         answer = _contains(text, item[-ANSWER_WORDS:])
