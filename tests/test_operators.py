@@ -178,6 +178,7 @@ def test_readers_and_sinks(spark, tmp_path):
     sinks.publish_folder(spark, str(tmp_path / "folder"), {"x.txt": b"1", "sub/y.txt": b"2"})
     listed = readers.checksum_list(spark, str(tmp_path / "folder/SHA256SUMS"))
     assert readers.checksum_violations(listed, readers.file_table(spark, str(tmp_path / "folder")), str(tmp_path / "folder")).count() == 0
+    (tmp_path / "folder/.x.txt.crc").unlink()
     (tmp_path / "folder/x.txt").write_text("changed")
     assert [r.rule for r in readers.checksum_violations(listed, readers.file_table(spark, str(tmp_path / "folder")), str(tmp_path / "folder")).collect()] == ["differs"]
     with pytest.raises(ValueError):
