@@ -41,7 +41,7 @@ from relata.llm.common import materialize, read_table
 
 PASSAGE, STRIDE = 64, 32
 RANK, OVERSAMPLE, SEED = 64, 8, 7
-MIN_COSINE = 0.5
+MIN_COSINE = 0.4
 MIN_IDF = 3.0
 MIN_OVERLAP, MIN_PARAPHRASE, ANSWER_WORDS = 0.8, 0.5, 8
 MAX_VOCABULARY = 1_000_000
