@@ -420,10 +420,14 @@ class Writer:
         self.held |= value << self.n
         self.n += n
 
-    def put_rows(self, values: np.ndarray, n: int) -> None:
-        """The lowest n (at most 64) bits of each value."""
+    def put_rows(self, values: np.ndarray, widths: np.ndarray) -> None:
+        """The lowest bits of each value, as many as its width (at most 64) says."""
         self._flush()
-        self.parts.append(np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :n].reshape(-1))
+        for at in range(0, len(values), 1 << 16):
+            part, own = values[at : at + (1 << 16)], widths[at : at + (1 << 16)]
+            bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            n = int(own[0])
+            self.parts.append(bits[:, :n].reshape(-1) if (own == n).all() else bits[np.arange(64) < own[:, None]])
 
     def _flush(self) -> None:
         if self.n:
@@ -436,13 +440,16 @@ class Writer:
 
 
 def flat_lengths(used: np.ndarray, alphabet: int) -> np.ndarray:
-    """Code lengths: all used symbols, and unused ones up to a power of two, alike."""
+    """Code lengths: all used symbols, and unused ones up to a power of two, alike; two neighbouring lengths where the alphabet is too small for that."""
     lengths = np.zeros(alphabet, np.int64)
     if len(used) <= 1:
         lengths[used] = 1
         return lengths
     n = int(len(used) - 1).bit_length()
     lengths[used] = n
+    if 1 << n > alphabet:
+        lengths[used[: (1 << n) - len(used)]] = n - 1
+        return lengths
     spare = np.nonzero(lengths == 0)[0][: (1 << n) - len(used)]
     lengths[spare] = n
     return lengths
@@ -600,11 +607,7 @@ def write_image(w: Writer, px: np.ndarray, main: bool, cache_bits: int = 0, by_f
             for k, channel in enumerate((1, 0, 2, 3)):
                 value |= codes[k][0][px[a:b, channel]] << shift
                 shift += codes[k][1][px[a:b, channel]]
-            if by_frequency:
-                for v, n in zip(value.tolist(), shift.tolist()):
-                    w.put(v, n)
-            else:
-                w.put_rows(value, int(shift[0]))
+            w.put_rows(value, shift)
         elif kind == "ref":
             code, extra, n = _prefix(a)
             put(0, 256 + code)

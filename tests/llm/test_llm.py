@@ -368,6 +368,21 @@ def test_webp_references_and_broken_files():
             webp.decode(bad)
 
 
+def test_webp_with_more_symbols_than_half_an_alphabet():
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 256, (120_000, 4)).astype(np.uint8)
+    parts, at = [base], len(base)
+    for back in np.unique(np.geomspace(20, 119_000, 200).astype(int)):  # references at distances of every order
+        parts.append(base[len(base) - back : len(base) - back + 12])
+        parts.append(rng.integers(0, 256, (3, 4)).astype(np.uint8))
+    px = np.concatenate(parts)
+    px = px[: len(px) // 16 * 16]
+    w, h, back = webp.decode(webp.encode(px, 16, len(px) // 16))
+    assert (back == px).all()
+    lengths = webp.flat_lengths(np.arange(37), 40)
+    assert len(webp.canonical(lengths)) == 37 and set(lengths[:37]) == {5, 6}
+
+
 def test_payloads(spark):
     rows = {r.doc_id: r for r in media.media_columns(docs(spark, ODD), with_media=True).collect()}
     import hashlib
