@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from relata.llm.common import materialize, read_table
 
@@ -266,7 +267,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     queries = queries / np.maximum(norms, 1e-9)[:, None]
     small = len(bench.vocabulary) < 1 << 15
     shared = docs.sparkSession.sparkContext.broadcast((bench.items, bench.ids, space.keep, weighted_basis, queries, owner))
-    item_type = pa.int64() if isinstance(benchmark.schema[item_column].dataType, T.LongType) else None
+    item_type = to_arrow_type(benchmark.schema[item_column].dataType)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, item_ids, keep, basis, queries, owner = shared.value
