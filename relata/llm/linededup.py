@@ -3,18 +3,23 @@
 Each line is hashed; a rolling hash over the last ``WINDOW`` line hashes ends a
 chunk where it is smaller than at both neighbouring lines.  So a boundary
 depends on the few lines around it only, an inserted or lost line moves no
-others, and a chunk has at least two lines, three on average.  A chunk counts
-if it has several lines, or (in texts of one line) ``LONG_LINE`` words or more.
-Chunks that occur again anywhere in the corpus
-are removed everywhere but at their first place (least id, then least offset),
-after their bytes were compared with the bytes at that place.
-
-Only hashes and offsets of chunks are shuffled to find repeats; text moves once
-to cut the repeated chunks out for comparison and once to remove them.
+others, and a chunk has at least two lines, three on average.  Where a passage
+starts or ends inside a chunk, the chunk does not repeat with it; so every line
+of ``LONG_LINE`` words or more, and every two lines that follow one another
+(blank lines between them included, lines of white space not counted), are
+passages of their own, whatever stands around them.  A repeated run of lines is
+thus found from its first line to its last.  Passages that occur again anywhere
+in the corpus are removed everywhere but at their first place (least id, then
+least offset), after their bytes were compared with the bytes at that place.  A
+removed line always has an equal one at an earlier place, so its first stays.
+
+Only hashes and offsets of passages are shuffled to find repeats; text moves
+once to cut the repeated ones out for comparison and once to remove them.
 
 Defined results: null texts stay null and empty ones empty; rows equal in id
-and text are one document and keep or lose the same chunks; a text that loses
-everything becomes empty; other columns pass through unchanged.
+and text are one document and keep or lose the same passages; a text that loses
+everything becomes empty; other columns pass through unchanged.  Removed
+passages that overlap or touch are counted as one.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ from relata.llm.common import materialize, read_table
 
 WINDOW = 2
 LONG_LINE = 50
+CUT_BYTES = 1 << 25
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -56,10 +62,37 @@ def chunks(data: bytes, window: int = WINDOW) -> list[tuple[int, int, int]]:
     return [*out, (ends[first - 1] + 1 if first else 0, ends[-1], n - first)]
 
 
+def passages(data: bytes, long_line: int = LONG_LINE) -> list[tuple[int, int]]:
+    """(start, end) of what counts in a text: chunks of several lines, long lines, and every two lines that follow one another."""
+    out = {(start, end) for start, end, n in chunks(data) if n > 1 and data[start:end].strip()}
+    at, before = 0, -1
+    for line in data.split(b"\n"):
+        end = at + len(line)
+        if len(line) >= 2 * long_line - 1 and len(line.split(None, long_line)) >= long_line:
+            out.add((at, end))
+        if line and not line.isspace():
+            if before >= 0:
+                out.add((before, end))
+            before = at
+        at = end + 1
+    return sorted(out)
+
+
+def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or follow one another (the line break between them included) as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def remove(data: bytes, spans: list[tuple[int, int]]) -> bytes:
-    """A text without the given chunks and the line breaks after them."""
+    """A text without the given passages and the line breaks after them."""
     kept, at = [], 0
-    for start, end in sorted(set(spans)):
+    for start, end in merge(spans):
         kept.append(data[at:start])
         at = end + 1
     if at > len(data):  # the last line went, and with it the break before it
@@ -72,20 +105,18 @@ CHUNK = ("h1", "h2", "size")
 
 
 def chunk_table(docs: DataFrame, id_column: str, text_column: str, long_line: int = LONG_LINE) -> DataFrame:
-    """One row per chunk that counts: where it is and a 128-bit hash of its bytes."""
+    """One row per passage that counts: where it is and a 128-bit hash of its bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, starts, sizes, digests = [], [], [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
                 data = (text or "").encode()
-                for start, end, n in chunks(data):
-                    part = data[start:end]
-                    if n > 1 and part.strip() or len(part) >= 2 * long_line - 1 and len(part.split(None, long_line)) >= long_line:
-                        rows.append(k)
-                        starts.append(start)
-                        sizes.append(end - start)
-                        digests.append(xxhash.xxh3_128_digest(part))
+                for start, end in passages(data, long_line):
+                    rows.append(k)
+                    starts.append(start)
+                    sizes.append(end - start)
+                    digests.append(xxhash.xxh3_128_digest(data[start:end]))
             at = pa.array(rows, pa.int64())
             h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["id", "text_key", "start", "size", "h1", "h2"])
@@ -94,22 +125,43 @@ def chunk_table(docs: DataFrame, id_column: str, text_column: str, long_line: in
     return docs.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_key"), F.col(text_column)).mapInArrow(cut, schema)
 
 
+def needed(spans: list) -> list:
+    """Without the later places that lie within another one: that one removes them too."""
+    out, reach = [], -1
+    for s in sorted(spans, key=lambda s: (s["start"], -s["size"])):
+        end = s["start"] + s["size"]
+        if s["first"]:
+            out.append(s)
+        elif end > reach:
+            out.append(s)
+            reach = end
+    return out
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, parts, spans = [], [], []
+        rows, parts, spans, held = [], [], [], 0
+
+        def cut() -> pa.RecordBatch:
+            at = pa.array(rows, pa.int64())
+            columns = [pa.array([s[c] for s in spans], t) for c, t in (("start", pa.int32()), ("size", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("first", pa.bool_()))]
+            return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns, pa.array(parts, pa.binary())], names=["id", "text_key", "start", "size", "h1", "h2", "first", "bytes"])
+
         for k, (text, own) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
             data = text.encode()
-            for s in own:
+            for s in needed(own):
                 rows.append(k)
                 spans.append(s)
                 parts.append(data[s["start"] : s["start"] + s["size"]])
-        at = pa.array(rows, pa.int64())
-        columns = [pa.array([s[c] for s in spans], t) for c, t in (("start", pa.int32()), ("size", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("first", pa.bool_()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns, pa.array(parts, pa.binary())], names=["id", "text_key", "start", "size", "h1", "h2", "first", "bytes"])
+                held += s["size"]
+            if held > CUT_BYTES:
+                yield cut()
+                rows, parts, spans, held = [], [], [], 0
+        yield cut()
 
 
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", long_line: int = LONG_LINE) -> DataFrame:
-    """(id, text_key, start, size) of every chunk to remove: a later place of bytes that stand at an earlier one."""
+    """(id, text_key, start, size) of every passage to remove: a later place of bytes that stand at an earlier one."""
     table = materialize(chunk_table(docs, id_column, text_column, long_line), "line-chunks")
     groups = table.groupBy(*CHUNK).agg(F.min(F.struct(*PLACE)).alias("place"), F.max(F.struct(*PLACE)).alias("last")).filter("place <> last").drop("last")
     met = table.join(groups, list(CHUNK)).select(*PLACE, *CHUNK, (F.struct(*PLACE) == F.col("place")).alias("first"))
@@ -123,7 +175,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", long_line: int = LONG_LINE, out: tuple[str, str] = ("n_removed", "removed_bytes")) -> DataFrame:
-    """``docs`` with repeated chunks gone from the text, and the number of chunks and bytes removed."""
+    """``docs`` with repeated passages gone from the text, and the number of passages and bytes removed."""
     spans = repeated_spans(docs, id_column, text_column, long_line).groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "size")).alias("__spans")).withColumnsRenamed({"id": "__id", "text_key": "__text_key"})
     joined = docs.join(spans.hint("shuffle_hash"), F.col(id_column).eqNullSafe(F.col("__id")) & (F.xxhash64(text_column) == F.col("__text_key")), "left").drop("__id", "__text_key")
     names, place = docs.columns, docs.columns.index(text_column)
@@ -132,12 +184,13 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         for batch in batches:
             texts, counts, sizes = [], [], []
             for text, own in zip(batch.column(place).to_pylist(), batch.column(len(names)).to_pylist()):
-                after = text
+                after, gone = text, []
                 if text is not None and own:
-                    after = remove(text.encode(), [(s["start"], s["start"] + s["size"]) for s in own]).decode()
+                    gone = merge([(s["start"], s["start"] + s["size"]) for s in own])
+                    after = remove(text.encode(), gone).decode()
                 texts.append(after)
-                counts.append(len(own or ()))
-                sizes.append(sum(s["size"] for s in own or ()))
+                counts.append(len(gone))
+                sizes.append(sum(end - start for start, end in gone))
             columns = [batch.column(i) if i != place else pa.array(texts, pa.string()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], names=[*names, *out])
 

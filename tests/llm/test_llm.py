@@ -342,6 +342,23 @@ def test_chunks_cover_a_text_and_shift_with_it():
     assert linededup.remove(b"a\nb\nc", [(0, 1), (4, 5)]) == b"b" and linededup.remove(b"a\nb", [(0, 3)]) == b""
 
 
+def test_passages_of_few_lines_go_in_any_context(spark):
+    """One long line, or two to six lines of any length, between other lines; the first place stays whole."""
+    rng = random.Random(12)
+    parts = [[words(rng, 60)], *([words(rng, m) for _ in range(n)] for n in range(2, 7) for m in (7, 55)), [words(rng, 8), "", words(rng, 9)]]
+    texts, around = [], []
+    for k in range(2 * len(parts)):
+        before, after = ([words(rng, 9) for _ in range(rng.randrange(4))] for _ in range(2))
+        around.append(before + after)
+        texts.append("\n".join(before + parts[k % len(parts)] + after))
+    texts += [words(rng, 49) + "\n" + x for x in ("a b", "c d")] + ["e\n" + words(random.Random(13), 49) + "\nf", "g\n" + words(random.Random(13), 49)]
+    out = {r.doc_id: r for r in linededup.dedup_lines(docs(spark, texts)).collect()}
+    n = len(parts)
+    assert all(out[k].text == texts[k] and out[k].n_removed == 0 for k in [*range(n), *range(2 * n, len(texts))])
+    for k in range(n, 2 * n):
+        assert (out[k].text, out[k].n_removed, out[k].removed_bytes) == ("\n".join(around[k]), 1, len("\n".join(parts[k - n])))
+
+
 # ------------------------------------------------------------ media
 
 
