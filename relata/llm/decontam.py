@@ -14,7 +14,12 @@
 4. Every corpus window (``PASSAGE`` words, one each ``STRIDE`` words) whose
    cosine with a benchmark passage reaches ``MIN_COSINE`` is a candidate.  The
    benchmark passages are a stated query set, compared in blocks with all rows.
-5. A candidate is a leak if the longest common subsequence of the whole
+   Of each of them the ``KEEP_WORDS`` rarest words count, with a floor of
+   weight, however often they leak.
+5. So is every window in which ``GRAM`` words of an item (all of a shorter one)
+   stand in one piece, whatever its cosine: no item that is copied word for
+   word, or whose answer is, depends on the frequencies of its words.
+6. A candidate is a leak if the longest common subsequence of the whole
    benchmark item and the text around the window covers ``MIN_OVERLAP`` of the
    item, or ``MIN_PARAPHRASE`` of it if the item's answer (its last
    ``ANSWER_WORDS`` words) also stands there in one piece.
@@ -45,6 +50,8 @@ RANK, OVERSAMPLE, SEED = 64, 8, 7
 MIN_COSINE = 0.4
 MIN_IDF = 3.0
 MIN_OVERLAP, MIN_PARAPHRASE, ANSWER_WORDS = 0.8, 0.5, 8
+KEEP_WORDS, FLOOR_IDF = 4, 0.1
+GRAM = ANSWER_WORDS
 MAX_VOCABULARY = 1_000_000
 ROW_BLOCK = 256
 MARKS = b".,;:!?\"()[]*#&%$|"
@@ -174,8 +181,8 @@ def latent_space(encoded: DataFrame, bench: Benchmark, rank: int = RANK, oversam
     blocks = -(-size // ROW_BLOCK)
     df = _sum_rows(encoded.select("ids").mapInArrow(count, "block int, data binary"), blocks, (size, 1))
     passages = encoded.agg(F.sum(F.ceil(F.length("ids") / F.lit((2 if small else 4) * PASSAGE)))).first()[0] or 0
-    idf = np.log((passages + 1.0) / (df[:, 0] + 1.0)).astype(np.float32)
-    keep = idf >= min(MIN_IDF, float(np.median(idf)))
+    idf = np.maximum(np.log((passages + 1.0) / (df[:, 0] + 1.0)), FLOOR_IDF).astype(np.float32)
+    keep = kept_words(idf, bench)
     columns = min(rank + oversample, size)
     omega = np.random.default_rng(seed).standard_normal((size, columns)).astype(np.float32)
 
@@ -204,6 +211,56 @@ def latent_space(encoded: DataFrame, bench: Benchmark, rank: int = RANK, oversam
     return LatentSpace(idf, keep, np.ascontiguousarray(basis[:, : min(rank, columns)], dtype=np.float32))
 
 
+def kept_words(idf: np.ndarray, bench: Benchmark) -> np.ndarray:
+    """Which words count: the rare ones, and the rarest of every benchmark passage."""
+    keep = idf >= min(MIN_IDF, float(np.median(idf)))
+    for ids in bench.ids:
+        for at in range(0, len(ids), PASSAGE):
+            own = np.unique(ids[at : at + PASSAGE])
+            keep[own[np.argsort(-idf[own], kind="stable")[:KEEP_WORDS]]] = True
+    return keep
+
+
+def _gram_hashes(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the ``n`` words from each place on."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        out = (out + ids[at + k].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def item_grams(bench: Benchmark) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, hashes in order, their items) of all runs of ``GRAM`` words of the items; a shorter item is one run."""
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for one, ids in enumerate(bench.ids):
+        n = min(GRAM, len(ids))
+        h = np.unique(_gram_hashes(ids.astype(np.int64), np.arange(len(ids) - n + 1), n))
+        found.setdefault(n, []).append((h, np.full(len(h), one)))
+    out = []
+    for n, parts in found.items():
+        hashes, owners = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(hashes, kind="stable")
+        out.append((n, hashes[order], owners[order]))
+    return out
+
+
+def gram_hits(ids: np.ndarray, starts: np.ndarray, grams: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(place, item) of every run of item words in the texts."""
+    outside = np.concatenate([[0], np.cumsum(ids < 0)])
+    last = np.repeat(starts[1:], np.diff(starts))
+    places, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n, hashes, items in grams:
+        at = np.arange(max(0, len(ids) - n + 1))
+        at = at[(outside[at + n] == outside[at]) & (at + n <= last[at])]
+        h = _gram_hashes(ids, at, n)
+        low, high = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
+        at, low, count = at[high > low], low[high > low], (high - low)[high > low]
+        places.append(np.repeat(at, count))
+        owners.append(items[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())])
+    return np.concatenate(places), np.concatenate(owners)
+
+
 def _add_gram(total: np.ndarray, words: np.ndarray, block: np.ndarray, idf: np.ndarray, matrix: np.ndarray, n: int) -> None:
     projected = _weighted(words, block, matrix * idf[:, None], n)
     order = _by_word(words, len(idf))
@@ -266,12 +323,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     owner = np.repeat(np.arange(len(bench.ids)), per_item)
     queries = queries / np.maximum(norms, 1e-9)[:, None]
     small = len(bench.vocabulary) < 1 << 15
-    shared = docs.sparkSession.sparkContext.broadcast((bench.items, bench.ids, space.keep, weighted_basis, queries, owner))
+    shared = docs.sparkSession.sparkContext.broadcast((bench.items, bench.ids, space.keep, weighted_basis, queries, owner, item_grams(bench)))
     item_type = to_arrow_type(benchmark.schema[item_column].dataType)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, item_ids, keep, basis, queries, owner = shared.value
+        items, item_ids, keep, basis, queries, owner, grams = shared.value
         places = [_places(x) for x in item_ids]
+        own_queries = np.searchsorted(owner, np.arange(len(item_ids) + 1))
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -286,22 +344,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
                 windows[:-1][inner[:-1]] += halves[1:][inner[:-1]]
                 windows /= np.maximum(np.linalg.norm(windows, axis=1), 1e-9)[:, None]
                 best: dict[tuple[int, int], tuple[float, float, bool]] = {}
+
+                def verify(w: int, d: int, one: int, cosine: float) -> None:
+                    item, begin = item_ids[one], (w - int(first[d])) * STRIDE
+                    text = ids[starts[d] + max(0, begin - len(item)) : min(starts[d + 1], starts[d] + begin + PASSAGE + len(item))]
+                    overlap = common_subsequence(places[one], len(item), text.tolist()) / len(item)
+                    if overlap < MIN_PARAPHRASE:
+                        return
+                    answer = _contains(text, item[-ANSWER_WORDS:])
+                    if overlap >= MIN_OVERLAP or answer:
+                        found = (cosine, overlap, answer)
+                        best[d, one] = max(best.get((d, one), found), found, key=lambda x: (x[1], x[2], x[0]))
+
+                at_place, of_item = gram_hits(ids, starts, grams)
+                d = np.searchsorted(starts, at_place, side="right") - 1
+                exact = set(zip((first[d] + (at_place - starts[d]) // STRIDE).tolist(), d.tolist(), of_item.tolist()))
+                for w, d, one in exact:
+                    verify(w, d, one, float((queries[own_queries[one] : own_queries[one + 1]] @ windows[w]).max()))
                 for q in range(0, len(queries), 4096):
                     cosines = windows @ queries[q : q + 4096].T
                     where, which = np.nonzero(cosines >= MIN_COSINE)
                     rows = np.searchsorted(first, where, side="right") - 1
                     for w, k, d in zip(where.tolist(), which.tolist(), rows.tolist()):
                         one = int(owner[q + k])
-                        item = item_ids[one]
-                        begin = (w - int(first[d])) * STRIDE
-                        text = ids[starts[d] + max(0, begin - len(item)) : min(starts[d + 1], starts[d] + begin + PASSAGE + len(item))]
-                        overlap = common_subsequence(places[one], len(item), text.tolist()) / len(item)
-                        if overlap < MIN_PARAPHRASE:
-                            continue
-                        answer = _contains(text, item[-ANSWER_WORDS:])
-                        if overlap >= MIN_OVERLAP or answer:
-                            found = (float(cosines[w, k]), overlap, answer)
-                            best[d, one] = max(best.get((d, one), found), found, key=lambda x: (x[1], x[2], x[0]))
+                        if (w, d, one) not in exact:
+                            verify(w, d, one, float(cosines[w, k]))
                 pairs = sorted(best)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([d for d, _ in pairs], pa.int64())), pa.array([items[k] for _, k in pairs], item_type), *(pa.array([best[p][c] for p in pairs], t) for c, t in enumerate((pa.float64(), pa.float64(), pa.bool_())))], names=["doc_id", "item_id", "cosine", "overlap", "has_answer"])
 

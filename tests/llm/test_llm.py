@@ -294,6 +294,27 @@ def test_leaks_are_found_and_clean_documents_are_not(spark):
     assert decontam.drop_leaks(docs(spark, texts), bench).count() == 90
 
 
+@pytest.mark.parametrize("length", [5, 36])
+def test_an_item_that_leaks_into_a_third_of_the_rows_is_found(spark, length):
+    rng = random.Random(21)
+    items = [words(rng, length, 3000)] + [words(rng, 40, 3000) for _ in range(30)]
+    copy = words(rng, 30, 3000) + " " + items[0]
+    edited = " ".join(w if k % 12 else "changed" for k, w in enumerate(items[0].split()))
+    texts = [copy if k % 3 == 0 else words(rng, 30, 3000) + " " + edited if k % 30 == 1 and length > 20 else words(rng, 60, 3000) for k in range(150)]
+    expected = {(k, 0) for k in range(150) if k % 3 == 0 or k % 30 == 1 and length > 20}
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs(spark, texts), bench).collect()} == expected
+
+
+def test_runs_of_item_words():
+    bench = decontam.Benchmark([0, 1, 2], [np.arange(12), np.arange(4, 16), np.array([3, 1])], {})
+    texts = [[-1, *range(9), -1], [3, 1, 3], [1], [], [*range(4, 12), 3], [1]]
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    at, owner = decontam.gram_hits(np.array([w for t in texts for w in t]), starts, decontam.item_grams(bench))
+    brute = {(int(starts[d]) + k, i) for d, t in enumerate(texts) for k in range(len(t)) for i, x in enumerate(bench.ids) for n in [min(8, len(x))] for j in range(len(x) - n + 1) if t[k : k + n] == x[j : j + n].tolist()}
+    assert set(zip(at.tolist(), owner.tolist())) == brute and len(brute) == 5
+
+
 @needs_tables
 def test_leaks_against_every_window(spark):
     """All verbatim items in the small tables are found."""
