@@ -14,7 +14,9 @@
 4. Every corpus window (``PASSAGE`` words, one each ``STRIDE`` words) whose
    cosine with a benchmark passage reaches ``MIN_COSINE`` is a candidate.  The
    benchmark passages are a stated query set, compared in blocks with all rows.
-   Of each of them the ``KEEP_WORDS`` rarest words count, with a floor of
+   Items of at most ``STRIDE`` words are compared with windows of ``STRIDE``
+   words as well, in which other words dilute them less.
+   Of each passage the ``KEEP_WORDS`` rarest words count, with a floor of
    weight, however often they leak.
 5. So is every window in which ``GRAM`` words of an item (all of a shorter one)
    stand in one piece, whatever its cosine: no item that is copied word for
@@ -46,9 +48,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from relata.llm.common import materialize, read_table
 
 PASSAGE, STRIDE = 64, 32
-RANK, OVERSAMPLE, SEED = 64, 8, 7
-MIN_COSINE = 0.4
-MIN_IDF = 3.0
+RANK, OVERSAMPLE, SEED = 120, 8, 7
+MIN_COSINE = 0.3
+MIN_IDF = 1.5
 MIN_OVERLAP, MIN_PARAPHRASE, ANSWER_WORDS = 0.8, 0.5, 8
 KEEP_WORDS, FLOOR_IDF = 4, 0.1
 GRAM = ANSWER_WORDS
@@ -301,6 +303,18 @@ def common_subsequence(where: dict[int, int], length: int, text: list[int]) -> i
     return length - row.bit_count()
 
 
+def common_subsequences(where: dict[int, int], length: int, texts: np.ndarray, size: int) -> np.ndarray:
+    """``common_subsequence`` of an item of at most 64 words and each row of ``texts``; words are below ``size``, -1 stands for all others."""
+    table = np.zeros(size + 1, np.uint64)
+    table[list(where)] = np.array(list(where.values()), np.uint64)
+    full = np.uint64((1 << length) - 1)
+    row = np.full(len(texts), full)
+    for words in np.ascontiguousarray(texts.T):
+        both = row & table[words]
+        row = ((row + both) | (row - both)) & full
+    return length - np.bitwise_count(row).astype(np.int64)
+
+
 def _contains(text: np.ndarray, part: np.ndarray) -> bool:
     n = len(text) - len(part) + 1
     at = np.nonzero(text[: max(0, n)] == part[0])[0]
@@ -322,7 +336,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     per_item = -(-np.array([len(x) for x in bench.ids]) // PASSAGE)
     owner = np.repeat(np.arange(len(bench.ids)), per_item)
     queries = queries / np.maximum(norms, 1e-9)[:, None]
-    small = len(bench.vocabulary) < 1 << 15
+    small, n_words = len(bench.vocabulary) < 1 << 15, len(bench.vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast((bench.items, bench.ids, space.keep, weighted_basis, queries, owner, item_grams(bench)))
     item_type = to_arrow_type(benchmark.schema[item_column].dataType)
 
@@ -330,6 +344,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
         items, item_ids, keep, basis, queries, owner, grams = shared.value
         places = [_places(x) for x in item_ids]
         own_queries = np.searchsorted(owner, np.arange(len(item_ids) + 1))
+        short = np.nonzero(np.array([len(x) for x in item_ids])[owner] <= STRIDE)[0]
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -345,30 +360,42 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
                 windows /= np.maximum(np.linalg.norm(windows, axis=1), 1e-9)[:, None]
                 best: dict[tuple[int, int], tuple[float, float, bool]] = {}
 
-                def verify(w: int, d: int, one: int, cosine: float) -> None:
-                    item, begin = item_ids[one], (w - int(first[d])) * STRIDE
-                    text = ids[starts[d] + max(0, begin - len(item)) : min(starts[d + 1], starts[d] + begin + PASSAGE + len(item))]
-                    overlap = common_subsequence(places[one], len(item), text.tolist()) / len(item)
-                    if overlap < MIN_PARAPHRASE:
-                        return
-                    answer = _contains(text, item[-ANSWER_WORDS:])
-                    if overlap >= MIN_OVERLAP or answer:
-                        found = (cosine, overlap, answer)
-                        best[d, one] = max(best.get((d, one), found), found, key=lambda x: (x[1], x[2], x[0]))
-
                 at_place, of_item = gram_hits(ids, starts, grams)
-                d = np.searchsorted(starts, at_place, side="right") - 1
-                exact = set(zip((first[d] + (at_place - starts[d]) // STRIDE).tolist(), d.tolist(), of_item.tolist()))
-                for w, d, one in exact:
-                    verify(w, d, one, float((queries[own_queries[one] : own_queries[one + 1]] @ windows[w]).max()))
-                for q in range(0, len(queries), 4096):
-                    cosines = windows @ queries[q : q + 4096].T
-                    where, which = np.nonzero(cosines >= MIN_COSINE)
-                    rows = np.searchsorted(first, where, side="right") - 1
-                    for w, k, d in zip(where.tolist(), which.tolist(), rows.tolist()):
-                        one = int(owner[q + k])
-                        if (w, d, one) not in exact:
-                            verify(w, d, one, float(cosines[w, k]))
+                doc = np.searchsorted(starts, at_place, side="right") - 1
+                keys = np.unique((first[doc] + (at_place - starts[doc]) // STRIDE) * len(items) + of_item)
+                found = [(keys, np.array([(queries[own_queries[k % len(items)] : own_queries[k % len(items) + 1]] @ windows[k // len(items)]).max() for k in keys.tolist()], np.float32))]
+                halves /= np.maximum(np.linalg.norm(halves, axis=1), 1e-9)[:, None]
+                for vectors, chosen in ((windows, np.arange(len(queries))), (halves, short)):
+                    for q in range(0, len(chosen), 4096):
+                        cosines = vectors @ queries[chosen[q : q + 4096]].T
+                        where, which = np.nonzero(cosines >= MIN_COSINE)
+                        found.append((where * len(items) + owner[chosen[q + which]], cosines[where, which]))
+                keys, cosines = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((cosines, keys))
+                order = order[np.append(np.diff(keys[order]) > 0, True)[: len(order)]]
+                # Each window and item once, with its highest cosine, by item.
+                order = order[np.argsort(keys[order] % len(items), kind="stable")]
+                window, of_item, cosines = keys[order] // len(items), keys[order] % len(items), cosines[order]
+                doc = np.searchsorted(first, window, side="right") - 1
+                begin = starts[doc] + (window - first[doc]) * STRIDE
+                size = np.array([len(x) for x in item_ids])[of_item]
+                low, high = np.maximum(starts[doc], begin - size), np.minimum(starts[doc + 1], begin + PASSAGE + size)
+                edges = np.concatenate([[0], np.nonzero(np.diff(of_item))[0] + 1, [len(of_item)]])
+                for a, z in ((a, min(a + 4096, z)) for x, z in zip(edges[:-1].tolist(), edges[1:].tolist()) for a in range(x, z, 4096)):
+                    one = int(of_item[a])
+                    item = item_ids[one]
+                    if len(item) <= 64:
+                        at = low[a:z, None] + np.arange(PASSAGE + 2 * len(item))
+                        texts = np.where(at < high[a:z, None], ids[np.minimum(at, len(ids) - 1)], -1)
+                        common = common_subsequences(places[one], len(item), texts, n_words)
+                    else:
+                        common = np.array([common_subsequence(places[one], len(item), ids[i:j].tolist()) for i, j in zip(low[a:z], high[a:z])])
+                    for k in np.nonzero(common >= MIN_PARAPHRASE * len(item))[0].tolist():
+                        overlap = int(common[k]) / len(item)
+                        answer = _contains(ids[low[a + k] : high[a + k]], item[-ANSWER_WORDS:])
+                        if overlap >= MIN_OVERLAP or answer:
+                            pair, now = (int(doc[a + k]), one), (float(cosines[a + k]), overlap, answer)
+                            best[pair] = max(best.get(pair, now), now, key=lambda x: (x[1], x[2], x[0]))
                 pairs = sorted(best)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([d for d, _ in pairs], pa.int64())), pa.array([items[k] for _, k in pairs], item_type), *(pa.array([best[p][c] for p in pairs], t) for c, t in enumerate((pa.float64(), pa.float64(), pa.bool_())))], names=["doc_id", "item_id", "cosine", "overlap", "has_answer"])
 

@@ -273,6 +273,28 @@ def test_common_subsequence():
         assert decontam.common_subsequence(decontam._places(np.array(a)), len(a), b) == lcs(a, b)
 
 
+def test_common_subsequences_of_many_texts():
+    rng = np.random.default_rng(3)
+    for length in (1, 20, 63, 64):
+        item, texts = rng.integers(0, 9, length), rng.integers(-1, 12, (30, 150))
+        found = decontam.common_subsequences(decontam._places(item), length, texts, 12)
+        assert found.tolist() == [lcs(item.tolist(), t.tolist()) for t in texts]
+
+
+def test_short_items_with_scattered_changes_are_found(spark):
+    """Short items with two words changed, so no eight stand in one piece, among other words of the benchmark."""
+    rng = random.Random(31)
+    items = [words(rng, 12, 800) for _ in range(150)]
+    texts = []
+    for item in items:
+        body = words(rng, 200, 800).split()
+        at = rng.randrange(200)
+        body[at:at] = [w if k not in (4, 8) else "changed" for k, w in enumerate(item.split())]
+        texts.append(" ".join(body))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs(spark, texts), bench).collect()} >= {(k, k) for k in range(150)}
+
+
 def test_leaks_are_found_and_clean_documents_are_not(spark):
     rng = random.Random(9)
     items = [words(rng, n, 3000) for n in (14, 20, 36, 59, 100, 150)]
