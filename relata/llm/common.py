@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relata.llm import workers
 from relata.storage import materialize, shared_dir
 
-__all__ = ["bounded_sample", "held_out", "materialize", "read_table", "shared_dir"]
+__all__ = ["bounded_sample", "held_out", "materialize", "passed", "read_table", "shared_dir", "slices"]
 
 TRAIN_REMAINDER = 2
 
@@ -24,10 +28,24 @@ def held_out(id_column: str = "doc_id") -> Column:
 def bounded_sample(df: DataFrame, id_column: str, bound: int) -> DataFrame:
     """About ``bound`` rows (all, if there are fewer), chosen by a hash of the id, so alike on every run and at every size.
 
-    Only the id column is read to count.
+    ``df`` is counted first, so it should hold narrow columns only.
     """
     n = df.count()
     if n <= bound:
         return df
     cells = 1 << 30
     return df.filter(F.pmod(F.xxhash64(F.col(id_column)), F.lit(cells)) < int(cells * bound / n))
+
+
+def passed(columns: list[str], out: tuple[str, ...]) -> list[str]:
+    """The input columns that go through an operator: all but those of a result's name, which the result replaces."""
+    taken = {c.lower() for c in out}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few of them are Python values at a time; frees what another operator kept."""
+    workers.release()
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

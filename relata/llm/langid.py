@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relata.llm.common import bounded_sample, held_out, materialize, read_table
+from relata.llm import workers
+from relata.llm.common import bounded_sample, held_out, materialize, read_table, slices
 
 SAMPLE_ROWS = 20_000
 EM_STEPS = 2
@@ -38,7 +39,8 @@ SMOOTHING = 200.0
 UNKNOWN_CHAR = 1e-9
 MAX_PIECE = 16
 BATCHED_LENGTH = 40
-KEPT_WORDS = 400_000
+KEPT_BYTES = 48 << 20
+WORD_BYTES = 180
 WORD_MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -147,36 +149,28 @@ def expected_counts(words: list[str], weights: np.ndarray, segmenter: Segmenter,
 
 
 class WordValues:
-    """Log likelihoods of words met before, at most about KEPT_WORDS of them; a Python worker keeps them from task to task."""
+    """Log likelihoods of words met before, about KEPT_BYTES of them; what came early, and so often, stays when there are more."""
 
-    def __init__(self, segmenter: Segmenter, p: np.ndarray):
-        self.segmenter, self.p = segmenter, p
+    def __init__(self, pieces: list[str], p: np.ndarray):
+        self.segmenter, self.p = Segmenter({x: k for k, x in enumerate(pieces)}), p
         self.rows: dict[str, int] = {}
-        self.values = np.empty((1 << 14, p.shape[1]))
+        self.most = max(1 << 12, KEPT_BYTES // (WORD_BYTES + 8 * p.shape[1]))
+        self.values = np.empty((1 << 12, p.shape[1]))
 
     def of(self, words: list[str]) -> np.ndarray:
-        if len(self.rows) > KEPT_WORDS:
-            self.rows = {}
+        if len(self.rows) > self.most:
+            for w in list(self.rows)[self.most // 2 :]:
+                del self.rows[w]
         new = [w for w in dict.fromkeys(words) if w not in self.rows]
         if new:
             start, end = len(self.rows), len(self.rows) + len(new)
-            while end > len(self.values):
-                self.values = np.concatenate([self.values, np.empty_like(self.values)])
+            if end > len(self.values):
+                self.values = np.concatenate([self.values[:start], np.empty((max(start, end - start), self.p.shape[1]))])
             self.values[start:end] = log_likelihoods(new, self.segmenter, self.p)
             self.rows.update(zip(new, range(start, end)))
         return self.values[np.fromiter(map(self.rows.__getitem__, words), dtype=np.int64, count=len(words))]
 
 
-_VALUES: dict[str, WordValues] = {}
-
-
-def word_values(token: str, pieces: list[str], p: np.ndarray) -> WordValues:
-    if token not in _VALUES:
-        _VALUES.clear()
-        _VALUES[token] = WordValues(Segmenter({x: k for k, x in enumerate(pieces)}), p)
-    return _VALUES[token]
-
-
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -201,7 +195,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     sample = bounded_sample(labelled, "id", sample_rows)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1 << 12):
             counts: Counter = Counter()
             for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
                 for w, n in Counter(words_of(text)).items():
@@ -218,7 +212,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
         current, position = p.astype(np.float64), {x: k for k, x in enumerate(languages)}
 
         def expect(batches: Iterator[pa.RecordBatch], current=current, position=position) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches, 1 << 14):
                 lang, word, n = (batch[c].to_pylist() for c in ("lang", "word", "n"))
                 for one in set(lang):
                     own = [k for k, x in enumerate(lang) if x == one]
@@ -249,7 +243,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_column: str = "text", ke
     token = uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = word_values(token, *shared.value)
+        known = workers.kept(token, lambda: WordValues(*shared.value))
         for batch in batches:
             langs: list[str] = []
             scores: list[float] = []

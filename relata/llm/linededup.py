@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relata.llm.common import materialize, read_table
+from relata.llm.common import materialize, read_table, slices
 
 WINDOW = 2
 LONG_LINE = 50
@@ -108,7 +108,7 @@ def chunk_table(docs: DataFrame, id_column: str, text_column: str, long_line: in
     """One row per passage that counts: where it is and a 128-bit hash of its bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows, starts, sizes, digests = [], [], [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
                 data = (text or "").encode()
@@ -139,7 +139,7 @@ def needed(spans: list) -> list:
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows, parts, spans, held = [], [], [], 0
 
         def cut() -> pa.RecordBatch:
@@ -181,7 +181,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     names, place = docs.columns, docs.columns.index(text_column)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, counts, sizes = [], [], []
             for text, own in zip(batch.column(place).to_pylist(), batch.column(len(names)).to_pylist()):
                 after, gone = text, []

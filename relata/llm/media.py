@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relata.llm.common import read_table
+from relata.llm.common import read_table, slices
 from relata.llm.webp import MAX_SIDE, decode, encode
 
 BLOCK = 64
@@ -61,18 +61,16 @@ def media_columns(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """Per row of ``docs``: sizes, digests and features, and the file itself on request."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # Few texts at a time where the files themselves are returned.
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows = []
-                for text in part.column(1).to_pylist():
-                    data = (text or "").encode()
-                    payload = padded(data)
-                    media = to_media(payload)
-                    back = from_media(media, len(payload))
-                    rows.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature(back)) + ((media,) if with_media else ()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), f.type) for c, f in zip(zip(*rows), own))], names=["doc_id", *(f.name for f in own)])
+        # Few texts at a time where the files themselves are returned.
+        for part in slices(batches):
+            rows = []
+            for text in part.column(1).to_pylist():
+                data = (text or "").encode()
+                payload = padded(data)
+                media = to_media(payload)
+                back = from_media(media, len(payload))
+                rows.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature(back)) + ((media,) if with_media else ()))
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), f.type) for c, f in zip(zip(*rows), own))], names=["doc_id", *(f.name for f in own)])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_column].dataType)] + T._parse_datatype_string(FIELDS[0] + FIELDS[1] * with_media).fields)
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}

@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relata.llm.common import materialize, read_table
+from relata.llm import workers
+from relata.llm.common import materialize, read_table, slices
 
 CAPACITY = 1024
 CLOSING_ID = 2
@@ -144,15 +145,6 @@ class UnitEncoder:
         return out
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
-def encoder(path: str) -> UnitEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
-
-
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of each piece of n ids."""
     first = n % capacity or capacity
@@ -165,8 +157,8 @@ def token_pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     path, tail = tokenizer or default_tokenizer(), np.array([closing_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = encoder(path)
-        for batch in batches:
+        units = workers.kept(("packing", path), lambda: UnitEncoder(path))
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             rows, piece, start, length, crc = [], [], [], [], []
             texts = batch.column(1).to_pylist()
             for k, ids in enumerate(x for at in range(0, len(texts), 128) for x in units.encode([t or "" for t in texts[at : at + 128]])):
@@ -338,7 +330,7 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length, first, copies, sequence, offset = plan.value.T
         keys = (length << 44) + first
-        for batch in batches:
+        for batch in slices(batches, 1 << 14):
             n, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
             at = np.searchsorted(keys, (n << 44) + rank, side="right") - 1
             nth = rank - first[at]

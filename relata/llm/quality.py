@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relata.llm import workers
 from relata.llm.common import bounded_sample, held_out, read_table
 
 SAMPLE_ROWS = 12_000
@@ -34,13 +35,11 @@ HASH_BITS = 18
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-4
 THRESHOLD = 0.7
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _KINDS = (np.uint64(0x51), np.uint64(0xA7), np.uint64(0xC3), np.uint64(0xE9))
 
-_WORDS: dict[str, tuple[int, int]] = {}
-
 
 def _hashes(word: str) -> tuple[int, int]:
     shape = _DIGITS.sub("0", _LETTERS.sub("a", word))
@@ -54,18 +53,19 @@ def _slots(h: np.ndarray, kind: np.uint64) -> np.ndarray:
     return (mixed >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse vector of a text: slots, each once, and their values."""
+def features(text: str | None, known: dict[str, tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse vector of a text: slots, each once, and their values. known: hashes of words met before, added to here."""
     words = (text or "").split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0)
-    if len(_WORDS) > KEPT_WORDS:
-        _WORDS.clear()
+    known = {} if known is None else known
+    if len(known) > KEPT_WORDS:
+        known.clear()
     pairs = []
     for w in words:
-        pair = _WORDS.get(w)
+        pair = known.get(w)
         if pair is None:
-            pair = _WORDS[w] = _hashes(w)
+            pair = known[w] = _hashes(w)
         pairs.append(pair)
     h = np.array(pairs, dtype=np.uint64)
     word, shape = h[:, 0], h[:, 1].copy()
@@ -126,11 +126,11 @@ def predict(docs: DataFrame, weights: np.ndarray, text_column: str = "text", kee
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value.astype(np.float64)
+        w, known = shared.value.astype(np.float64), workers.kept("quality", dict)
         for batch in batches:
             found = []
             for text in batch["__text"].to_pylist():
-                at, x = features(text)
+                at, x = features(text, known)
                 found.append(sigmoid(float(w[at] @ x + w[-1])))
             kept = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.float64()), pa.array([int(s >= threshold) for s in found], pa.int32())], names=[*keep, "score", "predicted"])

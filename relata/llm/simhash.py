@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relata.llm import golay
-from relata.llm.common import materialize, read_table
+from relata.llm.common import materialize, read_table, slices
 from relata.llm.components import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """(doc_id, fp) of every row, the fingerprint as a signed long."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
 
@@ -83,12 +83,10 @@ def fuzzy_keys(distinct: DataFrame) -> DataFrame:
     """(key, fp): about sixteen rows per fingerprint."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1 << 15):
             fps = batch.column(0).to_numpy()
-            for at in range(0, len(fps), 1 << 15):
-                part = fps[at : at + (1 << 15)]
-                keys, rows = segment_keys(part)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], names=["key", "fp"])
+            keys, rows = segment_keys(fps)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows])], names=["key", "fp"])
 
     return distinct.select("fp").mapInArrow(expand, "key long, fp long")
 
