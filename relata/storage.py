@@ -9,19 +9,47 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where the setting is absent (tests)."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Without the setting a fresh local folder serves a session whose executors
+    run in the driver's own process; any other session is refused, as its
+    executors would write where nobody else can read.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="relata-shared-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: the lineage ends there, on storage that outlives executors."""
+FILE_ROWS, MIN_FILES = 250_000, 8
+
+
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back: the lineage ends there, on storage that outlives executors.
+
+    ``rows``: about how many narrow rows there are; so many files are written at most as hold them at ``FILE_ROWS`` each.
+    """
+    if rows is not None:
+        df = df.coalesce(max(MIN_FILES, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialize`` once nothing reads them any more; others are left alone."""
+    for table in tables:
+        path = table.__dict__.get("stored_at")
+        if path:
+            jvm = table.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
