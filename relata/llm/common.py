@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relata.llm import workers
-from relata.storage import materialize, shared_dir
+from relata.storage import discard, materialize, shared_dir
 
-__all__ = ["bounded_sample", "held_out", "materialize", "passed", "read_table", "shared_dir", "slices"]
+__all__ = ["bounded_sample", "discard", "free_name", "held_out", "materialize", "passed", "read_table", "sampled", "shared_dir", "slices"]
 
 TRAIN_REMAINDER = 2
 
@@ -25,16 +25,19 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == TRAIN_REMAINDER, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, id_column: str, bound: int) -> DataFrame:
-    """About ``bound`` rows (all, if there are fewer), chosen by a hash of the id, so alike on every run and at every size.
+def sampled(narrow: DataFrame, id_column: str, bound: int, own_column: str | None = None) -> Column:
+    """A condition that about ``bound`` rows meet (all, if there are fewer), by a hash of the id, so alike on every run and at every size.
 
-    ``df`` is counted first, so it should hold narrow columns only.
+    ``narrow`` is counted; it should hold no wide column.  ``own_column``: the id's name where the condition is used.
     """
-    n = df.count()
-    if n <= bound:
-        return df
-    cells = 1 << 30
-    return df.filter(F.pmod(F.xxhash64(F.col(id_column)), F.lit(cells)) < int(cells * bound / n))
+    n, cells = narrow.count(), 1 << 30
+    drawn = F.pmod(F.xxhash64(F.col(own_column or id_column)), F.lit(cells)) < int(cells * bound / max(1, n))
+    return F.lit(True) if n <= bound else drawn
+
+
+def bounded_sample(narrow: DataFrame, id_column: str, bound: int) -> DataFrame:
+    """About ``bound`` rows of a narrow table."""
+    return narrow.filter(sampled(narrow, id_column, bound))
 
 
 def passed(columns: list[str], out: tuple[str, ...]) -> list[str]:
@@ -43,6 +46,14 @@ def passed(columns: list[str], out: tuple[str, ...]) -> list[str]:
     return [c for c in columns if c.lower() not in taken]
 
 
+def free_name(columns: list[str], base: str) -> str:
+    """A column name that is not taken yet."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that few of them are Python values at a time; frees what another operator kept."""
     workers.release()

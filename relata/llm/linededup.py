@@ -15,6 +15,9 @@ removed line always has an equal one at an earlier place, so its first stays.
 
 Only hashes and offsets of passages are shuffled to find repeats; text moves
 once to cut the repeated ones out for comparison and once to remove them.
+Passages that stand in very many places are never brought together: their
+places meet a broadcast table of bounded size (``skew.join_counted``), and their
+bytes are made distinct in every task before they move.
 
 Defined results: null texts stay null and empty ones empty; rows equal in id
 and text are one document and keep or lose the same passages; a text that loses
@@ -34,7 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relata.llm.common import materialize, read_table, slices
+from relata.llm.common import free_name, materialize, passed, read_table, slices
+from relata.llm.skew import join_counted
 
 WINDOW = 2
 LONG_LINE = 50
@@ -163,22 +167,34 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", long_line: int = LONG_LINE) -> DataFrame:
     """(id, text_key, start, size) of every passage to remove: a later place of bytes that stand at an earlier one."""
     table = materialize(chunk_table(docs, id_column, text_column, long_line), "line-chunks")
-    groups = table.groupBy(*CHUNK).agg(F.min(F.struct(*PLACE)).alias("place"), F.max(F.struct(*PLACE)).alias("last")).filter("place <> last").drop("last")
-    met = table.join(groups, list(CHUNK)).select(*PLACE, *CHUNK, (F.struct(*PLACE) == F.col("place")).alias("first"))
+    groups = table.groupBy(*CHUNK).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("place"), F.max(F.struct(*PLACE)).alias("last")).filter("place <> last").drop("last")
+    met = join_counted(table, materialize(groups, "line-groups"), list(CHUNK), table.count()).select(*PLACE, *CHUNK, (F.struct(*PLACE) == F.col("place")).alias("first"))
     wanted = met.groupBy("id", "text_key").agg(F.collect_set(F.struct("start", "size", "h1", "h2", "first")).alias("spans"))
     texts = docs.filter(F.col(text_column).isNotNull()).select(F.col(id_column).alias("i"), F.xxhash64(text_column).alias("k"), F.col(text_column).alias("t"))
     both = texts.join(wanted.hint("shuffle_hash"), F.col("i").eqNullSafe(F.col("id")) & (F.col("k") == F.col("text_key"))).select("id", "text_key", "t", "spans")
     schema = T.StructType([wanted.schema["id"]] + T._parse_datatype_string("text_key long, start int, size int, h1 long, h2 long, first boolean, bytes binary").fields)
     found = materialize(both.mapInArrow(_cut_out, schema), "line-repeats")
-    first = found.filter("first").select(*CHUNK, F.col("bytes").alias("first_bytes")).dropDuplicates(list(CHUNK))
-    return found.filter("not first").join(first, list(CHUNK)).filter(F.col("bytes") == F.col("first_bytes")).select(*PLACE, "size").distinct()
+    # Equal bytes are brought together in every task first, so a passage that is everywhere is a few rows here.
+    contents = found.groupBy(*CHUNK, "bytes").agg(F.count("*").alias("n")).groupBy(*CHUNK).agg(F.count("*").alias("contents"), F.sum("n").alias("n"))
+    kinds = materialize(contents, "line-contents")
+    later = found.select(*PLACE, *CHUNK, "first")
+    spans = join_counted(later, kinds, list(CHUNK), found.count()).filter("not first and contents = 1").select(*PLACE, "size")
+    if kinds.filter("contents > 1").isEmpty():
+        return spans.distinct()
+    # Different bytes under one hash: each place is compared with the first.
+    mixed = found.join(kinds.filter("contents > 1").select(*CHUNK), list(CHUNK), "left_semi")
+    first = mixed.filter("first").select(*CHUNK, F.col("bytes").alias("first_bytes")).dropDuplicates(list(CHUNK))
+    return spans.union(mixed.filter("not first").join(first, list(CHUNK)).filter(F.col("bytes") == F.col("first_bytes")).select(*PLACE, "size")).distinct()
 
 
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", long_line: int = LONG_LINE, out: tuple[str, str] = ("n_removed", "removed_bytes")) -> DataFrame:
-    """``docs`` with repeated passages gone from the text, and the number of passages and bytes removed."""
-    spans = repeated_spans(docs, id_column, text_column, long_line).groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "size")).alias("__spans")).withColumnsRenamed({"id": "__id", "text_key": "__text_key"})
-    joined = docs.join(spans.hint("shuffle_hash"), F.col(id_column).eqNullSafe(F.col("__id")) & (F.xxhash64(text_column) == F.col("__text_key")), "left").drop("__id", "__text_key")
-    names, place = docs.columns, docs.columns.index(text_column)
+    """``docs`` with repeated passages gone from the text, and the number of passages and bytes removed; these replace columns of their names."""
+    spans = repeated_spans(docs, id_column, text_column, long_line).groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    names = passed(docs.columns, out)
+    place = names.index(text_column)
+    own_id, own_key, own_spans = (free_name(docs.columns, x) for x in ("id", "text_key", "spans"))
+    spans = spans.toDF(own_id, own_key, own_spans)
+    joined = docs.join(spans.hint("shuffle_hash"), F.col(id_column).eqNullSafe(F.col(own_id)) & (F.xxhash64(text_column) == F.col(own_key)), "left").select(*names, own_spans)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -194,7 +210,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             columns = [batch.column(i) if i != place else pa.array(texts, pa.string()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], names=[*names, *out])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(out[0], T.LongType()), T.StructField(out[1], T.LongType())])
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(out[0], T.LongType()), T.StructField(out[1], T.LongType())])
     return joined.mapInArrow(clean, schema)
 
 
