@@ -33,12 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relata.llm import golay
-from relata.llm.common import materialize, read_table, slices
+from relata.llm.common import free_name, materialize, read_table, slices
 from relata.llm.components import components
+from relata.llm.skew import join_counted
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIR_ROWS = 32
+#: A segment has six keys, or one if it lies near its codeword; on average about 5.3.
+KEY_ROWS = 16
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -56,15 +59,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row, the fingerprint as a signed long."""
+    """(doc_id, text_key, fp) of every row, the fingerprint as a signed long."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found)], names=["doc_id", "text_key", "fp"])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_column].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column)).mapInArrow(compute, schema)
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_column].dataType), T.StructField("text_key", T.LongType()), T.StructField("fp", T.LongType())])
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("text_key")).mapInArrow(compute, schema)
 
 
 def segment_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,9 +98,10 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b): enough links between fingerprints within ``max_bits`` (at most two) to connect all that are linked."""
     if max_bits > MAX_BITS:
         raise ValueError("the keys are complete for at most two differing bits")
-    keys = materialize(fuzzy_keys(distinct), "simhash-keys")
+    rows = KEY_ROWS * distinct.count()
+    keys = fuzzy_keys(distinct)
     met = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = materialize(keys.join(met, "key"), "simhash-met")
+    shared = materialize(join_counted(keys, met, ["key"], rows), "simhash-met", rows)
     few = shared.filter(F.col("n") <= PAIR_ROWS)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").filter("a < b").filter(near).select("a", "b")
@@ -111,23 +115,33 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def grouped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, text_key, fp, component, component_id) of every row; components are told apart by ``component``, a fingerprint."""
+    prints = materialize(fingerprints(docs, id_column, text_column, shingle), "simhash-prints")
+    total = prints.count()
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct", total)
+    prints_in_all = distinct.count()
+    nodes = components(links(distinct), KEY_ROWS * prints_in_all)
+    labelled = distinct.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
+    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    owner = join_counted(labelled, least, ["component"], prints_in_all, "members").select("fp", "n", "component", "component_id")
+    return join_counted(prints, owner, ["fp"], total).select("doc_id", "text_key", "fp", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Per row of ``docs``: doc_id, fingerprint (16 hex digits) and component_id (the smallest id reachable by links)."""
-    prints = materialize(fingerprints(docs, id_column, text_column, shingle), "simhash-prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    nodes = components(links(distinct))
-    labelled = distinct.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    owner = labelled.join(least, "component").select("fp", "component_id")
-    return prints.join(owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(docs, id_column, text_column, shingle).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is its component's; of rows equal in id and text one stays."""
-    chosen = near_duplicates(docs, id_column, text_column).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__chosen")).distinct()
-    kept = docs.join(chosen, F.col(id_column).eqNullSafe(F.col("__chosen")), "left_semi")
-    first = F.row_number().over(Window.partitionBy(F.col(id_column), F.xxhash64(text_column)).orderBy(F.lit(1)))
-    return kept.withColumn("__first", first).filter("__first = 1").drop("__first")
+    """One row of ``docs`` for every component: that with the smallest id, nulls last.  Among rows equal in id, a hash of the text and then all other columns decide."""
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first")
+    own_id, own_key, place = (free_name(docs.columns, x) for x in ("id", "text_key", "place"))
+    chosen = grouped(docs, id_column, text_column).groupBy("component").agg(first).select(F.col("first.doc_id").alias(own_id), F.col("first.text_key").alias(own_key))
+    kept = docs.join(chosen, F.col(id_column).eqNullSafe(F.col(own_id)) & (F.xxhash64(text_column) == F.col(own_key)), "left_semi")
+    others = [F.to_json(F.struct(F.col(c).alias("c"))) for c in docs.columns if c not in (id_column, text_column)]
+    order = F.row_number().over(Window.partitionBy(F.col(id_column), F.xxhash64(text_column)).orderBy(*(others or [F.lit(1)])))
+    return kept.withColumn(place, order).filter(F.col(place) == 1).select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
