@@ -6,7 +6,7 @@ kept, ``=`` for a word equal to the one before it).  Each gram's value is its
 count over the square root of the sum of squared counts of its kind, so long
 and short texts weigh alike.  A score is the logistic of a sparse dot product.
 
-Learning uses at most ``SAMPLE_ROWS`` labelled rows (documented bound; all of
+Learning uses about ``SAMPLE_ROWS`` labelled rows (documented bound; all of
 them if there are fewer), in one task, ordered by a hash of the id; the weights
 (2^HASH_BITS floats, a fixed size) are broadcast for scoring.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relata.llm import workers
-from relata.llm.common import bounded_sample, held_out, read_table
+from relata.llm.common import bounded_sample, free_name, held_out, passed, read_table, slices
 
 SAMPLE_ROWS = 12_000
 HASH_BITS = 18
@@ -105,41 +105,52 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epo
     return weights(np.arange(size))
 
 
-def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Weights learned from rows with an id, a text and a 0/1 label."""
-    rows = labelled.filter(F.col(label_column).isin(0, 1)).select(F.xxhash64(id_column).alias("at"), F.col(text_column).alias("text"), F.col(label_column).cast("int").alias("y"))
+def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> np.ndarray:
+    """Weights learned from rows with a text and a 0/1 label; their number is the caller's to bound (``training_rows``).
+
+    Texts become sparse vectors in parallel.  A vector has at most 2^HASH_BITS
+    slots however long its text is, so the one task that learns is bounded.
+    """
+    rows = labelled.filter(F.col(label_column).isin(0, 1)).select(F.xxhash64(id_column).alias("at"), F.col(label_column).cast("int").alias("y"), F.col(text_column).alias("text"))
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [features(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.astype(np.int32).tobytes() for s, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())], names=["at", "y", "slots", "values"])
 
     def learn(key, table):
         order = np.lexsort((table["y"].to_numpy(), table["at"].to_numpy()))
-        texts, y = table["text"].to_pylist(), table["y"].to_pylist()
-        w = train_ftrl([features(texts[k]) for k in order], [y[k] for k in order])
+        slots, values, y = (table[c].to_pylist() for c in ("slots", "values", "y"))
+        w = train_ftrl([(np.frombuffer(slots[k], np.int32).astype(np.int64), np.frombuffer(values[k], np.float32).astype(float)) for k in order], [y[k] for k in order])
         return pa.table({"weights": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
 
-    learned = rows.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "weights binary").collect()
+    sparse = rows.mapInArrow(vectors, "at long, y int, slots binary, values binary")
+    learned = sparse.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "weights binary").collect()
     return np.frombuffer(learned[0].weights, dtype=np.float32) if learned else np.zeros((1 << HASH_BITS) + 1, np.float32)
 
 
-def predict(docs: DataFrame, weights: np.ndarray, text_column: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """The columns in ``keep`` (all by default) of each row of ``docs``, with score and predicted."""
-    keep = docs.columns if keep is None else keep
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+def predict(docs: DataFrame, weights: np.ndarray, text_column: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns in ``keep`` (all by default) of each row of ``docs``, with score and predicted, which replace columns of their names."""
+    keep = passed(docs.columns if keep is None else keep, out)
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out[0], T.DoubleType()), T.StructField(out[1], T.IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, known = shared.value.astype(np.float64), workers.kept("quality", dict)
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             found = []
-            for text in batch["__text"].to_pylist():
+            for text in batch.column(len(keep)).to_pylist():
                 at, x = features(text, known)
                 found.append(sigmoid(float(w[at] @ x + w[-1])))
             kept = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.float64()), pa.array([int(s >= threshold) for s in found], pa.int32())], names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.float64()), pa.array([int(s >= threshold) for s in found], pa.int32())], names=[*keep, *out])
 
-    return docs.select(*[F.col(c) for c in keep], F.col(text_column).alias("__text")).mapInArrow(score, schema)
+    # The text is read by its place behind the kept columns, so no name of theirs can take its part.
+    return docs.select(*[F.col(c) for c in keep], F.col(text_column).alias(free_name(keep, "text"))).mapInArrow(score, schema)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most about ``sample_rows`` labelled documents; the sample is drawn from the narrow label table before any text is read."""
+    """About ``sample_rows`` labelled documents at most; the sample is drawn from the narrow label table before any text is read."""
     drawn = bounded_sample(labels.filter(~held_out() & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality"), "doc_id", sample_rows)
     return docs.select("doc_id", "text").join(drawn, "doc_id")
 
