@@ -7,17 +7,20 @@ the sum over *all* ways to cut the word into pieces, computed by a forward
 recursion.  Pieces never cross a word's end, so that product is exact and a
 word's value can be kept and used again.
 
-Learning uses at most ``SAMPLE_ROWS`` labelled rows (documented bound; all of
+Learning uses about ``SAMPLE_ROWS`` labelled rows (documented bound; all of
 them if there are fewer).  What comes to the driver is one number per piece and
 language, bounded by the vocabulary.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 with nothing to learn from, every text is ``und``; ties go to the language that
-sorts first; repeated rows get equal results; a null id is kept.
+sorts first; repeated rows get equal results; a null id is kept.  A word may have
+any length, in learning and in scoring: beyond ``BATCHED_LENGTH`` letters the
+sums are rescaled at every letter.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import Counter
@@ -26,12 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relata.llm import workers
-from relata.llm.common import bounded_sample, held_out, materialize, read_table, slices
+from relata.llm.common import free_name, held_out, materialize, passed, read_table, sampled, slices
 
 SAMPLE_ROWS = 20_000
 EM_STEPS = 2
@@ -39,6 +42,7 @@ SMOOTHING = 200.0
 UNKNOWN_CHAR = 1e-9
 MAX_PIECE = 16
 BATCHED_LENGTH = 40
+LETTER_FLOOR = 1e-3
 KEPT_BYTES = 48 << 20
 WORD_BYTES = 180
 WORD_MARK = "▁"
@@ -128,6 +132,33 @@ def log_likelihoods(words: list[str], segmenter: Segmenter, p: np.ndarray) -> np
     return out
 
 
+def expected_counts_long(word: str, segmenter: Segmenter, p: np.ndarray) -> dict[int, float]:
+    """Expected piece counts of one long word.
+
+    ``last[i][m]`` is the probability that the piece which ends at i has m
+    letters, given that one ends there; these shares add up to one at every
+    place, whatever the word's length, so nothing underflows on the way back.
+    """
+    get, unknown = segmenter.index.get, len(segmenter.index) + 1
+    last: list[list[tuple[int, int, float]]] = []
+    recent = [1.0]
+    for i in range(1, len(word) + 1):
+        options = [(1, get(word[i - 1 : i], unknown))]
+        options += [(m, k) for m in range(2, min(i, MAX_PIECE) + 1) if (k := get(word[i - m : i])) is not None]
+        shares = [(m, k, recent[-m] * float(p[k])) for m, k in options]
+        total = sum(x for _, _, x in shares)
+        last.append([(m, k, x / total) for m, k, x in shares])
+        recent = [r / total for r in recent[1 - MAX_PIECE :]] + [1.0]
+    ends = [0.0] * len(word) + [1.0]
+    counts: dict[int, float] = {}
+    for i in range(len(word), 0, -1):
+        for m, k, share in last[i - 1]:
+            x = ends[i] * share
+            ends[i - m] += x
+            counts[k] = counts.get(k, 0.0) + x
+    return counts
+
+
 def expected_counts(words: list[str], weights: np.ndarray, segmenter: Segmenter, p: np.ndarray) -> np.ndarray:
     """Expected piece counts of weighted words under one model, by forward and backward sums."""
     total = np.zeros(segmenter.size)
@@ -135,6 +166,9 @@ def expected_counts(words: list[str], weights: np.ndarray, segmenter: Segmenter,
     for k, w in enumerate(words):
         if len(w) < BATCHED_LENGTH:
             by_length.setdefault(len(w) + 1, []).append(k)
+        else:
+            for piece, n in expected_counts_long(WORD_MARK + w, segmenter, p).items():
+                total[piece] += weights[k] * n
     for length, members in by_length.items():
         ids = np.array([segmenter.cuts(WORD_MARK + words[k]) for k in members], dtype=np.int32).reshape(len(members), length, MAX_PIECE)
         alpha = forward(ids, p[:, None])[:, :, 0]
@@ -188,11 +222,12 @@ def _zipf(segmenter: Segmenter) -> np.ndarray:
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", vocabulary: str | None = None, sample_rows: int = SAMPLE_ROWS, em_steps: int = EM_STEPS) -> LanguageModel:
-    """Learn from the rows of ``docs`` that have a language and a text."""
+    """Learn from about ``sample_rows`` rows of ``docs`` that have a language."""
     pieces = load_pieces(vocabulary or default_vocabulary())
     segmenter = Segmenter({x: k for k, x in enumerate(pieces)})
-    labelled = docs.filter(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
-    sample = bounded_sample(labelled, "id", sample_rows)
+    labelled = docs.filter(F.col(lang_column).isNotNull())
+    # Counted by id and language alone; a null text that is drawn has no words and teaches nothing.
+    sample = labelled.filter(sampled(labelled.select(F.col(id_column).alias("id")), "id", sample_rows, id_column)).select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 12):
@@ -202,7 +237,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
                     counts[lang, w] += n
             yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in counts], "word": [k[1] for k in counts], "n": pa.array(list(counts.values()), pa.int64())})
 
-    counted = sample.select("text", "lang").mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     table = materialize(counted, "langid-words")
     weights = {r.lang: r.n for r in table.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(weights)
@@ -232,10 +267,11 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     return LanguageModel(languages, pieces, p, np.log(prior / prior.sum()) if languages else np.zeros(0))
 
 
-def predict(docs: DataFrame, model: LanguageModel, text_column: str = "text", keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns in ``keep`` (all by default) of each row of ``docs``, with the language and its posterior probability."""
-    keep = docs.columns if keep is None else keep
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
+def predict(docs: DataFrame, model: LanguageModel, text_column: str = "text", keep: list[str] | None = None, out: tuple[str, str, str] = ("lang_pred", "score", "letter_log")) -> DataFrame:
+    """The columns in ``keep`` (all by default) of each row of ``docs``, with the language, its posterior probability, and the
+    natural logarithm of the text's likelihood in it by letter (null if there is none).  These replace columns of their names."""
+    keep = passed(docs.columns if keep is None else keep, out)
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType()), T.StructField(out[2], T.DoubleType())])
     languages, prior = model.languages, model.log_prior
     pieces, p = model.pieces, np.ascontiguousarray(model.probabilities, dtype=np.float64)
     shared = docs.sparkSession.sparkContext.broadcast((pieces, p))
@@ -244,32 +280,38 @@ def predict(docs: DataFrame, model: LanguageModel, text_column: str = "text", ke
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = workers.kept(token, lambda: WordValues(*shared.value))
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             langs: list[str] = []
             scores: list[float] = []
-            texts = batch["__text" if "__text" in batch.schema.names else text_column].to_pylist()
-            for at in range(0, len(texts), 256):
-                rows = [words_of(t) for t in texts[at : at + 256]]
-                flat = [w for r in rows for w in r]
-                lengths = np.array([len(r) for r in rows])
-                sums = np.zeros((len(rows), len(languages)))
-                if flat and languages:
-                    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-                    sums[lengths > 0] = np.add.reduceat(known.of(flat), starts[lengths > 0], axis=0)
-                for row, total in zip(rows, sums):
-                    if not languages or not any(c.isalpha() for w in row for c in w):
-                        langs.append("und")
-                        scores.append(0.0)
-                        continue
-                    z = total + prior
-                    best = int(np.argmax(z))
-                    langs.append(languages[best])
-                    scores.append(float(1.0 / np.exp(z - z[best]).sum()))
+            by_letter: list[float | None] = []
+            rows = [words_of(t) for t in batch.column(len(keep)).to_pylist()]
+            flat = [w for r in rows for w in r]
+            lengths = np.array([len(r) for r in rows])
+            sums = np.zeros((len(rows), len(languages)))
+            if flat and languages:
+                starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+                sums[lengths > 0] = np.add.reduceat(known.of(flat), starts[lengths > 0], axis=0)
+            for row, total in zip(rows, sums):
+                if not languages or not any(c.isalpha() for w in row for c in w):
+                    langs.append("und")
+                    scores.append(0.0)
+                    by_letter.append(None)
+                    continue
+                z = total + prior
+                best = int(np.argmax(z))
+                langs.append(languages[best])
+                scores.append(float(1.0 / np.exp(z - z[best]).sum()))
+                by_letter.append(float(total[best]) / sum(map(len, row)))
             kept = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *out])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(by_letter, pa.float64())], names=[*keep, *out])
+
+    # The text is read by its place behind the kept columns, so no name of theirs can take its part.
+    return docs.select(*[F.col(c) for c in keep], F.col(text_column).alias(free_name(keep, "text"))).mapInArrow(score, schema)
+
 
-    given = [F.col(c) for c in keep] + ([] if text_column in keep else [F.col(text_column).alias("__text")])
-    return docs.select(*given).mapInArrow(score, schema)
+def known_language(by_letter: Column, floor: float = LETTER_FLOOR) -> Column:
+    """Whether a text is in a learned language at all: it is at least as likely there as letters drawn evenly from 1/floor."""
+    return F.coalesce(by_letter >= math.log(floor), F.lit(False))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
