@@ -22,10 +22,12 @@ gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +40,14 @@ from relata.llm.common import materialize, read_table, slices
 
 CAPACITY = 1024
 CLOSING_ID = 2
-CELL_ROWS = 1024
-SEARCH_STEPS = 5_000
+CELL_ROWS, CELLS_TOGETHER = 1024, 1024
 MAX_PLAN_BLOCKS = 1_000_000
-KEPT_UNITS, KEPT_MARKS = 400_000, 10_000
+KEPT_UNITS = 400_000
 SPACE_TOKEN = "Ġ"
-MARKS = ",.;:!?|*#&%$)"
+# Fixed value: the pattern by which byte-level vocabularies of this kind split a text.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+AT_EDGE, OTHER = re.compile(r" \s|\s "), re.compile(r"[^\x00-\u024F]")
+BATCH_CHARS = 1 << 19
 
 
 def default_tokenizer() -> str:
@@ -65,11 +69,13 @@ class UnitEncoder:
     The tokenizer's own pre-splitting never joins a single space and the
     characters after it with anything before, so the ids of a text are the ids
     of its units in a row as long as no unit is empty or begins or ends with
-    white space; texts with such units are encoded whole.  Nor does it join
-    letters and the marks that end a unit.  The unknown words of many texts are
-    merged in one call and told apart by the tokens that lead with a space; the
-    faster of the two public implementations of the merges does that, on the
-    vocabulary of the same file (tests hold both equal).
+    white space; texts with such units, and texts that hold one of the
+    tokenizer's added tokens, are encoded whole.  The unknown units of many
+    texts are encoded in one call and told apart by the tokens that lead with a
+    space.  The faster of two public implementations does that, on the
+    vocabulary of the same file, for characters up to U+024F, whose classes no
+    version of Unicode has changed; all else is the stated library's (tests
+    hold both equal).
     """
 
     def __init__(self, path: str):
@@ -77,16 +83,14 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.special = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
         to_byte = byte_of_character()
-        ranks = {bytes(map(to_byte.__getitem__, token)): k for token, k in vocabulary.items() if token not in special}
-        self.merges = tiktoken.Encoding("units", pat_str=r" ?\p{L}+", mergeable_ranks=ranks, special_tokens={})
+        ranks = {bytes(map(to_byte.__getitem__, token)): k for token, k in vocabulary.items() if token not in self.special}
+        self.plain = tiktoken.Encoding("units", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
         self.leads[[k for token, k in vocabulary.items() if token.startswith(SPACE_TOKEN)]] = True
         self.units: dict[str, bytes | None] = {}
-        self.marks: dict[str, bytes] = {"": b""}
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -94,57 +98,66 @@ class UnitEncoder:
     def whole(self, text: str) -> bytes:
         return self.ids(text).tobytes()
 
-    def _words(self, words: list[str]) -> None:
-        """Encode units of letters only."""
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            ids = np.array(self.merges.encode_ordinary(" " + " ".join(part)), dtype="<u4")
-            heads = np.nonzero(self.leads[ids])[0]
-            if len(heads) == len(part) and not heads[0]:
-                data, ends = ids.tobytes(), [*heads[1:].tolist(), len(ids)]
-                self.units.update((w, data[4 * a : 4 * b]) for w, a, b in zip(part, heads.tolist(), ends))
-            else:
-                self.units.update((w, self.whole(" " + w)) for w in part)
+    def short(self, text: str) -> bytes:
+        """A text without added tokens."""
+        return self.whole(text) if OTHER.search(text) else np.array(self.plain.encode_ordinary(text), dtype="<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
         """Encode unknown units; None stands for one whose text must be encoded whole."""
-        ended, words = [], set()
-        for u in new:
-            letters = u.rstrip(MARKS)
-            if letters.isalpha():
-                ended.append((u, letters, u[len(letters) :]))
-                if letters not in self.units:
-                    words.add(letters)
-            else:
-                self.units[u] = None if not u or u[0].isspace() or u[-1].isspace() else self.whole(" " + u)
-        self._words(list(words))
-        for u, letters, marks in ended:
-            if marks not in self.marks:
-                if len(self.marks) > KEPT_MARKS:
-                    self.marks = {"": b""}
-                self.marks[marks] = self.whole(marks)
-            self.units[u] = self.units[letters] + self.marks[marks]
+        joined = " " + " ".join(new)
+        if "" in new or AT_EDGE.search(joined) or new and new[-1][-1].isspace():
+            edged = [u for u in new if not u or u[0].isspace() or u[-1].isspace()]
+            self.units.update(dict.fromkeys(edged))
+            new = list(set(new).difference(edged))
+            joined = " " + " ".join(new)
+        if OTHER.search(joined):
+            other = [u for u in new if OTHER.search(u)]
+            self.units.update((u, self.whole(" " + u)) for u in other)
+            new = list(set(new).difference(other))
+            joined = " " + " ".join(new)
+        if not new:
+            return
+        ids = np.array(self.plain.encode_ordinary(joined), dtype="<u4")
+        heads = np.nonzero(self.leads[ids])[0]
+        if len(heads) != len(new) or heads[0]:
+            self.units.update((u, self.whole(" " + u)) for u in new)
+            return
+        data, at = ids.tobytes(), [*(4 * heads).tolist(), 4 * len(ids)]
+        self.units.update((u, data[a:b]) for u, a, b in zip(new, at, at[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.units) > KEPT_UNITS:  # what came early, and so often, stays
             for u in list(self.units)[KEPT_UNITS:]:
                 del self.units[u]
-        split = [t.split(" ") for t in texts]
-        unknown: set[str] = set()
-        for units in split:
-            unknown.update(units[1:])
-        self._learn([u for u in unknown if u not in self.units])
+        split: list[list[str] | None] = [None if any(map(t.__contains__, self.special)) else t.split(" ") for t in texts]
+        first = [units.pop(0) if units else "" for units in split]
+        unknown = set().union(*filter(None, split)).difference(self.units)
+        if unknown:
+            self._learn(list(unknown))
         out, get = [], self.units.__getitem__
-        for text, units in zip(texts, split):
+        for text, head, units in zip(texts, first, split):
             try:
-                if not units[0] or units[0][-1].isspace():
+                if units is None or not head or head[-1].isspace():
                     raise TypeError
-                out.append(self.whole(units[0]) + b"".join(map(get, units[1:])))
-            except TypeError:  # a unit is None
+                out.append(self.short(head) + b"".join(map(get, units)))
+            except TypeError:  # the text holds an added token, or a unit is None
                 out.append(self.whole(text))
         return out
 
 
+def by_size(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in groups of about BATCH_CHARS characters, or one longer text."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > BATCH_CHARS:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of each piece of n ids."""
     first = n % capacity or capacity
@@ -161,7 +174,7 @@ def token_pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             rows, piece, start, length, crc = [], [], [], [], []
             texts = batch.column(1).to_pylist()
-            for k, ids in enumerate(x for at in range(0, len(texts), 128) for x in units.encode([t or "" for t in texts[at : at + 128]])):
+            for k, ids in enumerate(x for part in by_size([t or "" for t in texts]) for x in units.encode(part)):
                 ids += tail
                 for p, (at, n) in enumerate(cut(len(ids) // 4, capacity)):
                     rows.append(k)
@@ -221,20 +234,31 @@ def best_fit(histogram: dict[int, int], capacity: int) -> dict[Content, int]:
     return {c: n for c, n in classes.items() if n and c}
 
 
-def _swaps(a: Content, b: Content) -> Iterator[tuple[Content, Content]]:
-    """What may go from a to b against what from b to a: one, one for one, two for one, one for two."""
-    ones_a, ones_b = sorted(set(a), reverse=True), sorted(set(b), reverse=True)
-    twos_a = sorted({(x, y) for i, x in enumerate(a) for y in a[i + 1 :]})
-    twos_b = sorted({(x, y) for i, x in enumerate(b) for y in b[i + 1 :]})
-    for x in ones_a:
-        yield (x,), ()
-        for y in ones_b:
-            yield (x,), (y,)
-        for two in twos_b:
-            yield (x,), two
-    for two in twos_a:
-        for y in ones_b:
-            yield two, (y,)
+@lru_cache(maxsize=1 << 16)
+def _choices(content: Content) -> tuple[np.ndarray, np.ndarray]:
+    """One piece, and two pieces, that a bin can give: rows of lengths, each choice once, by their sum."""
+    counts = Counter(content)
+    ones = sorted(counts)
+    twos = sorted(((x, y) for k, x in enumerate(ones) for y in ones[k:] if x != y or counts[x] > 1), key=sum)
+    return np.array([(x, 0) for x in ones], dtype=np.int64), np.array(twos, dtype=np.int64).reshape(-1, 2)
+
+
+def _best_swap(source: Content, target: Content, room: int) -> tuple[int, Content, Content] | None:
+    """(gain, out, back) of the exchange that fills the target most: one piece for none, one or two, or two for one."""
+    best: tuple[int, Content, Content] | None = None
+    ones, twos = _choices(source)
+    own, pairs = _choices(target)
+    nothing = np.zeros((1, 2), np.int64)
+    for outs, backs in ((ones, nothing), (ones, own), (twos, own), (ones, pairs)):
+        if not len(outs) or not len(backs):
+            continue
+        given, taken = outs.sum(axis=1), backs.sum(axis=1)
+        at = np.searchsorted(given, taken + room, side="right") - 1
+        gains = np.where(at >= 0, given[at] - taken, 0)
+        k = int(gains.argmax())
+        if gains[k] > 0 and (best is None or gains[k] > best[0]):
+            best = int(gains[k]), tuple(int(x) for x in outs[at[k]] if x), tuple(int(x) for x in backs[k] if x)
+    return best
 
 
 def _replace(content: Content, out: Content, into: Content) -> Content:
@@ -244,50 +268,54 @@ def _replace(content: Content, out: Content, into: Content) -> Content:
     return tuple(sorted([*items, *into], reverse=True))
 
 
-def local_search(classes: dict[Content, int], capacity: int, steps: int = SEARCH_STEPS) -> dict[Content, int]:
-    """Empty bins by exchanges that increase the sum of squared fills; stops at the least possible number of bins."""
+def local_search(classes: dict[Content, int], capacity: int) -> dict[Content, int]:
+    """Empty bins by exchanges that increase the sum of squared fills, from the emptiest bins on; stops at the least possible number of bins, or when nothing helps.
+
+    A class that found no exchange is tried again only with classes that came later.
+    """
     classes = dict(classes)
     least = -(-sum(sum(c) * n for c, n in classes.items()) // capacity)
-    stuck: set[Content] = set()
+    born, tried, now = dict.fromkeys(classes, 0), {}, 1
+    total = sum(classes.values())
 
     def add(content: Content, n: int) -> None:
-        if content and n:
-            classes[content] = classes.get(content, 0) + n
-        if content in classes and classes[content] <= 0:
+        nonlocal total
+        if not content:
+            return
+        total += n
+        classes[content] = classes.get(content, 0) + n
+        if n > 0 and (classes[content] == n or classes[content] < 2 * n):
+            born[content] = now
+        if classes[content] <= 0:
             del classes[content]
 
-    for _ in range(steps):
-        if sum(classes.values()) <= least:
-            break
+    while total > least:
         underfull = sorted((c for c in classes if sum(c) < capacity), key=lambda c: (sum(c), c))
-        source = next((c for c in underfull if c not in stuck), None)
-        if source is None:
-            break
-        fill, best = sum(source), None
-        for target in reversed(underfull):
-            if target == source and classes[source] < 2:
-                continue
-            room = capacity - sum(target)
-            if best and best[0] == capacity:
+        newest = max((born[c] for c in underfull), default=0)
+        best = source = None
+        for source in (c for c in underfull if tried.get(c, -1) < newest):
+            fill, since = sum(source), tried.get(source, -1)
+            for target in reversed(underfull):
+                if sum(target) < fill:
+                    break
+                if max(born[target], born[source]) <= since or target == source and classes[source] < 2:
+                    continue
+                found = _best_swap(source, target, capacity - sum(target))
+                if found and (best is None or (sum(target) + found[0], found[0]) > best[:2]):
+                    best = (sum(target) + found[0], found[0], target, *found[1:])
+                    if best[0] == capacity:
+                        break
+            if best:
                 break
-            if len(source) * len(source) * max(1, len(target)) > 40_000:
-                continue
-            for out, back in _swaps(source, target):
-                gain = sum(out) - sum(back)
-                if 0 < gain <= room and sum(target) + gain > fill and (best is None or (sum(target) + gain, gain) > best[:2]):
-                    best = (sum(target) + gain, gain, target, out, back)
+            tried[source] = now
         if best is None:
-            stuck.add(source)
-            continue
+            break
         _, _, target, out, back = best
         n = classes[source] // 2 if target == source else min(classes[source], classes[target])
-        spare = sum(classes.values()) - least
-        n = max(1, min(n, spare * max(1, len(source))))
-        add(source, -n)
-        add(target, -n)
-        add(_replace(source, out, back), n)
-        add(_replace(target, back, out), n)
-        stuck.clear()
+        n = max(1, min(n, (total - least) * len(source)))
+        now += 1
+        for content, change in ((source, -n), (target, -n), (_replace(source, out, back), n), (_replace(target, back, out), n)):
+            add(content, change)
     return classes
 
 
@@ -309,14 +337,19 @@ def plan_blocks(classes: dict[Content, int]) -> np.ndarray:
 
 
 def number_within_length(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
-    """Adds rank: 0, 1, ... within each length."""
+    """Adds rank: 0, 1, ... within each length.  Rows are dealt to cells by their place in the stored table, so rows that repeat are spread too."""
     longest = max(histogram, default=0)
     cells = F.lit([max(1, -(-histogram.get(n, 0) // CELL_ROWS)) for n in range(longest + 1)])
-    celled = pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(cells, F.col("length").cast("int"))))
-    sizes = celled.groupBy("length", "cell").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))).select("length", "cell", F.coalesce("before", F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
-    return celled.withColumn("own", own).join(before, ["length", "cell"]).withColumn("rank", F.col("before") + F.col("own")).drop("cell", "own", "before")
+    celled = pieces.withColumn("place", F.monotonically_increasing_id()).withColumn("cell", F.pmod(F.xxhash64("place"), F.get(cells, F.col("length").cast("int"))))
+    sizes = celled.groupBy("length", "cell").agg(F.count("*").alias("n")).withColumn("many", F.floor(F.col("cell") / CELLS_TOGETHER))
+    earlier = (Window.unboundedPreceding, -1)
+    # Cells are numbered in groups, and the groups then, so no task sees all cells of a length.
+    groups = sizes.groupBy("length", "many").agg(F.sum("n").alias("n"))
+    shifts = groups.select("length", "many", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("many").rowsBetween(*earlier)), F.lit(0)).alias("shift"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("length", "many").orderBy("cell").rowsBetween(*earlier)), F.lit(0))
+    before = sizes.withColumn("inside", inside).join(shifts, ["length", "many"]).select("length", "cell", (F.col("shift") + F.col("inside")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("length", "cell").orderBy("place")) - 1
+    return celled.withColumn("own", own).join(before, ["length", "cell"]).withColumn("rank", F.col("before") + F.col("own")).drop("cell", "own", "before", "place")
 
 
 def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, closing_id: int = CLOSING_ID) -> DataFrame:
