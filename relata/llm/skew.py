@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS, HOT_SHARE = 512, 10_000
+HOT_ROWS, HOT_SHARE = 64, 10_000
 
 
 def hot_bound(total: int) -> int:
