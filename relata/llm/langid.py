@@ -43,7 +43,7 @@ UNKNOWN_CHAR = 1e-9
 MAX_PIECE = 16
 BATCHED_LENGTH = 40
 LETTER_FLOOR = 1e-3
-KEPT_BYTES = 48 << 20
+KEPT_BYTES = 64 << 20
 WORD_BYTES = 180
 WORD_MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -67,26 +67,77 @@ def words_of(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
 
-@dataclass
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_SLOT_BITS = 18
+
+
 class Segmenter:
-    """Piece ids of every cut of a word.  Two ids follow the pieces': no piece, and a single unknown character."""
+    """Piece ids of every cut of a word.  Two ids follow the pieces': no piece, and a single unknown character.
+
+    Cuts of many words at once are looked up by 64-bit hashes.  The pieces'
+    hashes all differ (checked); those whose slot in a table is taken go to the
+    next table, so a lookup goes on only from a slot that holds another piece.
+    """
 
-    index: dict[str, int]
+    def __init__(self, index: dict[str, int]):
+        self.index = index
+        self.longest = min(MAX_PIECE, max(map(len, index), default=1))
+        usable = [x for x in index if len(x) <= MAX_PIECE]
+        self.hashes = np.zeros(self.size, np.uint64)
+        for n in {len(x) for x in usable}:
+            same = [x for x in usable if len(x) == n]
+            self.hashes[[index[x] for x in same]] = self._rolled(self._characters(same, n), n)[-1][:, 0]
+        left = np.array([index[x] for x in usable], dtype=np.int64)
+        if len(np.unique(self.hashes[left])) != len(left):
+            raise ValueError("two pieces have one hash")
+        self.tables: list[np.ndarray] = []
+        while len(left):
+            table = np.full(1 << _SLOT_BITS, -1, np.int32)
+            slots = self._slots(self.hashes[left], len(self.tables))
+            table[slots[::-1]] = left[::-1]
+            self.tables.append(table)
+            left = left[table[slots] != left]
 
     @property
     def size(self) -> int:
         return len(self.index) + 2
 
-    def cuts(self, word: str) -> list[int]:
-        """Ids of word[i-m:i] for i from 1 and m from 1 to MAX_PIECE, row by row."""
-        get, none, n = self.index.get, len(self.index), len(word)
-        out = []
-        for i in range(1, n + 1):
-            out.append(get(word[i - 1 : i], none + 1))
-            out += [get(word[i - m : i], none) for m in range(2, min(i, MAX_PIECE) + 1)]
-            out += [none] * (MAX_PIECE - min(i, MAX_PIECE))
+    @staticmethod
+    def _characters(words: list[str], n: int) -> np.ndarray:
+        return np.array(words, dtype=f"<U{n}").view(np.uint32).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
+
+    @staticmethod
+    def _rolled(characters: np.ndarray, longest: int) -> list[np.ndarray]:
+        """For m from 1: hashes of the m characters from each place on."""
+        out = [characters * _MIX]
+        for m in range(2, min(longest, characters.shape[1]) + 1):
+            x = (out[-1][:, :-1] + characters[:, m - 1 :]) * _BASE
+            out.append(x ^ (x >> np.uint64(29)))
         return out
 
+    @staticmethod
+    def _slots(hashes: np.ndarray, table: int) -> np.ndarray:
+        return ((hashes * (_MIX + np.uint64(2 * table))) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+    def cuts(self, words: list[str]) -> np.ndarray:
+        """(words, length, MAX_PIECE): for words of one length, the id of word[i-m:i] at [i-1, m-1]."""
+        n, none = len(words[0]), len(self.index)
+        ids = np.full((len(words), n, MAX_PIECE), none, np.int32)
+        for m, hashes in enumerate(self._rolled(self._characters(words, n), self.longest), 1):
+            flat = hashes.reshape(-1)
+            found = self.tables[0][self._slots(flat, 0)] if self.tables else np.full(len(flat), -1, np.int32)
+            held = np.nonzero(found >= 0)[0]
+            wrong = held[self.hashes[found[held]] != flat[held]]
+            for k in range(1, len(self.tables)):
+                if not len(wrong):
+                    break
+                found[wrong] = self.tables[k][self._slots(flat[wrong], k)]
+                wrong = wrong[found[wrong] >= 0]
+                wrong = wrong[self.hashes[found[wrong]] != flat[wrong]]
+            found[wrong] = -1
+            ids[:, m - 1 :, m - 1] = np.where(found < 0, none + 1 if m == 1 else none, found).reshape(len(words), n - m + 1)
+        return ids
+
 
 def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Prefix sums of all segmentations. ids: (words, length, MAX_PIECE); p: (pieces, models). Result: (length + 1, words, models)."""
@@ -127,7 +178,7 @@ def log_likelihoods(words: list[str], segmenter: Segmenter, p: np.ndarray) -> np
             continue
         for at in range(0, len(members), 4096):
             part = members[at : at + 4096]
-            ids = np.array([segmenter.cuts(WORD_MARK + words[k]) for k in part], dtype=np.int32).reshape(len(part), length, MAX_PIECE)
+            ids = segmenter.cuts([WORD_MARK + words[k] for k in part])
             out[part] = np.log(forward(ids, p)[-1])
     return out
 
@@ -170,15 +221,17 @@ def expected_counts(words: list[str], weights: np.ndarray, segmenter: Segmenter,
             for piece, n in expected_counts_long(WORD_MARK + w, segmenter, p).items():
                 total[piece] += weights[k] * n
     for length, members in by_length.items():
-        ids = np.array([segmenter.cuts(WORD_MARK + words[k]) for k in members], dtype=np.int32).reshape(len(members), length, MAX_PIECE)
-        alpha = forward(ids, p[:, None])[:, :, 0]
-        beta = np.zeros((length + 1, len(members)))
-        beta[length] = weights[members] / alpha[length]
-        for i in range(length, 0, -1):
-            for m in range(1, min(i, MAX_PIECE) + 1):
-                share = p[ids[:, i - 1, m - 1]] * beta[i]
-                beta[i - m] += share
-                total += np.bincount(ids[:, i - 1, m - 1], weights=share * alpha[i - m], minlength=segmenter.size)
+        for at in range(0, len(members), 4096):
+            part = members[at : at + 4096]
+            ids = segmenter.cuts([WORD_MARK + words[k] for k in part])
+            alpha = forward(ids, p[:, None])[:, :, 0]
+            beta = np.zeros((length + 1, len(part)))
+            beta[length] = weights[part] / alpha[length]
+            for i in range(length, 0, -1):
+                for m in range(1, min(i, segmenter.longest) + 1):
+                    share = p[ids[:, i - 1, m - 1]] * beta[i]
+                    beta[i - m] += share
+                    total += np.bincount(ids[:, i - 1, m - 1], weights=share * alpha[i - m], minlength=segmenter.size)
     return total
 
 
