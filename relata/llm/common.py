@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,9 +55,21 @@ def free_name(columns: list[str], base: str) -> str:
     return base
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that few of them are Python values at a time; frees what another operator kept."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, column: int | None = None, most: int = 0) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few of them are Python values at a time; frees what another operator kept.
+
+    ``column``: a binary column of which a batch holds about ``most`` bytes, or one longer value.
+    """
     workers.release()
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        sizes = [] if column is None else [x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()]
+        at = 0
+        while at < batch.num_rows:
+            end = min(at + rows, batch.num_rows)
+            if column is not None:
+                held, stop = sizes[at], at + 1
+                while stop < end and held + sizes[stop] <= most:
+                    held, stop = held + sizes[stop], stop + 1
+                end = stop
+            yield batch.slice(at, end - at)
+            at = end

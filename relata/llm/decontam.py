@@ -37,6 +37,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,8 @@ MIN_IDF = 1.5
 MIN_OVERLAP, MIN_PARAPHRASE, ANSWER_WORDS = 0.8, 0.5, 8
 KEEP_WORDS, FLOOR_IDF = 4, 0.1
 GRAM = ANSWER_WORDS
-MAX_VOCABULARY = 1_000_000
+BLOCK_BYTES, SUM_BYTES, SLICE_BYTES, TABLE_BYTES = 4 << 20, 64 << 20, 4 << 20, 32 << 20
+CHUNK = 32
 ROW_BLOCK = 256
 MARKS = b".,;:!?\"()[]*#&%$|"
 TO_SPACES = bytes.maketrans(MARKS, b" " * len(MARKS))
@@ -74,7 +76,15 @@ class Benchmark:
     vocabulary: dict[bytes, int]
 
 
+def item_blocks(benchmark: DataFrame, text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
+    """The items, dealt by a hash to blocks of about ``block_bytes`` of text; a vocabulary, and all that is broadcast, is one block's."""
+    n = benchmark.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+    blocks = max(1, -(-n // block_bytes))
+    return [benchmark.filter(F.pmod(F.xxhash64(text_column), F.lit(blocks)) == k) for k in range(blocks)] if blocks > 1 else [benchmark]
+
+
 def load_benchmark(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text") -> Benchmark:
+    """One block of items, on the driver."""
     rows = [(r[0], r[1]) for r in benchmark.filter(F.col(text_column).isNotNull()).select(id_column, text_column).distinct().toLocalIterator()]
     vocabulary: dict[bytes, int] = {}
     items, ids = [], []
@@ -83,8 +93,6 @@ def load_benchmark(benchmark: DataFrame, id_column: str = "item_id", text_column
         if words:
             items.append(item)
             ids.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], dtype=np.int32))
-    if len(vocabulary) > MAX_VOCABULARY:
-        raise ValueError(f"a benchmark vocabulary of {len(vocabulary)} words is too large to broadcast")
     return Benchmark(items, ids, vocabulary)
 
 
@@ -145,6 +153,31 @@ def _row_blocks(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([p.astype(np.float32).tobytes() for _, p in parts], pa.binary())], names=["block", "data"])
 
 
+def segment_sums(matrix: np.ndarray, rows: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Sums of ``matrix[rows]`` over the segments that begin at ``heads`` (ascending, none empty).
+
+    Segments are cut into chunks of at most CHUNK rows, the longest first; the
+    k-th rows of all chunks are added at once.
+    """
+    ends = np.append(heads[1:], len(rows))
+    pieces = -(-(ends - heads) // CHUNK)
+    starts = np.repeat(heads, pieces) + CHUNK * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    sizes = np.minimum(CHUNK, np.repeat(ends, pieces) - starts)
+    order = np.argsort(-sizes.astype(np.int16), kind="stable")
+    starts, held = starts[order], np.searchsorted(-sizes[order], -np.arange(CHUNK), side="left")
+    sums = matrix[rows[starts]]
+    for k in range(1, int(sizes.max())):
+        n = held[k]
+        sums[:n] += matrix[rows[starts[:n] + k]]
+    if len(starts) == len(heads):
+        out = np.empty_like(sums)
+        out[order] = sums
+        return out
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return np.add.reduceat(sums[back], np.cumsum(pieces) - pieces, axis=0)
+
+
 def _weighted(words: np.ndarray, block: np.ndarray, matrix: np.ndarray, n: int) -> np.ndarray:
     """Sums of a matrix's rows over the words of each passage: (passages, columns). Blocks ascend."""
     out = np.zeros((n, matrix.shape[1]), np.float32)
@@ -152,7 +185,7 @@ def _weighted(words: np.ndarray, block: np.ndarray, matrix: np.ndarray, n: int)
     for at in range(0, len(words), step):
         w, b = words[at : at + step], block[at : at + step]
         heads = np.concatenate([[0], np.nonzero(np.diff(b))[0] + 1])
-        out[b[heads]] += np.add.reduceat(matrix[w], heads, axis=0)
+        out[b[heads]] += segment_sums(matrix, w, heads)
     return out
 
 
@@ -170,7 +203,7 @@ def latent_space(encoded: DataFrame, bench: Benchmark, rank: int = RANK, oversam
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, 1))
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, 2048, 0, SLICE_BYTES):
             ids, lengths = _decode(batch, small, 0)
             words, block, _ = _passages(ids, lengths, everything, PASSAGE)
             order = _by_word(words, size)
@@ -195,7 +228,7 @@ def latent_space(encoded: DataFrame, bench: Benchmark, rank: int = RANK, oversam
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             idf, keep, matrix = shared.value
             total = np.zeros((size, matrix.shape[1]))
-            for batch in slices(batches, 2048):
+            for batch in slices(batches, 2048, 0, SLICE_BYTES):
                 ids, lengths = _decode(batch, small, 0)
                 words, block, first = _passages(ids, lengths, keep, PASSAGE)
                 _add_gram(total, words, block, idf, matrix, int(first[-1]))
@@ -206,7 +239,9 @@ def latent_space(encoded: DataFrame, bench: Benchmark, rank: int = RANK, oversam
     own = np.zeros((size, columns))
     words, block, n = _query_words(bench, keep)
     _add_gram(own, words, block, idf, omega, n)
-    z = gram(omega)
+    # A task's sums take SUM_BYTES at most; a larger vocabulary is worked on some columns at a time.
+    together = max(1, SUM_BYTES // (8 * size))
+    z = np.concatenate([gram(omega[:, k : k + together]) for k in range(0, columns, together)], axis=1)
     # The benchmark's rows weigh as much as the corpus's, so the space spans what is looked for.
     z += own * (np.linalg.norm(z) / max(np.linalg.norm(own), 1e-9))
     basis, singular, _ = np.linalg.svd(z, full_matrices=False)
@@ -271,7 +306,7 @@ def _add_gram(total: np.ndarray, words: np.ndarray, block: np.ndarray, idf: np.n
         part = order[at : at + step]
         w = words[part]
         heads = np.concatenate([[0], np.nonzero(np.diff(w))[0] + 1])
-        total[w[heads]] += np.add.reduceat(projected[block[part]], heads, axis=0) * idf[w[heads], None]
+        total[w[heads]] += segment_sums(projected, block[part], heads) * idf[w[heads], None]
 
 
 def _by_word(words: np.ndarray, size: int) -> np.ndarray:
@@ -303,16 +338,43 @@ def common_subsequence(where: dict[int, int], length: int, text: list[int]) -> i
     return length - row.bit_count()
 
 
-def common_subsequences(where: dict[int, int], length: int, texts: np.ndarray, size: int) -> np.ndarray:
-    """``common_subsequence`` of an item of at most 64 words and each row of ``texts``; words are below ``size``, -1 stands for all others."""
-    table = np.zeros(size + 1, np.uint64)
-    table[list(where)] = np.array(list(where.values()), np.uint64)
-    full = np.uint64((1 << length) - 1)
-    row = np.full(len(texts), full)
-    for words in np.ascontiguousarray(texts.T):
-        both = row & table[words]
-        row = ((row + both) | (row - both)) & full
-    return length - np.bitwise_count(row).astype(np.int64)
+def common_subsequences(items: list[dict[int, int]], lengths: np.ndarray, which: np.ndarray, texts: np.ndarray, size: int) -> np.ndarray:
+    """``common_subsequence`` of items of at most 64 words and texts, row by row.
+
+    items: the places of each item's words; lengths: of the items; which: the
+    item of each row of ``texts``, whose words are below ``size``, with -1 for
+    all others.
+    """
+    table = np.zeros((len(items), size + 1), np.uint64)
+    for k, where in enumerate(items):
+        table[k, list(where)] = np.array(list(where.values()), np.uint64)
+    full = np.array([(1 << int(n)) - 1 for n in lengths], np.uint64)[which]
+    row, flat = full.copy(), table.reshape(-1)
+    at = np.ascontiguousarray(np.where(texts < 0, size, texts).T) + which * (size + 1)
+    for places in at:
+        both = row & flat[places]
+        # Sums may run over an item's last place; what lies beyond never comes back.
+        over = row + both
+        row -= both
+        row |= over
+    return lengths[which] - np.bitwise_count(row & full).astype(np.int64)
+
+
+def _groups(of_item: np.ndarray, size: np.ndarray, items: int) -> Iterator[tuple[int, int]]:
+    """Ranges of candidates, which are in order of their items: at most 4096 of ``items`` short items, or some of one long item."""
+    edges = np.concatenate([[0], np.nonzero(np.diff(of_item))[0] + 1, [len(of_item)]]).tolist() if len(of_item) else []
+    start, held = 0, 0
+    for x, z in zip(edges[:-1], edges[1:]):
+        long = size[x] > 64
+        if start < x and (long or held == items or z - start > 4096):
+            yield start, x
+            start, held = x, 0
+        held += 1
+        while z - start > 4096 or long and start < z:
+            yield start, min(z, start + 4096)
+            start, held = min(z, start + 4096), 1
+    if edges and start < edges[-1]:
+        yield start, edges[-1]
 
 
 def _contains(text: np.ndarray, part: np.ndarray) -> bool:
@@ -322,7 +384,15 @@ def _contains(text: np.ndarray, part: np.ndarray) -> bool:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", rank: int = RANK) -> DataFrame:
-    """One row per document and benchmark item found in it: doc_id, item_id, cosine, overlap, has_answer."""
+    """One row per document and benchmark item found in it: doc_id, item_id, cosine, overlap, has_answer.
+
+    A benchmark of more than ``BLOCK_BYTES`` is searched for in blocks, each in all rows.
+    """
+    parts = [_find_block(docs, block, id_column, text_column, item_column, item_text_column, rank) for block in item_blocks(benchmark, item_text_column)]
+    return reduce(DataFrame.union, parts)
+
+
+def _find_block(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: str, item_column: str, item_text_column: str, rank: int) -> DataFrame:
     bench = load_benchmark(benchmark, item_column, item_text_column)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_column].dataType), T.StructField("item_id", benchmark.schema[item_column].dataType), T.StructField("cosine", T.DoubleType()), T.StructField("overlap", T.DoubleType()), T.StructField("has_answer", T.BooleanType())])
     if not bench.items:
@@ -345,7 +415,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
         places = [_places(x) for x in item_ids]
         own_queries = np.searchsorted(owner, np.arange(len(item_ids) + 1))
         short = np.nonzero(np.array([len(x) for x in item_ids])[owner] <= STRIDE)[0]
-        for part in slices(batches, 1024):
+        for part in slices(batches, 1024, 1, SLICE_BYTES):
             ids, lengths = _decode(part, small, 1)
             starts = np.concatenate([[0], np.cumsum(lengths)])
             words, block, first = _passages(ids, lengths, keep, STRIDE)
@@ -364,10 +434,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
             found = [(keys, np.array([(queries[own_queries[k % len(items)] : own_queries[k % len(items) + 1]] @ windows[k // len(items)]).max() for k in keys.tolist()], np.float32))]
             halves /= np.maximum(np.linalg.norm(halves, axis=1), 1e-9)[:, None]
             for vectors, chosen in ((windows, np.arange(len(queries))), (halves, short)):
-                for q in range(0, len(chosen), 4096):
-                    cosines = vectors @ queries[chosen[q : q + 4096]].T
-                    where, which = np.nonzero(cosines >= MIN_COSINE)
-                    found.append((where * len(items) + owner[chosen[q + which]], cosines[where, which]))
+                for q in range(0, len(chosen), 2048):
+                    for w in range(0, len(vectors), 8192):
+                        cosines = vectors[w : w + 8192] @ queries[chosen[q : q + 2048]].T
+                        where, which = np.nonzero(cosines >= MIN_COSINE)
+                        found.append(((w + where) * len(items) + owner[chosen[q + which]], cosines[where, which]))
             keys, cosines = (np.concatenate(x) for x in zip(*found))
             order = np.lexsort((cosines, keys))
             order = order[np.append(np.diff(keys[order]) > 0, True)[: len(order)]]
@@ -378,22 +449,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
             begin = starts[doc] + (window - first[doc]) * STRIDE
             size = np.array([len(x) for x in item_ids])[of_item]
             low, high = np.maximum(starts[doc], begin - size), np.minimum(starts[doc + 1], begin + PASSAGE + size)
-            edges = np.concatenate([[0], np.nonzero(np.diff(of_item))[0] + 1, [len(of_item)]])
-            for a, z in ((a, min(a + 4096, z)) for x, z in zip(edges[:-1].tolist(), edges[1:].tolist()) for a in range(x, z, 4096)):
-                one = int(of_item[a])
-                item = item_ids[one]
-                if len(item) <= 64:
-                    at = low[a:z, None] + np.arange(PASSAGE + 2 * len(item))
-                    texts = np.where(at < high[a:z, None], ids[np.minimum(at, len(ids) - 1)], -1)
-                    common = common_subsequences(places[one], len(item), texts, n_words)
+            common, padded = np.zeros(len(of_item), np.int64), np.append(ids, -1)
+            for a, z in _groups(of_item, size, max(1, TABLE_BYTES // (8 * n_words + 8))):
+                if size[a] <= 64:
+                    own, which = np.unique(of_item[a:z], return_inverse=True)
+                    width = PASSAGE + 2 * int(size[a:z].max())
+                    at = low[a:z, None] + np.arange(width)
+                    texts = padded[np.where(at < high[a:z, None], at, len(ids))]
+                    common[a:z] = common_subsequences([places[k] for k in own], np.array([len(item_ids[k]) for k in own]), which, texts, n_words)
                 else:
-                    common = np.array([common_subsequence(places[one], len(item), ids[i:j].tolist()) for i, j in zip(low[a:z], high[a:z])])
-                for k in np.nonzero(common >= MIN_PARAPHRASE * len(item))[0].tolist():
-                    overlap = int(common[k]) / len(item)
-                    answer = _contains(ids[low[a + k] : high[a + k]], item[-ANSWER_WORDS:])
-                    if overlap >= MIN_OVERLAP or answer:
-                        pair, now = (int(doc[a + k]), one), (float(cosines[a + k]), overlap, answer)
-                        best[pair] = max(best.get(pair, now), now, key=lambda x: (x[1], x[2], x[0]))
+                    one = int(of_item[a])
+                    common[a:z] = [common_subsequence(places[one], len(item_ids[one]), ids[i:j].tolist()) for i, j in zip(low[a:z], high[a:z])]
+            for k in np.nonzero(common >= MIN_PARAPHRASE * size)[0].tolist():
+                one = int(of_item[k])
+                item = item_ids[one]
+                overlap = int(common[k]) / len(item)
+                answer = _contains(ids[low[k] : high[k]], item[-ANSWER_WORDS:])
+                if overlap >= MIN_OVERLAP or answer:
+                    pair, now = (int(doc[k]), one), (float(cosines[k]), overlap, answer)
+                    best[pair] = max(best.get(pair, now), now, key=lambda x: (x[1], x[2], x[0]))
             pairs = sorted(best)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([d for d, _ in pairs], pa.int64())), pa.array([items[k] for _, k in pairs], item_type), *(pa.array([best[p][c] for p in pairs], t) for c, t in enumerate((pa.float64(), pa.float64(), pa.bool_())))], names=["doc_id", "item_id", "cosine", "overlap", "has_answer"])
 
