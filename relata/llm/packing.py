@@ -42,7 +42,8 @@ CAPACITY = 1024
 CLOSING_ID = 2
 CELL_ROWS, CELLS_TOGETHER = 1024, 1024
 MAX_PLAN_BLOCKS = 1_000_000
-KEPT_UNITS = 400_000
+KEPT_UNITS, NEW_UNITS = 300_000, 100_000
+WHOLE = b""
 SPACE_TOKEN = "Ġ"
 # Fixed value: the pattern by which byte-level vocabularies of this kind split a text.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -90,7 +91,7 @@ class UnitEncoder:
         self.plain = tiktoken.Encoding("units", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
         self.leads[[k for token, k in vocabulary.items() if token.startswith(SPACE_TOKEN)]] = True
-        self.units: dict[str, bytes | None] = {}
+        self.units: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -103,11 +104,11 @@ class UnitEncoder:
         return self.whole(text) if OTHER.search(text) else np.array(self.plain.encode_ordinary(text), dtype="<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        """Encode unknown units; None stands for one whose text must be encoded whole."""
+        """Encode unknown units; WHOLE stands for one whose text must be encoded whole."""
         joined = " " + " ".join(new)
         if "" in new or AT_EDGE.search(joined) or new and new[-1][-1].isspace():
             edged = [u for u in new if not u or u[0].isspace() or u[-1].isspace()]
-            self.units.update(dict.fromkeys(edged))
+            self.units.update(dict.fromkeys(edged, WHOLE))
             new = list(set(new).difference(edged))
             joined = " " + " ".join(new)
         if OTHER.search(joined):
@@ -126,22 +127,24 @@ class UnitEncoder:
         self.units.update((u, data[a:b]) for u, a, b in zip(new, at, at[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.units) > KEPT_UNITS:  # what came early, and so often, stays
+        if len(self.units) > KEPT_UNITS + NEW_UNITS:  # what came early, and so often, stays
             for u in list(self.units)[KEPT_UNITS:]:
                 del self.units[u]
+        get = self.units.get
         split: list[list[str] | None] = [None if any(map(t.__contains__, self.special)) else t.split(" ") for t in texts]
         first = [units.pop(0) if units else "" for units in split]
-        unknown = set().union(*filter(None, split)).difference(self.units)
+        known = [list(map(get, units)) if units else [] for units in split]
+        unknown = {u for units, own in zip(split, known) if None in own for u, x in zip(units, own) if x is None}
         if unknown:
             self._learn(list(unknown))
-        out, get = [], self.units.__getitem__
-        for text, head, units in zip(texts, first, split):
-            try:
-                if units is None or not head or head[-1].isspace():
-                    raise TypeError
-                out.append(self.short(head) + b"".join(map(get, units)))
-            except TypeError:  # the text holds an added token, or a unit is None
+        out = []
+        for text, head, units, own in zip(texts, first, split, known):
+            if None in own:
+                own = [get(u) if x is None else x for u, x in zip(units, own)]
+            if units is None or not head or head[-1].isspace() or WHOLE in own:
                 out.append(self.whole(text))
+            else:
+                out.append(self.short(head) + b"".join(own))
         return out
 
 
