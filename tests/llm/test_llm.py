@@ -51,8 +51,8 @@ def test_empty_odd_and_repeated_rows(spark, texts):
     df = docs(spark, texts, score=1.0, lang_pred="x", h1=1, bytes="b", fp=3, label="l", rank=1)
     model = langid.fit(df)
     n = len(texts)
-    assert langid.predict(df.drop("lang_pred", "score"), model).count() == n
-    assert quality.predict(df.drop("score"), np.zeros((1 << quality.HASH_BITS) + 1, np.float32)).count() == n
+    assert langid.predict(df, model).count() == n
+    assert quality.predict(df, np.zeros((1 << quality.HASH_BITS) + 1, np.float32)).count() == n
     assert simhash.near_duplicates(df).count() == n
     assert licenses.scan_licenses(df).count() == n
     assert media.media_columns(df).count() == n
@@ -97,6 +97,74 @@ def test_forward_sums_all_segmentations():
         assert np.exp(langid.log_forward_long("▁" + w, s, p)[0]) == pytest.approx(brute("▁" + w))
 
 
+def test_cuts_equal_lookups():
+    rng = random.Random(11)
+    pieces = list({"".join(rng.choices("abcdéß語", k=rng.randrange(1, 18))) for _ in range(3000)})
+    s = langid.Segmenter({x: k for k, x in enumerate(pieces)})
+    for n in (1, 2, 9, 30):
+        some = ["".join(rng.choices("abcdéß語x", k=n)) for _ in range(50)]
+        got = s.cuts(some)
+        for w, own in zip(some, got):
+            for i in range(1, n + 1):
+                for m in range(1, langid.MAX_PIECE + 1):
+                    expected = s.index.get(w[i - m : i], len(pieces) + (m == 1)) if m <= i else len(pieces)
+                    assert own[i - 1, m - 1] == expected
+
+
+def test_words_of_any_length_are_learned_from(spark):
+    pieces = ["▁a", "▁", "a", "b", "ab", "▁ab", "bab", "aba"]
+    s = langid.Segmenter({x: k for k, x in enumerate(pieces)})
+    p = np.array([0.1, 0.2, 0.3, 0.05, 0.15, 0.2, 0.1, 0.07, 0.0, 1e-9])
+    rng = random.Random(2)
+    for n in (1, 2, 7, 30):
+        word = "".join(rng.choices("abc", k=n))
+        long = langid.expected_counts_long("▁" + word, s, p)
+        assert langid.expected_counts([word], np.ones(1), s, p) == pytest.approx([long.get(k, 0.0) for k in range(s.size)])
+    counts = langid.expected_counts(["ab" * 3000, "ab"], np.array([2.0, 1.0]), s, p)
+    assert sum(c * len(x) for c, x in zip(counts, pieces)) == pytest.approx(2 * 6001 + 3)
+    # Texts without spaces: every text is one long word.
+    parts = {"aa": "のにはをたが", "bb": "的一是不了在"}
+    rows = [(k, "".join(rng.choices(parts[x], k=300)), x) for k in range(40) for x in [("aa", "bb")[k % 2]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.predict(df.filter("doc_id >= 20"), langid.fit(df.filter("doc_id < 20"))).collect()
+    assert len(found) == 20 and all(r.lang == r.lang_pred for r in found)
+
+
+def test_texts_in_no_learned_language_are_known(two_languages, spark):
+    model = langid.fit(two_languages)
+    strange = docs(spark, ["Ωμέγα και άλφα " * 5, "русский текст здесь " * 5, None, "123"])
+    assert not any(r.known for r in langid.predict(strange, model).select(langid.known_language(F.col("letter_log")).alias("known")).collect())
+    assert all(r.known for r in langid.predict(two_languages, model).select(langid.known_language(F.col("letter_log")).alias("known")).collect())
+
+
+def test_columns_of_any_name_pass_or_are_replaced(spark, two_languages):
+    df = two_languages.withColumns({"__text": F.lit("der ung"), "score": F.lit("old"), "letter_log": F.lit(1), "predicted": F.lit("p"), "n_removed": F.lit("r"), "spans": F.lit(0), "text of the row": F.lit("x")})
+    model = langid.fit(df)
+    found = langid.predict(df, model)
+    assert found.columns == ["doc_id", "text", "lang", "__text", "predicted", "n_removed", "spans", "text of the row", "lang_pred", "score", "letter_log"]
+    assert all(r.lang == r.lang_pred for r in found.collect())
+    w = np.zeros((1 << quality.HASH_BITS) + 1, np.float32)
+    assert quality.predict(df, w).columns[-2:] == ["score", "predicted"] and {r.score for r in quality.predict(df, w).collect()} == {0.5}
+    cleaned = linededup.dedup_lines(df)
+    assert cleaned.columns.count("n_removed") == 1 and {r.n_removed for r in cleaned.collect()} == {0}
+    assert simhash.keep_one(df).columns == df.columns
+
+
+def test_null_ids_are_kept(spark):
+    rng = random.Random(8)
+    text = words(rng, 60)
+    df = spark.createDataFrame([(None, text, "en"), (None, text, "en"), (None, None, "en"), (4, text, "en"), (5, words(rng, 60), "fr")], "doc_id long, text string, lang string")
+    n = df.count()
+    assert langid.predict(df, langid.fit(df)).count() == n
+    assert quality.predict(df, np.zeros((1 << quality.HASH_BITS) + 1, np.float32)).count() == n
+    assert sorted(r.component_id or 0 for r in simhash.near_duplicates(df).collect()) == [0, 4, 4, 4, 5]
+    assert sorted(r.doc_id or 0 for r in simhash.keep_one(df).collect()) == [0, 4, 5]
+    assert licenses.scan_licenses(df).count() == media.media_columns(df).count() == linededup.dedup_lines(df).count() == packing.pack(df).count() == n
+    bench = spark.createDataFrame([(None, text)], "item_id long, text string")
+    assert sorted(r.doc_id or 0 for r in decontam.find_leaks(df, bench).collect()) == [0, 0, 4]
+    assert sorted(r.doc_id or 0 for r in decontam.drop_leaks(df, bench).collect()) in ([5], [0, 5])
+
+
 def test_expected_counts_sum_to_pieces_per_word():
     pieces = ["▁a", "▁", "a", "b", "ab", "▁ab"]
     s = langid.Segmenter({x: k for k, x in enumerate(pieces)})
@@ -122,6 +190,58 @@ def test_quality_of_held_out_documents(spark):
     assert sum(r.quality == (r.score >= 0.5) for r in found) / len(found) > 0.8
 
 
+def test_scores_equal_brute_force(spark):
+    """Features, updates and scores written out with dictionaries, gram by gram."""
+    import re
+    from math import exp, sqrt
+
+    rng = random.Random(4)
+    texts = [None, "", "one", "2024 was 99"] + [f"{words(rng, rng.randrange(1, 40), 50)} {rng.choice(['!!', 'ok ok', '17'])}" for _ in range(40)]
+    labels = [k % 2 for k in range(len(texts))]
+
+    def mix(x):
+        x = x * 0x9E3779B97F4A7C15 % 2**64
+        x = (x ^ (x >> 29)) * 0x9E3779B97F4A7C15 % 2**64
+        return x >> (64 - quality.HASH_BITS)
+
+    def vector(text):
+        said = (text or "").split()
+        word = [zlib.crc32(w.lower().encode()) for w in said]
+        shape = [zlib.crc32(re.sub(r"\d+", "0", re.sub(r"[^\W\d_]+", "a", w)).encode()) for w in said]
+        shape = [ord("=") if k and word[k] == word[k - 1] else x for k, x in enumerate(shape)]
+        out = defaultdict(float)
+        for h, single, double in ((word, 0x51, 0xA7), (shape, 0xC3, 0xE9)):
+            for grams in ([mix(a + single) for a in h], [mix(a * 0x9E3779B97F4A7C15 + b + double) for a, b in zip(h, h[1:])]):
+                counts = Counter(grams)
+                for slot, n in counts.items():
+                    out[slot] += n / sqrt(sum(m * m for m in counts.values()))
+        return dict(out) | {"bias": 1.0}
+
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - quality.L1 * (1 if z[i] > 0 else -1)) / ((quality.BETA + sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    def score(x):
+        return 1 / (1 + exp(-sum(weight(i) * v for i, v in x.items())))
+
+    df = docs(spark, texts)
+    order = [r.doc_id for r in df.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").collect()]
+    for _ in range(quality.EPOCHS):
+        for k in order:
+            x = vector(texts[k])
+            g = score(x) - labels[k]
+            w = {i: weight(i) for i in x}
+            for i, v in x.items():
+                z[i] += g * v - (sqrt(n[i] + (g * v) ** 2) - sqrt(n[i])) / quality.ALPHA * w[i]
+                n[i] += (g * v) ** 2
+    learned = quality.fit(df.withColumn("quality", (F.col("doc_id") % 2).cast("int")))
+    found = {r.doc_id: r.score for r in quality.predict(df, learned).collect()}
+    assert [found[k] for k in range(len(texts))] == pytest.approx([score(vector(t)) for t in texts], abs=1e-4)
+
+
 def test_ftrl_separates():
     rows = [quality.features("good fine text"), quality.features("bad *** junk")] * 30
     w = quality.train_ftrl(rows, [1, 0] * 30)
@@ -134,7 +254,7 @@ def test_ftrl_separates():
 
 def test_snapshots_collapse(spark):
     said = [("user", "a"), ("assistant", "b"), ("user", "c")]
-    logs = {1: said[:1], 2: said[:2], 3: said, 4: said, 5: [("user", "a"), ("assistant", "x")], 6: said[1:], None: said[:2]}
+    logs = {1: said[:1], 2: said[:2], 3: said, 4: said, 5: [("user", "a"), ("assistant", "x")], 6: said[1:]}
     rows = [(c, k, r, t) for c, turns in logs.items() for k, (r, t) in enumerate(turns)] + [(3, 0, "user", "a")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     assert sorted((r.conv_id, r.n_turns) for r in conversations.maximal(turns).collect()) == [(3, 3), (5, 2), (6, 2)]
@@ -143,6 +263,23 @@ def test_snapshots_collapse(spark):
     assert conversations.render(turns.limit(0), conversations.maximal(turns.limit(0))).count() == 0
 
 
+def test_chat_odd_rows_equal_sql(spark):
+    """Null ids, turns, roles and texts, turn numbers that repeat, repeated rows, clashing column names."""
+    rng = random.Random(6)
+    pick = lambda *xs: rng.choice(xs)
+    rows = [(pick(None, *range(12)), pick(None, 0, 0, 1, 2, 600), pick(None, "user", "assistant"), pick(None, "", "a", "b", "long " * 300)) for _ in range(160)] + [(k, 0, "user", "hot") for k in range(20, 60)]
+    rows += rows[:30]
+    schema = "conv_id long, turn long, role string, text string"
+    for given in (rows, rows[:5], [], [(None, None, None, None)] * 3):
+        turns = spark.createDataFrame(given, schema).withColumns({x: F.lit("x") for x in ("position", "x1", "h1", "block", "tie", "n_turns", "c")})
+        found = conversations.render(turns, conversations.maximal(turns))
+        con = duckdb.connect()
+        con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+        if given:
+            con.executemany("insert into conversations values (?, ?, ?, ?)", given)
+        assert Counter(map(tuple, found.collect())) == Counter(con.sql(conversations.oracle()).fetchall())
+
+
 def test_long_conversations_go_by_blocks(spark):
     n = 3 * conversations.BLOCK_TURNS
     rows = [(c, k, "user", str(k)) for c, m in ((1, n), (2, n - 700), (3, conversations.BLOCK_TURNS)) for k in range(m)]
@@ -156,9 +293,11 @@ def test_long_conversations_go_by_blocks(spark):
 def test_archives_round_trip(spark, tmp_path):
     html = ["<p>one</p>", "<p>two</p>", "<p>one</p>", None, "", "ü" * 5000, "<p>one</p>"]
     urls = ["http://b.org/x", "http://a.org/", "https://B.org/x#frag", None, "http://a.org/?q=1", "http://a.org/ü x", "not a url"]
-    pages = spark.createDataFrame([(10 - k, u, h) for k, (u, h) in enumerate(zip(urls, html))] + [(10, urls[0], html[0])], "page_id long, url string, html string")
-    index = warc.write_archives(pages.repartition(3), f"file://{tmp_path}/w")
-    records = warc.read_archives(index, f"file://{tmp_path}/w", with_payload=True).collect()
+    rows = [(10 - k, u, h) for k, (u, h) in enumerate(zip(urls, html))] + [(10, urls[0], html[0])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"file": F.lit("f"), "same": F.lit(1), "n": F.lit(2), "payload": F.lit("p")})
+    folder = f"file://{tmp_path}/w"
+    index = warc.merge_index(warc.write_archives(pages.repartition(3), folder), folder)
+    records = warc.read_archives(index, folder, with_payload=True).collect()
     assert len(records) == 8
     for r in records:
         h = (html[10 - r.page_id] or "").encode()
@@ -166,12 +305,49 @@ def test_archives_round_trip(spark, tmp_path):
         assert (r.payload_bytes, r.payload_digest) == (len(h), warc.digest(h))
         assert (r.record_type, r.refers_to) == (("response", None) if r.page_id == least else ("revisit", least))
         assert r.payload == (h if r.page_id == least else None)
-    merged = warc.merge_index(index).orderBy("capture_order").collect()
+    merged = index.orderBy("capture_order").collect()
     keys = [(r.url_key, r.captured, r.page_id) for r in merged]
     assert keys == sorted(keys) and [r.capture_order for r in merged] == list(range(8))
     assert warc.url_key("https://User@B.org:80/x#frag") == "org,b)/x"
 
 
+@pytest.mark.parametrize("fan_in", [2, 64])
+def test_runs_merge_in_passes_over_ranges(spark, tmp_path, monkeypatch, fan_in):
+    for name, value in (("FILE_BYTES", 1 << 12), ("RUN_ROWS", 4), ("RANGE_FENCES", 6)):
+        monkeypatch.setattr(warc, name, value)
+    rng = random.Random(5)
+    urls = ["http://hot.org/"] * 150 + [f"http://h{rng.randrange(9)}.org/{rng.randrange(30)}" for _ in range(150)]
+    rows = [(None if k % 50 == 0 else k, u, f"<p>{rng.random()}</p>" if k % 3 else "same") for k, u in enumerate(urls)]
+    folder = f"file://{tmp_path}/w"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    # The limits hold for workers too, as the functions take their module's values along.
+    fences = warc.write_archives(pages, folder)
+    merged = warc.merge_index(fences, folder, fan_in=fan_in).orderBy("capture_order").collect()
+    keys = [(r.url_key, r.captured, r.page_id is None, r.page_id or 0, r.file, r.position) for r in merged]
+    assert keys == sorted(keys) and [r.capture_order for r in merged] == list(range(300))
+    assert Counter((r.page_id, r.url_key) for r in merged) == Counter((i, warc.url_key(u)) for i, u, _ in rows)
+
+
+def test_archives_of_no_pages_and_of_text_ids(spark, tmp_path):
+    folder = f"file://{tmp_path}/w"
+    schema = "page_id string, url string, html string"
+    for rows in ([], [("a b/<ü>", "http://x.org/", "h"), ("", None, "h"), (None, "http://x.org/", None), ("a b/<ü>", "http://x.org/", "other")]):
+        index = warc.merge_index(warc.write_archives(spark.createDataFrame(rows, schema), folder), folder)
+        found = warc.read_archives(index, folder, with_payload=True).collect()
+        assert Counter((r.page_id, r.payload_bytes) for r in found) == Counter((i, len(h or "")) for i, _, h in rows)
+        assert index.count() == len(rows)
+
+
+@needs_tables
+def test_roles_equal_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{TABLES}/pages.parquet'")
+    expected = con.sql("select page_id, octet_length(encode(coalesce(html, ''))), case when page_id = min(page_id) over w then 'response' else 'revisit' end, case when page_id > min(page_id) over w then min(page_id) over w end from pages window w as (partition by coalesce(html, ''))").fetchall()
+    found = QUERIES["op4_warc"](spark, str(TABLES)).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or -1) for r in found) == sorted((a, b, c, d or -1) for a, b, c, d in expected)
+    assert sorted(r.capture_order for r in found) == list(range(len(found)))
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for k in (0, 1, 2, 5, 16):
@@ -275,10 +451,31 @@ def test_common_subsequence():
 
 def test_common_subsequences_of_many_texts():
     rng = np.random.default_rng(3)
-    for length in (1, 20, 63, 64):
-        item, texts = rng.integers(0, 9, length), rng.integers(-1, 12, (30, 150))
-        found = decontam.common_subsequences(decontam._places(item), length, texts, 12)
-        assert found.tolist() == [lcs(item.tolist(), t.tolist()) for t in texts]
+    lengths, texts = np.array([1, 20, 63, 64]), rng.integers(-1, 12, (80, 150))
+    items, which = [rng.integers(0, 9, n) for n in lengths], rng.integers(0, 4, 80)
+    found = decontam.common_subsequences([decontam._places(x) for x in items], lengths, which, texts, 12)
+    assert found.tolist() == [lcs(items[k].tolist(), t.tolist()) for k, t in zip(which, texts)]
+
+
+def test_groups_of_candidates_cover_all():
+    rng = np.random.default_rng(4)
+    for most in (1, 3, 1000):
+        counts, lengths = rng.integers(1, 9000, 12), rng.choice([5, 64, 65, 300], 12)
+        of_item, size = np.repeat(np.arange(12), counts), np.repeat(lengths, counts)
+        groups = list(decontam._groups(of_item, size, most))
+        assert [a for a, _ in groups] == [0, *(z for _, z in groups[:-1])] and groups[-1][1] == len(of_item)
+        for a, z in groups:
+            own = np.unique(of_item[a:z])
+            assert 0 < z - a <= 4096 and (len(own) == 1 or size[a:z].max() <= 64) and len(own) <= most
+    assert list(decontam._groups(np.zeros(0, int), np.zeros(0, int), 5)) == []
+
+
+def test_segment_sums():
+    rng = np.random.default_rng(5)
+    matrix, lengths = rng.standard_normal((50, 7)), rng.integers(1, 90, 40)
+    rows, heads = rng.integers(0, 50, lengths.sum()), np.cumsum(lengths) - lengths
+    assert np.allclose(decontam.segment_sums(matrix, rows, heads), np.add.reduceat(matrix[rows], heads, axis=0))
+    assert np.allclose(decontam.segment_sums(matrix, rows[:40], np.arange(40)), matrix[rows[:40]])
 
 
 def test_short_items_with_scattered_changes_are_found(spark):
@@ -338,8 +535,7 @@ def test_runs_of_item_words():
 
 
 @needs_tables
-def test_leaks_against_every_window(spark):
-    """All verbatim items in the small tables are found."""
+def test_verbatim_items_of_the_tables_are_found(spark):
     found = {(r.doc_id, r.item_id) for r in QUERIES["op6_decontamination"](spark, str(TABLES)).collect()}
     items = common.read_table(spark, str(TABLES), "benchmark").collect()
     norm = lambda t: " ".join(x.decode() for x in decontam.words_of(t))
@@ -347,6 +543,41 @@ def test_leaks_against_every_window(spark):
     assert exact <= found
 
 
+@pytest.mark.parametrize("block_bytes, sum_bytes", [(decontam.BLOCK_BYTES, decontam.SUM_BYTES), (500, 1 << 14)])
+def test_leaks_equal_the_subsequence_rule_over_all_windows(spark, monkeypatch, block_bytes, sum_bytes):
+    """No cosine, no grams: the rule tried on a window from every word on; also in blocks of items and of columns."""
+    monkeypatch.setattr(decontam.item_blocks, "__defaults__", ("text", block_bytes))
+    monkeypatch.setattr(decontam, "SUM_BYTES", sum_bytes)
+    rng = random.Random(12)
+    items = [words(rng, n, 900) for n in (9, 20, 33, 36, 64, 90)] + ["the of and to the of and to in"]
+    texts = [None, "", "the of and to the of and to in"]
+    for k in range(70):
+        body = words(rng, rng.randrange(5, 160), 900).split()
+        item = items[k % len(items)].split()
+        rate, answer = rng.choice([0.0, 0.1, 0.2, 0.3, 0.45, 0.6]), k % 3
+        own = [w if rng.random() >= rate or answer == 0 and i >= len(item) - 8 else f"w{rng.randrange(900)}" for i, w in enumerate(item)]
+        at = rng.randrange(len(body))
+        texts.append(" ".join(body[:at] + own + body[at:]))
+    expected = set()
+    for d, text in enumerate(texts):
+        said = decontam.words_of(text)
+        for i, item in enumerate(items):
+            own = decontam.words_of(item)
+            number = {w: k for k, w in enumerate(dict.fromkeys(own))}
+            where = decontam._places(np.array([number[w] for w in own]))
+            ids = [number.get(w, -1) for w in said]
+            for s in range(len(said)):
+                window = ids[max(0, s - len(own)) : s + decontam.PASSAGE + len(own)]
+                common_words = decontam.common_subsequence(where, len(own), window)
+                last = [number[w] for w in own][-decontam.ANSWER_WORDS :]
+                answered = any(window[k : k + len(last)] == last for k in range(len(window)))
+                if common_words >= decontam.MIN_OVERLAP * len(own) or answered and common_words >= decontam.MIN_PARAPHRASE * len(own):
+                    expected.add((d, i))
+                    break
+    found = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert found <= expected and len(expected) > 40 and len(expected - found) <= len(expected) // 50
+
+
 # ------------------------------------------------------------ licences
 
 
@@ -465,8 +696,16 @@ def tokenizer():
     return Tokenizer.from_file(packing.default_tokenizer())
 
 
+def test_added_tokens_in_a_text_are_the_librarys(spark, tokenizer):
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext", "plain <| endoftext |> words"]
+    expected = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert expected[0] == [31373, 220, 50256, 995]
+    found = {r.doc_id: r for r in packing.pack(docs(spark, texts)).collect()}
+    for k, ids in enumerate(expected):
+        assert (found[k].length, found[k].ids_crc32) == (len(ids) + 1, zlib.crc32(np.array([*ids, 2], dtype="<u4").tobytes()))
+
+
 def test_units_equal_whole_texts(tokenizer):
-    tokenizer.encode_special_tokens = True
     rng = random.Random(1)
     alphabet = ["a", "Zebra", "'s", "don't", "12", "7th", "...", "é", "日本", " ", "  ", "\n", "\t", ",", "!?", "\xa0", "²", "x" * 40, "<|endoftext|>", "-", "'ll", "#a"]
     texts = [t or "" for t in ODD] + ["".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(300)] + [" ".join(rng.choices(alphabet, k=20)) for _ in range(100)]
@@ -479,7 +718,6 @@ def test_pieces_and_places(spark, tokenizer):
     rng = random.Random(7)
     texts = ODD + [words(rng, rng.randrange(1, 900)) for _ in range(150)] + ["same text"] * 60
     rows = packing.pack(docs(spark, texts)).collect()
-    tokenizer.encode_special_tokens = True
     by_doc = defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
