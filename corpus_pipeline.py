@@ -26,14 +26,14 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.filter(~held_out()))
-    found = langid.predict(docs, model, out=("__lang_pred", "__lang_score"))
-    return found.filter("__lang_pred <> 'und'").select(*docs.columns)
+    found = langid.predict(docs, model, out=("language found", "language score", "language by letter"))
+    return found.filter(langid.known_language(F.col("language by letter"))).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = linededup.dedup_lines(docs, out=("__n_removed", "__removed_bytes"))
-    kept = cleaned.filter("__n_removed = 0 or text rlike '\\\\S'")
-    changed = {"n_chars": F.when(F.col("__n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
+    cleaned = linededup.dedup_lines(docs, out=("passages removed", "bytes removed"))
+    kept = cleaned.filter("`passages removed` = 0 or text rlike '\\\\S'")
+    changed = {"n_chars": F.when(F.col("passages removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
     return kept.withColumns(changed).select(*docs.columns)
 
 
