@@ -15,6 +15,8 @@ labels; repeated rows each get the same result; a null id is kept.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +57,8 @@ def template_rows() -> list[tuple[str, str, bool, int, int, str, str]]:
 
 
 def _words(text):
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATOR), "")
+    """Only A to Z are lowered: other letters keep their case, and none becomes another."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase), SEPARATOR), "")
 
 
 def template_hits(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -113,7 +116,7 @@ def oracle() -> str:
     return f"""
 with t(label, template, is_phrase, n_votes, t_pos, w1, w2) as (values {values}),
 d as (select doc_id, row_number() over () as rid,
-        list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') as ws from documents),
+        list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') as ws from documents),
 g as (select rid, ws, unnest(range(1, len(ws))) as p from d),
 h as (select g.rid, label, template, is_phrase, n_votes, t_pos, p - 1 - t_pos as diagonal from g join t on g.ws[p] = t.w1 and g.ws[p + 1] = t.w2),
 v as (select rid, label, template, is_phrase, n_votes, diagonal, list(t_pos) as offsets from h group by all),
