@@ -2,19 +2,22 @@
 
 ``decode`` reads the whole format: prefix codes and prefix-code groups,
 back-references, the colour cache, and the predictor, cross-colour,
-subtract-green and palette transforms.  Streams whose codes have one length per
-channel are decoded many pixels at a time; all others symbol by symbol.
-
-``encode`` writes back-references, palettes and, when asked, each of the other
-features; it gives the used symbols of a channel codes of equal length, which
-keeps both directions vectorised.  Pixels are arrays of (n, 4) bytes in the
-order red, green, blue, alpha.
+subtract-green and palette transforms.  Streams with one prefix-code group are
+decoded many pixels at a time: what a code would read is looked up for every
+bit position at once, a walk over these finds where pixels begin, and pixels
+copied from others or from the cache are found by following pointers, halving
+the way each time.  Streams with several groups are read symbol by symbol.
+
+``encode`` writes prefix codes by frequency and back-references, and takes a
+palette, predictor, cross-colour, subtract-green and a colour cache where their
+estimated size is smaller; so equal pixels give equal files.  Each can be asked
+for instead.  Pixels are arrays of (n, 4) bytes in the order red, green, blue,
+alpha.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 
@@ -34,112 +37,101 @@ NEAR = (
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
+WALK_BYTES = 1 << 14
+MAX_CACHE, CACHE_SHARE, MAX_TILE_BITS = 10, 3, 9
+#: For estimates: bits of a used symbol's code length and of a transform; the share that a cache must gain; multipliers below which cross-colour is not tried.
+LENGTH_BITS, TRANSFORM_BITS, LEAST_GAIN, LEAST_SLOPE = 4, 64, 16, 4
 
 
-def _reverse(code: int, n: int) -> int:
-    return int(format(code, f"0{n}b")[::-1], 2) if n else 0
+@cache
+def _reversed_range(n: int) -> np.ndarray:
+    """The numbers of n bits with their bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
 
 
-def canonical(lengths: np.ndarray) -> dict[int, tuple[int, int]]:
-    """symbol: (code with its first bit lowest, length) of a prefix code; a lone symbol takes no bits."""
+def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Used symbols in canonical order, how much of all codes each takes, and the longest length; a lone symbol takes no bits."""
     used = np.nonzero(lengths)[0]
-    if len(used) == 1:
-        return {int(used[0]): (0, 0)}
-    out, code, last = {}, 0, 0
-    for s in used[np.lexsort((used, lengths[used]))]:
-        n = int(lengths[s])
-        code <<= n - last
-        out[int(s)], last = (_reverse(code, n), n), n
-        code += 1
-    if used.size and code != 1 << last:
+    if len(used) <= 1:
+        return used, np.ones(len(used), np.int64), 0
+    own = lengths[used]
+    longest = int(own.max())
+    order = np.argsort(own.astype(np.int8), kind="stable")
+    shares = np.left_shift(1, longest - own[order])
+    if int(shares.sum()) != 1 << longest:
         raise ValueError("a prefix code is not complete")
-    return out
-
-
-@cache
-def _reversed_range(n: int) -> np.ndarray:
-    return np.array([_reverse(k, n) for k in range(1 << n)], dtype=np.uint64)
+    return used[order], shares, longest
 
 
 def code_arrays(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and their lengths by symbol."""
+    """Codes, their first bit lowest, and code lengths by symbol."""
     codes, bits = np.zeros(len(lengths), np.uint64), np.zeros(len(lengths), np.uint64)
-    used = np.nonzero(lengths)[0]
-    if len(used) > 1:
-        n = int(lengths[used[0]])
-        if len(used) == 1 << n and (lengths[used] == n).all():
-            codes[used], bits[used] = _reversed_range(n), n
-        else:
-            for s, pair in canonical(lengths).items():
-                codes[s], bits[s] = pair
+    symbols, shares, longest = _by_length(lengths)
+    if longest:
+        codes[symbols] = _reversed_range(longest)[np.cumsum(shares) - shares]
+        bits[symbols] = lengths[symbols]
     return codes, bits
 
 
+def canonical(lengths: np.ndarray) -> dict[int, tuple[int, int]]:
+    """symbol: (code with its first bit lowest, length) of a prefix code."""
+    codes, bits = code_arrays(lengths)
+    return {int(s): (int(codes[s]), int(bits[s])) for s in np.nonzero(lengths)[0]}
+
+
 # ---------------------------------------------------------------- decoding
 
 
 class Bits:
-    def __init__(self, data: bytes):
-        self.data, self.at = data, 0
-        self._flat: np.ndarray | None = None
-
-    @property
-    def flat(self) -> np.ndarray:
-        if self._flat is None:
-            self._flat = np.unpackbits(np.frombuffer(self.data, np.uint8), bitorder="little")
-        return self._flat
+    def __init__(self, data: bytes, at: int = 0):
+        self.data, self.at = data, at
 
-    def read(self, n: int) -> int:
-        if self.at + n > 8 * len(self.data):
-            raise ValueError("the stream ends too early")
+    def window(self, n: int) -> int:
+        """The next n bits and some more as a number, the first lowest; zeros after the end."""
         byte = self.at >> 3
-        got = int.from_bytes(self.data[byte : byte + 5], "little") >> (self.at & 7) & ((1 << n) - 1)
+        return int.from_bytes(self.data[byte : byte + (n + 14 >> 3)], "little") >> (self.at & 7)
+
+    def peek(self, n: int) -> int:
+        return self.window(n) & ((1 << n) - 1)
+
+    def skip(self, n: int) -> None:
         self.at += n
+        if self.at > 8 * len(self.data):
+            raise ValueError("the stream ends too early")
+
+    def read(self, n: int) -> int:
+        got = self.peek(n)
+        self.skip(n)
         return got
 
 
-@dataclass
 class Code:
-    """A prefix code for reading. width: the length all codes share, if they do."""
+    """A prefix code for reading: symbol and length by the next bits, as many as the longest code has."""
 
-    symbols: dict[int, tuple[int, int]]
-    width: int | None = None
-    table: np.ndarray | None = None
-    by_code: dict[tuple[int, int], int] = field(default_factory=dict)
+    def __init__(self, lengths: np.ndarray):
+        symbols, shares, self.longest = _by_length(lengths)
+        if not len(symbols):
+            symbols, shares = np.zeros(1, np.int64), np.ones(1, np.int64)
+        order, self.most = _reversed_range(self.longest), int(symbols.max())
+        self.symbols = np.repeat(symbols, shares).take(order)
+        self.lengths = np.repeat(lengths[symbols] if self.longest else np.zeros(1, np.int64), shares).take(order)
 
     def read(self, bits: Bits) -> int:
-        if self.width == 0:
-            return next(iter(self.symbols))
-        if not self.by_code:
-            self.by_code = {(n, c): s for s, (c, n) in self.symbols.items()}
-        code = 0
-        for n in range(1, 16):
-            code |= bits.read(1) << (n - 1)
-            s = self.by_code.get((n, code))
-            if s is not None:
-                return s
-        raise ValueError("no such prefix code")
-
-
-def _code(lengths: np.ndarray) -> Code:
-    used = np.nonzero(lengths)[0]
-    if not len(used):
-        return Code({0: (0, 0)}, 0, np.zeros(1, np.int64))
-    if len(used) == 1:
-        return Code({int(used[0]): (0, 0)}, 0, used.astype(np.int64))
-    n = int(lengths[used[0]])
-    if len(used) == 1 << n and (lengths[used] == n).all():
-        return Code(_FlatSymbols(used, n), n, used.astype(np.int64))
-    return Code(canonical(lengths))
-
+        if not self.longest:
+            return int(self.symbols[0])
+        k = bits.peek(self.longest)
+        bits.skip(int(self.lengths[k]))
+        return int(self.symbols[k])
 
-class _FlatSymbols(dict):
-    def __init__(self, used: np.ndarray, n: int):
-        super().__init__()
-        self.used, self.n = used, n
 
-    def items(self):
-        return [(int(s), (_reverse(k, self.n), self.n)) for k, s in enumerate(self.used)]
+@lru_cache(maxsize=256)
+def _header_table(lengths: bytes) -> tuple[list[tuple[int, int]], int]:
+    """(symbol, code length) by the next bits of a header, and their mask."""
+    code = Code(np.frombuffer(lengths, np.int64))
+    return list(zip(code.symbols.tolist(), code.lengths.tolist())), (1 << code.longest) - 1
 
 
 def read_code(bits: Bits, alphabet: int) -> Code:
@@ -148,30 +140,53 @@ def read_code(bits: Bits, alphabet: int) -> Code:
         two, wide = bits.read(1), bits.read(1)
         for s in [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else []):
             lengths[s] = 1
-        return _code(lengths)
+        return Code(lengths)
     own = np.zeros(19, np.int64)
-    for k in range(4 + bits.read(4)):
-        own[CODE_LENGTH_ORDER[k]] = bits.read(3)
+    n = 4 + bits.read(4)
+    stored = bits.window(3 * n)
+    bits.skip(3 * n)
+    for k in range(n):
+        own[CODE_LENGTH_ORDER[k]] = stored >> 3 * k & 7
     limit = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    used = np.nonzero(own)[0]
-    if len(used) == 2 and used[1] < 16 and limit <= alphabet:
-        lengths[:limit] = used[bits.flat[bits.at : bits.at + limit]]
-        bits.at += limit
-        return _code(lengths)
-    code, k, last = _code(own), 0, 8
+    table, mask = _header_table(own.tobytes())
+    ahead, at, k, last = bits.window(14 * min(limit, alphabet) + 16), 0, 0, 8
+    out: list[int] = []
     while k < alphabet and limit:
         limit -= 1
-        s = code.read(bits)
+        s, n = table[ahead >> at & mask]
+        at += n
         if s < 16:
-            lengths[k] = s
+            out.append(s)
             last, k = s or last, k + 1
-        else:
-            n, value = ((3 + bits.read(2), last), (3 + bits.read(3), 0), (11 + bits.read(7), 0))[s - 16] if s == 16 else ((3 + bits.read(3), 0) if s == 17 else (11 + bits.read(7), 0))
-            if k + n > alphabet:
-                raise ValueError("too many code lengths")
-            lengths[k : k + n] = value
-            k += n
-    return _code(lengths)
+            continue
+        base, extra = ((3, 2), (3, 3), (11, 7))[s - 16]
+        n = base + (ahead >> at & ((1 << extra) - 1))
+        at += extra
+        k += n
+        if k > alphabet:
+            raise ValueError("too many code lengths")
+        out += [last if s == 16 else 0] * n
+    bits.skip(at)
+    lengths[: len(out)] = out
+    return Code(lengths)
+
+
+def _read_alike(bits: Bits) -> list[Code]:
+    """The codes of red, blue and alpha; one that is stored in the same bits as the one before it is the same code."""
+    start = bits.at
+    codes = [read_code(bits, 256)]
+    size = bits.at - start
+    own = Bits(bits.data, start).peek(size)
+    for _ in (1, 2):
+        if bits.at + size <= 8 * len(bits.data) and bits.peek(size) == own:
+            bits.skip(size)
+            codes.append(codes[-1])
+            continue
+        start = bits.at
+        codes.append(read_code(bits, 256))
+        size = bits.at - start
+        own = Bits(bits.data, start).peek(size)
+    return codes
 
 
 def _value(code: int, bits: Bits) -> int:
@@ -190,28 +205,123 @@ def _cache_slot(px, bits: int) -> int:
     return ((CACHE_MULTIPLIER * (a << 24 | r << 16 | g << 8 | b)) & 0xFFFFFFFF) >> (32 - bits)
 
 
-def _read_flat(bits: Bits, codes: list[Code], count: int) -> tuple[np.ndarray, int]:
-    """Literal pixels from here on, as many as stand before another green symbol; codes of one length each."""
-    widths = [codes[k].width for k in range(4)]
-    total = sum(widths)
-    count = min(count, (8 * len(bits.data) - bits.at) // total if total else count)
-    if count <= 0:
-        return np.zeros((0, 4), np.uint8), 0
-    rows = bits.flat[bits.at : bits.at + count * total].reshape(count, total)
-    out, at = np.empty((count, 4), np.uint8), 0
-    for k, channel in enumerate((1, 0, 2, 3)):
-        n = widths[k]
-        index = np.zeros(len(rows), np.int64)
-        for b in range(n):
-            index = index << 1 | rows[:, at + b]
-        symbols = codes[k].table[index]
-        if k == 0 and (other := symbols >= 256).any():
-            rows = rows[: int(np.argmax(other))]
-            out, symbols = out[: len(rows)], symbols[: len(rows)]
-        out[:, channel] = symbols
-        at += n
-    bits.at += len(rows) * total
-    return out, len(rows)
+def _reference(bits: Bits, symbol: int, distances: Code, width: int, at: int, n: int) -> tuple[int, int]:
+    """(length, distance) of a back-reference at pixel ``at``."""
+    length = _value(symbol - 256, bits)
+    distance = _value(distances.read(bits), bits)
+    if distance > len(NEAR):
+        distance -= len(NEAR)
+    else:
+        dx, dy = NEAR[distance - 1]
+        distance = max(1, dx + dy * width)
+    if distance > at or at + length > n:
+        raise ValueError("a back-reference leaves the image")
+    return length, distance
+
+
+def _tokens(bits: Bits, codes: list[Code], n: int, width: int) -> tuple[list[np.ndarray], list[tuple[int, int, int]]]:
+    """Literal pixels and cached colours in order (parts of rows green or cache symbol, red, blue, alpha), and (place, length, distance) of the references."""
+    data = np.frombuffer(bits.data + b"\0" * 16, np.uint8)
+    green, red, blue, alpha = codes[:4]
+    parts, refs, done = [], [], 0
+    while done < n:
+        base = bits.at & ~7
+        first = base >> 3
+        bytes_here = data[first : first + WALK_BYTES + 16].astype(np.intp)
+        words = bytes_here[:-2] | bytes_here[1:-1] << 8 | bytes_here[2:] << 16
+        ahead = (words[:, None] >> np.arange(8)).reshape(-1)
+        end = len(ahead) - 64
+        pick = ahead[:end] & ((1 << green.longest) - 1)
+        symbols = green.symbols.take(pick)
+        then = green.lengths.take(pick)
+        then += np.arange(end)
+        literal, chain, own, seen = then, [then], None, None
+        for code in (red, blue, alpha):
+            if code.longest:
+                if code is not seen:
+                    own, seen = code.lengths.take(ahead & ((1 << code.longest) - 1)), code
+                literal = literal + own.take(literal)
+            chain.append(literal)
+        follow = literal
+        if green.most >= 256:
+            other = np.nonzero(symbols >= 256)[0]
+            follow = literal.copy()
+            follow[other] = np.where(symbols.take(other) < 256 + N_LENGTH_CODES, -1, then.take(other))
+        walk, at, starts = memoryview(follow), bits.at - base, []
+        push = starts.append
+        while done < n and at < end:
+            count = len(starts)
+            for _ in range(n - done):
+                if at >= end or walk[at] < 0:
+                    break
+                push(at)
+                at = walk[at]
+            done += len(starts) - count
+            if at < end and done < n:
+                bits.at = base + at
+                length, distance = _reference(bits, green.read(bits), codes[4], width, done, n)
+                refs.append((done, length, distance))
+                done += length
+                at = bits.at - base
+        bits.at = base + at
+        if bits.at > 8 * len(bits.data):
+            raise ValueError("the stream ends too early")
+        here = np.array(starts, dtype=np.int64)
+        rows = np.empty((len(here), 4), np.intp)
+        rows[:, 0] = symbols[here]
+        for k, code in enumerate((red, blue, alpha)):
+            rows[:, k + 1] = code.symbols[ahead[chain[k][here]] & ((1 << code.longest) - 1)]
+        parts.append(rows)
+    return parts, refs
+
+
+def _settle(source: np.ndarray, unsettled: np.ndarray) -> None:
+    """Follow pointers from the unsettled places until none leads further."""
+    while len(unsettled):
+        further = source[source[unsettled]]
+        moved = further != source[unsettled]
+        source[unsettled] = further
+        unsettled = unsettled[moved]
+
+
+def _read_pixels(bits: Bits, codes: list[Code], n: int, width: int, cache_bits: int) -> np.ndarray:
+    """The pixels of an image with one group of prefix codes."""
+    parts, refs = _tokens(bits, codes, n, width)
+    rows = np.concatenate(parts) if len(parts) > 1 else parts[0]
+    source, copied = np.arange(n + 1), np.zeros(n, bool)
+    for at, length, distance in refs:
+        source[at : at + length] -= distance
+        copied[at : at + length] = True
+    own = np.nonzero(~copied)[0]
+    out = np.zeros((n + 1, 4), np.uint8)
+    literal = rows[:, 0] < 256
+    out[own[literal]] = rows[literal][:, [1, 0, 2, 3]]
+    copies = np.nonzero(copied)[0]
+    _settle(source, copies)
+    hits = own[~literal]
+    if len(hits):
+        # A copy has the slot of the pixel it leads to; a cached colour is that of the last pixel before it in its slot.
+        slots = np.zeros(n, np.int64)
+        slots[own[literal]] = _cache_slots(_argb(out[own[literal]]), cache_bits)
+        slots[hits] = rows[~literal, 0] - 256 - N_LENGTH_CODES
+        slots[copies] = slots[source[copies]]
+        source[hits] = _before(slots)[hits]
+        source[n] = n
+        _settle(source, np.concatenate([hits, copies]))
+    return out[source[:n]]
+
+
+def _cache_slots(argb: np.ndarray, cache_bits: int) -> np.ndarray:
+    return ((argb.astype(np.uint64) * np.uint64(CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).astype(np.int64)
+
+
+def _before(slots: np.ndarray) -> np.ndarray:
+    """For each pixel the last one before it with the same slot; the number of pixels where there is none."""
+    order = np.argsort(slots.astype(np.int16), kind="stable")
+    out = np.full(len(slots), len(slots), np.int64)
+    same = slots[order[1:]] == slots[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
 
 
 def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -228,51 +338,27 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         tiles = entropy[:, 0].astype(np.int64) << 8 | entropy[:, 1]
         n_groups = int(tiles.max()) + 1
     cache_size = 1 << cache_bits if cache_bits else 0
-    groups = [[read_code(bits, a) for a in (256 + N_LENGTH_CODES + cache_size, 256, 256, 256, N_DISTANCE_CODES)] for _ in range(n_groups)]
+    groups = [[read_code(bits, 256 + N_LENGTH_CODES + cache_size), *_read_alike(bits), read_code(bits, N_DISTANCE_CODES)] for _ in range(n_groups)]
+    if n_groups == 1:
+        return _read_pixels(bits, groups[0], n, width, cache_bits)
     out, at = np.zeros((n, 4), np.uint8), 0
     cache = np.zeros((cache_size, 4), np.uint8)
-    flat = n_groups == 1 and not cache_size and all(c.width is not None for c in groups[0][:4])
-    chunk = 256
-
-    def remember(start: int, end: int) -> None:
-        for p in out[start:end]:
-            cache[_cache_slot(p, cache_bits)] = p
-
     while at < n:
-        codes = groups[int(tiles[(at // width >> tile_bits) * tiles_across + (at % width >> tile_bits)])] if tiles is not None else groups[0]
-        if flat:
-            want = min(chunk, n - at)
-            px, got = _read_flat(bits, codes, want)
-            out[at : at + got] = px
-            at += got
-            if got == want:
-                chunk = min(1 << 14, 4 * chunk)
-                continue
-            chunk = 256
+        codes = groups[int(tiles[(at // width >> tile_bits) * tiles_across + (at % width >> tile_bits)])]
         s = codes[0].read(bits)
         if s < 256:
             out[at] = codes[1].read(bits), s, codes[2].read(bits), codes[3].read(bits)
             end = at + 1
         elif s < 256 + N_LENGTH_CODES:
-            length = _value(s - 256, bits)
-            distance = _value(codes[4].read(bits), bits)
-            if distance > len(NEAR):
-                distance -= len(NEAR)
-            else:
-                dx, dy = NEAR[distance - 1]
-                distance = max(1, dx + dy * width)
-            if distance > at or at + length > n:
-                raise ValueError("a back-reference leaves the image")
+            length, distance = _reference(bits, s, codes[4], width, at, n)
             end = at + length
-            if distance >= length:
-                out[at:end] = out[at - distance : at - distance + length]
-            else:
-                out[at:end] = np.resize(out[at - distance : at], (length, 4))
+            out[at:end] = np.resize(out[at - distance : min(at, at - distance + length)], (length, 4))
         else:
             out[at] = cache[s - 256 - N_LENGTH_CODES]
             end = at + 1
         if cache_size:
-            remember(at, end)
+            for p in out[at:end]:
+                cache[_cache_slot(p, cache_bits)] = p
         at = end
     return out
 
@@ -299,11 +385,34 @@ def _predict(mode: int, left, top, top_left, top_right):
     }[mode]()
 
 
+def _predict_along(px: np.ndarray, axis: int, forward: bool) -> np.ndarray:
+    """``predictor`` with the left pixel (axis 1) or the upper one (axis 0) everywhere; a first row goes by the left, a first column by the upper one."""
+    black = np.array([0, 0, 0, 255], np.uint8)
+    if forward:
+        out = px.copy()
+        if axis:
+            out[:, 1:] -= px[:, :-1]
+            out[1:, 0] -= px[:-1, 0]
+        else:
+            out[1:] -= px[:-1]
+            out[0, 1:] -= px[0, :-1]
+        out[0, 0] -= black
+        return out
+    out = px.copy()
+    out[0, 0] += black
+    edge = out[:, 0] if axis else out[0]
+    edge[:] = np.cumsum(edge, axis=0, dtype=np.uint8)
+    return np.cumsum(out, axis=axis, dtype=np.uint8)
+
+
 UPPER_ONLY = (0, 2, 3, 4, 8, 9, 14, 15)
 
 
 def predictor(px: np.ndarray, width: int, height: int, modes: np.ndarray, tile_bits: int, forward: bool) -> np.ndarray:
     """Residuals from pixels (forward) or pixels from residuals; modes by tile."""
+    mode = int(modes[0])
+    if mode in (1, 2) and (modes == mode).all():
+        return _predict_along(px.reshape(height, width, 4), mode % 2, forward).reshape(-1, 4)
     given = px.astype(np.int64).reshape(height, width, 4)
     out = np.zeros_like(given)
     known = given if forward else out
@@ -412,31 +521,44 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray]:
 
 
 class Writer:
+    """Numbers, each in so many bits, one after the other, the lowest bit first."""
+
     def __init__(self):
-        self.parts: list[np.ndarray] = []
-        self.held, self.n = 0, 0
+        self.values: list[np.ndarray] = []
+        self.widths: list[np.ndarray] = []
+        self.held: list[int] = []
+        self.held_widths: list[int] = []
 
     def put(self, value: int, n: int) -> None:
-        self.held |= value << self.n
-        self.n += n
+        self.held.append(value)
+        self.held_widths.append(n)
 
     def put_rows(self, values: np.ndarray, widths: np.ndarray) -> None:
-        """The lowest bits of each value, as many as its width (at most 64) says."""
         self._flush()
-        for at in range(0, len(values), 1 << 16):
-            part, own = values[at : at + (1 << 16)], widths[at : at + (1 << 16)]
-            bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            n = int(own[0])
-            self.parts.append(bits[:, :n].reshape(-1) if (own == n).all() else bits[np.arange(64) < own[:, None]])
+        self.values.append(values)
+        self.widths.append(widths)
 
     def _flush(self) -> None:
-        if self.n:
-            self.parts.append(np.unpackbits(np.frombuffer(self.held.to_bytes(-(-self.n // 8), "little"), np.uint8), bitorder="little")[: self.n])
-            self.held = self.n = 0
+        if self.held:
+            self.values.append(np.array(self.held, np.uint64))
+            self.widths.append(np.array(self.held_widths, np.uint64))
+            self.held, self.held_widths = [], []
 
     def bytes(self) -> bytes:
+        """Every number has less than 64 bits, so in each word of 64 one begins, and at most one goes on in the next."""
         self._flush()
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+        values, widths = np.concatenate(self.values), np.concatenate(self.widths)
+        ends = np.cumsum(widths)
+        total = int(ends[-1])
+        begins = ends - widths
+        word, shift = (begins >> np.uint64(6)).astype(np.int64), begins & np.uint64(63)
+        heads = np.nonzero(np.diff(word, prepend=-1))[0]
+        out = np.zeros(len(heads) + 1, np.uint64)
+        out[:-1] = np.bitwise_or.reduceat(values << shift, heads)
+        last = np.append(heads[1:], len(word)) - 1
+        over = shift[last] + widths[last] > 64
+        out[1:][over] |= values[last][over] >> (np.uint64(64) - shift[last][over])
+        return out.astype("<u8").tobytes()[: -(-total // 8)]
 
 
 def flat_lengths(used: np.ndarray, alphabet: int) -> np.ndarray:
@@ -455,60 +577,83 @@ def flat_lengths(used: np.ndarray, alphabet: int) -> np.ndarray:
     return lengths
 
 
-def huffman_lengths(counts: np.ndarray) -> np.ndarray:
-    """Code lengths by frequency; counts are flattened until no code is longer than 15 bits."""
-    import heapq
-
-    counts = counts.copy()
+def huffman_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
+    """Code lengths by frequency; counts are flattened until no code is longer than ``most`` bits."""
+    used = np.nonzero(counts)[0]
+    lengths = np.zeros(len(counts), np.int64)
+    if len(used) < 2:
+        lengths[used] = 1
+        return lengths
     while True:
-        lengths = np.zeros(len(counts), np.int64)
-        heap = [(int(n), k, [k]) for k, n in enumerate(counts) if n]
-        if len(heap) < 2:
-            for _, _, members in heap:
-                lengths[members] = 1
-            return lengths
-        heapq.heapify(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            lengths[a[2] + b[2]] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if lengths.max() <= 15:
+        order = used[np.argsort(counts[used], kind="stable")]
+        # Leaves in order and the sums made of them, which come in order too, are two queues.
+        n = len(order)
+        weight, parent = counts[order].tolist() + [0] * (n - 1), [0] * (2 * n - 1)
+        leaf, inner = 0, n
+        for made in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if leaf < n and (inner >= made or weight[leaf] <= weight[inner]):
+                    take, leaf = leaf, leaf + 1
+                else:
+                    take, inner = inner, inner + 1
+                total += weight[take]
+                parent[take] = made
+            weight[made] = total
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:n]) <= most:
+            lengths[order] = depth[:n]
             return lengths
         counts = np.where(counts, counts // 2 + 1, 0)
 
 
-def write_code(w: Writer, lengths: np.ndarray) -> None:
-    used = np.nonzero(lengths)[0]
-    if len(used) <= 1 and (not len(used) or used[0] < 256):
-        w.put(1, 1)
-        w.put(0, 1)
-        w.put(1, 1)
-        w.put(int(used[0]) if len(used) else 0, 8)
+def write_code(w: Writer, lengths: np.ndarray, times: int = 1) -> None:
+    """Write a code's lengths, so many times."""
+    used = np.nonzero(lengths)[0].tolist()
+    if len(used) <= 2 and (not used or used[-1] < 256):
+        for _ in range(times):
+            w.put(1 | (len(used) == 2) << 1 | 1 << 2, 3)
+            for s in used or [0]:
+                w.put(s, 8)
         return
-    w.put(0, 1)
-    limit = max(2, int(used[-1]) + 1)
-    values = np.nonzero(np.bincount(lengths[:limit], minlength=16))[0]
-    values = np.array([0, values[0]]) if len(values) == 1 else values
-    if len(values) > 2:
-        own = flat_lengths(values, 16)
-    else:
-        own = np.zeros(16, np.int64)
-        own[values] = 1
-    last = max(k for k, s in enumerate(CODE_LENGTH_ORDER) if s < 16 and own[s])
-    w.put(max(0, last + 1 - 4), 4)
-    for k in range(max(4, last + 1)):
-        s = CODE_LENGTH_ORDER[k]
-        w.put(int(own[s]) if s < 16 else 0, 3)
-    w.put(1, 1)
+    # Lengths one by one, runs of unused symbols by their number.
+    own = lengths[used].tolist()
+    tokens, extra, wide, start, following = [], [], [], 0, 0
+    for stop in [*(k for k in range(1, len(used)) if used[k] != used[k - 1] + 1), len(used)]:
+        gap = used[start] - following
+        while gap > 2:
+            run = min(gap, 138)
+            gap -= run
+            tokens.append(17 if run < 11 else 18)
+            extra.append(run - (3 if run < 11 else 11))
+            wide.append(3 if run < 11 else 7)
+        plain = gap + stop - start
+        tokens += [0] * gap + own[start:stop]
+        extra += [0] * plain
+        wide += [0] * plain
+        start, following = stop, used[stop - 1] + 1
+    kinds = np.array(tokens)
+    limit = len(tokens)
     nbits = max(2, -(-(limit - 2).bit_length() // 2) * 2)
-    w.put((nbits - 2) // 2, 3)
-    w.put(limit - 2, nbits)
-    if len(values) == 2:
-        w.put(int.from_bytes(np.packbits(lengths[:limit] == values[1], bitorder="little").tobytes(), "little"), limit)
-        return
-    codes, bits = code_arrays(own)
-    for n in lengths[:limit]:
-        w.put(int(codes[n]), int(bits[n]))
+    head = (len(CODE_LENGTH_ORDER) - 4 << 1, 5), *((HEADER_LENGTHS[s], 3) for s in CODE_LENGTH_ORDER), (1 | (nbits - 2) // 2 << 1 | limit - 2 << 4, 4 + nbits)
+    codes, bits = _header_code()
+    widths = bits[kinds]
+    values, widths = codes[kinds] | np.array(extra, np.uint64) << widths, widths + np.array(wide, np.uint64)
+    for _ in range(times):
+        for value, n in head:
+            w.put(value, n)
+        w.put_rows(values, widths)
+
+
+#: Lengths of the codes in which code lengths are written, by symbol: those that pixel data has most are short.
+HEADER_LENGTHS = (5, 5, 5, 5, 4, 3, 3, 3, 3, 4, 5, 5, 6, 6, 6, 6, 5, 4, 5)
+
+
+@cache
+def _header_code() -> tuple[np.ndarray, np.ndarray]:
+    return code_arrays(np.array(HEADER_LENGTHS))
 
 
 def _prefix(value: int) -> tuple[int, int, int]:
@@ -549,78 +694,135 @@ def matches(argb: np.ndarray) -> list[tuple[int, int, int]]:
     return found
 
 
-def write_image(w: Writer, px: np.ndarray, main: bool, cache_bits: int = 0, by_frequency: bool = False, references: bool = True) -> None:
-    argb = _argb(px)
-    found = matches(argb) if references and main else []
-    cache_size = 1 << cache_bits if cache_bits else 0
-    # A token is a literal run (start, end), a reference or a cached colour.
-    tokens, at = [], 0
-    for i, length, distance in found:
-        if i > at:
-            tokens.append(("run", at, i))
-        tokens.append(("ref", length, distance))
-        at = i + length
-    if at < len(px):
-        tokens.append(("run", at, len(px)))
-    if cache_size:
-        cache, wide, pos = np.zeros(cache_size, np.int64), [], 0
-        for kind, a, b in tokens:
-            end = pos + (b - a if kind == "run" else a)
-            if kind == "ref":
-                wide.append((kind, a, b))
-            for p in range(pos, end):
-                slot = _cache_slot(px[p], cache_bits)
-                if kind == "run":
-                    wide.append(("hit", slot, 0) if cache[slot] == int(argb[p]) else ("run", p, p + 1))
-                cache[slot] = int(argb[p])
-            pos = end
-        tokens = wide
-    literal = np.zeros(len(px), bool)
-    for kind, a, b in tokens:
-        if kind == "run":
-            literal[a:b] = True
-    counts = [np.bincount(px[literal, c], minlength=256) for c in (1, 0, 2, 3)]
-    counts[0] = np.concatenate([counts[0], np.zeros(N_LENGTH_CODES + cache_size, np.int64)])
+def _bits_of(counts: np.ndarray) -> np.ndarray:
+    """About how many bits symbols with these counts, a row for each code, take; their code lengths among them."""
+    c = np.maximum(counts, 1)
+    sums, used = counts.sum(axis=-1), (counts > 0).sum(axis=-1)
+    return sums * np.log2(np.maximum(sums, 1)) - (counts * LOGARITHMS.take(c, mode="clip") if sums.max(initial=0) < len(LOGARITHMS) else counts * np.log2(c)).sum(axis=-1) + LENGTH_BITS * np.where(used > 1, used, 0)
+
+
+LOGARITHMS = np.log2(np.maximum(np.arange(1 << 12), 1))
+_CHANNELS = np.array([256, 0, 512, 768])
+
+
+def _histograms(px: np.ndarray) -> np.ndarray:
+    """(4, 256): how often each value stands in green, red, blue and alpha."""
+    return np.bincount((px + _CHANNELS).reshape(-1), minlength=1024).reshape(4, 256)
+
+
+def _sizes(images: list[np.ndarray]) -> np.ndarray:
+    """About how many bits the literal pixels of each image take."""
+    return _bits_of(np.stack([_histograms(x) for x in images])).sum(axis=-1)
+
+
+def _counts(px: np.ndarray, literal: np.ndarray, hits: np.ndarray, refs: list[tuple[int, int, int]], cache_size: int) -> list[np.ndarray]:
+    """Symbol counts of the five codes. literal: pixels given in full; hits: slots of those that come from the cache."""
+    counts = list(_histograms(px[literal]))
+    counts[0] = np.concatenate([counts[0], np.zeros(N_LENGTH_CODES, np.int64), np.bincount(hits, minlength=cache_size)[:cache_size].astype(np.int64)])
     counts.append(np.zeros(N_DISTANCE_CODES, np.int64))
-    for kind, a, b in tokens:
-        if kind == "ref":
-            counts[0][256 + _prefix(a)[0]] += 1
-            counts[4][_prefix(b + len(NEAR))[0]] += 1
-        elif kind == "hit":
-            counts[0][256 + N_LENGTH_CODES + a] += 1
-    lengths = [huffman_lengths(c) if by_frequency else flat_lengths(np.nonzero(c)[0], len(c)) for c in counts]
+    for _, length, distance in refs:
+        counts[0][256 + _prefix(length)[0]] += 1
+        counts[4][_prefix(distance + len(NEAR))[0]] += 1
+    return counts
+
+
+def write_image(w: Writer, px: np.ndarray, main: bool, cache_bits: int | None = 0, by_frequency: bool = True, references: bool = True) -> None:
+    """cache_bits: None lets a colour cache be chosen where it is smaller."""
+    argb, n = _argb(px), len(px)
+    refs = matches(argb) if references and main else []
+    begins = np.ones(n, bool)  # where a token begins
+    starts = np.zeros(n, bool)
+    for at, length, _ in refs:
+        begins[at + 1 : at + length] = False
+        starts[at] = True
+    place = np.nonzero(begins)[0]
+    single = place[~starts[place]]
+
+    def from_cache(bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which single pixels the cache holds when they come, and all pixels' slots."""
+        slots = _cache_slots(argb, bits)
+        before = _before(slots)
+        return (np.append(argb, 0).take(before) == argb)[single] & (before[single] < n), slots
+
+    literal, hits, counts, held = single, single[:0], None, None
+    if cache_bits is None:
+        cache_bits, counts = min(MAX_CACHE, max(2, n.bit_length() - CACHE_SHARE)), _counts(px, single, single[:0], refs, 0)
+        held, slots = from_cache(cache_bits)
+        each = _bits_of(np.stack([counts[0][:256], *counts[1:4]])).sum() / max(1, len(single))
+        # A cached colour takes about as many bits as the cache's size has, and its slot a code length; less than a sixteenth gained is not worth the time.
+        gain = held.sum() * (each - cache_bits - 1) - LENGTH_BITS * np.count_nonzero(np.bincount(slots[single[held]]))
+        if gain * LEAST_GAIN <= each * len(single):
+            cache_bits, held = 0, None
+    elif cache_bits:
+        held, slots = from_cache(cache_bits)
+    if held is not None:
+        literal, hits = single[~held], single[held]
+    if counts is None or held is not None:
+        counts = _counts(px, literal, slots[hits] if len(hits) else hits, refs, 1 << cache_bits if cache_bits else 0)
+    # Samples of one kind of data are alike in red, blue and alpha, so one code serves them where each has several values.
+    alike = main and all(np.count_nonzero(c) > 1 for c in counts[1:4])
+    own = [counts[0], counts[1] + counts[2] + counts[3], counts[4]] if alike else counts
+    lengths = [huffman_lengths(c) if by_frequency else flat_lengths(np.nonzero(c)[0], len(c)) for c in own]
+    codes = [code_arrays(one) for one in lengths]
     w.put(1 if cache_bits else 0, 1)
     if cache_bits:
         w.put(cache_bits, 4)
     if main:
         w.put(0, 1)
-    for one in lengths:
-        write_code(w, one)
-    codes = [code_arrays(one) for one in lengths]
-
-    def put(k: int, symbol: int) -> None:
-        w.put(int(codes[k][0][symbol]), int(codes[k][1][symbol]))
-
-    for kind, a, b in tokens:
-        if kind == "run":
-            value, shift = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
-            for k, channel in enumerate((1, 0, 2, 3)):
-                value |= codes[k][0][px[a:b, channel]] << shift
-                shift += codes[k][1][px[a:b, channel]]
-            w.put_rows(value, shift)
-        elif kind == "ref":
-            code, extra, n = _prefix(a)
-            put(0, 256 + code)
-            w.put(extra, n)
-            code, extra, n = _prefix(b + len(NEAR))
-            put(4, code)
-            w.put(extra, n)
-        else:
-            put(0, 256 + N_LENGTH_CODES + a)
-
-
-def encode(px: np.ndarray, width: int, height: int, transforms: tuple[int, ...] | None = None, tile_bits: int = 2, modes=None, elements=None, cache_bits: int = 0, by_frequency: bool = False) -> bytes:
-    """A lossless WebP file. transforms: None lets a palette be chosen where it is smaller."""
+    for one, times in zip(lengths, (1, 3, 1) if alike else (1,) * 5):
+        write_code(w, one, times)
+    codes = [codes[0], *codes[1:2] * 3, codes[2]] if alike else codes
+    value, wide = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    whole = px[literal]
+    v, k = np.zeros(len(literal), np.uint64), np.zeros(len(literal), np.uint64)
+    for (code, bits), channel in zip(codes, (1, 0, 2, 3)):
+        v |= code[whole[:, channel]] << k
+        k += bits[whole[:, channel]]
+    value[literal], wide[literal] = v, k
+    if len(hits):
+        symbols = 256 + N_LENGTH_CODES + _cache_slots(argb[hits], cache_bits)
+        value[hits], wide[hits] = codes[0][0][symbols], codes[0][1][symbols]
+    for at, length, distance in refs:
+        v = k = 0
+        for (code, bits), base, number in ((codes[0], 256, length), (codes[4], 0, distance + len(NEAR))):
+            symbol, extra, more = _prefix(number)
+            v |= int(code[base + symbol]) << k
+            k += int(bits[base + symbol])
+            v |= extra << k
+            k += more
+        value[at], wide[at] = v, k
+    w.put_rows(value[place], wide[place])
+
+
+def _slope(of: np.ndarray, on: np.ndarray) -> int:
+    """The multiplier, in 32nds, with which one signed channel foretells another best."""
+    x, y, n = on.astype(np.int8).astype(np.int64), of.astype(np.int8).astype(np.int64), len(on)
+    total = int(x.sum())
+    spread = n * int((x * x).sum()) - total * total
+    return max(-128, min(127, round(32 * (n * int((x * y).sum()) - total * int(y.sum())) / spread))) if spread > 0 else 0
+
+
+def choose_transforms(px: np.ndarray, width: int, height: int) -> tuple[tuple[int, ...], int, tuple[int, int, int]]:
+    """(transforms, predictor mode, cross-colour multipliers) with which the pixels are estimated to be smallest."""
+    tiles = -(-width >> MAX_TILE_BITS) * -(-height >> MAX_TILE_BITS)
+    left, upper = (predictor(px, width, height, np.full(tiles, m), MAX_TILE_BITS, True) for m in (1, 2))
+    sizes = _sizes([px, left, upper])
+    sizes[1:] += TRANSFORM_BITS
+    best = int(sizes.argmin())
+    chosen, plain, size = ((), px, sizes[0]) if best == 0 else ((PREDICTOR,), (left, upper)[best - 1], sizes[best])
+    blue, red = _slope(plain[:, 2], plain[:, 1]), _slope(plain[:, 0], plain[:, 1])
+    elements, options = (0, blue & 255, red & 255), [subtract_green(plain, True)]
+    if max(abs(blue), abs(red)) >= LEAST_SLOPE:
+        options.append(cross_colour(plain, width, height, np.tile(np.array(elements, np.uint8), (tiles, 1)), MAX_TILE_BITS, True))
+    sizes = _sizes(options)
+    sizes[1:] += TRANSFORM_BITS
+    if sizes.min() < size:
+        chosen += ((SUBTRACT_GREEN, CROSS_COLOUR)[int(sizes.argmin())],)
+    return chosen, max(1, best), elements
+
+
+def encode(px: np.ndarray, width: int, height: int, transforms: tuple[int, ...] | None = None, tile_bits: int = 2, modes=None, elements=None, cache_bits: int | None = None, by_frequency: bool = True) -> bytes:
+    """A lossless WebP file. transforms, cache_bits: None lets them be chosen by their estimated size."""
     w = Writer()
     w.put(0x2F, 8)
     w.put(width - 1, 14)
@@ -629,12 +831,18 @@ def encode(px: np.ndarray, width: int, height: int, transforms: tuple[int, ...]
     w.put(0, 3)
     colours = None
     if transforms is None or PALETTE in transforms:
-        colours, indices = np.unique(_argb(px), return_inverse=True)
+        argb = _argb(px)
+        colours = np.unique(argb)
         n = len(colours)
         chosen = n <= 256 and (transforms is not None or 40 * n + len(px) * (8 >> bundle_bits(n)) < 26 * len(px))
         if transforms is not None and not chosen:
             raise ValueError("too many colours for a palette")
-        transforms = (transforms or (PALETTE,)) if chosen else ()
+        if transforms is None and chosen:
+            transforms = (PALETTE,)
+        elif transforms is None:
+            tile_bits = MAX_TILE_BITS
+            transforms, mode, elements = choose_transforms(px, width, height)
+            modes = [mode]
     across, down = -(-width >> tile_bits), -(-height >> tile_bits)
     for kind in transforms:
         w.put(1, 1)
@@ -660,7 +868,7 @@ def encode(px: np.ndarray, width: int, height: int, transforms: tuple[int, ...]
             per, step = 1 << n, 8 >> n
             across_bundled = -(-width >> n)
             grid = np.zeros((height, across_bundled * per), np.uint8)
-            grid[:, :width] = indices.reshape(height, width)
+            grid[:, :width] = np.searchsorted(colours, argb).reshape(height, width)
             px = np.zeros((height * across_bundled, 4), np.uint8)
             px[:, 1] = (grid.reshape(-1, per) << (np.arange(per) * step).astype(np.uint8)).astype(np.uint8).sum(axis=1, dtype=np.uint8)
             px[:, 3] = 255
