@@ -582,11 +582,13 @@ def test_leaks_equal_the_subsequence_rule_over_all_windows(spark, monkeypatch, b
 
 
 def test_license_places(spark):
-    texts = ["CC BY and cc-by. cc by", "GNU General Public\nLicense", "all rights, reserved! All Rights", "license general public", None, "This work is licenced under a Creative Commons attribution license", "permission is hereby granted, free of charge, to any person who is obtaining a copy of this software and associated docs"]
+    texts = ["CC BY and cc-by. cc by", "GNU General Public\nLicense", "all rights, reserved! All Rights", "license general public", None, "This work is licenced under a Creative Commons attribution license", "permission is hereby granted, free of charge, to any person who is obtaining a copy of this software and associated docs", "\u212a cc by \u0130 of a\u212a"]
     rows = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, texts)).collect()}
     assert (rows[0].n_base, rows[0].first_word, rows[0].last_word, rows[0].base_labels, rows[0].n_words) == (3, 0, 5, "cc-by", 7)
     assert (rows[1].n_base, rows[1].base_labels) == (1, "gpl") and (rows[2].n_base, rows[2].base_labels, rows[2].score) == (1, "reserved", 1.0)
     assert (rows[3].n_base, rows[3].first_word, rows[3].base_labels) == (0, None, "") and rows[4].n_words == 0
+    # Only A to Z are lowered: the Kelvin sign is no k.
+    assert (rows[7].n_words, rows[7].n_base, rows[7].first_word) == (6, 1, 1)
     assert rows[5].labels == "cc-notice" and rows[6].labels == "mit-notice" and rows[6].n_base == 0
 
 
@@ -605,6 +607,40 @@ def test_repeated_chunks_go_and_first_ones_stay(spark):
     assert out[3].text == "" and out[3].n_removed > 0 and out[6].text == "" and out[5].text == texts[5]
 
 
+def test_line_dedup_equals_brute_force(spark):
+    """Every passage of every text compared with all others, byte by byte, in plain loops."""
+    rng = random.Random(17)
+    lines = [words(rng, rng.randrange(1, 9), 60) for _ in range(40)] + [words(rng, 55, 400) for _ in range(4)] + ["", "  ", "\t"]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 14))) for _ in range(60)] + ["same\nlines\nhere"] * 90 + [None, "", "\n"]
+    first, places = {}, defaultdict(list)
+    for k, text in enumerate(texts):
+        data = (text or "").encode()
+        for start, end in linededup.passages(data):
+            places[data[start:end]].append((k, start))
+    for data, own in places.items():
+        first[data] = min(own)
+    expected = []
+    for k, text in enumerate(texts):
+        if text is None:
+            expected.append(None)
+            continue
+        data, gone = text.encode(), bytearray(len(text.encode()) + 1)
+        for start, end in linededup.passages(data):
+            if first[data[start:end]] != (k, start):
+                gone[start:end] = b"\1" * (end - start)
+        # A run of removed bytes takes the line break after it along, or at the text's end the one before it.
+        out, at, cut_at_end = [], 0, False
+        for i in range(len(data)):
+            after_gone = i > 0 and gone[i - 1] and data[i : i + 1] == b"\n"
+            if not gone[i] and not after_gone:
+                out.append(data[i : i + 1])
+        ends_gone = len(data) > 0 and gone[len(data) - 1]
+        result = b"".join(out)
+        expected.append((result.removesuffix(b"\n") if ends_gone else result).decode())
+    found = {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, texts)).collect()}
+    assert [found[k] for k in range(len(texts))] == expected
+
+
 def test_chunks_cover_a_text_and_shift_with_it():
     rng = random.Random(8)
     data = "\n".join(words(rng, 5) for _ in range(60)).encode()
@@ -650,6 +686,85 @@ def test_webp_round_trip(transforms, cache_bits, by_frequency):
         assert (w, h) == (width, height) and (back == px).all()
 
 
+def features_of(data):
+    """Which transforms a file has, and whether its image has a colour cache and codes of several lengths."""
+    seen, cached, uneven = [], [], []
+    bits = webp.Bits(data[20:])
+    bits.skip(8 + 14 + 14 + 1 + 3)
+    code, read_pixels = webp.read_code, webp._read_pixels
+
+    def spy_code(bits, alphabet):
+        found = code(bits, alphabet)
+        uneven.append(len(set(found.lengths.tolist())) > 1)
+        return found
+
+    def spy_pixels(bits, codes, n, width, cache_bits):
+        cached.append(cache_bits)
+        return read_pixels(bits, codes, n, width, cache_bits)
+
+    webp.read_code, webp._read_pixels = spy_code, spy_pixels
+    undone = {k: getattr(webp, k) for k in ("predictor", "cross_colour", "subtract_green")}
+    for k, f in undone.items():
+        setattr(webp, k, lambda *a, k=k, f=f: (seen.append(k), f(*a))[1])
+    try:
+        pixels = webp.decode(data)[2]
+    finally:
+        webp.read_code, webp._read_pixels = code, read_pixels
+        for k, f in undone.items():
+            setattr(webp, k, f)
+    return pixels, set(seen), cached[-1], any(uneven)
+
+
+def test_webp_features_are_chosen_where_they_pay():
+    rng = np.random.default_rng(21)
+    y, x = np.mgrid[0:64, 0:64]
+    noise = rng.integers(0, 3, (64, 64))
+    slope = np.stack([3 * x + noise, 2 * y + x, x + y + noise, np.full_like(x, 255)], axis=-1).astype(np.uint8).reshape(-1, 4)
+    pixels, seen, _, uneven = features_of(webp.encode(slope, 64, 64))
+    assert (pixels == slope).all() and "predictor" in seen and uneven
+    green = rng.integers(0, 120, (64, 64))
+    tied = np.stack([green // 2 + noise, green, green // 4 + noise, rng.integers(0, 99, (64, 64))], axis=-1).astype(np.uint8).reshape(-1, 4)
+    pixels, seen, _, _ = features_of(webp.encode(tied, 64, 64))
+    assert (pixels == tied).all() and "cross_colour" in seen
+    equal = np.stack([green + noise, green, green + noise, green], axis=-1).astype(np.uint8).reshape(-1, 4)
+    pixels, seen, _, _ = features_of(webp.encode(equal, 64, 64))
+    assert (pixels == equal).all() and "subtract_green" in seen
+    few = rng.integers(0, 256, (400, 4)).astype(np.uint8)[rng.zipf(1.3, 4096) % 400]
+    pixels, _, cache_bits, _ = features_of(webp.encode(few, 64, 64))
+    assert (pixels == few).all() and cache_bits > 0
+    text = np.frombuffer(media.padded((words(random.Random(3), 700, 90) + ".").encode()), np.uint8).reshape(-1, 4)
+    data = media.to_media(text.tobytes())
+    pixels, _, _, uneven = features_of(data)
+    assert (pixels.reshape(-1)[: text.size] == text.reshape(-1)).all() and uneven and data == media.to_media(text.tobytes())
+
+
+def test_webp_file_made_elsewhere():
+    """A published lossless file of one pixel, made to tell whether a browser reads the format."""
+    import base64
+
+    width, height, px = webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))
+    assert (width, height, px.shape) == (1, 1, (1, 4))
+
+
+def test_uniform_predictors_equal_pixel_by_pixel():
+    rng = np.random.default_rng(2)
+    for width, height in ((1, 1), (1, 6), (7, 1), (5, 9)):
+        px = rng.integers(0, 256, (width * height, 4)).astype(np.uint8)
+        for mode in (1, 2):
+            image, expected = px.reshape(height, width, 4), np.zeros((height, width, 4), np.uint8)
+            for y in range(height):
+                for x in range(width):
+                    if x == 0 and y == 0:
+                        before = np.array([0, 0, 0, 255], np.uint8)
+                    elif y == 0 or x and mode == 1:
+                        before = image[y, x - 1]
+                    else:
+                        before = image[y - 1, x]
+                    expected[y, x] = image[y, x] - before
+            residual = webp.predictor(px, width, height, np.array([mode]), 9, True)
+            assert (residual == expected.reshape(-1, 4)).all() and (webp.predictor(residual, width, height, np.array([mode]), 9, False) == px).all()
+
+
 def test_webp_references_and_broken_files():
     px = np.tile(np.arange(64, dtype=np.uint8).reshape(16, 4), (40, 1))
     data = webp.encode(px, 16, 40, ())
