@@ -18,6 +18,17 @@ def explode_instances(frames: DataFrame, instances: str = "instances") -> DataFr
     return frames.select(*kept, F.posexplode(instances).alias("at", "i")).select(*kept, (F.col("at") + 1).alias("instance_index"), "i.*")
 
 
+def alike(counted: Column | None = None, frame: tuple[str, ...] = FRAME, key: str = "category_key") -> Column:
+    """How many instances of the frame have the row's category, or how many of them that count."""
+    return F.count_if(F.lit(True) if counted is None else counted).over(Window.partitionBy(*frame, key))
+
+
+def named(rules: AuditRules = AuditRules()) -> Column:
+    """A category that names something: neither empty nor generic."""
+    key = F.col("category_key")
+    return (key != "") & ~key.isin(*rules.generic_categories) if rules.generic_categories else key != ""
+
+
 def flag_instances(instances: DataFrame, rules: AuditRules = AuditRules(), frame: tuple[str, ...] = FRAME) -> DataFrame:
     """Adds geometric, oracle, natural, interior and natural_interior.
 
@@ -30,9 +41,7 @@ def flag_instances(instances: DataFrame, rules: AuditRules = AuditRules(), frame
     flagged = instances.withColumns({"geometric": geometric, "category_key": P.normalized_category(F.col("category"))})
     flagged = flagged.withColumn("oracle", P.oracle_valid(F.col("geometric"), box, width, height, rules))
     counted = {"all": F.lit(True), "geometric": F.col("geometric"), "oracle": F.col("oracle")}[rules.uniqueness_scope]
-    alike = F.count_if(counted).over(Window.partitionBy(*frame, "category_key"))
-    named = (F.col("category_key") != "") & ~F.col("category_key").isin(*rules.generic_categories) if rules.generic_categories else F.col("category_key") != ""
-    natural = F.col("oracle") & named & (alike == 1)
+    natural = F.col("oracle") & named(rules) & (alike(counted, frame) == 1)
     if rules.caption_required:
         natural &= F.coalesce(F.col("caption").rlike(r"(?U)\S"), F.lit(False))
     interior = P.interior_valid(box, width, height, rules.border_margin_px, rules.interior_mode, rules.margin_kind)

@@ -15,9 +15,10 @@ from relata.functions import predicates as P
 from relata.operators import audit
 from relata.params import AuditRules
 
-AREA_LEVELS = (0.0, 0.0025, 0.00375, 0.005)
+# The levels of the legibility grid, 64 configurations.
+AREA_LEVELS = (0.00125, 0.0025, 0.00375, 0.005)
 SIDE_LEVELS = (20.0, 30.0, 40.0, 50.0)
-BORDER_LEVELS = (0.0, 5.0, 10.0, 20.0)
+BORDER_LEVELS = (5.0, 10.0, 15.0, 20.0)
 MAX_GRID = 10_000
 
 
@@ -28,15 +29,18 @@ def legibility_grid(spark, areas=AREA_LEVELS, sides=SIDE_LEVELS, borders=BORDER_
     return spark.createDataFrame(rows, "area double, side double, border double")
 
 
-def sweep_counts(pairs: DataFrame, grid: DataFrame, frame: tuple[str, ...] = ("capture_id", "frame_index")) -> DataFrame:
-    """Pairs of each frame that pass each configuration.  The grid (bounded by ``MAX_GRID`` rows) is broadcast."""
+def sweep_counts(pairs: DataFrame, grid: DataFrame, candidates: DataFrame, frame: tuple[str, ...] = ("capture_id", "frame_index")) -> DataFrame:
+    """Pairs of each candidate frame that pass each configuration, 0 where none does.  The grid (bounded by ``MAX_GRID`` rows) is broadcast.
+
+    candidates: the frame's key and candidate_rank, each once; frames without any pair count too.
+    """
     passes = (F.col("minimum_box_area_fraction") >= F.col("area")) & (F.col("minimum_box_side_px") >= F.col("side")) & (F.col("minimum_border_margin_px") >= F.col("border"))
-    narrow = pairs.select(*frame, "minimum_box_area_fraction", "minimum_box_side_px", "minimum_border_margin_px")
-    return narrow.crossJoin(F.broadcast(grid)).groupBy(*frame, "area", "side", "border").agg(F.count_if(passes).alias("pair_count"))
+    narrow = candidates.select(*frame, "candidate_rank").join(pairs.select(*frame, "minimum_box_area_fraction", "minimum_box_side_px", "minimum_border_margin_px"), list(frame), "left")
+    return narrow.crossJoin(F.broadcast(grid)).groupBy(*frame, "candidate_rank", "area", "side", "border").agg(F.count_if(passes).alias("pair_count"))
 
 
-def sweep_best(counts: DataFrame, capture: str = "capture_id", order: tuple[str, ...] = ("frame_index",)) -> DataFrame:
-    """Per configuration and capture the frame with most pairs."""
+def sweep_best(counts: DataFrame, capture: str = "capture_id", order: tuple[str, ...] = ("candidate_rank", "frame_index")) -> DataFrame:
+    """Per configuration and capture the frame with most pairs, the better ranked one first."""
     rank = F.row_number().over(Window.partitionBy("area", "side", "border", capture).orderBy(F.desc("pair_count"), *order))
     return counts.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
 
@@ -57,46 +61,49 @@ BOX_FIELDS = ("box_2d_rend", "box_2d_proj")
 SCOPES = ("all", "geometric", "oracle")
 MODES = ("box", "center")
 PIPELINES = ("subset", "recompute")
-FRACTIONS = (0.0, 0.01, 0.02, 0.05)
-PIXELS = (0.0, 1.0, 5.0, 10.0, 20.0, 40.0)
-
-
-def rule_grid(spark, fractions=FRACTIONS, pixels=PIXELS) -> DataFrame:
-    margins = [("fraction", m) for m in fractions] + [("pixels", m) for m in pixels]
-    rows = [(box, scope, caption, mode, pipeline, kind, float(m)) for box in BOX_FIELDS for scope in SCOPES for caption in (False, True) for mode in MODES for pipeline in PIPELINES for kind, m in margins]
-    return spark.createDataFrame(rows, "box_field string, scope string, caption_required boolean, mode string, pipeline string, margin_kind string, margin double")
+# The margins that are tried, as fractions of the image and in pixels.
+FRACTIONS = (0.025, 0.05, 0.075, 0.10, 0.125, 0.15)
+PIXELS = (10.0, 20.0, 25.0, 30.0, 40.0, 50.0)
 
 
-def rule_counts(instances: DataFrame, grid: DataFrame, rules: AuditRules = AuditRules(), frame: tuple[str, ...] = audit.FRAME) -> DataFrame:
-    """Frame counts under every rule configuration.
+def rule_counts(instances: DataFrame, fractions: tuple[float, ...] = FRACTIONS, pixels: tuple[float, ...] = PIXELS, rules: AuditRules = AuditRules(), frame: tuple[str, ...] = audit.FRAME) -> DataFrame:
+    """Frame counts under every rule configuration: box, scope, caption rule, interior mode, pipeline and margin.
 
-    What a configuration's box, scope and caption rule decide is computed once
-    for each of their twelve combinations; only then does the (bounded,
-    broadcast) grid of margins multiply the rows.
+    All configurations are read off the counts of one category in one frame, so
+    instances are aggregated once for each box and never multiplied by the
+    margins.  An instance is alone in its category under a scope if the
+    category counts 1 there; where it is recomputed, among the valid instances
+    inside the margin.
     """
-    size = (F.col("width"), F.col("height"))
-    flagged = instances.withColumns({"geometric": P.geometric_valid(F.col("position"), F.col("scale"), F.col("corners")), "category_key": P.normalized_category(F.col("category"))})
-    boxes = F.array(*(F.struct(F.lit(b).alias("box_field"), F.col(b).alias("box")) for b in BOX_FIELDS))
-    wide = flagged.select(*frame, "instance_index", "width", "height", "geometric", "category_key", F.coalesce(F.col("caption").rlike(r"(?U)\S"), F.lit(False)).alias("captioned"), F.inline(boxes))
-    wide = wide.withColumn("oracle", P.oracle_valid(F.col("geometric"), F.col("box"), *size, rules))
-    alike = Window.partitionBy(*frame, "box_field", "category_key")
-    named = (F.col("category_key") != "") & ~F.col("category_key").isin(*(rules.generic_categories or ("",)))
-    counted = {"all": F.lit(True), "geometric": F.col("geometric"), "oracle": F.col("oracle")}
-    wide = wide.withColumns({f"unique_{s}": F.col("oracle") & named & (F.count_if(counted[s]).over(alike) == 1) for s in SCOPES})
-    joined = wide.crossJoin(F.broadcast(grid.withColumnRenamed("box_field", "__box"))).filter("box_field = __box").drop("__box")
-    allowed = ~F.col("caption_required") | F.col("captioned")
-    natural = allowed & F.when(F.col("scope") == "all", F.col("unique_all")).when(F.col("scope") == "geometric", F.col("unique_geometric")).otherwise(F.col("unique_oracle"))
-    fraction = F.col("margin_kind") == "fraction"
-    inside = [P.interior_valid(F.col("box"), *size, F.col("margin"), mode, kind) for mode in MODES for kind in ("fraction", "pixels")]
-    boxed = F.col("mode") == "box"
-    interior = F.when(boxed & fraction, inside[0]).when(boxed, inside[1]).when(fraction, inside[2]).otherwise(inside[3])
-    judged = joined.withColumns({"natural": natural, "interior": interior})
-    config = ["box_field", "scope", "caption_required", "mode", "pipeline", "margin_kind", "margin"]
-    scoped = F.when(F.col("scope") == "all", F.lit(True)).when(F.col("scope") == "geometric", F.col("geometric")).otherwise(F.col("oracle"))
-    again = F.count_if(F.col("interior") & F.col("oracle") & scoped).over(Window.partitionBy(*frame, *config, "category_key")) == 1
-    recomputed = F.col("interior") & F.col("oracle") & named & allowed & again
-    judged = judged.withColumn("natural_interior", F.when(F.col("pipeline") == "subset", F.col("natural") & F.col("interior")).otherwise(recomputed))
-    return judged.groupBy(*frame, *config).agg(F.count("*").alias("total"), *(F.count_if(c).alias(c) for c in ("geometric", "oracle", "natural", "natural_interior")))
+    margins = [("fraction", float(m)) for m in fractions] + [("pixels", float(m)) for m in pixels]
+    inner = [(mode, kind, m) for mode in MODES for kind, m in margins]
+    if len(BOX_FIELDS) * len(SCOPES) * 2 * len(PIPELINES) * len(inner) > MAX_GRID:
+        raise ValueError("too many configurations")
+    size, c = (F.col("width"), F.col("height")), F.col
+    flagged = instances.withColumns({"geometric": P.geometric_valid(c("position"), c("scale"), c("corners")), "category_key": P.normalized_category(c("category"))})
+    boxes = F.array(*(F.struct(F.lit(b).alias("box_field"), c(b).alias("box")) for b in BOX_FIELDS))
+    wide = flagged.select(*frame, "width", "height", "geometric", "category_key", F.coalesce(c("caption").rlike(r"(?U)\S"), F.lit(False)).alias("captioned"), F.inline(boxes)).withColumn("oracle", P.oracle_valid(c("geometric"), c("box"), *size, rules))
+    inside = [c("oracle") & P.interior_valid(c("box"), *size, m, mode, kind) for mode, kind, m in inner]
+    alone = wide.select("*", F.array(*inside).alias("inside")).groupBy(*frame, "box_field", "category_key").agg(
+        F.count("*").alias("all"), F.count_if("geometric").alias("geometric"), F.count_if("oracle").alias("oracle"), F.count_if(c("oracle") & c("captioned")).alias("oracle_captioned"),
+        *(F.count_if(c("inside")[k]).alias(f"in_{k}") for k in range(len(inner))), *(F.count_if(c("inside")[k] & c("captioned")).alias(f"in_captioned_{k}") for k in range(len(inner))),
+    )
+    known = audit.named(rules)
+    once = lambda scope, n: F.sum(F.when(known & (c(scope) == 1), c(n)).otherwise(0))
+    ways = {f"{s}_{caption}": (s, "_captioned" * caption) for s in SCOPES for caption in (False, True)}
+    sums = alone.groupBy(*frame, "box_field").agg(
+        *(F.sum(n).alias(f"n_{n}") for n in SCOPES), *(once(s, f"oracle{t}").alias(f"natural_{w}") for w, (s, t) in ways.items()),
+        *(F.array(*(once(s, f"in{t}_{k}") for k in range(len(inner)))).alias(f"subset_{w}") for w, (s, t) in ways.items()),
+        *(F.array(*(once(f"in_{k}", f"in{t}_{k}") for k in range(len(inner)))).alias(f"recompute_{caption}") for caption, t in ((False, ""), (True, "_captioned"))),
+    )
+    config = F.array(*(
+        F.struct(F.lit(s).alias("scope"), F.lit(caption).alias("caption_required"), F.lit(pipeline).alias("pipeline"), c(f"natural_{s}_{caption}").alias("natural"), c(f"subset_{s}_{caption}" if pipeline == "subset" else f"recompute_{caption}").alias("interior"))
+        for s in SCOPES for caption in (False, True) for pipeline in PIPELINES
+    ))
+    margin = F.array(*(F.struct(F.lit(mode).alias("mode"), F.lit(kind).alias("margin_kind"), F.lit(m).alias("margin")) for mode, kind, m in inner))
+    per_rule = sums.select(*frame, "box_field", c("n_all").alias("total"), c("n_geometric").alias("geometric"), c("n_oracle").alias("oracle"), F.inline(config))
+    found = per_rule.select("*", F.inline(F.arrays_zip(margin.alias("at"), c("interior").alias("natural_interior"))))
+    return found.select(*frame, "box_field", "scope", "caption_required", "at.mode", "pipeline", "at.margin_kind", "at.margin", "total", "geometric", "oracle", "natural", "natural_interior")
 
 
 def config_matches(counts: DataFrame, reference: DataFrame, frame: tuple[str, ...] = audit.FRAME) -> DataFrame:

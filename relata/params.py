@@ -5,6 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# Categories too general to name one object.
+GENERIC_CATEGORIES = ("baseboard", "ceiling", "floor", "object", "wall")
+
+
 @dataclass(frozen=True)
 class AuditRules:
     """When an instance is valid for measuring, natural to name, and away from the border."""
@@ -13,7 +17,7 @@ class AuditRules:
     minimum_area_px2: float = 1000.0
     maximum_coverage: float = 0.5
     border_margin_px: float = 5.0
-    generic_categories: tuple[str, ...] = ()
+    generic_categories: tuple[str, ...] = GENERIC_CATEGORIES
     caption_required: bool = False
     box_field: str = "box_2d_rend"
     uniqueness_scope: str = "all"  # all, geometric or oracle
@@ -55,3 +59,18 @@ class SceneRules:
 
 STRATUM_NAMES = ("short", "medium", "long")
 EPSILON = 1e-12
+
+
+def rule_contradictions(pair: PairRules, scene: SceneRules, both_objects_interior: bool | None, minimum_eligible_pairs: int, pairs_per_stratum: int) -> list[str]:
+    """In what a frozen rule set contradicts itself; empty if it does not."""
+    found = []
+    if both_objects_interior is not True:
+        found.append("both_objects_interior")
+    if minimum_eligible_pairs != scene.pairs_per_scene:
+        found.append("minimum_eligible_pairs")
+    if pairs_per_stratum * scene.distance_strata != scene.pairs_per_scene:
+        found.append("pairs_per_stratum")
+    numbers = [v for v in (*vars(pair).values(), *vars(scene).values()) if v is not None]
+    if not all(float("-inf") < v < float("inf") for v in numbers):
+        found.append("not_finite")
+    return found

@@ -62,9 +62,10 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     position = F.array(*(10 * e(k) for k in range(3)))
     box = F.array(x, y, x + w, y + h)
     frame = F.floor(F.col("vec_id") / 12)
+    kind = (F.col("label") * 3 + F.col("vec_id")) % 17
     return table(spark, sf_dir, "embeddings").select(
         F.concat(F.lit("cap"), F.floor(frame / 5).cast("string")).alias("capture_id"), (frame % 5).alias("frame_index"), (F.col("vec_id") % 12 + 1).alias("instance_index"), F.col("vec_id").alias("instance_id"),
-        F.concat(F.lit(" C"), ((F.col("label") * 3 + F.col("vec_id")) % 17).cast("string"), F.lit(" ")).alias("category"), F.when(F.col("label") % 3 != 0, "seen").alias("caption"),
+        F.when(kind == 5, " Wall ").when(kind == 11, "FLOOR").otherwise(F.concat(F.lit(" C"), kind.cast("string"), F.lit(" "))).alias("category"), F.when(F.col("label") % 3 != 0, "seen").alias("caption"),
         position.alias("position"), F.array(*(e(k) + 0.3 for k in range(8, 11))).alias("scale"), F.array_repeat(position, 8).alias("corners"),
         box.alias("box_2d_rend"), F.array(x + 5, y + 5, x + w, y + h).alias("box_2d_proj"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"),
     )
@@ -72,10 +73,10 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INSTANCES_SQL = """i0 as (select *, floor(vec_id / 12) as fr, embedding[5]::double * 500 + 300 as x, embedding[6]::double * 500 + 250 as y, 10 + 800 * abs(embedding[7]::double) as w, 10 + 800 * abs(embedding[8]::double) as h from embeddings),
 i as (select 'cap' || floor(fr / 5)::bigint as capture_id, (fr % 5)::bigint as frame_index, (vec_id % 12 + 1)::bigint as instance_index, vec_id as instance_id,
-  'c' || ((label * 3 + vec_id) % 17) as category, label % 3 <> 0 as captioned, 10 * embedding[1]::double as p0, 10 * embedding[2]::double as p1, 10 * embedding[3]::double as p2, x, y, x + w as x1, y + h as y1, w, h, w * h as area,
+  case (label * 3 + vec_id) % 17 when 5 then 'wall' when 11 then 'floor' else 'c' || ((label * 3 + vec_id) % 17) end as category, label % 3 <> 0 as captioned, 10 * embedding[1]::double as p0, 10 * embedding[2]::double as p1, 10 * embedding[3]::double as p2, x, y, x + w as x1, y + h as y1, w, h, w * h as area,
   embedding[9]::double + 0.3 > 0 and embedding[10]::double + 0.3 > 0 and embedding[11]::double + 0.3 > 0 as geometric from i0),
 o as (select *, geometric and w >= 20 and h >= 20 and area >= 1000 and area / (1024 * 768) <= 0.5 as oracle, x >= 5 and y >= 5 and x1 <= 1019 and y1 <= 763 as interior from i),
-n as (select *, oracle and count(*) over (partition by capture_id, frame_index, category) = 1 as "natural" from o),
+n as (select *, oracle and category not in ('baseboard', 'ceiling', 'floor', 'object', 'wall') and count(*) over (partition by capture_id, frame_index, category) = 1 as "natural" from o),
 objects as (select *, case when area > 0 then least(greatest(greatest(least(x1, 1024) - least(greatest(x, 0), 1024), 0) * greatest(least(y1, 768) - least(greatest(y, 0), 768), 0) / area, 0), 1) else 0 end as visible,
   area / (1024 * 768) as area_fraction, least(w, h) as side, least(x, y, 1024 - x1, 768 - y1) as margin from n where "natural"),
 p0 as (select a.capture_id, a.frame_index, a.instance_index as i1, b.instance_index as i2, sqrt((a.p0 - b.p0) * (a.p0 - b.p0) + (a.p1 - b.p1) * (a.p1 - b.p1) + (a.p2 - b.p2) * (a.p2 - b.p2)) as distance_m,
