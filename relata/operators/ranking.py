@@ -40,13 +40,20 @@ def shortlist(frames: DataFrame, rules: RankRules = RankRules(), capture: str =
 
 
 def capture_summary(frames: DataFrame, rules: RankRules = RankRules(), capture: str = "capture_id") -> DataFrame:
-    """One row per capture, also of those without an eligible frame (zeros, a null cutoff and no bins)."""
-    audited = frames.groupBy(capture).agg(F.count("*").alias("audited_frames"))
-    sharp = sharp_frames(frames, rules, capture).groupBy(capture).agg(F.count("*").alias("high_sharpness_frames"), F.sort_array(F.collect_set("temporal_bin")).alias("temporal_bins_represented"))
-    listed = shortlist(frames, rules, capture).groupBy(capture).agg(F.count("*").alias("shortlist_size"))
-    joined = audited.join(cutoffs(frames, rules, capture), capture, "left").join(sharp, capture, "left").join(listed, capture, "left")
-    return joined.select(
-        capture, "audited_frames", F.coalesce("capture_eligible_frames", F.lit(0)).alias("eligible_frames"), F.col("capture_sharpness_cutoff").alias("sharpness_cutoff"),
+    """One row per capture, also of those without an eligible frame (zeros, a null cutoff and no bins).
+
+    Frames are counted by capture once, and the sharp ones by part of the
+    capture once; the shortlist's size follows from the parts' counts.
+    """
+    good = (F.col("oracle") >= rules.minimum_oracle) & (F.col("natural") >= rules.minimum_natural) & (F.col("natural_interior") >= rules.minimum_natural_interior)
+    counted = frames.groupBy(capture).agg(F.count("*").alias("audited_frames"), F.count_if(good).alias("eligible_frames"), F.percentile(F.when(good, F.col("sharpness")), F.lit(rules.sharpness_quantile)).alias("sharpness_cutoff"))
+    sharp = eligible(frames, rules).join(counted.select(capture, "sharpness_cutoff"), capture).filter("sharpness >= sharpness_cutoff")
+    by_bin = sharp.groupBy(capture, "temporal_bin").agg(F.count("*").alias("n"))
+    kept = F.col("n") if rules.per_bin is None else F.least("n", F.lit(rules.per_bin))
+    listed = F.sum(kept) if rules.per_capture is None else F.least(F.sum(kept), F.lit(rules.per_capture))
+    found = by_bin.groupBy(capture).agg(F.sum("n").alias("high_sharpness_frames"), F.sort_array(F.collect_set("temporal_bin")).alias("temporal_bins_represented"), listed.alias("shortlist_size"))
+    return counted.join(found, capture, "left").select(
+        capture, "audited_frames", "eligible_frames", "sharpness_cutoff",
         F.coalesce("high_sharpness_frames", F.lit(0)).alias("high_sharpness_frames"), F.coalesce("temporal_bins_represented", F.array().cast("array<int>")).alias("temporal_bins_represented"), F.coalesce("shortlist_size", F.lit(0)).alias("shortlist_size"),
     )
 
