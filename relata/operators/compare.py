@@ -103,3 +103,24 @@ def is_prefix(snapshot: DataFrame, official: DataFrame, position: str, fields: l
     a, b = snapshot.alias("a"), official.alias("b")
     differs = reduce(lambda x, y: x | y, (~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")) for f in fields))
     return a.join(b, F.col(f"a.{position}") == F.col(f"b.{position}"), "left").filter(F.col(f"b.{position}").isNull() | differs).select(F.col(f"a.{position}").alias(position))
+
+
+# Metadata that a run must share with the output it goes on with.
+RESUME_FIELDS = ("condition", "model_id", "model_revision", "temperature", "max_tokens", "generation_seed", "order_seed", "manifest_sha256")
+
+
+def resume_violations(selected: DataFrame, previous: DataFrame, metadata: DataFrame, previous_metadata: DataFrame | None = None, position: str = "run_index", key: str = "pair_id", fields: tuple[str, ...] = RESUME_FIELDS) -> DataFrame:
+    """(position, rule, field): why a run cannot go on with earlier output; no row if it can.
+
+    The earlier rows must be the beginning of the selected ones, in their
+    order: 'longer' for a place past the selection, 'order' for another key.
+    The metadata, single rows, must agree in ``fields``; without earlier
+    metadata they are not compared.
+    """
+    a, b = previous.select(F.col(position).alias("p"), F.col(key).alias("k")), selected.select(F.col(position).alias("q"), F.col(key).alias("l"))
+    rule = F.when(F.col("q").isNull(), "longer").when(~F.col("k").eqNullSafe(F.col("l")), "order")
+    rows = a.join(b, F.col("p") == F.col("q"), "left").select(F.col("p").alias(position), rule.alias("rule"), F.lit(key).alias("field")).filter("rule is not null")
+    if previous_metadata is None:
+        return rows
+    differing = metadata_differences(previous_metadata, metadata, [f for f in fields if f in metadata.columns and f in previous_metadata.columns])
+    return rows.unionByName(differing.select(F.lit(None).cast(rows.schema[position].dataType).alias(position), F.lit("metadata").alias("rule"), "field"))

@@ -48,17 +48,63 @@ def order_violations(ledger: DataFrame, order: DataFrame, complete: bool = False
     return joined.crossJoin(last).select(F.coalesce("a.order_index", "b.order_index").alias("order_index"), rule.alias("rule")).filter("rule is not null")
 
 
-def rejection_counts(decisions: DataFrame) -> DataFrame:
-    """Rejected captures per reason; 'unspecified' where none is given."""
-    reasons = decisions.filter("not accepted").select(F.explode_outer("rejection_reasons").alias("reason"))
-    return reasons.groupBy(F.coalesce("reason", F.lit("unspecified")).alias("reason")).agg(F.count("*").alias("n"))
+def rejection_counts(decisions: DataFrame, unspecified: str = "unspecified_numerical_rejection", visual: str = "visual_qc_failure") -> DataFrame:
+    """Rejected captures per reason.
 
+    decisions: accepted, rejection_reasons and, if there is one,
+    capture_decision.  A rejection by eye counts under ``visual`` alone, one
+    without a reason under ``unspecified``.
+    """
+    by_eye = F.coalesce(F.col("capture_decision") == "rejected_visual", F.lit(False)) if "capture_decision" in decisions.columns else F.lit(False)
+    given = F.when(F.coalesce(F.size("rejection_reasons"), F.lit(0)) > 0, F.col("rejection_reasons")).otherwise(F.array(F.lit(unspecified)))
+    reasons = decisions.filter("not accepted").select(F.explode(F.when(by_eye, F.array(F.lit(visual))).otherwise(given)).alias("reason"))
+    return reasons.groupBy("reason").agg(F.count("*").alias("n"))
 
-def rollup(ledger: DataFrame) -> DataFrame:
-    """Inspected, accepted and rejected captures, and their rates."""
+
+def rollup(ledger: DataFrame, target: int | None = None) -> DataFrame:
+    """Inspected, accepted and rejected captures and their rates; with the columns for it, the accepted ones' range of distances and relations, and what is lacking to a target."""
     yes, qc = F.col("selection_accepted"), F.col("visual_qc")
-    sums = ledger.agg(F.count("*").alias("inspected"), F.count_if(yes & (qc == "pass")).alias("accepted"), F.count_if(~yes).alias("rejected_numerical"), F.count_if(yes & (qc != "pass")).alias("rejected_visual"))
-    return sums.withColumn("acceptance_rate", F.when(F.col("inspected") > 0, F.col("accepted") / F.col("inspected")))
+    ok = yes & (qc == "pass")
+    more = {
+        "selected_relations": ("selection_pair_count", F.sum), "global_selected_minimum_m": ("selected_minimum_m", F.min), "global_selected_maximum_m": ("selected_maximum_m", F.max),
+    }
+    sums = ledger.agg(
+        F.count("*").alias("inspected"), F.count_if(ok).alias("accepted"), F.count_if(yes).alias("accepted_numerical"), F.count_if(~yes).alias("rejected_numerical"), F.count_if(yes & (qc != "pass")).alias("rejected_visual"),
+        *(f(F.when(ok, F.col(c))).alias(n) for n, (c, f) in more.items() if c in ledger.columns),
+    )
+    rated = sums.withColumns({"acceptance_rate": F.when(F.col("inspected") > 0, F.col("accepted") / F.col("inspected")), "visual_pass_rate": F.when(F.col("accepted_numerical") > 0, F.col("accepted") / F.col("accepted_numerical"))})
+    return rated if target is None else rated.withColumn("target_shortfall", F.lit(target) - F.col("accepted"))
+
+
+def expectation_violations(counts: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """(name, observed, expected) of the counts of a single row that are not what a frozen protocol expects."""
+    rows = F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("long").alias("observed"), F.lit(v).cast("long").alias("expected")) for n, v in expected.items()))
+    return counts.select(F.inline(rows)).filter("not (observed <=> expected)")
+
+
+def order_counts(records: DataFrame, excluded: DataFrame, key: str = "capture_id") -> DataFrame:
+    """One row: records, distinct ones, exclusions, exclusions that no record has, and the pool that is left."""
+    known = records.select(key).distinct().withColumn("known", F.lit(1))
+    left_out = excluded.select(key).distinct().withColumn("out", F.lit(1))
+    n = records.agg(F.count("*").alias("records"))
+    both = known.join(left_out, key, "full_outer").agg(F.count("known").alias("unique_records"), F.count("out").alias("exclusions"), F.count_if(F.col("known").isNull()).alias("unknown_exclusions"), F.count_if(F.col("out").isNull()).alias("pool"))
+    return n.crossJoin(F.broadcast(both))  # one row is broadcast
+
+
+def batch_commit(official: DataFrame, snapshot: DataFrame, batch: DataFrame, fields: list[str], position: str = "order_index") -> tuple[DataFrame, DataFrame]:
+    """(violations, rows still to record) of a batch that was prepared against a snapshot of the log.
+
+    The log may have grown by rows of this batch, each equal to the prepared
+    one in ``fields``; any other difference is a violation: 'prefix' where the
+    log and the snapshot differ, 'outside' for a later row of the log that the
+    batch does not hold, 'differs' for one that it holds otherwise.
+    """
+    a, b, c = (x.select(F.col(position).alias(f"{n}_at"), F.struct(*fields).alias(n)) for x, n in ((official, "log"), (snapshot, "snap"), (batch, "new")))
+    joined = a.join(b, F.col("log_at") == F.col("snap_at"), "full_outer").withColumn("at", F.coalesce("log_at", "snap_at")).join(c, F.col("at") == F.col("new_at"), "full_outer")
+    at = F.coalesce("at", "new_at").alias(position)
+    later = F.col("snap_at").isNull() & F.col("log_at").isNotNull()
+    rule = F.when(F.col("snap_at").isNotNull() & ~F.col("log").eqNullSafe(F.col("snap")), "prefix").when(later & F.col("new_at").isNull(), "outside").when(later & ~F.col("log").eqNullSafe(F.col("new")), "differs")
+    return joined.select(at, rule.alias("rule")).filter("rule is not null"), batch.join(official.select(position), position, "left_anti")
 
 
 def visual_decisions(decisions: DataFrame, pending: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from relata.functions.predicates import finite_number
 from relata.functions.text import unordered_pair
+from relata.operators.compare import number_rows
 from relata.params import EPSILON, STRATUM_NAMES
 
 COLUMNS = ("scene", "pair_id", "rule", "observed", "expected")
@@ -125,7 +126,29 @@ def missing_required(rows: DataFrame, fields: list[str], key: str) -> DataFrame:
     return rows.select(key, F.explode(F.array_compact(F.array(*empty))).alias("field"))
 
 
-def not_contiguous(rows: DataFrame, index: str, group: tuple[str, ...] = ()) -> DataFrame:
-    """Rows whose index is not their place, counted from 1."""
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(index))
-    return rows.withColumn("expected_index", place).filter(~F.col(index).eqNullSafe(F.col("expected_index")))
+def not_contiguous(rows: DataFrame, index: str, group: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose index is not their place, counted from 1 in order of the index and then ``ties``; without a group over the whole table, by ranges."""
+    if group:
+        placed = rows.withColumn("expected_index", F.row_number().over(Window.partitionBy(*group).orderBy(index, *ties)))
+    else:
+        placed = number_rows(rows, [index, *ties]).withColumnRenamed("run_index", "expected_index")
+    return placed.filter(~F.col(index).eqNullSafe(F.col("expected_index")))
+
+
+def protocol_violations(manifest: DataFrame, protocol: dict, sha256: str, scene: str = "scene") -> DataFrame:
+    """(rule, observed, expected) where a protocol's digest or counts are not the manifest's; names that it lacks, and counts that are no whole numbers, are not checked."""
+    counts = manifest.agg(F.count_distinct(scene).alias("scenes"), F.count("*").alias("pairs"))
+    checks = [(k, F.lit(sha256), F.lit(str(protocol[k]))) for k in ("output_sha256", "manifest_sha256") if k in protocol]
+    for names, own in ((("number_of_scenes", "selected_scenes"), "scenes"), (("number_of_pairs", "selected_pairs"), "pairs")):
+        checks += [(k, F.col(own).cast("string"), F.lit(str(protocol[k]))) for k in names if isinstance(protocol.get(k), int)]
+    rows = [F.struct(F.lit(k).alias("rule"), observed.alias("observed"), expected.alias("expected")) for k, observed, expected in checks]
+    empty = F.array().cast("array<struct<rule:string,observed:string,expected:string>>")
+    return counts.select(F.inline(F.array(*rows) if rows else empty)).filter("observed <> expected")
+
+
+def metric(rows: DataFrame, *names: str, nested: str = "pair_quality") -> Column:
+    """The first of several names under which a value may stand: within the nested record first, then beside it; null if there is none."""
+    kind = rows.schema[nested].dataType if nested in rows.columns else None
+    inner = [F.col(f"{nested}.{n}") for n in names if kind is not None and n in kind.fieldNames()]
+    found = inner + [F.col(n) for n in names if n in rows.columns]
+    return F.coalesce(*found) if found else F.lit(None)

@@ -117,8 +117,16 @@ def archive_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] =
     return archives.mapInArrow(members, "archive string, member string, content binary")
 
 
+def member_violations(members: DataFrame, first: str = "instances.json", second: str = "image.png") -> DataFrame:
+    """(archive, folder, rule) of the folders that hold one of two members without the other."""
+    named = members.select("archive", F.regexp_extract("member", r"^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract("member", r"([^/]+)$", 1).alias("name"))
+    has = named.groupBy("archive", "folder").agg(F.count_if(F.col("name") == first).alias("a"), F.count_if(F.col("name") == second).alias("b"))
+    rule = F.when((F.col("a") == 0) & (F.col("b") > 0), F.lit(f"missing {first}")).when((F.col("a") > 0) & (F.col("b") == 0), F.lit(f"missing {second}"))
+    return has.select("archive", "folder", rule.alias("rule")).filter("rule is not null")
+
+
 def archive_frames(members: DataFrame, schema: T.DataType, capture_pattern: str = r"(\d+)\.tar$") -> DataFrame:
-    """Frames of archives: folders that hold both members, numbered by name within their capture.
+    """Frames of archives: folders that hold both members, numbered by name within their capture; ``member_violations`` tells the others.
 
     Columns: archive, capture_id, frame_index, image_member, instance_member, image, instances.
     """

@@ -9,19 +9,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from relata.sources.sinks import Store
+
 
 def append_once(path: str, key: str = "order_index"):
-    """A foreachBatch function: rows whose key the log holds already are left out, so a repeated batch changes nothing."""
+    """A foreachBatch function: rows whose key the log holds already are left out, so a repeated batch changes nothing.
+
+    Of the log only the part between the batch's least and greatest key is
+    read; of rows of one key in a batch the least stays.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
+        once = batch.groupBy(key).agg(F.min(F.struct(*batch.columns)).alias("row")).select("row.*").persist()
         try:
-            known = spark.read.schema(batch.schema).parquet(path).select(key).distinct()
-            batch = batch.join(known, key, "left_anti")
-        except Exception as e:  # the log does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        batch.dropDuplicates([key]).write.mode("append").parquet(path)
+            if Store(spark, path).exists(path):
+                low, high = once.agg(F.min(key), F.max(key)).first()
+                known = spark.read.schema(batch.schema).parquet(path).filter(F.col(key).between(low, high)).select(key).distinct()
+                once.join(known, key, "left_anti").select(*batch.columns).write.mode("append").parquet(path)
+            else:
+                once.write.mode("append").parquet(path)
+        finally:
+            once.unpersist()
 
     return write
 
@@ -31,23 +40,30 @@ def windowed_counts(events: DataFrame, time: str = "ts", by: tuple[str, ...] = (
     return events.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")).select(F.col("window.start").alias("start"), *by, "n", "mean_value")
 
 
-def until_target(log: DataFrame, target: int, group: str = "ledger", order: str = "order_index", accepted: str = "accepted") -> DataFrame:
+def until_target(log: DataFrame, target: int, group: str = "ledger", order: str = "order_index", accepted: str = "accepted", first: int = 1) -> DataFrame:
     """Rows of each ledger up to the one that reaches the target number of acceptances, kept in state from batch to batch.
 
-    Rows of a batch are taken in order; a row whose index was seen is skipped.
+    A ledger counts its rows from ``first`` without gaps.  A row that comes
+    before its predecessors waits in the state until they are there; one whose
+    index was taken already is a repetition and skipped.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, last = state.get if state.exists else (0, -1)
-        rows = pd.concat(list(parts)).sort_values("order_index")
+        count, following, places, verdicts = state.get if state.exists else (0, first, [], [])
+        waiting = dict(zip(places, verdicts))
+        for part in parts:
+            for index, verdict in zip(part["order_index"], part["accepted"]):
+                if index >= following and count < target:
+                    waiting.setdefault(int(index), bool(verdict))
         out = []
-        for r in rows.itertuples(index=False):
-            if r.order_index <= last or count >= target:
-                continue
-            count, last = count + bool(r.accepted), int(r.order_index)
-            out.append((key[0], last, bool(r.accepted), count))
-        state.update((count, last))
+        while following in waiting and count < target:
+            verdict = waiting.pop(following)
+            count += verdict
+            out.append((key[0], following, verdict, count))
+            following += 1
+        left = sorted(waiting) if count < target else []
+        state.update((count, following, left, [waiting[k] for k in left]))
         yield pd.DataFrame(out, columns=["ledger", "order_index", "accepted", "accepted_so_far"])
 
     named = log.select(F.col(group).cast("string").alias("ledger"), F.col(order).cast("long").alias("order_index"), F.col(accepted).cast("boolean").alias("accepted"))
-    return named.groupBy("ledger").applyInPandasWithState(step, "ledger string, order_index long, accepted boolean, accepted_so_far long", "count long, last long", "append", GroupStateTimeout.NoTimeout)
+    return named.groupBy("ledger").applyInPandasWithState(step, "ledger string, order_index long, accepted boolean, accepted_so_far long", "count long, following long, places array<long>, verdicts array<boolean>", "append", GroupStateTimeout.NoTimeout)
