@@ -17,6 +17,7 @@ from relata.functions.text import archive_capture_id, pair_id, sha256_text, six_
 from relata.operators import audit, compare, ledger, metrics, ordering, pairs, ranking, selection, sweep, validate
 from relata.params import AuditRules, PairRules, RankRules, SceneRules
 from relata.plans import bindings as B
+from relata.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,6 +136,11 @@ def frame_topk_per_bin(spark, d):
     return shown(ranked, "capture_id", "event_id", "bin_rank")
 
 
+@query(f"with {B.FRAMES_SQL} select capture_id, event_id from short where candidate_rank = 1")
+def selected_frames(spark, d):
+    return ranking.selected_only(ranking.shortlist(_binned(spark, d))).select("capture_id", "event_id")
+
+
 @query(f"""with {B.FRAMES_SQL}, a as (select capture_id, count(*) as n from f group by 1), h as (select capture_id, count(*) as n, string_agg(distinct temporal_bin, ',' order by temporal_bin) as bins from sharp group by 1), s as (select capture_id, count(*) as n from short group by 1)
 select a.capture_id, a.n as audited_frames, coalesce(eligible, 0) as eligible_frames, round(cutoff, 6) as sharpness_cutoff, coalesce(h.n, 0) as high_sharpness_frames, coalesce(bins, '') as bins, coalesce(s.n, 0) as shortlist_size
 from a left join cut using (capture_id) left join h using (capture_id) left join s using (capture_id)""")
@@ -171,12 +177,11 @@ def instance_audit_counts(spark, d):
     return audit.audit_counts(audit.flag_instances(B.instances(spark, d)))
 
 
-@query("""with i as (select floor(vec_id / 12)::bigint as frame, vec_id, 'c' || ((label * 3 + vec_id) % 17) as category from embeddings)
+@query("""with i as (select floor(vec_id / 12)::bigint as frame, vec_id, (label * 3 + vec_id) % 17 as category from embeddings)
 select frame, vec_id from (select *, count(*) over (partition by frame, category) as c from i) where c = 1""")
 def unique_category_per_frame(spark, d):
-    rows = B.instances(spark, d).select("capture_id", "frame_index", F.col("instance_id").alias("vec_id"), P.normalized_category(F.col("category")).alias("key"))
-    alone = F.count("*").over(Window.partitionBy("capture_id", "frame_index", "key"))
-    return rows.withColumn("n", alone).filter("n = 1").select(F.floor(F.col("vec_id") / 12).alias("frame"), "vec_id")
+    rows = B.instances(spark, d).select("capture_id", "frame_index", F.col("instance_id").alias("vec_id"), P.normalized_category(F.col("category")).alias("category_key"))
+    return rows.withColumn("n", audit.alike()).filter("n = 1").select(F.floor(F.col("vec_id") / 12).alias("frame"), "vec_id")
 
 
 @query(f"""with {B.INSTANCES_SQL},
@@ -186,20 +191,20 @@ bx as (select capture_id, frame_index, instance_index, category, captioned, geom
 ob as (select *, geometric and bw >= 20 and bh >= 20 and bw * bh >= 1000 and bw * bh / (1024 * 768) <= 0.5 as oracle from bx),
 un as (select *, count(*) over w as c_all, count_if(geometric) over w as c_geometric, count_if(oracle) over w as c_oracle from ob window w as (partition by capture_id, frame_index, box_field, category)),
 g as (select * from (values ('all'), ('geometric'), ('oracle')) s(scope), (values (false), (true)) c(caption_required), (values ('box'), ('center')) o(mode), (values ('subset'), ('recompute')) q(pipeline),
-  (values ('fraction', 0.0), ('fraction', 0.02), ('pixels', 0.0), ('pixels', 5.0), ('pixels', 40.0)) m(margin_kind, margin)),
-j as (select *, oracle and (not caption_required or captioned) and case scope when 'all' then c_all when 'geometric' then c_geometric else c_oracle end = 1 as "natural",
+  (values ('fraction', 0.025), ('fraction', 0.15), ('pixels', 0.0), ('pixels', 5.0), ('pixels', 40.0)) m(margin_kind, margin)),
+j as (select *, oracle and category not in ('baseboard', 'ceiling', 'floor', 'object', 'wall') and (not caption_required or captioned) and case scope when 'all' then c_all when 'geometric' then c_geometric else c_oracle end = 1 as "natural",
   case when mode = 'center' then (bx0 + bx1) / 2 else bx0 end >= case when margin_kind = 'fraction' then margin * 1024 else margin end and case when mode = 'center' then (by0 + by1) / 2 else by0 end >= case when margin_kind = 'fraction' then margin * 768 else margin end
   and case when mode = 'center' then (bx0 + bx1) / 2 else bx1 end <= 1024 - case when margin_kind = 'fraction' then margin * 1024 else margin end and case when mode = 'center' then (by0 + by1) / 2 else by1 end <= 768 - case when margin_kind = 'fraction' then margin * 768 else margin end as inside from un, g),
-k as (select *, count_if(inside and oracle and case scope when 'all' then true when 'geometric' then geometric else oracle end) over (partition by capture_id, frame_index, box_field, scope, caption_required, mode, pipeline, margin_kind, margin, category) as again from j),
+k as (select *, count_if(inside and oracle) over (partition by capture_id, frame_index, box_field, scope, caption_required, mode, pipeline, margin_kind, margin, category) as again from j),
 c as (select capture_id, frame_index, box_field, scope, caption_required, mode, pipeline, margin_kind, margin, count(*) as total, count_if(geometric) as geometric, count_if(oracle) as oracle, count_if("natural") as "natural",
-  count_if(case when pipeline = 'subset' then "natural" and inside else inside and oracle and (not caption_required or captioned) and again = 1 end) as natural_interior from k group by all),
+  count_if(case when pipeline = 'subset' then "natural" and inside else inside and oracle and category not in ('baseboard', 'ceiling', 'floor', 'object', 'wall') and (not caption_required or captioned) and again = 1 end) as natural_interior from k group by all),
 ref as (select capture_id, frame_index, count(*) as total, count_if(geometric) as geometric, count_if(oracle) as oracle, count_if("natural") as "natural", count_if("natural" and interior) as natural_interior from n group by 1, 2)
 select box_field, scope, caption_required, mode, pipeline, margin_kind, margin::double as margin, count_if(c.total = ref.total)::bigint as total_matches, count_if(c.oracle = ref.oracle)::bigint as oracle_matches, count_if(c."natural" = ref."natural")::bigint as natural_matches,
   count_if(c.natural_interior = ref.natural_interior)::bigint as natural_interior_matches, count_if(c.total = ref.total and c.geometric = ref.geometric and c.oracle = ref.oracle and c."natural" = ref."natural" and c.natural_interior = ref.natural_interior)::bigint as all_matches
 from c join ref using (capture_id, frame_index) group by all""")
 def uniqueness_scope_grid(spark, d):
     rows = B.instances(spark, d)
-    counts = sweep.rule_counts(rows, sweep.rule_grid(spark, (0.0, 0.02), (0.0, 5.0, 40.0)))
+    counts = sweep.rule_counts(rows, (0.025, 0.15), (0.0, 5.0, 40.0))
     found = sweep.config_matches(counts, audit.audit_counts(audit.flag_instances(rows)))
     return shown(found, "box_field", "scope", "caption_required", "mode", "pipeline", "margin_kind", "margin", "total_matches", "oracle_matches", "natural_matches", "natural_interior_matches", "all_matches")
 
@@ -257,25 +262,29 @@ def best_frame_per_capture(spark, d):
     return selection.best_frame(_counts(spark, d)).select("capture_id", "frame_index", "pair_count")
 
 
-SWEEP_SQL = f"""with {B.INSTANCES_SQL}, g as (select a::double as area, s::double as side_min, b::double as border from (values (0.0), (0.0025), (0.00375), (0.005)) x(a), (values (20.0), (30.0), (40.0), (50.0)) y(s), (values (0.0), (5.0), (10.0), (20.0)) z(b)),
-c as (select capture_id, frame_index, area, side_min, border, count_if(area_fraction >= g.area and side >= side_min and margin >= border) as n from p, g where distance_m >= 0.25 and visible >= 1 and iou <= 0.5 and ios <= 0.8 group by all),
-b as (select *, row_number() over (partition by area, side_min, border, capture_id order by n desc, frame_index) as k from c),
-s as (select area, side_min as side, border, count_if(n >= 12)::bigint as feasible_captures, min(n)::bigint as minimum_best_pair_count, sum(n)::bigint as total_best_pairs from b where k = 1 group by all)"""
+SWEEP_SQL = f"""with {B.INSTANCES_SQL}, g as (select a::double as area, s::double as side_min, b::double as border from (values (0.00125), (0.0025), (0.00375), (0.005)) x(a), (values (20.0), (30.0), (40.0), (50.0)) y(s), (values (5.0), (10.0), (15.0), (20.0)) z(b)),
+f as (select distinct capture_id, frame_index, (frame_index * 3) % 5 + 1 as candidate_rank from i),
+q as (select * from p where distance_m >= 0.25 and visible >= 1 and iou <= 0.5 and ios <= 0.8),
+c as (select f.capture_id, f.frame_index, f.candidate_rank, g.area, side_min, border, count_if(coalesce(area_fraction >= g.area and side >= side_min and margin >= border, false)) as n from f cross join g left join q on q.capture_id = f.capture_id and q.frame_index = f.frame_index group by all),
+b as (select *, row_number() over (partition by area, side_min, border, capture_id order by n desc, candidate_rank, frame_index) as k from c),
+s as (select area, side_min as side, border, count_if(n >= 12)::bigint as feasible_captures, min(n)::bigint as minimum_best_pair_count, sum(n)::bigint as total_best_pairs, sum(frame_index)::bigint as best_frames from b where k = 1 group by all)"""
 
 
 def _swept(spark, d):
     held = _pairs(spark, d).filter(pairs.hard_filter(PairRules(minimum_box_area_fraction=None, minimum_box_side_px=None, minimum_border_margin_px=None)))
-    return sweep.sweep_summary(sweep.sweep_best(sweep.sweep_counts(held, sweep.legibility_grid(spark))))
+    candidates = B.instances(spark, d).select("capture_id", "frame_index").distinct().withColumn("candidate_rank", F.col("frame_index") * 3 % 5 + 1)
+    return sweep.sweep_best(sweep.sweep_counts(held, sweep.legibility_grid(spark), candidates))
 
 
 @query(SWEEP_SQL + " select * from s")
 def legibility_sweep(spark, d):
-    return _swept(spark, d)
+    best = _swept(spark, d)
+    return sweep.sweep_summary(best).join(best.groupBy("area", "side", "border").agg(F.sum("frame_index").alias("best_frames")), ["area", "side", "border"])
 
 
 @query(SWEEP_SQL + " select area, side, border, feasible_captures, minimum_best_pair_count from s where feasible_captures = (select max(feasible_captures) from s) order by border desc, side desc, area desc, minimum_best_pair_count desc limit 12")
 def sweep_best_config(spark, d):
-    return sweep.strictest_feasible(_swept(spark, d)).drop("total_best_pairs")
+    return sweep.strictest_feasible(sweep.sweep_summary(_swept(spark, d))).drop("total_best_pairs")
 
 
 BALANCED_SQL = f"""with {B.INSTANCES_SQL}, h as (select *, count(*) over w as n_hard, count_if(both_interior) over w as n_in from p where {PASS} window w as (partition by capture_id, frame_index)),
@@ -326,9 +335,12 @@ nf as (select capture_id, count(*) as c from kx group by 1), rs as (select captu
 select c.capture_id, coalesce(nf.c, 0) as candidate_frames, coalesce(bf.pair_count, 0) as best_strict_pair_count, case when nf.c is null then 'no_frame_candidates' when bf.pair_count < 6 then 'minimum_eligible_pairs' else coalesce(rs.reasons, '') end as reasons,
   coalesce(nf.c is not null and bf.pair_count >= 6 and rs.reasons is null, false) as accepted from (select distinct capture_id from i) c left join nf using (capture_id) left join bf using (capture_id) left join rs on rs.capture_id = bf.capture_id and rs.frame_index = bf.frame_index""")
 def capture_decisions(spark, d):
-    counts, captures = _counts(spark, d), B.instances(spark, d).select("capture_id").distinct()
+    # The hard pairs feed the counts and the selection; they are formed once.
+    held = materialize(_pairs(spark, d).filter(pairs.hard_filter(PAIRS)), "hard-pairs")
+    counts, captures = held.groupBy("capture_id", "frame_index").agg(F.count("*").alias("pair_count")).withColumn("candidate_rank", F.col("frame_index") + 1), B.instances(spark, d).select("capture_id").distinct()
     best = selection.best_frame(counts).select("capture_id", "frame_index")
-    summaries = selection.scene_summary(_selected(spark, d)).join(best, ["capture_id", "frame_index"])
+    chosen = held.join(best, ["capture_id", "frame_index"], "left_semi")
+    summaries = selection.scene_summary(selection.select_balanced(chosen, SCENE))
     found = selection.decide(captures, counts, summaries, SCENE).withColumn("reasons", F.array_join("rejection_reasons", ","))
     return shown(found, "capture_id", "candidate_frames", "best_strict_pair_count", "reasons", "accepted")
 
@@ -387,8 +399,29 @@ def query_manifest_violations(spark, d):
 @query("select user_id as capture_id, event_id, (event_id % 40)::bigint as pair_index, row_number() over (partition by user_id order by event_id % 40, event_id)::bigint as place from events qualify event_id % 40 <> place")
 def contiguity_check(spark, d):
     rows = B.table(spark, d, "events").select(F.col("user_id").alias("capture_id"), "event_id", (F.col("event_id") % 40).alias("pair_index"))
-    place = F.row_number().over(Window.partitionBy("capture_id").orderBy("pair_index", "event_id"))
-    return shown(rows.withColumn("place", place).filter("pair_index <> place"), "capture_id", "event_id", "pair_index", "place")
+    found = validate.not_contiguous(rows, "pair_index", ("capture_id",), ("event_id",)).withColumnRenamed("expected_index", "place")
+    return shown(found, "capture_id", "event_id", "pair_index", "place")
+
+
+@query("select o_orderkey, o_orderkey + (o_orderkey % 40 = 0)::int as pair_index, row_number() over (order by o_orderkey + (o_orderkey % 40 = 0)::int, o_orderkey)::bigint as place from orders qualify o_orderkey + (o_orderkey % 40 = 0)::int <> place")
+def contiguity_of_a_whole_table(spark, d):
+    rows = B.table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") + (F.col("o_orderkey") % 40 == 0).cast("int")).alias("pair_index"))
+    return shown(validate.not_contiguous(rows, "pair_index", ties=("o_orderkey",)).withColumnRenamed("expected_index", "place"), "o_orderkey", "pair_index", "place")
+
+
+@query("""with m as (select l_orderkey, l_linenumber, case when l_linenumber % 3 = 0 then l_quantity end as n, case when l_linenumber % 2 = 0 then l_tax end as t from lineitem)
+select l_orderkey, l_linenumber::bigint as l_linenumber, coalesce(n, t) as value from m""")
+def metric_under_several_names(spark, d):
+    c = F.col
+    rows = B.table(spark, d, "lineitem").select("l_orderkey", c("l_linenumber").cast("long").alias("l_linenumber"), F.struct(F.when(c("l_linenumber") % 3 == 0, c("l_quantity")).alias("side_px"), c("l_discount").alias("other")).alias("pair_quality"), F.when(c("l_linenumber") % 2 == 0, c("l_tax")).alias("minimum_side"))
+    return rows.select("l_orderkey", "l_linenumber", validate.metric(rows, "minimum_side", "side_px").alias("value"))
+
+
+@query("""with c as (select count(distinct l_suppkey) as scenes, count(*) as pairs from lineitem)
+select 'manifest_sha256' as rule, 'abc' as observed, 'abd' as expected union all select 'selected_scenes', scenes::varchar, '-1' from c union all select 'number_of_pairs', pairs::varchar, '7' from c""")
+def protocol_consistency(spark, d):
+    rows = B.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("scene"))
+    return validate.protocol_violations(rows, {"manifest_sha256": "abd", "output_sha256": "abc", "selected_scenes": -1, "number_of_pairs": 7, "selected_pairs": "many"}, "abc")
 
 
 @query("select event_id as key, 'props' as field from events where event_id % 13 = 0 union all select event_id, 'absent' from events")
@@ -478,6 +511,29 @@ def audit_mismatches(spark, d):
     return audit.audit_mismatches(rows.filter(k % 89 != 0), other, ["oracle", "natural"], ("event_id",)).select("event_id", "difference")
 
 
+@query(f"""with {B.FRAMES_SQL}, m as (select event_id from f where event_id % 53 = 0) select event_id, 'oracle' as difference, (select count(*) from m) as n_total from m order by event_id limit 10""")
+def capped_mismatches(spark, d):
+    rows = B.frames(spark, d).select("event_id", "oracle")
+    other = rows.withColumn("oracle", F.when(F.col("event_id") % 53 == 0, -1).otherwise(F.col("oracle")))
+    return audit.capped(audit.audit_mismatches(rows, other, ["oracle"], ("event_id",)), ["event_id"])
+
+
+@query(f"with {B.INSTANCES_SQL}, c as (select capture_id, frame_index, count(*) as n from p group by 1, 2) select capture_id, frame_index, 'number_of_all_natural_pairs' as field, n + 1 as stored, n as recomputed from c where n % 4 = 0")
+def stored_counts_that_differ(spark, d):
+    now = pairs.threshold_counts(_pairs(spark, d)).select("capture_id", "frame_index", "number_of_all_natural_pairs", "number_of_eligible_pairs")
+    n = F.col("number_of_all_natural_pairs")
+    return pairs.count_conflicts(now.withColumn("number_of_all_natural_pairs", n + (n % 4 == 0).cast("int")), now, ["number_of_all_natural_pairs", "number_of_eligible_pairs"])
+
+
+@query("""with a as (select o_orderkey as i, o_custkey as k from orders), b as (select o_orderkey as i, case when o_orderkey % 50 = 0 then -1 else o_custkey end as k from orders where o_orderkey < 1000 union all select 100000000, 1)
+select b.i as run_index, case when a.i is null then 'longer' else 'order' end as rule, 'pair_id' as field from b left join a using (i) where a.i is null or a.k <> b.k union all select null, 'metadata', 'max_tokens'""")
+def resume_conflicts(spark, d):
+    selected = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("run_index"), F.col("o_custkey").alias("pair_id"))
+    earlier = selected.filter("run_index < 1000").withColumn("pair_id", F.when(F.col("run_index") % 50 == 0, -1).otherwise(F.col("pair_id"))).union(spark.createDataFrame([(100_000_000, 1)], "run_index long, pair_id long"))
+    metadata = "model_id string, temperature double, max_tokens int, note string"
+    return compare.resume_violations(selected, earlier, spark.createDataFrame([("m", 0.0, 64, "a")], metadata), spark.createDataFrame([("m", 0.0, 32, "b")], metadata))
+
+
 # ------------------------------------------------------------ order, ledger, text
 
 
@@ -492,9 +548,72 @@ def stop_rule_prefix(spark, d):
     return ordering.until_target(log, "order_index", "capture_accepted", 49).select("order_index", "capture_id")
 
 
-@query(f"with {B.LEDGER_SQL} select count(*) as inspected, count_if(yes and qc = 'pass')::bigint as accepted, count_if(not yes)::bigint as rejected_numerical, count_if(yes and qc <> 'pass')::bigint as rejected_visual, round(count_if(yes and qc = 'pass') / count(*), 6) as acceptance_rate from l")
+@query(f"""with {B.LEDGER_SQL}, k as (select *, yes and qc = 'pass' as ok from l)
+select count(*) as inspected, count_if(ok)::bigint as accepted, count_if(yes)::bigint as accepted_numerical, count_if(not yes)::bigint as rejected_numerical, count_if(yes and qc <> 'pass')::bigint as rejected_visual, sum(pairs) filter (ok)::bigint as selected_relations,
+  round(min(order_index / 7) filter (ok), 6) as global_selected_minimum_m, round(max(order_index / 3) filter (ok), 6) as global_selected_maximum_m, round(count_if(ok) / count(*), 6) as acceptance_rate, round(count_if(ok) / count_if(yes), 6) as visual_pass_rate, 50 - count_if(ok)::bigint as target_shortfall from k""")
 def ledger_rollup(spark, d):
-    return shown(ledger.rollup(B.ledger(spark, d)), "inspected", "accepted", "rejected_numerical", "rejected_visual", "acceptance_rate")
+    rows = B.ledger(spark, d).withColumns({"selected_minimum_m": F.col("order_index") / 7, "selected_maximum_m": F.col("order_index") / 3})
+    return shown(ledger.rollup(rows, target=50), "inspected", "accepted", "accepted_numerical", "rejected_numerical", "rejected_visual", "selected_relations", "global_selected_minimum_m", "global_selected_maximum_m", "acceptance_rate", "visual_pass_rate", "target_shortfall")
+
+
+@query(f"""with {B.LEDGER_SQL}, c as (select count(*) as inspected, count_if(yes and qc = 'pass')::bigint as accepted from l) select 'inspected' as name, inspected as observed, 102::bigint as expected from c where inspected <> 102 union all select 'accepted', accepted, 49 from c where accepted <> 49""")
+def final_expectations(spark, d):
+    return shown(ledger.expectation_violations(ledger.rollup(B.ledger(spark, d)), {"inspected": 102, "accepted": 49}), "name", "observed", "expected")
+
+
+@query("""with r as (select o_custkey as capture_id from orders), x as (select c_custkey as capture_id from customer where c_custkey % 10 = 0)
+select (select count(*) from r) as records, (select count(distinct capture_id) from r) as unique_records, (select count(*) from x) as exclusions, (select count(*) from x where capture_id not in (select capture_id from r)) as unknown_exclusions, (select count(distinct capture_id) from r where capture_id not in (select capture_id from x)) as pool""")
+def order_preparation_counts(spark, d):
+    records, excluded = B.table(spark, d, "orders").select(F.col("o_custkey").alias("capture_id")), B.table(spark, d, "customer").filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("capture_id"))
+    return shown(ledger.order_counts(records, excluded), "records", "unique_records", "exclusions", "unknown_exclusions", "pool")
+
+
+def _batch(spark, d):
+    log = B.ledger(spark, d).select("order_index", "capture_id", "visual_qc")
+    n = F.col("order_index")
+    official = log.filter(n <= 120).withColumn("visual_qc", F.when(n == 110, "changed").when(n == 40, "changed").otherwise(F.col("visual_qc")))
+    return ledger.batch_commit(official, log.filter(n <= 100), log.filter(n.between(101, 130) & (n != 115)), ["capture_id", "visual_qc"])
+
+
+@query("select * from (values (40::bigint, 'prefix'), (110, 'differs'), (115, 'outside')) v(order_index, rule)")
+def batch_commit_violations(spark, d):
+    return _batch(spark, d)[0]
+
+
+@query(f"with {B.LEDGER_SQL} select order_index, capture_id from l where order_index between 121 and 130")
+def batch_rows_to_record(spark, d):
+    return _batch(spark, d)[1].select("order_index", "capture_id")
+
+
+@query(f"""with {B.LEDGER_SQL}, p as (select capture_id, yes from l where order_index % 5 <> 0), v as (select capture_id, case when order_index % 11 = 0 then 'pass' else qc end as qc from l where order_index % 7 <> 0)
+select capture_id, rule from (select coalesce(p.capture_id, v.capture_id) as capture_id, case when v.capture_id is null then 'missing' when p.capture_id is null then 'not_pending' when not case when yes then qc in ('pass', 'fail') else qc = 'not_applicable' end then 'verdict_does_not_fit' end as rule from p full outer join v using (capture_id)) where rule is not null""")
+def visual_decisions(spark, d):
+    rows, n = B.ledger(spark, d), F.col("order_index")
+    decisions = rows.filter(n % 7 != 0).select("capture_id", F.when(n % 11 == 0, "pass").otherwise(F.col("visual_qc")).alias("visual_qc"))
+    return ledger.visual_decisions(decisions, rows.filter(n % 5 != 0).select("capture_id", "selection_accepted"))
+
+
+@query("""with f as (select doc_id, sha256(text) as h, octet_length(encode(text))::bigint as n from documents), a as (select 'doc/' || doc_id as path, case when doc_id % 9 = 0 then 'other' else h end as h, case when doc_id % 8 = 0 then n + 1 else n end as n from f), g as (select 'doc/' || doc_id as path, h, n from f where doc_id % 7 <> 0)
+select path, rule from (select a.path, case when g.path is null then 'missing' when a.n <> g.n then 'size' when a.h <> g.h then 'sha256' end as rule from a left join g using (path)) where rule is not null""")
+def artifact_violations(spark, d):
+    k = F.col("doc_id")
+    rows = document_hash_manifest(spark, d).withColumn("path", F.concat(F.lit("doc/"), k.cast("string")))
+    recorded = rows.select("path", F.when(k % 9 == 0, "other").otherwise(F.col("sha256")).alias("sha256"), F.when(k % 8 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")).alias("size_bytes"))
+    return ledger.artifact_violations(recorded, rows.filter(k % 7 != 0).select("path", "sha256", "size_bytes"))
+
+
+@query(f"with {B.LEDGER_SQL} select order_index, sum(coalesce(stored, yes and qc = 'pass')::bigint) over (partition by order_index % 3 order by order_index)::bigint as accepted_so_far from l")
+def accepted_so_far(spark, d):
+    log = ledger.with_status(B.ledger(spark, d)).withColumn("part", F.col("order_index") % 3)
+    return ordering.running_accepted(log, "part", "order_index", "capture_accepted").select("order_index", "accepted_so_far")
+
+
+def seeded_order(spark, d):
+    """Python's generator has no SQL form; the tests compare it with the generator itself."""
+    return ordering.seeded_shuffle(B.table(spark, d, "supplier").select("s_suppkey"), "s_suppkey", 20240229)
+
+
+QUERIES["seeded_order"] = seeded_order
 
 
 @query(f"with {B.LEDGER_SQL} select order_index, coalesce(stored, yes and qc = 'pass') as capture_accepted, case when yes and qc = 'pass' then 'accepted' when yes then 'rejected_visual' else 'rejected_numerical' end as capture_decision from l")
@@ -502,10 +621,10 @@ def ledger_status(spark, d):
     return ledger.with_status(B.ledger(spark, d)).select("order_index", "capture_accepted", "capture_decision")
 
 
-@query(f"with {B.LEDGER_SQL} select coalesce(reason, 'unspecified') as reason, count(*) as n from l where not coalesce(stored, yes and qc = 'pass') group by 1")
+@query(f"with {B.LEDGER_SQL} select case when yes and qc <> 'pass' then 'visual_qc_failure' else coalesce(reason, 'unspecified_numerical_rejection') end as reason, count(*) as n from l where not coalesce(stored, yes and qc = 'pass') group by 1")
 def rejection_reason_counts(spark, d):
     rows = ledger.with_status(B.ledger(spark, d))
-    return ledger.rejection_counts(rows.select(F.col("capture_accepted").alias("accepted"), F.array_compact(F.array("reason")).alias("rejection_reasons")))
+    return ledger.rejection_counts(rows.select(F.col("capture_accepted").alias("accepted"), "capture_decision", F.array_compact(F.array("reason")).alias("rejection_reasons")))
 
 
 @query(f"""with {B.LEDGER_SQL}, v as (select capture_id, unnest([case when yes and pairs <> 12 then 'accepted_pair_count' end, case when not yes and qc <> 'not_applicable' then 'rejected_with_check' end, case when yes and order_index % 7 = 0 then 'missing_artifacts' end]) as rule from l) select capture_id, rule from v where rule is not null""")

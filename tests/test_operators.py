@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from relata import schemas
 from relata.operators import audit, compare, ledger, metrics, ordering, pairs, ranking, selection, validate
-from relata.params import AuditRules, PairRules, RankRules, SceneRules
+from relata.params import AuditRules, PairRules, RankRules, SceneRules, rule_contradictions
 from relata.sources import images, readers, sinks
 from relata.streaming import logs
 
@@ -214,3 +214,106 @@ def test_streaming(spark, tmp_path):
         q.awaitTermination()
     assert sorted(r.order_index for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [1, 2, 3, 4]
     assert [(r.order_index, r.accepted_so_far) for r in spark.read.parquet(str(tmp_path / "until")).orderBy("order_index").collect()] == [(1, 1), (2, 1), (3, 2)]
+
+
+def test_late_rows_wait_for_their_predecessors(spark, tmp_path):
+    schema = "ledger string, order_index long, accepted boolean"
+    batches = ([("l", 3, True), ("l", 1, True)], [("l", 5, True), ("l", 1, False)], [("l", 2, False)], [("l", 4, False), ("l", 6, True)])
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        logs.until_target(stream, 3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert [(r.order_index, r.accepted_so_far) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("order_index").collect()] == [(1, 1), (2, 1), (3, 2), (4, 2), (5, 3)]
+
+
+def test_overwriting_keeps_the_old_file_until_the_new_one_stands(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "f.txt")
+    sinks.publish_text(spark, path, "old")
+    with pytest.raises(FileExistsError):
+        sinks.publish_text(spark, path, "new")
+
+    def broken(self, p, data):
+        raise OSError("full")
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks.Store, "write", broken)
+        with pytest.raises(OSError):
+            sinks.publish_text(spark, path, "new", overwrite=True)
+    assert (tmp_path / "f.txt").read_text() == "old"
+    assert sinks.publish_text(spark, path, "new", overwrite=True) == hashlib.sha256(b"new").hexdigest()
+    assert (tmp_path / "f.txt").read_text() == "new" and not list(tmp_path.glob("*.old")) and not list(tmp_path.glob("*.part"))
+    df = spark.createDataFrame([(k, f"t{k}") for k in range(50)], "k int, t string")
+    sinks.publish_json_lines(df, str(tmp_path / "rows.jsonl"), ["k"])
+    assert [json.loads(x)["k"] for x in (tmp_path / "rows.jsonl").read_text().splitlines()] == list(range(50))
+    sinks.publish_csv(df, str(tmp_path / "rows.csv"), ["k", "t"], ["k"])
+    assert (tmp_path / "rows.csv").read_text().splitlines()[:2] == ["k,t", "0,t0"]
+    sums = sinks.publish_folder(spark, str(tmp_path / "set"), {"a.txt": b"x"})
+    assert sums == {"a.txt": hashlib.sha256(b"x").hexdigest()} and (tmp_path / "set" / "SHA256SUMS").exists()
+
+
+def test_exact_median_equals_sorted_middle(spark):
+    rng = random.Random(2)
+    for values in ([], [3.0], [1.0, 2.0], [5.0] * 7 + [1.0], [rng.random() for _ in range(4001)], [float(rng.randrange(9)) for _ in range(5000)]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+        found = metrics.exact_median(df, "x").first().median
+        assert found == (pytest.approx(float(np.median(values))) if values else None)
+
+
+def test_frozen_rules_and_protocols(spark):
+    assert rule_contradictions(PairRules(), SceneRules(), True, 12, 4) == []
+    assert rule_contradictions(PairRules(minimum_distance_m=float("nan")), SceneRules(), False, 10, 5) == ["both_objects_interior", "minimum_eligible_pairs", "pairs_per_stratum", "not_finite"]
+    rows = spark.createDataFrame([("a",), ("a",), ("b",)], "scene string")
+    assert validate.protocol_violations(rows, {"selected_scenes": 2, "number_of_pairs": 3, "manifest_sha256": "h"}, "h").count() == 0
+    assert validate.protocol_violations(rows, {}, "h").count() == 0
+    assert {r.rule for r in validate.protocol_violations(rows, {"number_of_scenes": 9, "output_sha256": "x"}, "h").collect()} == {"number_of_scenes", "output_sha256"}
+
+
+def test_generic_categories_name_nothing(spark, frames):
+    walls = frames.filter("frame_index = 0").withColumn("instances", F.expr("transform(instances, i -> struct(i.id, case when i.category = 'lamp' then ' WALL' else i.category end as category, i.caption, i.position, i.scale, i.R, i.corners, i.box_2d_rend, i.box_2d_proj))"))
+    assert audit.audit_frames(walls).first().natural == 1
+    assert audit.audit_frames(walls, AuditRules(generic_categories=())).first().natural == 2
+
+
+def test_members_without_their_sibling(spark):
+    members = spark.createDataFrame([("t.tar", f"{f}/{n}") for f, n in (("a", "instances.json"), ("a", "image.png"), ("b", "image.png"), ("c", "instances.json"), ("d", "other"))], "archive string, member string")
+    assert {(r.folder, r.rule) for r in readers.member_violations(members).collect()} == {("b", "missing instances.json"), ("c", "missing image.png")}
+
+
+def test_grids_have_the_published_sizes(spark):
+    from relata.operators import sweep
+
+    assert sweep.legibility_grid(spark).count() == 64
+    empty = spark.createDataFrame([], "capture_id string, frame_index int, minimum_box_area_fraction double, minimum_box_side_px double, minimum_border_margin_px double")
+    candidates = spark.createDataFrame([("a", 3, 2), ("a", 7, 1)], "capture_id string, frame_index int, candidate_rank int")
+    best = sweep.sweep_best(sweep.sweep_counts(empty, sweep.legibility_grid(spark), candidates))
+    assert {(r.frame_index, r.pair_count) for r in best.collect()} == {(7, 0)}
+    assert {(r.feasible_captures, r.minimum_best_pair_count) for r in sweep.sweep_summary(best).collect()} == {(0, 0)}
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from relata.storage import shared_dir
+
+    class Nowhere:
+        isDefined = staticmethod(lambda: False)
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    return type("S", (), {"getCheckpointDir": staticmethod(lambda: Nowhere)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+
+
+def test_seeded_order_is_the_generators(spark):
+    df = spark.createDataFrame([(k,) for k in range(30)], "k int")
+    expected = list(range(30))
+    random.Random(7).shuffle(expected)
+    assert [r.k for r in ordering.seeded_shuffle(df, "k", 7).orderBy("run_index").collect()] == expected
