@@ -23,17 +23,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relata.llm.common import read_table, slices
-from relata.llm.webp import MAX_SIDE, decode, encode
+from relata.llm.webp import MAX_SIDE, choose_transforms, decode, encode
 
 BLOCK = 64
 ROW = 16
+PLANNED_PIXELS = 1 << 17
 
 
 def padded(data: bytes) -> bytes:
     return data + b"\0" * (-len(data) % BLOCK or (BLOCK if not data else 0))
 
 
-def to_media(payload: bytes) -> bytes:
+def as_pixels(payload: bytes) -> tuple[np.ndarray, int, int]:
+    """(pixels, width, height) of a payload; the last row is filled with zeros."""
     px = np.frombuffer(payload, np.uint8).reshape(-1, 4)
     width = ROW * -(-len(px) // (ROW * MAX_SIDE))
     if width > MAX_SIDE:
@@ -41,7 +43,33 @@ def to_media(payload: bytes) -> bytes:
     height = -(-len(px) // width)
     if width * height > len(px):
         px = np.concatenate([px, np.zeros((width * height - len(px), 4), np.uint8)])
-    return encode(px, width, height)
+    return px, width, height
+
+
+def to_media(payload: bytes) -> bytes:
+    return encode(*as_pixels(payload))
+
+
+def to_media_many(payloads: list[bytes]) -> Iterator[bytes]:
+    """``to_media`` of each; the transforms of images of the usual width are chosen for many at once."""
+    held: list[tuple[np.ndarray, int, int]] = []
+
+    def files() -> Iterator[bytes]:
+        usual = [px for px, width, _ in held if width == ROW]
+        plans = iter(choose_transforms(usual, ROW) if usual else ())
+        for px, width, height in held:
+            yield encode(px, width, height, plan=next(plans) if width == ROW else None)
+        held.clear()
+
+    pixels = 0
+    for payload in payloads:
+        image = as_pixels(payload)
+        if held and pixels + len(image[0]) > PLANNED_PIXELS:
+            yield from files()
+            pixels = 0
+        held.append(image)
+        pixels += len(image[0])
+    yield from files()
 
 
 def from_media(media: bytes, payload_bytes: int) -> bytes:
@@ -64,10 +92,9 @@ def media_columns(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         # Few texts at a time where the files themselves are returned.
         for part in slices(batches):
             rows = []
-            for text in part.column(1).to_pylist():
-                data = (text or "").encode()
-                payload = padded(data)
-                media = to_media(payload)
+            texts = [(text or "").encode() for text in part.column(1).to_pylist()]
+            payloads = list(map(padded, texts))
+            for data, payload, media in zip(texts, payloads, to_media_many(payloads)):
                 back = from_media(media, len(payload))
                 rows.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature(back)) + ((media,) if with_media else ()))
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), f.type) for c, f in zip(zip(*rows), own))], names=["doc_id", *(f.name for f in own)])

@@ -37,7 +37,7 @@ NEAR = (
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
-WALK_BYTES = 1 << 14
+WALK_BYTES, CACHED, REFERENCE = 1 << 14, 64, 128
 MAX_CACHE, CACHE_SHARE, MAX_TILE_BITS = 10, 3, 9
 #: For estimates: bits of a used symbol's code length and of a transform; the share that a cache must gain; multipliers below which cross-colour is not tried.
 LENGTH_BITS, TRANSFORM_BITS, LEAST_GAIN, LEAST_SLOPE = 4, 64, 16, 4
@@ -115,9 +115,11 @@ class Code:
         symbols, shares, self.longest = _by_length(lengths)
         if not len(symbols):
             symbols, shares = np.zeros(1, np.int64), np.ones(1, np.int64)
-        order, self.most = _reversed_range(self.longest), int(symbols.max())
+        order = _reversed_range(self.longest)
         self.symbols = np.repeat(symbols, shares).take(order)
         self.lengths = np.repeat(lengths[symbols] if self.longest else np.zeros(1, np.int64), shares).take(order)
+        # For the walk over a green code: lengths, with a mark for what is no literal.
+        self.advance = self.lengths + CACHED * (self.symbols >= 256) + (REFERENCE - CACHED) * ((self.symbols >= 256) & (self.symbols < 256 + N_LENGTH_CODES))
 
     def read(self, bits: Bits) -> int:
         if not self.longest:
@@ -231,31 +233,33 @@ def _tokens(bits: Bits, codes: list[Code], n: int, width: int) -> tuple[list[np.
         words = bytes_here[:-2] | bytes_here[1:-1] << 8 | bytes_here[2:] << 16
         ahead = (words[:, None] >> np.arange(8)).reshape(-1)
         end = len(ahead) - 64
-        pick = ahead[:end] & ((1 << green.longest) - 1)
-        symbols = green.symbols.take(pick)
-        then = green.lengths.take(pick)
-        then += np.arange(end)
-        literal, chain, own, seen = then, [then], None, None
+        # Where the next token begins is looked up in two steps: past green, then past the other three.
+        green_at = memoryview(green.advance.take(ahead & ((1 << green.longest) - 1)))
+        seen, beyond = {}, []
         for code in (red, blue, alpha):
-            if code.longest:
-                if code is not seen:
-                    own, seen = code.lengths.take(ahead & ((1 << code.longest) - 1)), code
-                literal = literal + own.take(literal)
-            chain.append(literal)
-        follow = literal
-        if green.most >= 256:
-            other = np.nonzero(symbols >= 256)[0]
-            follow = literal.copy()
-            follow[other] = np.where(symbols.take(other) < 256 + N_LENGTH_CODES, -1, then.take(other))
-        walk, at, starts = memoryview(follow), bits.at - base, []
+            if id(code) not in seen:
+                seen[id(code)] = memoryview(code.lengths.take(ahead & ((1 << code.longest) - 1)))
+            beyond.append(seen[id(code)])
+        red_at, blue_at, alpha_at = beyond
+        at, starts = bits.at - base, []
         push = starts.append
         while done < n and at < end:
             count = len(starts)
             for _ in range(n - done):
-                if at >= end or walk[at] < 0:
+                if at >= end:
+                    break
+                step = green_at[at]
+                if step < CACHED:
+                    push(at)
+                    at += step
+                    at += red_at[at]
+                    at += blue_at[at]
+                    at += alpha_at[at]
+                elif step < REFERENCE:
+                    push(at)
+                    at += step - CACHED
+                else:
                     break
-                push(at)
-                at = walk[at]
             done += len(starts) - count
             if at < end and done < n:
                 bits.at = base + at
@@ -268,9 +272,10 @@ def _tokens(bits: Bits, codes: list[Code], n: int, width: int) -> tuple[list[np.
             raise ValueError("the stream ends too early")
         here = np.array(starts, dtype=np.int64)
         rows = np.empty((len(here), 4), np.intp)
-        rows[:, 0] = symbols[here]
-        for k, code in enumerate((red, blue, alpha)):
-            rows[:, k + 1] = code.symbols[ahead[chain[k][here]] & ((1 << code.longest) - 1)]
+        for k, code in enumerate((green, red, blue, alpha)):
+            pick = ahead.take(here) & ((1 << code.longest) - 1)
+            rows[:, k] = code.symbols.take(pick)
+            here += code.lengths.take(pick)  # of a cached colour, the row's other values are never looked at
         parts.append(rows)
     return parts, refs
 
@@ -710,11 +715,6 @@ def _histograms(px: np.ndarray) -> np.ndarray:
     return np.bincount((px + _CHANNELS).reshape(-1), minlength=1024).reshape(4, 256)
 
 
-def _sizes(images: list[np.ndarray]) -> np.ndarray:
-    """About how many bits the literal pixels of each image take."""
-    return _bits_of(np.stack([_histograms(x) for x in images])).sum(axis=-1)
-
-
 def _counts(px: np.ndarray, literal: np.ndarray, hits: np.ndarray, refs: list[tuple[int, int, int]], cache_size: int) -> list[np.ndarray]:
     """Symbol counts of the five codes. literal: pixels given in full; hits: slots of those that come from the cache."""
     counts = list(_histograms(px[literal]))
@@ -794,35 +794,48 @@ def write_image(w: Writer, px: np.ndarray, main: bool, cache_bits: int | None =
     w.put_rows(value[place], wide[place])
 
 
-def _slope(of: np.ndarray, on: np.ndarray) -> int:
-    """The multiplier, in 32nds, with which one signed channel foretells another best."""
-    x, y, n = on.astype(np.int8).astype(np.int64), of.astype(np.int8).astype(np.int64), len(on)
-    total = int(x.sum())
-    spread = n * int((x * x).sum()) - total * total
-    return max(-128, min(127, round(32 * (n * int((x * y).sum()) - total * int(y.sum())) / spread))) if spread > 0 else 0
-
-
-def choose_transforms(px: np.ndarray, width: int, height: int) -> tuple[tuple[int, ...], int, tuple[int, int, int]]:
-    """(transforms, predictor mode, cross-colour multipliers) with which the pixels are estimated to be smallest."""
-    tiles = -(-width >> MAX_TILE_BITS) * -(-height >> MAX_TILE_BITS)
-    left, upper = (predictor(px, width, height, np.full(tiles, m), MAX_TILE_BITS, True) for m in (1, 2))
-    sizes = _sizes([px, left, upper])
-    sizes[1:] += TRANSFORM_BITS
-    best = int(sizes.argmin())
-    chosen, plain, size = ((), px, sizes[0]) if best == 0 else ((PREDICTOR,), (left, upper)[best - 1], sizes[best])
-    blue, red = _slope(plain[:, 2], plain[:, 1]), _slope(plain[:, 0], plain[:, 1])
-    elements, options = (0, blue & 255, red & 255), [subtract_green(plain, True)]
-    if max(abs(blue), abs(red)) >= LEAST_SLOPE:
-        options.append(cross_colour(plain, width, height, np.tile(np.array(elements, np.uint8), (tiles, 1)), MAX_TILE_BITS, True))
-    sizes = _sizes(options)
-    sizes[1:] += TRANSFORM_BITS
-    if sizes.min() < size:
-        chosen += ((SUBTRACT_GREEN, CROSS_COLOUR)[int(sizes.argmin())],)
-    return chosen, max(1, best), elements
-
-
-def encode(px: np.ndarray, width: int, height: int, transforms: tuple[int, ...] | None = None, tile_bits: int = 2, modes=None, elements=None, cache_bits: int | None = None, by_frequency: bool = True) -> bytes:
-    """A lossless WebP file. transforms, cache_bits: None lets them be chosen by their estimated size."""
+Plan = tuple[tuple[int, ...], int, tuple[int, int, int]]
+
+
+def choose_transforms(images: list[np.ndarray], width: int) -> list[Plan]:
+    """For each image, all of one width: (transforms, predictor mode, cross-colour multipliers) with which its pixels are estimated to be smallest."""
+    sizes = np.array([len(x) for x in images])
+    px, owner = np.concatenate(images), np.repeat(np.arange(len(images)), sizes)
+    rows, tops = px.reshape(-1, width, 4), (np.cumsum(sizes) - sizes) // width
+    left, upper = rows.copy(), rows.copy()
+    left[:, 1:] -= rows[:, :-1]
+    left[1:, 0] -= rows[:-1, 0]
+    left[tops, 0] = rows[tops, 0] - np.array([0, 0, 0, 255], np.uint8)
+    upper[1:] -= rows[:-1]
+    upper[tops] = left[tops]
+    places = (owner * 1024)[:, None] + _CHANNELS
+
+    def estimate(samples: np.ndarray) -> np.ndarray:
+        counts = np.bincount((samples.reshape(-1, 4) + places).reshape(-1), minlength=1024 * len(images))
+        return _bits_of(counts.reshape(-1, 4, 256)).sum(axis=-1)
+
+    bits = np.stack([estimate(px), estimate(left) + TRANSFORM_BITS, estimate(upper) + TRANSFORM_BITS])
+    mode = bits.argmin(axis=0)
+    plain = np.choose(mode[owner][:, None], [px, left.reshape(-1, 4), upper.reshape(-1, 4)])
+    red, green, blue = (plain[:, c].astype(np.int8).astype(np.float64) for c in range(3))
+    add = lambda x: np.bincount(owner, weights=x, minlength=len(images))
+    total = add(green)
+    spread = sizes * add(green * green) - total * total
+    slopes = [np.clip(np.rint(32 * (sizes * add(green * c) - total * add(c)) / np.maximum(spread, 1)), -128, 127).astype(np.int64) for c in (blue, red)]
+    tied = plain.copy()
+    for k, channel in zip(slopes, (2, 0)):
+        tied[:, channel] -= ((k[owner] * green.astype(np.int64)) >> 5).astype(np.uint8)
+    tie = estimate(tied) + TRANSFORM_BITS
+    tie[np.maximum(*np.abs(slopes)) < LEAST_SLOPE] = np.inf
+    colour = np.stack([bits.min(axis=0), estimate(subtract_green(plain, True)), tie]).argmin(axis=0)
+    return [
+        ((PREDICTOR,) * (m > 0) + ((), (SUBTRACT_GREEN,), (CROSS_COLOUR,))[c], max(1, m), (0, to_blue & 255, to_red & 255))
+        for m, c, to_blue, to_red in zip(mode.tolist(), colour.tolist(), *(x.tolist() for x in slopes))
+    ]
+
+
+def encode(px: np.ndarray, width: int, height: int, transforms: tuple[int, ...] | None = None, tile_bits: int = 2, modes=None, elements=None, cache_bits: int | None = None, by_frequency: bool = True, plan: Plan | None = None) -> bytes:
+    """A lossless WebP file. transforms, cache_bits: None lets them be chosen by their estimated size; plan: what ``choose_transforms`` gave."""
     w = Writer()
     w.put(0x2F, 8)
     w.put(width - 1, 14)
@@ -841,7 +854,7 @@ def encode(px: np.ndarray, width: int, height: int, transforms: tuple[int, ...]
             transforms = (PALETTE,)
         elif transforms is None:
             tile_bits = MAX_TILE_BITS
-            transforms, mode, elements = choose_transforms(px, width, height)
+            transforms, mode, elements = plan or choose_transforms([px], width)[0]
             modes = [mode]
     across, down = -(-width >> tile_bits), -(-height >> tile_bits)
     for kind in transforms:
