@@ -23,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_chat_format": conversations.oracle(),
+    "op4_warc": warc.oracle(),
     "op7_license_scan": licenses.oracle(),
 }

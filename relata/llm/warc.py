@@ -401,3 +401,17 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = merge_index(write_archives(read_table(spark, sf_dir, "pages"), folder), folder)
     history = index.select("file", "position", "url_key", "captured", "capture_order")
     return read_archives(index, folder).join(history.hint("merge"), ["file", "position"]).drop("file", "position")
+
+
+def oracle() -> str:
+    """The same results in DuckDB SQL, for tables whose page ids differ and whose URLs are plain: a scheme, a host in ASCII, path, query, fragment."""
+    return f"""
+with p as (select page_id, url, encode(coalesce(html, '')) as payload, sha1(encode(coalesce(html, ''))) as h from pages),
+r as (select *, min(page_id) over (partition by payload) as first,
+  array_to_string(list_reverse(string_split(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:@]*)', 1)), '.')), ',') || ')'
+    || coalesce(nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ''), '/') || case when regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) <> '' then '?' || regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) else '' end as url_key,
+  strftime(timestamp '{FIRST_CAPTURE:%Y-%m-%d}' + to_seconds(page_id % {1 << 30}), '%Y-%m-%dT%H:%M:%SZ') as captured from p)
+select page_id, octet_length(payload)::bigint as payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, (5 * (k // 4) + 1)::int, 5))::bigint >> (15 - 5 * (k % 4))::int) & 31)::int, 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to,
+  url_key, captured, row_number() over (order by url_key, captured, page_id) - 1 as capture_order from r"""
