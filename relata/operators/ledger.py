@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,3 +124,12 @@ def artifact_violations(artifacts: DataFrame, files: DataFrame) -> DataFrame:
     joined = a.join(b, F.col("a.path") == F.col("b.path"), "left")
     rule = F.when(F.col("b.path").isNull(), "missing").when(F.col("a.size_bytes") != F.col("b.size_bytes"), "size").when(F.col("a.sha256") != F.col("b.sha256"), "sha256")
     return joined.select(F.col("a.path").alias("path"), rule.alias("rule")).filter("rule is not null")
+
+
+def until_gate(process: Callable[[int], bool], first: int, last: int) -> int | None:
+    """Processes captures in their order until one needs a decision by hand; returns its index, or None when all are done.
+
+    process: takes an order index and tells whether the capture, once processed, waits for a decision.  This is the
+    loop around a batch, on the driver: each step reads the ledger that the one before it wrote.
+    """
+    return next((index for index in range(first, last + 1) if process(index)), None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import platform
 from dataclasses import dataclass
 from functools import reduce
 
@@ -152,3 +153,22 @@ def metric(rows: DataFrame, *names: str, nested: str = "pair_quality") -> Column
     inner = [F.col(f"{nested}.{n}") for n in names if kind is not None and n in kind.fieldNames()]
     found = inner + [F.col(n) for n in names if n in rows.columns]
     return F.coalesce(*found) if found else F.lit(None)
+
+
+def environment(packages: tuple[str, ...] = ("pyspark", "pyarrow", "numpy")) -> dict[str, str]:
+    """The driver's versions and machine; 'not installed' for packages that are not there."""
+    from importlib.metadata import PackageNotFoundError, version
+
+    def of(package: str) -> str:
+        try:
+            return version(package)
+        except PackageNotFoundError:
+            return "not installed"
+
+    return {p: of(p) for p in packages} | {"python": platform.python_version(), "architecture": platform.machine()}
+
+
+def environment_violations(expected: dict[str, str]) -> list[tuple[str, str, str]]:
+    """(name, observed, expected) where this environment is not the recorded one; an empty expectation is not checked."""
+    own = environment(tuple(k for k in expected if k not in ("python", "architecture")))
+    return [(k, own[k], v) for k, v in expected.items() if v and own[k] != v]

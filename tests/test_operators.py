@@ -317,3 +317,84 @@ def test_seeded_order_is_the_generators(spark):
     expected = list(range(30))
     random.Random(7).shuffle(expected)
     assert [r.k for r in ordering.seeded_shuffle(df, "k", 7).orderBy("run_index").collect()] == expected
+
+
+def filtered_png(px, kinds):
+    """A PNG whose rows are stored by the given filters, written out byte by byte."""
+    import struct
+    import zlib
+
+    height, width, n = px.shape
+    flat, body = px.reshape(height, -1).astype(int), b""
+    for y in range(height):
+        kind = kinds[y % len(kinds)]
+        row = []
+        for x in range(width * n):
+            a, b, c = (flat[y, x - n] if x >= n else 0), (flat[y - 1, x] if y else 0), (flat[y - 1, x - n] if y and x >= n else 0)
+            near = sorted(((abs(a + b - c - v), k, v) for k, v in enumerate((a, b, c))))[0][2]
+            row.append((flat[y, x] - (0, a, b, (a + b) // 2, near)[kind]) % 256)
+        body += bytes([kind, *row])
+    chunk = lambda kind, content: struct.pack(">I", len(content)) + kind + content + struct.pack(">I", zlib.crc32(kind + content))
+    return images.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+def test_png_filters():
+    px = np.random.default_rng(1).integers(0, 256, (10, 7, 3)).astype(np.uint8)
+    for kinds in ((0,), (1,), (2,), (3,), (4,), (4, 3, 2, 1, 0)):
+        assert (images.decode_png(filtered_png(px, kinds)) == px).all()
+
+
+def test_labels_headings_and_sheets(spark):
+    blank = np.full((60, 80, 3), 200, np.uint8)
+    drawn = images.draw_label(blank, (10, 40, 60, 55), "A", (220, 40, 40), 16)
+    field = (drawn == (220, 40, 40)).all(axis=2)
+    assert (drawn == 255).all(axis=2).sum() > 20 and field.any() and np.nonzero(field)[0].max() <= 40 and np.nonzero(field)[1].min() == 10 and (blank == 200).all()
+    assert (images.draw_text(blank, -500, 0, "x") == blank).all()
+    glyphs = {images.draw_text(blank, 2, 2, c, height=28).tobytes() for c in images.STROKES if images.STROKES[c]}
+    assert len(glyphs) >= len([c for c in images.STROKES if images.STROKES[c]]) - 2
+    sheet = images.contact_sheet([blank] * 4, 3, 40, headings=[("P01", "1.25 M")] * 4)
+    assert sheet.shape == (2 * (48 + 30), 120, 3) and (sheet[48:78, :40] == 200).all() and (sheet[:48, :40] == 0).any()
+    assert images.cells(4, 3, 10, 20) == [(0, 0), (10, 0), (20, 0), (0, 20)]
+    master = images.master_sheet([("7", sheet), ("8", sheet), ("9", sheet)], cell_width=90, preview_height=100)
+    assert master.shape == (260, 180, 3)
+    with pytest.raises(ValueError):
+        images.contact_sheet([])
+    rows = [(s, k, images.encode_png(np.full((6, 8, 3), 10 * k, np.uint8)), [f"{s} {k}"]) for s in "ab" for k in (3, 1, 2)]
+    sheets = images.scene_sheets(spark.createDataFrame(rows, "scene string, pair_index int, stimulus binary, lines array<string>"), headings="lines", cell_width=8).collect()
+    px = images.decode_png({r.scene: r.sheet for r in sheets}["a"])
+    assert len(sheets) == 2 and [int(px[-1, 8 * k + 4, 0]) for k in range(3)] == [10, 20, 30]
+
+
+def test_packet_for_the_check_by_eye(spark, tmp_path):
+    import re
+    import zlib
+
+    sheets = [(7, "c7", images.encode_png(np.full((15, 30, 3), 9, np.uint8))), (9, "c9", images.encode_png(np.full((30, 15, 3), 8, np.uint8)))]
+    sinks.publish_qc_packet(spark, str(tmp_path / "packet"), "b1", sheets)
+    assert (tmp_path / "packet" / "qc_index.csv").read_text().splitlines()[1] == "1,7,c7,page-01_order-007_capture-c7.png"
+    assert json.loads((tmp_path / "packet" / "visual_qc_decisions.template.json").read_text())["decisions"]["c9"]["visual_qc"] == "pass_or_fail"
+    data = (tmp_path / "packet" / "qc_packet.pdf").read_bytes()
+    assert data.startswith(b"%PDF-") and b"/Count 2" in data
+    table = int(re.search(rb"startxref\n(\d+)", data)[1])
+    for k, place in enumerate(re.findall(rb"(\d{10}) 00000 n", data[table:]), 1):
+        assert data[int(place) :].startswith(f"{k} 0 obj".encode())
+    first = re.search(rb"/Width 30 /Height 15.*?/Length (\d+) >>\nstream\n", data, re.S)
+    assert zlib.decompress(data[first.end() : first.end() + int(first[1])]) == bytes([9]) * 15 * 30 * 3
+    written = images.write_images(spark.createDataFrame([(f"{k}.png", d) for k, _, d in sheets], "name string, content binary"), str(tmp_path / "images")).collect()
+    assert {r.name: r.sha256 for r in written} == {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in (tmp_path / "images").iterdir()}
+
+
+def test_commands_environment_and_gate(tmp_path):
+    import io
+    import sys
+
+    echo = io.StringIO()
+    assert sinks.run_logged([sys.executable, "-c", "print('one'); print('two'); raise SystemExit(3)"], str(tmp_path / "log"), echo) == 3
+    assert (tmp_path / "log").read_text() == echo.getvalue() == "one\ntwo\n"
+    own = validate.environment(("numpy", "no-such-package"))
+    assert own["no-such-package"] == "not installed" and own["numpy"] == np.__version__
+    assert validate.environment_violations({"numpy": np.__version__, "architecture": ""}) == []
+    assert [v[0] for v in validate.environment_violations({"numpy": "0", "python": "2.7"})] == ["numpy", "python"]
+    seen = []
+    assert ledger.until_gate(lambda k: seen.append(k) or k == 5, 3, 9) == 5 and seen == [3, 4, 5]
+    assert ledger.until_gate(lambda k: False, 1, 2) is None
