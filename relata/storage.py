@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 FILE_ROWS, MIN_FILES = 250_000, 8
+_COLLECTING: list[list[DataFrame]] = []
 
 
 def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
@@ -42,9 +45,22 @@ def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame
     df.write.option("compression", "zstd").parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.stored_at = path
+    for made in _COLLECTING:
+        made.append(table)
     return table
 
 
+@contextmanager
+def intermediates() -> Iterator[list[DataFrame]]:
+    """Collects the tables that ``materialize`` makes in the block, in order, so that those nobody reads afterwards can be discarded."""
+    made: list[DataFrame] = []
+    _COLLECTING.append(made)
+    try:
+        yield made
+    finally:
+        _COLLECTING[:] = [x for x in _COLLECTING if x is not made]
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``materialize`` once nothing reads them any more; others are left alone."""
     for table in tables:
