@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relata.llm import workers
-from relata.storage import discard, materialize, shared_dir
+from relata.storage import discard, intermediates, materialize, shared_dir
 
-__all__ = ["bounded_sample", "discard", "free_name", "held_out", "materialize", "passed", "read_table", "sampled", "shared_dir", "slices"]
+__all__ = ["bounded_sample", "discard", "free_name", "held_out", "intermediates", "materialize", "passed", "read_table", "sampled", "shared_dir", "slices"]
 
 TRAIN_REMAINDER = 2
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relata.llm.common import materialize, read_table
+from relata.llm.common import discard, intermediates, materialize, read_table
 
 BLOCK_TURNS = 512
 TURN = ["conv_id", "block", "turn", "h1", "h2"]
@@ -60,20 +60,23 @@ def _in_order(hashed: DataFrame) -> DataFrame:
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """(conv_id, position, x1, x2, n_turns): the hash of each prefix of each conversation, and the length of the whole; written to a table."""
-    hashed = _hashed(turns.filter("conv_id is not null"))
-    inside = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "tie")
-    ranked = _in_order(hashed).select("conv_id", "block", "turn", "tie", "h1", "h2", F.row_number().over(inside).alias("own"))
-    whole, earlier = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranked.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
-    shifts = sizes.select("conv_id", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"), F.sum("n").over(whole).alias("n_turns"))
-    placed = ranked.join(shifts.hint("merge"), ["conv_id", "block"]).withColumn("position", F.col("shift") + F.col("own"))
-    p1, p2 = _placed_hashes(F.col("position"))
-    running = Window.partitionBy("conv_id", "block").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    within = placed.select("conv_id", "block", "position", "n_turns", p1.alias("p1"), p2.alias("p2")).select("*", F.bit_xor("p1").over(running).alias("x1"), F.bit_xor("p2").over(running).alias("x2"))
-    blocks = within.groupBy("conv_id", "block").agg(F.bit_xor("p1").alias("p1"), F.bit_xor("p2").alias("p2"))
-    before = blocks.select("conv_id", "block", *(F.coalesce(F.bit_xor(p).over(earlier), F.lit(0)).alias(b) for p, b in (("p1", "b1"), ("p2", "b2"))))
-    joined = within.join(before.hint("merge"), ["conv_id", "block"])
-    return materialize(joined.select("conv_id", "position", F.col("x1").bitwiseXOR(F.col("b1")).alias("x1"), F.col("x2").bitwiseXOR(F.col("b2")).alias("x2"), "n_turns"), "chat-prefixes")
+    with intermediates() as made:
+        hashed = _hashed(turns.filter("conv_id is not null"))
+        inside = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "tie")
+        ranked = _in_order(hashed).select("conv_id", "block", "turn", "tie", "h1", "h2", F.row_number().over(inside).alias("own"))
+        whole, earlier = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = ranked.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
+        shifts = sizes.select("conv_id", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"), F.sum("n").over(whole).alias("n_turns"))
+        placed = ranked.join(shifts.hint("merge"), ["conv_id", "block"]).withColumn("position", F.col("shift") + F.col("own"))
+        p1, p2 = _placed_hashes(F.col("position"))
+        running = Window.partitionBy("conv_id", "block").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+        within = placed.select("conv_id", "block", "position", "n_turns", p1.alias("p1"), p2.alias("p2")).select("*", F.bit_xor("p1").over(running).alias("x1"), F.bit_xor("p2").over(running).alias("x2"))
+        blocks = within.groupBy("conv_id", "block").agg(F.bit_xor("p1").alias("p1"), F.bit_xor("p2").alias("p2"))
+        before = blocks.select("conv_id", "block", *(F.coalesce(F.bit_xor(p).over(earlier), F.lit(0)).alias(b) for p, b in (("p1", "b1"), ("p2", "b2"))))
+        joined = within.join(before.hint("merge"), ["conv_id", "block"])
+        found = materialize(joined.select("conv_id", "position", F.col("x1").bitwiseXOR(F.col("b1")).alias("x1"), F.col("x2").bitwiseXOR(F.col("b2")).alias("x2"), "n_turns"), "chat-prefixes")
+    discard(*made[:-1])
+    return found
 
 
 def _alone(turns: DataFrame) -> DataFrame:
