@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from relata.llm import workers
-from relata.llm.common import discard, materialize, read_table, shared_dir, slices
+from relata.llm.common import discard, intermediates, materialize, read_table, shared_dir, slices
 from relata.llm.skew import join_counted
 from relata.operators.compare import number_rows
 
@@ -377,19 +377,19 @@ def merge_index(fences: DataFrame, folder: str, fan_in: int = FAN_IN) -> DataFra
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), (*(f.type for f in entry), pa.int64(), pa.int64()))], names=names)
 
     level = 0
-    while True:
-        runs = fences.select("run").distinct().count()
-        groups = 1 if runs <= fan_in else -(-runs // fan_in)
-        ranges = materialize(_ranges(fences, groups).withColumn("level", F.lit(level)), "warc-ranges")
-        tasks = ranges.repartition(max(1, min(ranges.count(), MAX_TASKS)))
-        if groups == 1:
-            out = T.StructType([T.StructField("url_key", T.StringType()), T.StructField("captured", T.StringType()), T.StructField("page_id", id_type)]).add("file", "string").add("position", "long").add("size", "long").add("slot", "long").add("own", "long")
-            rows = materialize(tasks.mapInArrow(to_rows, out), "warc-merged")
-            break
-        earlier, fences = fences, materialize(tasks.mapInArrow(to_run, schema), "warc-fences")
-        if level:
-            discard(earlier)
-        level += 1
+    with intermediates() as made:
+        while True:
+            runs = fences.select("run").distinct().count()
+            groups = 1 if runs <= fan_in else -(-runs // fan_in)
+            ranges = materialize(_ranges(fences, groups).withColumn("level", F.lit(level)), "warc-ranges")
+            tasks = ranges.repartition(max(1, min(ranges.count(), MAX_TASKS)))
+            if groups == 1:
+                out = T.StructType([T.StructField("url_key", T.StringType()), T.StructField("captured", T.StringType()), T.StructField("page_id", id_type)]).add("file", "string").add("position", "long").add("size", "long").add("slot", "long").add("own", "long")
+                rows = materialize(tasks.mapInArrow(to_rows, out), "warc-merged")
+                break
+            fences = materialize(tasks.mapInArrow(to_run, schema), "warc-fences")
+            level += 1
+    discard(*made[:-1])
     # One row per range.
     sizes = rows.groupBy("slot").agg(F.count("*").alias("n"))
     shifts = sizes.select("slot", F.coalesce(F.sum("n").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
