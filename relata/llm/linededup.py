@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relata.llm.common import free_name, materialize, passed, read_table, slices
+from relata.llm.common import discard, free_name, materialize, passed, read_table, slices
 from relata.llm.skew import join_counted
 
 WINDOW = 2
@@ -168,12 +168,14 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """(id, text_key, start, size) of every passage to remove: a later place of bytes that stand at an earlier one."""
     table = materialize(chunk_table(docs, id_column, text_column, long_line), "line-chunks")
     groups = table.groupBy(*CHUNK).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("place"), F.max(F.struct(*PLACE)).alias("last")).filter("place <> last").drop("last")
-    met = join_counted(table, materialize(groups, "line-groups"), list(CHUNK), table.count()).select(*PLACE, *CHUNK, (F.struct(*PLACE) == F.col("place")).alias("first"))
+    repeated = materialize(groups, "line-groups")
+    met = join_counted(table, repeated, list(CHUNK), table.count()).select(*PLACE, *CHUNK, (F.struct(*PLACE) == F.col("place")).alias("first"))
     wanted = met.groupBy("id", "text_key").agg(F.collect_set(F.struct("start", "size", "h1", "h2", "first")).alias("spans"))
     texts = docs.filter(F.col(text_column).isNotNull()).select(F.col(id_column).alias("i"), F.xxhash64(text_column).alias("k"), F.col(text_column).alias("t"))
     both = texts.join(wanted.hint("shuffle_hash"), F.col("i").eqNullSafe(F.col("id")) & (F.col("k") == F.col("text_key"))).select("id", "text_key", "t", "spans")
     schema = T.StructType([wanted.schema["id"]] + T._parse_datatype_string("text_key long, start int, size int, h1 long, h2 long, first boolean, bytes binary").fields)
     found = materialize(both.mapInArrow(_cut_out, schema), "line-repeats")
+    discard(table, repeated)
     # Equal bytes are brought together in every task first, so a passage that is everywhere is a few rows here.
     contents = found.groupBy(*CHUNK, "bytes").agg(F.count("*").alias("n")).groupBy(*CHUNK).agg(F.count("*").alias("contents"), F.sum("n").alias("n"))
     kinds = materialize(contents, "line-contents")
