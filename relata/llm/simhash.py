@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relata.llm import golay
-from relata.llm.common import free_name, materialize, read_table, slices
+from relata.llm.common import discard, free_name, intermediates, materialize, read_table, slices
 from relata.llm.components import components
 from relata.llm.skew import join_counted
 
@@ -121,7 +121,9 @@ def grouped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     total = prints.count()
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct", total)
     prints_in_all = distinct.count()
-    nodes = components(links(distinct), KEY_ROWS * prints_in_all)
+    with intermediates() as made:
+        nodes = components(links(distinct), KEY_ROWS * prints_in_all)
+    discard(*made[:-1])  # the last one holds the components
     labelled = distinct.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     owner = join_counted(labelled, least, ["component"], prints_in_all, "members").select("fp", "n", "component", "component_id")
