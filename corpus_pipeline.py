@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relata.llm import decontam, langid, linededup, packing, simhash
-from relata.llm.common import held_out, materialize, read_table
+from relata.llm.common import discard, held_out, intermediates, materialize, read_table
 
 #: SQL expresses none of the models, fingerprints and packings here; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -59,7 +59,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows.  A stage's own tables, and its predecessor's result, go when its result is written."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with intermediates() as made:
+            docs = materialize(stage(spark, before, sf_dir), f"pipeline-{name}")
+        discard(before, *made[:-1])
     return STAGES[-1][1](spark, docs, sf_dir)
