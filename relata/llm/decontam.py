@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. The vocabulary is the benchmark's own words, so its size is bounded by the
-   benchmark.  One pass over the corpus turns every text into the vocabulary
-   positions of its words (one small integer each; words outside are one common
-   value); later passes read only those.
+1. Items go in blocks of about ``BLOCK_BYTES`` (one, for a benchmark of usual
+   size).  The vocabulary is a block's own words, so its size is bounded.  One
+   pass over the corpus turns every text into the vocabulary positions of its
+   words (one small integer each; words outside are one common value); later
+   passes read only those.
 2. Document frequencies of corpus passages of ``PASSAGE`` words, summed by a
    distributed aggregation, give TF-IDF weights.
 3. A randomised SVD of the corpus's TF-IDF passages (with the benchmark's own
