@@ -7,8 +7,8 @@ count over the square root of the sum of squared counts of its kind, so long
 and short texts weigh alike.  A score is the logistic of a sparse dot product.
 
 Learning uses about ``SAMPLE_ROWS`` labelled rows (documented bound; all of
-them if there are fewer), in one task, ordered by a hash of the id; the weights
-(2^HASH_BITS floats, a fixed size) are broadcast for scoring.
+them if there are fewer), in one task that streams them, ordered by a hash of
+the id; the weights (2^HASH_BITS floats, a fixed size) are broadcast for scoring.
 
 Defined results: null and empty texts have no grams and get the bias alone;
 with no labelled rows every score is 0.5; labels of a repeated id all count;
@@ -35,7 +35,7 @@ HASH_BITS = 18
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-4
 THRESHOLD = 0.7
-KEPT_WORDS = 200_000
+KEPT_WORDS, SLICE_BYTES = 200_000, 4 << 20
 _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _KINDS = (np.uint64(0x51), np.uint64(0xA7), np.uint64(0xC3), np.uint64(0xE9))
@@ -85,31 +85,45 @@ def sigmoid(z: float) -> float:
     return float(1.0 / (1.0 + np.exp(-np.clip(z, -35.0, 35.0))))
 
 
-def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = EPOCHS) -> np.ndarray:
-    """Weights by slot, the bias last."""
-    size = (1 << HASH_BITS) + 1
-    z, n = np.zeros(size), np.zeros(size)
+class Learner:
+    """Follow-the-regularised-leader, one row after another."""
+
+    def __init__(self):
+        self.size = (1 << HASH_BITS) + 1
+        self.z, self.n = np.zeros(self.size), np.zeros(self.size)
+
+    def weights(self, at: np.ndarray) -> np.ndarray:
+        z = self.z[at]
+        w = -(z - np.sign(z) * L1) / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2)
+        return np.where(np.abs(z) <= L1, 0.0, w)
 
-    def weights(at: np.ndarray) -> np.ndarray:
-        zi = z[at]
-        w = -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
-        return np.where(np.abs(zi) <= L1, 0.0, w)
+    def learn(self, slots: np.ndarray, values: np.ndarray, label: int) -> None:
+        at, x = np.append(slots, self.size - 1), np.append(values, 1.0)
+        w = self.weights(at)
+        g = (sigmoid(float(w @ x)) - label) * x
+        self.z[at] += g - (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / ALPHA * w
+        self.n[at] += g * g
 
-    rows = [(np.append(s, size - 1), np.append(v, 1.0)) for s, v in rows]
+    def all_weights(self) -> np.ndarray:
+        """By slot, the bias last."""
+        return self.weights(np.arange(self.size))
+
+
+def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = EPOCHS) -> np.ndarray:
+    """Weights by slot, the bias last."""
+    learner = Learner()
     for _ in range(epochs):
-        for (at, x), y in zip(rows, labels):
-            w = weights(at)
-            g = (sigmoid(float(w @ x)) - y) * x
-            z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
-            n[at] += g * g
-    return weights(np.arange(size))
+        for (slots, values), y in zip(rows, labels):
+            learner.learn(slots, values, y)
+    return learner.all_weights()
 
 
 def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> np.ndarray:
     """Weights learned from rows with a text and a 0/1 label; their number is the caller's to bound (``training_rows``).
 
-    Texts become sparse vectors in parallel.  A vector has at most 2^HASH_BITS
-    slots however long its text is, so the one task that learns is bounded.
+    Texts become sparse vectors in parallel.  The one task that learns gets
+    them in order, once for each epoch, and holds a few at a time beside the
+    weights, whatever the texts' lengths.
     """
     rows = labelled.filter(F.col(label_column).isin(0, 1)).select(F.xxhash64(id_column).alias("at"), F.col(label_column).cast("int").alias("y"), F.col(text_column).alias("text"))
 
@@ -118,14 +132,18 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text
             found = [features(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.astype(np.int32).tobytes() for s, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())], names=["at", "y", "slots", "values"])
 
-    def learn(key, table):
-        order = np.lexsort((table["y"].to_numpy(), table["at"].to_numpy()))
-        slots, values, y = (table[c].to_pylist() for c in ("slots", "values", "y"))
-        w = train_ftrl([(np.frombuffer(slots[k], np.int32).astype(np.int64), np.frombuffer(values[k], np.float32).astype(float)) for k in order], [y[k] for k in order])
-        return pa.table({"weights": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, seen = Learner(), 0
+        for batch in slices(batches, 512, 2, SLICE_BYTES):
+            seen += batch.num_rows
+            for slots, values, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 1))):
+                learner.learn(np.frombuffer(slots, np.int32).astype(np.int64), np.frombuffer(values, np.float32).astype(float), y)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([learner.all_weights().astype(np.float32).tobytes()], pa.binary())], names=["weights"])
 
     sparse = rows.mapInArrow(vectors, "at long, y int, slots binary, values binary")
-    learned = sparse.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "weights binary").collect()
+    epochs = sparse.select("at", "y", "slots", "values", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))).alias("epoch"))
+    learned = epochs.repartition(1).sortWithinPartitions("epoch", "at", "y", "slots", "values").mapInArrow(learn, "weights binary").collect()
     return np.frombuffer(learned[0].weights, dtype=np.float32) if learned else np.zeros((1 << HASH_BITS) + 1, np.float32)
 
 
