@@ -543,6 +543,27 @@ def test_verbatim_items_of_the_tables_are_found(spark):
     assert exact <= found
 
 
+def brute_leaks(texts, items):
+    """(text, item) by number: the rule tried on a window from every word on, without any retrieval."""
+    found = set()
+    for d, text in enumerate(texts):
+        said = decontam.words_of(text)
+        for i, item in enumerate(items):
+            own = decontam.words_of(item)
+            number = {w: k for k, w in enumerate(dict.fromkeys(own))}
+            where = decontam._places(np.array([number[w] for w in own]))
+            ids = [number.get(w, -1) for w in said]
+            for s in range(len(said)):
+                window = ids[max(0, s - len(own)) : s + decontam.PASSAGE + len(own)]
+                shared = decontam.common_subsequence(where, len(own), window)
+                last = [number[w] for w in own][-decontam.ANSWER_WORDS :]
+                answered = any(window[k : k + len(last)] == last for k in range(len(window)))
+                if shared >= decontam.MIN_OVERLAP * len(own) or answered and shared >= decontam.MIN_PARAPHRASE * len(own):
+                    found.add((d, i))
+                    break
+    return found
+
+
 @pytest.mark.parametrize("block_bytes, sum_bytes", [(decontam.BLOCK_BYTES, decontam.SUM_BYTES), (500, 1 << 14)])
 def test_leaks_equal_the_subsequence_rule_over_all_windows(spark, monkeypatch, block_bytes, sum_bytes):
     """No cosine, no grams: the rule tried on a window from every word on; also in blocks of items and of columns."""
@@ -558,22 +579,7 @@ def test_leaks_equal_the_subsequence_rule_over_all_windows(spark, monkeypatch, b
         own = [w if rng.random() >= rate or answer == 0 and i >= len(item) - 8 else f"w{rng.randrange(900)}" for i, w in enumerate(item)]
         at = rng.randrange(len(body))
         texts.append(" ".join(body[:at] + own + body[at:]))
-    expected = set()
-    for d, text in enumerate(texts):
-        said = decontam.words_of(text)
-        for i, item in enumerate(items):
-            own = decontam.words_of(item)
-            number = {w: k for k, w in enumerate(dict.fromkeys(own))}
-            where = decontam._places(np.array([number[w] for w in own]))
-            ids = [number.get(w, -1) for w in said]
-            for s in range(len(said)):
-                window = ids[max(0, s - len(own)) : s + decontam.PASSAGE + len(own)]
-                common_words = decontam.common_subsequence(where, len(own), window)
-                last = [number[w] for w in own][-decontam.ANSWER_WORDS :]
-                answered = any(window[k : k + len(last)] == last for k in range(len(window)))
-                if common_words >= decontam.MIN_OVERLAP * len(own) or answered and common_words >= decontam.MIN_PARAPHRASE * len(own):
-                    expected.add((d, i))
-                    break
+    expected = brute_leaks(texts, items)
     found = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
     assert found <= expected and len(expected) > 40 and len(expected - found) <= len(expected) // 50
 
@@ -607,38 +613,34 @@ def test_repeated_chunks_go_and_first_ones_stay(spark):
     assert out[3].text == "" and out[3].n_removed > 0 and out[6].text == "" and out[5].text == texts[5]
 
 
-def test_line_dedup_equals_brute_force(spark):
-    """Every passage of every text compared with all others, byte by byte, in plain loops."""
-    rng = random.Random(17)
-    lines = [words(rng, rng.randrange(1, 9), 60) for _ in range(40)] + [words(rng, 55, 400) for _ in range(4)] + ["", "  ", "\t"]
-    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 14))) for _ in range(60)] + ["same\nlines\nhere"] * 90 + [None, "", "\n"]
-    first, places = {}, defaultdict(list)
+def brute_line_dedup(texts):
+    """Every passage of every text compared with all others, byte by byte, in plain loops; texts in order of their ids."""
+    first = {}
     for k, text in enumerate(texts):
         data = (text or "").encode()
         for start, end in linededup.passages(data):
-            places[data[start:end]].append((k, start))
-    for data, own in places.items():
-        first[data] = min(own)
-    expected = []
+            first.setdefault(data[start:end], (k, start))
+    out = []
     for k, text in enumerate(texts):
         if text is None:
-            expected.append(None)
+            out.append(None)
             continue
         data, gone = text.encode(), bytearray(len(text.encode()) + 1)
         for start, end in linededup.passages(data):
             if first[data[start:end]] != (k, start):
                 gone[start:end] = b"\1" * (end - start)
         # A run of removed bytes takes the line break after it along, or at the text's end the one before it.
-        out, at, cut_at_end = [], 0, False
-        for i in range(len(data)):
-            after_gone = i > 0 and gone[i - 1] and data[i : i + 1] == b"\n"
-            if not gone[i] and not after_gone:
-                out.append(data[i : i + 1])
-        ends_gone = len(data) > 0 and gone[len(data) - 1]
-        result = b"".join(out)
-        expected.append((result.removesuffix(b"\n") if ends_gone else result).decode())
+        kept = b"".join(data[i : i + 1] for i in range(len(data)) if not gone[i] and not (i > 0 and gone[i - 1] and data[i : i + 1] == b"\n"))
+        out.append((kept.removesuffix(b"\n") if data and gone[len(data) - 1] else kept).decode())
+    return out
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(17)
+    lines = [words(rng, rng.randrange(1, 9), 60) for _ in range(40)] + [words(rng, 55, 400) for _ in range(4)] + ["", "  ", "\t"]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 14))) for _ in range(60)] + ["same\nlines\nhere"] * 90 + [None, "", "\n"]
     found = {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, texts)).collect()}
-    assert [found[k] for k in range(len(texts))] == expected
+    assert [found[k] for k in range(len(texts))] == brute_line_dedup(texts)
 
 
 def test_chunks_cover_a_text_and_shift_with_it():
@@ -738,6 +740,54 @@ def test_webp_features_are_chosen_where_they_pay():
     assert (pixels.reshape(-1)[: text.size] == text.reshape(-1)).all() and uneven and data == media.to_media(text.tobytes())
 
 
+def test_webp_with_groups_of_codes_and_a_cache():
+    """A stream put together by hand: two tiles with codes of their own, a reference and a cached colour."""
+    rng = np.random.default_rng(9)
+    width, height, cache_bits = 8, 4, 3
+    px = rng.integers(0, 40, (width * height, 4)).astype(np.uint8)
+    px[9] = px[8]
+    px[16:20] = px[12:16]
+    slots = webp._cache_slots(webp._argb(px), cache_bits)
+    w = webp.Writer()
+    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), (0, 1), (1, 1), (cache_bits, 4), (1, 1), (0, 3)):
+        w.put(value, n)
+    webp.write_image(w, np.array([[0, 0, 0, 255], [0, 1, 0, 255]], np.uint8), False)
+    tile = np.arange(width * height) % width >> 2
+    codes = []
+    for group in (0, 1):
+        own = px[tile == group]
+        counts = [np.bincount(own[:, c], minlength=256) for c in (1, 0, 2, 3)]
+        counts[0] = np.concatenate([counts[0], np.ones(webp.N_LENGTH_CODES + (1 << cache_bits), int)])
+        lengths = [webp.huffman_lengths(c) for c in counts] + [webp.huffman_lengths(np.ones(webp.N_DISTANCE_CODES, int))]
+        for one in lengths:
+            webp.write_code(w, one)
+        codes.append([webp.code_arrays(one) for one in lengths])
+    at = 0
+    while at < len(px):
+        own = codes[tile[at]]
+
+        def put(k, symbol):
+            w.put(int(own[k][0][symbol]), int(own[k][1][symbol]))
+
+        if at == 9:
+            put(0, 256 + webp.N_LENGTH_CODES + int(slots[8]))
+            at += 1
+        elif at == 16:
+            for k, base, number in ((0, 256, 4), (4, 0, 4 + len(webp.NEAR))):
+                symbol, extra, more = webp._prefix(number)
+                put(k, base + symbol)
+                w.put(extra, more)
+            at += 4
+        else:
+            for k, channel in enumerate((1, 0, 2, 3)):
+                put(k, int(px[at, channel]))
+            at += 1
+    data = w.bytes()
+    data += b"\0" * (len(data) & 1)
+    found = webp.decode(b"RIFF" + (12 + len(data)).to_bytes(4, "little") + b"WEBPVP8L" + len(data).to_bytes(4, "little") + data)
+    assert found[:2] == (width, height) and (found[2] == px).all()
+
+
 def test_webp_file_made_elsewhere():
     """A published lossless file of one pixel, made to tell whether a browser reads the format."""
     import base64
@@ -894,3 +944,50 @@ def test_pipeline_stages(spark, tmp_path):
                 assert simhash.near_duplicates(current).filter("doc_id <> component_id").count() == 0
     assert current.select("doc_id").distinct().count() == before
     assert corpus_pipeline.run(spark, str(TABLES)).select("doc_id").distinct().count() == before
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path, tokenizer):
+    """All stages against plain loops over a small corpus that holds a case for each."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(23)
+    items = [words(rng, n, 700) for n in (12, 30, 40)]
+    passage = "\n".join(words(rng, 9, 900) for _ in range(6))
+    bodies = ["\n".join(words(rng, rng.randrange(5, 40), 900) for _ in range(rng.randrange(1, 9))) for _ in range(40)]
+    texts = bodies + bodies[:6] + [f"{bodies[k]}\n{passage}" for k in range(30, 34)] + [passage]
+    texts += [f"{words(rng, 60, 900)} {item} {words(rng, 60, 900)}" for item in items] + [f"{words(rng, 50, 900)} {' '.join(w for k, w in enumerate(items[2].split()) if k % 9)}"]
+    texts += ["one line only", "one line only", "One  line only", None, "", "12 34 !!", "Ωμέγα και άλφα " * 4, words(rng, 2500, 900)]
+    rows = [(3 * k + 1, t, "en", "s", None if t is None else len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, t) for k, t in enumerate(items)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    model = langid.fit(spark.createDataFrame(rows, DOCS).filter(~common.held_out()))
+    pieces = langid.Segmenter({x: k for k, x in enumerate(model.pieces)})
+
+    def known(text):
+        said = langid.words_of(text)
+        if not said:
+            return False
+        return sum(langid.log_forward_long(langid.WORD_MARK + w, pieces, model.probabilities)[0] for w in said) / sum(map(len, said)) >= np.log(langid.LETTER_FLOOR)
+
+    kept = [(i, t) for i, t, *_ in rows if known(t)]
+    assert len(rows) - len(kept) == 4
+    after = brute_line_dedup([t for _, t in kept])
+    kept = [(i, new) for (i, old), new in zip(kept, after) if new == old or new.strip()]
+    groups = brute_components([brute_fingerprint(t) for _, t in kept])
+    kept = [x for k, x in enumerate(kept) if groups[k] == k]
+    leaks = {d for d, _ in brute_leaks([t for _, t in kept], items)}
+    assert len(leaks) == 4
+    kept = [x for k, x in enumerate(kept) if k not in leaks]
+    expected = set()
+    for i, t in kept:
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], dtype="<u4")
+        for piece, (start, length) in enumerate(packing.cut(len(ids), 1024)):
+            expected.add((i, piece, start, length, zlib.crc32(ids[start : start + length].tobytes())))
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found} == expected and len(found) == len(expected)
+    bins = defaultdict(list)
+    for r in found:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for places in bins.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(places), sorted(places)[1:])) and min(places)[0] == 0 and sum(n for _, n in places) <= 1024
+    assert len(bins) <= -(-sum(r.length for r in found) // 1024) + 1
