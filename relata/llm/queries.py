@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relata.llm import conversations, decontam, langid, licenses, linededup, media, packing, quality, simhash, warc
+from relata.llm import conversations, decontam, langid, licenses, linededup, media, packing, pieces, quality, repair, simhash, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.op1_language_id,
@@ -19,10 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": linededup.op8_line_dedup,
     "op9_media_webp": media.op9_media_webp,
     "op10_packing": packing.op10_packing,
+    "op11_conversation_repair": repair.op11_conversation_repair,
+    "op12_sentencepiece": pieces.op12_sentencepiece,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
     "op3_chat_format": conversations.oracle(),
     "op4_warc": warc.oracle(),
     "op7_license_scan": licenses.oracle(),
+    "op11_conversation_repair": repair.oracle(),
 }
