@@ -6,9 +6,12 @@ other; the gain is the share of squared log error that this removes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relata.operators.quantiles import exact_median
+from relata.storage import materialize
+
 
 def with_log_error(rows: DataFrame, predicted: str = "prediction", truth: str = "truth") -> DataFrame:
     return rows.withColumn("log_error", F.when((F.col(predicted) > 0) & (F.col(truth) > 0), F.ln(F.col(predicted) / F.col(truth))))
@@ -68,26 +71,10 @@ def prediction_histogram(rows: DataFrame, predicted: str = "prediction", group:
     return rows.groupBy(*group, F.col(predicted).alias("value")).agg(F.count("*").alias("n"))
 
 
-def exact_median(rows: DataFrame, value: str) -> DataFrame:
-    """One row, median: the exact one, without gathering all values in a task.
-
-    An approximate quantile, whose error is a tenth of the margin taken here,
-    gives a narrow band that holds the middle ranks; only the band's distinct
-    values are put in order, behind the number of rows below it.
-    """
-    v = rows.select(F.col(value).cast("double").alias("v")).filter("v is not null")
-    bounds = v.agg(F.percentile_approx("v", F.array(F.lit(0.499), F.lit(0.501)), F.lit(10_000)).alias("b"), F.count("*").alias("n"))
-    sided = v.crossJoin(F.broadcast(bounds)).select("n", F.col("b")[1].alias("high"), F.when(F.col("v") >= F.col("b")[0], F.col("v")).alias("v")).filter("v is null or v <= high")  # one row is broadcast
-    band = sided.groupBy("v").agg(F.count("*").alias("rows"), F.first("n").alias("n"))
-    reach = F.sum("rows").over(Window.orderBy(F.col("v").asc_nulls_first()))
-    placed = band.withColumn("reach", reach).filter("v is not null")
-    rank = lambda r: F.min(F.when(F.col("reach") >= r, F.col("v")))
-    return placed.agg(((rank(F.floor((F.col("n") + 1) / 2)) + rank(F.ceil((F.col("n") + 1) / 2))) / 2).alias("median"))
-
-
 def equal_weight(scenes: DataFrame, metric: str = "g_cv") -> DataFrame:
     """Every scene counts alike, however many rows it has."""
     m = F.col(metric)
+    scenes = materialize(scenes.select(metric), "scenes")  # one narrow row per scene, read more than once
     one = scenes.agg(F.count(m).alias("n_scenes"), F.avg(m).alias("mean"), F.min(m).alias("minimum"), F.max(m).alias("maximum"), F.count_if(m > 0).alias("n_positive"), F.count_if(m > 0.5).alias("n_above_half"))
     both = one.crossJoin(F.broadcast(exact_median(scenes, metric)))  # one row is broadcast
     return both.select("n_scenes", "mean", "median", "minimum", "maximum", "n_positive", "n_above_half")

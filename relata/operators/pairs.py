@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relata.functions import geometry as G
+from relata.operators.quantiles import exact_quantiles
 from relata.params import PairRules
 
 FRAME = ("capture_id", "frame_index")
@@ -79,7 +80,7 @@ def threshold_counts(pairs: DataFrame, group: tuple[str, ...] = FRAME, minimum_d
 
 def distance_summary(pairs: DataFrame, group: tuple[str, ...] = FRAME) -> DataFrame:
     """min, median and max distance; null where there is no pair."""
-    return pairs.groupBy(*group).agg(F.min("distance_m").alias("min_m"), F.percentile("distance_m", F.lit(0.5)).alias("median_m"), F.max("distance_m").alias("max_m"))
+    return exact_quantiles(pairs, list(group), "distance_m", 0.5, "median_m", [F.min("distance_m").alias("min_m"), F.max("distance_m").alias("max_m")])
 
 
 def feasibility(candidates: DataFrame, objects: DataFrame, minimum_distance_m: float = 0.25, minimum_pairs: int = 12, frame: tuple[str, ...] = FRAME) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relata.operators.quantiles import exact_quantiles
 from relata.params import RankRules
 
 
@@ -18,7 +19,7 @@ def eligible(frames: DataFrame, rules: RankRules = RankRules()) -> DataFrame:
 
 def cutoffs(frames: DataFrame, rules: RankRules = RankRules(), capture: str = "capture_id") -> DataFrame:
     """Per capture: the exact linear quantile of sharpness over its eligible frames, and their number."""
-    return eligible(frames, rules).groupBy(capture).agg(F.percentile("sharpness", F.lit(rules.sharpness_quantile)).alias("capture_sharpness_cutoff"), F.count("*").alias("capture_eligible_frames"))
+    return exact_quantiles(eligible(frames, rules), [capture], "sharpness", rules.sharpness_quantile, "capture_sharpness_cutoff", [F.count("*").alias("capture_eligible_frames")])
 
 
 def sharp_frames(frames: DataFrame, rules: RankRules = RankRules(), capture: str = "capture_id") -> DataFrame:
@@ -46,7 +47,8 @@ def capture_summary(frames: DataFrame, rules: RankRules = RankRules(), capture:
     capture once; the shortlist's size follows from the parts' counts.
     """
     good = (F.col("oracle") >= rules.minimum_oracle) & (F.col("natural") >= rules.minimum_natural) & (F.col("natural_interior") >= rules.minimum_natural_interior)
-    counted = frames.groupBy(capture).agg(F.count("*").alias("audited_frames"), F.count_if(good).alias("eligible_frames"), F.percentile(F.when(good, F.col("sharpness")), F.lit(rules.sharpness_quantile)).alias("sharpness_cutoff"))
+    told = frames.withColumns({"good": good, "good_sharpness": F.when(good, F.col("sharpness"))})
+    counted = exact_quantiles(told, [capture], "good_sharpness", rules.sharpness_quantile, "sharpness_cutoff", [F.count("*").alias("audited_frames"), F.count_if("good").alias("eligible_frames")])
     sharp = eligible(frames, rules).join(counted.select(capture, "sharpness_cutoff"), capture).filter("sharpness >= sharpness_cutoff")
     by_bin = sharp.groupBy(capture, "temporal_bin").agg(F.count("*").alias("n"))
     kept = F.col("n") if rules.per_bin is None else F.least("n", F.lit(rules.per_bin))
