@@ -5,15 +5,12 @@ All read through Spark, so any store that Spark reaches will do.
 
 from __future__ import annotations
 
-import io
-import tarfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relata.sources.files import file_hashes, file_sizes, numbered_lines
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -34,20 +31,10 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True,
     return rows
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_number, line) of one text file, from 1, blank lines counted but left out.
-
-    A file's lines are numbered by the task that reads the whole file; for
-    files of the size people write by hand.
-    """
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
-    return lines.filter(F.trim("line") != "").select((F.col("at") + 1).alias("line_number"), "line")
-
-
 def json_lines_with_numbers(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Fields and line_number; ``valid`` is false where a line is no JSON object."""
-    parsed = numbered_lines(spark, path).withColumn("row", F.from_json("line", T.StructType.fromDDL(schema), {"mode": "PERMISSIVE"}))
+    lines = numbered_lines(spark, path).filter(F.col("line").rlike(r"\S"))
+    parsed = lines.withColumn("row", F.from_json("line", T.StructType.fromDDL(schema), {"mode": "PERMISSIVE"}))
     document = F.schema_of_variant(F.try_parse_json("line"))
     return parsed.select("line_number", F.coalesce(F.startswith(document, F.lit("OBJECT")), F.lit(False)).alias("valid"), "row.*")
 
@@ -90,9 +77,8 @@ def checksum_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_table(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(path, size_bytes, sha256) of files, hashed where they are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
-    return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    """(path, size_bytes, sha256) of files of any size."""
+    return file_hashes(file_sizes(spark, path, recursive))
 
 
 def checksum_violations(listed: DataFrame, files: DataFrame, root: str) -> DataFrame:
@@ -102,21 +88,6 @@ def checksum_violations(listed: DataFrame, files: DataFrame, root: str) -> DataF
     return want.join(own, "full", "left").filter("found is null or found <> sha256").select("path", F.when(F.col("found").isNull(), "missing").otherwise("differs").alias("rule"))
 
 
-def archive_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("instances.json", "image.png")) -> DataFrame:
-    """(archive, member, content) of the members of tar archives with these endings, each archive opened once."""
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(path).select("path", "content")
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                with tarfile.open(fileobj=io.BytesIO(data.as_buffer())) as tar:
-                    for m in tar:
-                        if m.isfile() and m.name.endswith(suffixes):
-                            yield pa.RecordBatch.from_pydict({"archive": [name], "member": [m.name], "content": pa.array([tar.extractfile(m).read()], pa.binary())})
-
-    return archives.mapInArrow(members, "archive string, member string, content binary")
-
-
 def member_violations(members: DataFrame, first: str = "instances.json", second: str = "image.png") -> DataFrame:
     """(archive, folder, rule) of the folders that hold one of two members without the other."""
     named = members.select("archive", F.regexp_extract("member", r"^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract("member", r"([^/]+)$", 1).alias("name"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from relata import schemas
 from relata.operators import audit, compare, ledger, metrics, ordering, pairs, ranking, selection, validate
 from relata.params import AuditRules, PairRules, RankRules, SceneRules, rule_contradictions
-from relata.sources import images, readers, sinks
+from relata.sources import files, images, readers, sinks
 from relata.streaming import logs
 
 
@@ -193,7 +193,7 @@ def test_archives_and_images(spark, tmp_path):
             info = tarfile.TarInfo(name)
             info.size = len(data)
             tar.addfile(info, BytesIO(data))
-    frames = readers.archive_frames(readers.archive_members(spark, str(tmp_path)), schemas.instances())
+    frames = readers.archive_frames(files.archive_members(spark, str(tmp_path)), schemas.instances())
     measured = images.image_measures(frames).collect()
     assert [(r.capture_id, r.frame_index, r.width, r.height, len(r.instances)) for r in measured] == [("42", 0, 30, 20, 1)]
     assert measured[0].sharpness == pytest.approx(images.sharpness(px)) and images.sharpness(np.full((5, 5, 3), 9, np.uint8)) == 0
