@@ -39,13 +39,13 @@ from relata.llm import workers
 from relata.llm.common import read_table, slices
 
 SPACE = "▁"
-UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 GROUP_BYTES = 2 << 20
-KEPT_BYTES = 64 << 20
+KEPT_BYTES = 128 << 20
 LONG_UNIT = 128
 ROUNDS = 64
 NONE = np.iinfo(np.int32).max
-Unit = tuple[list[int], str, int]
+EMPTY = -1
 
 
 def default_model() -> str:
@@ -84,21 +84,44 @@ class Pieces:
                 left, right = self.ids.get(piece[:k]), self.ids.get(piece[k:])
                 if left is not None and right is not None:
                     pairs.append((left * size + right, i))
-        pairs.sort()
-        self.pair_keys = np.array([k for k, _ in pairs], np.int64)
-        self.pair_ids = np.array([i for _, i in pairs], np.int32)
-        self.pair_ranks = rank[self.pair_ids]
-        self.bigrams = np.array(sorted((ord(a) << 21) | ord(b) for a, b in bigrams), np.int64)
-        self.new: dict[str, Unit] = {}
-        self.old: dict[str, Unit] = {}
+        keys, made = (np.array(c, np.int64) for c in zip(*pairs))
+        # Open addressing, mostly empty: a key is found, or found missing, at its first place as a rule.
+        self.shift = 64 - (8 * len(keys)).bit_length()
+        self.pair_keys = np.full(1 << (64 - self.shift), EMPTY, np.int64)
+        self.pair_ids = np.full(len(self.pair_keys), EMPTY, np.int32)
+        places = self._place(keys)
+        while len(keys):
+            first = np.zeros(len(keys), bool)
+            first[np.unique(places, return_index=True)[1]] = True
+            own = first & (self.pair_keys[places] == EMPTY)
+            self.pair_keys[places[own]], self.pair_ids[places[own]] = keys[own], made[own]
+            keys, made, places = keys[~own], made[~own], (places[~own] + 1) % len(self.pair_keys)
+        self.pair_ranks = np.where(self.pair_ids == EMPTY, NONE, rank[self.pair_ids])
+        # Characters that stand beside others in pieces have a class of their own, the rest class 0.
+        inner = sorted({c for pair in bigrams for c in pair})
+        self.classes = np.zeros(0x110000, np.int16)
+        self.classes[[ord(c) for c in inner]] = np.arange(1, len(inner) + 1)
+        self.beside = np.zeros((len(inner) + 1, len(inner) + 1), bool)
+        for a, b in bigrams:
+            self.beside[self.classes[ord(a)], self.classes[ord(b)]] = True
+        self.lines_apart = "\n" not in inner
+        self.names = list(map(str, range(size)))
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.held = 0
 
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+
     def merged(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The piece that each pair of symbols makes, and its rank; ``NONE`` where it makes none."""
-        keys = left.astype(np.int64) * self.width + right
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        fits = (self.pair_keys[at] == keys) & (left >= 0) & (right >= 0)
-        return np.where(fits, self.pair_ids[at], -1), np.where(fits, self.pair_ranks[at], NONE)
+        keys = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.width + right, -2)
+        at = self._place(keys)
+        other = self.pair_keys[at]
+        while len(off := np.flatnonzero((other != keys) & (other != EMPTY))):
+            at[off] = (at[off] + 1) % len(self.pair_keys)
+            other[off] = self.pair_keys[at[off]]
+        return self.pair_ids[at], self.pair_ranks[at]
 
     def _by_heap(self, symbols: list[int]) -> tuple[list[int], list[int]]:
         """(places, symbols) of one cut, merged place by place."""
@@ -188,17 +211,17 @@ class Pieces:
         order = np.argsort(places)
         return places[order], np.concatenate([s for _, s in done])[order] if done else symbols
 
-    def encode_units(self, units: list[str]) -> list[list[int]]:
-        """The ids of each unit; a unit is text that no piece crosses the edges of."""
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit, four bytes each; a unit is text that no piece crosses the edges of."""
         if not units:
             return []
-        points = np.frombuffer("".join(units).encode("utf-32-le"), "<u4").astype(np.int64)
-        unit = np.repeat(np.arange(len(units)), list(map(len, units)))
+        points = np.frombuffer("".join(units).encode("utf-32-le"), "<i4")
+        unit = np.repeat(np.arange(len(units), dtype=np.int32), list(map(len, units)))
         symbols = self.chars[points]
-        symbols = np.where(symbols < 0, -1 - points, symbols).astype(np.int32)
-        keys = (points[:-1] << 21) | points[1:]
-        found = self.bigrams[np.minimum(np.searchsorted(self.bigrams, keys), len(self.bigrams) - 1)] == keys
-        cuts = np.r_[0, np.cumsum(~found | (unit[1:] != unit[:-1]))]
+        symbols = np.where(symbols < 0, -1 - points, symbols)
+        classes = self.classes[points]
+        together = self.beside[classes[:-1], classes[1:]] & (unit[1:] == unit[:-1])
+        cuts = np.cumsum(np.r_[False, ~together], dtype=np.int32)
         places, symbols = self.merge(symbols, cuts)
         owner = unit[places]
         odd = np.flatnonzero(symbols < 0)
@@ -210,35 +233,47 @@ class Pieces:
             ids[ids < 0] = self.bytes[np.frombuffer(b"".join(raw), np.uint8)]
         else:
             ids = symbols
-        ends = np.searchsorted(owner, np.arange(len(units) + 1)).tolist()
-        flat = ids.tolist()
-        return [flat[a:b] for a, b in zip(ends, ends[1:])]
+        ends = (4 * np.searchsorted(owner, np.arange(len(units) + 1))).tolist()
+        data = ids.astype("<i4").tobytes()
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _units(self, text: str) -> list[str]:
+        """A text's units, each without the space in front; one that begins with a line break has none."""
+        if not text:
+            return []
+        if "  " not in text and text[0] != " " and SPACE not in text:
+            return (text.replace("\n", " \n") if self.lines_apart else text).split(" ")
+        whole = UNIT.findall(SPACE + text.replace(" ", SPACE))
+        if not self.lines_apart or "\n" not in text:
+            return [u[1:] for u in whole]
+        out = []
+        for u in whole:
+            first, *rest = u[1:].split("\n")
+            out += [first, *("\n" + r for r in rest)]
+        return out
 
     def _learn(self, units: list[str]) -> None:
-        for u, ids in zip(units, self.encode_units(units)):
-            size = 200 + 4 * len(u) + 50 * len(ids)
-            self.new[u] = (ids, "".join(f"{i} " for i in ids), size)
-            self.held += size
+        for u, ids in zip(units, self.encode_units([u if self.lines_apart and u[:1] == "\n" else SPACE + u for u in units])):
+            self.new[u] = ids
+            self.held += 200 + 4 * len(u) + len(ids)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """Each text's ids with the end id, and the same as decimal numbers between spaces."""
-        split = [UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        unknown: dict[str, None] = {}
-        for units in split:
-            for u in units:
-                if u not in self.new:
-                    if u in self.old:
-                        self.new[u] = self.old[u]
-                        self.held += self.old[u][2]
-                    else:
-                        unknown[u] = None
+        split = list(map(self._units, texts))
+        unknown = set().union(*split).difference(self.new)
+        again = unknown.intersection(self.old)
+        for u in again:
+            self.new[u] = self.old[u]
+            self.held += 200 + 4 * len(u) + len(self.old[u])
+        unknown -= again
         self._learn(list(unknown))
         for units in split:
-            known = [self.new[u] for u in units]
-            yield [i for x in known for i in x[0]] + [self.end], "".join([x[1] for x in known]) + str(self.end)
+            ids = np.frombuffer(b"".join(map(self.new.__getitem__, units)), "<i4").tolist()
+            ids.append(self.end)
+            yield ids, " ".join(map(self.names.__getitem__, ids))
         for u in unknown:
             if len(u) > LONG_UNIT:  # seldom met again
-                self.held -= self.new.pop(u)[2]
+                self.held -= 200 + 4 * len(u) + len(self.new.pop(u))
         if self.held > KEPT_BYTES // 2:
             self.old, self.new, self.held = self.new, {}, 0
 
