@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from relata.sources.sinks import Store
+from relata.streaming.ledgers import RECORDED, record_in_order
 
 
 def append_once(path: str, key: str = "order_index"):
-    """A foreachBatch function: rows whose key the log holds already are left out, so a repeated batch changes nothing.
+    """A foreachBatch function for a log with one writer: rows whose key the log holds already are left out, so a repeated batch changes nothing; ``commits.CommitLog`` serves several writers.
 
     Of the log only the part between the batch's least and greatest key is
     read; of rows of one key in a batch the least stays.
@@ -41,29 +38,5 @@ def windowed_counts(events: DataFrame, time: str = "ts", by: tuple[str, ...] = (
 
 
 def until_target(log: DataFrame, target: int, group: str = "ledger", order: str = "order_index", accepted: str = "accepted", first: int = 1) -> DataFrame:
-    """Rows of each ledger up to the one that reaches the target number of acceptances, kept in state from batch to batch.
-
-    A ledger counts its rows from ``first`` without gaps.  A row that comes
-    before its predecessors waits in the state until they are there; one whose
-    index was taken already is a repetition and skipped.
-    """
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, following, places, verdicts = state.get if state.exists else (0, first, [], [])
-        waiting = dict(zip(places, verdicts))
-        for part in parts:
-            for index, verdict in zip(part["order_index"], part["accepted"]):
-                if index >= following and count < target:
-                    waiting.setdefault(int(index), bool(verdict))
-        out = []
-        while following in waiting and count < target:
-            verdict = waiting.pop(following)
-            count += verdict
-            out.append((key[0], following, verdict, count))
-            following += 1
-        left = sorted(waiting) if count < target else []
-        state.update((count, following, left, [waiting[k] for k in left]))
-        yield pd.DataFrame(out, columns=["ledger", "order_index", "accepted", "accepted_so_far"])
-
-    named = log.select(F.col(group).cast("string").alias("ledger"), F.col(order).cast("long").alias("order_index"), F.col(accepted).cast("boolean").alias("accepted"))
-    return named.groupBy("ledger").applyInPandasWithState(step, "ledger string, order_index long, accepted boolean, accepted_so_far long", "count long, following long, places array<long>, verdicts array<boolean>", "append", GroupStateTimeout.NoTimeout)
+    """Rows of each ledger up to the one that reaches the target number of acceptances; see ``ledgers.record_in_order`` for those that are not recorded."""
+    return record_in_order(log, target, group=group, order=order, accepted=accepted, first=first).filter(F.col("status") == RECORDED).select("ledger", "order_index", "accepted", "accepted_so_far")
