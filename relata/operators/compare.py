@@ -70,6 +70,14 @@ def diff_positional(reference: DataFrame, candidate: DataFrame, key: str, positi
     return joined.select(F.col(f"a.{position}").alias(position), F.inline(F.array_compact(F.array(*checks))))
 
 
+def diff_runs(reference: DataFrame, candidate: DataFrame, key: str, position: str = "run_index", **fields) -> DataFrame:
+    """``diff_positional``, and one 'row_count' difference without a place if one run is longer."""
+    sizes = reference.agg(F.count("*").alias("n")).crossJoin(F.broadcast(candidate.agg(F.count("*").alias("m"))))  # one row is broadcast
+    longer = F.array_compact(F.array(_difference(F.col("n") != F.col("m"), "row_count", "number_of_rows", F.col("n"), F.col("m"))))
+    none = F.lit(None).cast(reference.schema[position].dataType).alias(position)
+    return diff_positional(reference, candidate, key, position, **fields).unionByName(sizes.select(none, F.inline(longer)))
+
+
 def difference_counts(differences: DataFrame) -> DataFrame:
     """Rows per category with the largest numeric difference (-1 where there is none)."""
     gap = F.abs(F.col("reference").try_cast("double") - F.col("candidate").try_cast("double"))
@@ -83,6 +91,13 @@ def metadata_differences(reference: DataFrame, candidate: DataFrame, fields: lis
     return joined.select(F.inline(F.array_compact(F.array(*checks))))
 
 
+def order_differences(ordered: DataFrame, reference: DataFrame, key: str = "pair_id", position: str = "run_index") -> DataFrame:
+    """(position, rule, expected, found) where a reference run's rows are not in the given order: 'differs', 'missing' past its end, 'extra' past the order's."""
+    a, b = ordered.select(F.col(position).alias("p"), F.col(key).cast("string").alias("expected")), reference.select(F.col(position).alias("q"), F.col(key).cast("string").alias("found"))
+    rule = F.when(F.col("q").isNull(), "missing").when(F.col("p").isNull(), "extra").when(~F.col("expected").eqNullSafe(F.col("found")), "differs")
+    return a.join(b, F.col("p") == F.col("q"), "full_outer").select(F.coalesce("p", "q").alias(position), rule.alias("rule"), "expected", "found").filter("rule is not null")
+
+
 def key_differences(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """Keys on one side only: side 'missing' (left only) or 'extra' (right only)."""
     a, b = left.select(*key).distinct(), right.select(*key).distinct()

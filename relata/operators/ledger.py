@@ -126,6 +126,25 @@ def artifact_violations(artifacts: DataFrame, files: DataFrame) -> DataFrame:
     return joined.select(F.col("a.path").alias("path"), rule.alias("rule")).filter("rule is not null")
 
 
+def stimulus_violations(manifest: DataFrame, reference: DataFrame, files: DataFrame, key: str = "pair_id", allow_missing: bool = False) -> DataFrame:
+    """(key, rule) of the pairs whose stimulus is not the one that a reference run saw; each pair's first rule.
+
+    manifest: key and stimulus, a path; reference: key and stimulus_sha256;
+    files: path and sha256 (``files.file_hashes``).  A pair may be
+    'not_in_reference', its reference 'without_hash', its file 'missing'
+    (unless allowed) or one that 'differs'; a reference to no pair of the
+    manifest is 'not_in_manifest'.
+    """
+    wanted = manifest.select(F.col(key).alias("own"), F.col("stimulus"))
+    hashed = reference.select(F.col(key).alias("known"), F.col("stimulus_sha256").alias("expected"))
+    both = wanted.join(hashed, F.col("own").eqNullSafe(F.col("known")) & F.col("own").isNotNull(), "full_outer")
+    told = both.join(files.select(F.col("path").alias("stimulus"), F.col("sha256").alias("found")), "stimulus", "left")
+    c = F.col
+    rule = F.when(c("own").isNull() & c("known").isNotNull(), "not_in_manifest").when(c("known").isNull(), "not_in_reference").when(F.coalesce(c("expected"), F.lit("")) == "", "without_hash")
+    rule = rule.when(c("found").isNull(), F.lit(None) if allow_missing else "missing").when(c("found") != c("expected"), "differs")
+    return told.select(F.coalesce("own", "known").alias(key), rule.alias("rule")).filter("rule is not null")
+
+
 def until_gate(process: Callable[[int], bool], first: int, last: int) -> int | None:
     """Processes captures in their order until one needs a decision by hand; returns its index, or None when all are done.
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from relata.functions import geometry as G
 from relata.operators.quantiles import exact_quantiles
 from relata.params import PairRules
+from relata.storage import materialize
 
 FRAME = ("capture_id", "frame_index")
+CROWDED, BLOCK = 1024, 256
 VISIBILITY_LEVELS = (0.8, 0.9, 1.0)
 IOU_LEVELS = (0.25, 0.5)
 SMALLER_LEVEL = 0.8
@@ -24,18 +26,38 @@ def object_records(flagged: DataFrame, box: str = "box_2d_rend") -> DataFrame:
     })
 
 
-def build_pairs(objects: DataFrame, frame: tuple[str, ...] = FRAME, box: str = "box_2d_rend") -> DataFrame:
+def _within_frames(a: DataFrame, b: DataFrame, objects: DataFrame, frame: list[str], crowd: int, block: int) -> DataFrame:
+    """a joined with b, two forms of ``objects``, where both are of one frame and a's index is the smaller one."""
+    ordered = F.col("first_instance_index") < F.col("second_instance_index")
+    found = objects.groupBy(*frame).agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select(*frame, F.ceil(F.col("n") / block).cast("int").alias("__blocks"))
+    if found.isEmpty():
+        return a.join(b, frame).filter(ordered)
+    crowded = materialize(found, "crowded-frames", rows=0)
+    own = lambda x, index: x.join(crowded, frame).withColumn("__block", F.pmod(F.xxhash64(index), F.col("__blocks")).cast("int"))
+    last = F.col("__blocks") - 1
+    # Tile (x, y) has the pairs whose first object is of block x and whose second one is of block y.
+    first = own(a, "first_instance_index").select(*a.columns, F.col("__block").alias("__x"), F.explode(F.sequence(F.lit(0), last)).alias("__y"))
+    second = own(b, "second_instance_index").select(*b.columns, F.explode(F.sequence(F.lit(0), last)).alias("__x"), F.col("__block").alias("__y"))
+    tiled = first.join(second, [*frame, "__x", "__y"]).filter(ordered).drop("__x", "__y")
+    rest = a.join(crowded, frame, "left_anti").join(b, frame).filter(ordered)
+    return rest.unionByName(tiled.select(*rest.columns))
+
+
+def build_pairs(objects: DataFrame, frame: tuple[str, ...] = FRAME, box: str = "box_2d_rend", crowded: int = CROWDED, block: int = BLOCK) -> DataFrame:
     """All pairs of a frame's objects, the one with the smaller instance_index first.
 
     The objects' columns are carried through the join, so measures need no
     second lookup.  The join is by frame, with the order as its residual
-    condition: only pairs inside one frame are ever formed.
+    condition: only pairs inside one frame are ever formed.  The objects of a
+    frame with more than ``crowded`` are dealt to blocks, and each two blocks
+    (and each with itself) are a key of their own, so the frame's pairs spread
+    over the tasks and no task holds its objects.
     """
     own = ["instance_index", "instance_id", "category", "position", box, "box_area_px2", "visible_fraction", "interior", "area_fraction", "side_px", "margin_px"]
     own = [c for c in own if c in objects.columns]
     a = objects.select(*frame, *(F.col(c).alias(f"first_{c}") for c in own))
     b = objects.select(*frame, *(F.col(c).alias(f"second_{c}") for c in own))
-    joined = a.join(b, list(frame)).filter("first_instance_index < second_instance_index")
+    joined = _within_frames(a, b, objects, list(frame), crowded, block)
     one, two = F.col(f"first_{box}"), F.col(f"second_{box}")
     least = lambda c: G.both(F.col(f"first_{c}"), F.col(f"second_{c}"))
     measures = {

@@ -59,7 +59,7 @@ def _with_state(values: DataFrame, state: DataFrame, keys: list[str], total: int
     return joined(values, hot).union(joined(rest, state.filter(~often).hint("merge")))
 
 
-def _select(values: DataFrame, sizes: DataFrame, keys: list[str], q: float, total: int) -> DataFrame:
+def _select(values: DataFrame, sizes: DataFrame, keys: list[str], q: float, total: int, few: int) -> DataFrame:
     """(keys, lower, upper, fraction): the two values around the rank of each group in ``sizes``."""
     at = (F.col("n") - 1) * F.lit(float(q))
     none = F.lit(None).cast("double")
@@ -77,7 +77,7 @@ def _select(values: DataFrame, sizes: DataFrame, keys: list[str], q: float, tota
         found = running.filter((F.col("reach") >= F.col("rank")) & (F.col("reach") - F.col("held") < F.col("rank")))
         state = materialize(found.select(*keys, "n", "rank", "fraction", (F.col("reach") - F.col("held")).alias("below"), "held", "low", "high", F.col("following").alias("next")).select(*columns), "selection", rows=0)
         made.append(state)
-        wide = (F.col("held") > FEW) & (F.col("low") < F.col("high"))
+        wide = (F.col("held") > few) & (F.col("low") < F.col("high"))
         done.append(state.filter(~wide))
         todo = state.filter(wide)
         if todo.isEmpty():
@@ -85,33 +85,33 @@ def _select(values: DataFrame, sizes: DataFrame, keys: list[str], q: float, tota
     ends = reduce(DataFrame.union, done)
     met = F.col("below") + F.col("held") > F.col("rank")  # the next rank is in the same bucket
     single = ends.filter("low = high").select(*keys, F.col("low").alias("lower"), F.when(met, F.col("low")).otherwise(F.col("next")).alias("upper"), "fraction")
-    few = ends.filter("low < high")
-    listed = _with_state(values, few, keys, total).filter("v >= low and v <= high").groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("list"), *(F.first(c).alias(c) for c in ("rank", "below", "fraction", "next")))
+    several = ends.filter("low < high")
+    listed = _with_state(values, several, keys, total).filter("v >= low and v <= high").groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("list"), *(F.first(c).alias(c) for c in ("rank", "below", "fraction", "next")))
     place = (F.col("rank") - F.col("below")).cast("int")
     pair = listed.select(*keys, F.get("list", place - 1).alias("lower"), F.coalesce(F.get("list", place), F.col("next")).alias("upper"), "fraction")
     return materialize(single.union(pair), "quantiles", rows=0)
 
 
-def exact_quantiles(rows: DataFrame, keys: list[str], value: str, q: float, name: str = "quantile", also: list[Column] | None = None) -> DataFrame:
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, q: float, name: str = "quantile", also: list[Column] | None = None, few: int | None = None) -> DataFrame:
     """One row per group with the exact linear quantile of its values, and the aggregates in ``also``; without keys, one row for the table.
 
     Nulls are left out, NaN is the greatest value, a group without a value has
     a null quantile.  Sizes are counted first; a table whose groups all have
-    at most ``FEW`` values is aggregated at once.
+    at most ``few`` values (``FEW``) is aggregated at once.
     """
-    also = also or []
+    also, few = also or [], few or FEW
     number = F.col(value).cast("double")
     sizes = rows.groupBy(*keys).agg(F.count(number).alias("n"))
     largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
-    if (largest or 0) <= FEW:
+    if (largest or 0) <= few:
         return rows.groupBy(*keys).agg(F.percentile(number, F.lit(float(q))).alias(name), *also)
     with intermediates() as made:
         group = [F.lit(0).alias("all")] if not keys else [F.col(k) for k in keys]
         names = keys or ["all"]
         values = materialize(rows.select(*group, number.alias("v")).filter("v is not null"), "selection-values")
         counts = materialize(values.groupBy(*names).agg(F.count("*").alias("n")), "selection-sizes")
-        big = counts.filter(F.col("n") > FEW)
-        selected = _select(values, big, names, q, total)
+        big = counts.filter(F.col("n") > few)
+        selected = _select(values, big, names, q, total, few)
     discard(*(m for m in made[:-1] if m is not values))
     step = F.when((F.col("fraction") == 0) | (F.col("lower") == F.col("upper")), F.col("lower")).otherwise(F.col("lower") + F.col("fraction") * (F.col("upper") - F.col("lower")))
     large = selected.select(*names, step.alias(name))

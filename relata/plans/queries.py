@@ -6,18 +6,25 @@ types agree and the order of a sum does not show.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relata.functions import predicates as P
 from relata.functions import responses as R
+from relata.functions import variants
 from relata.functions.text import archive_capture_id, pair_id, sha256_text, six_digits, unordered_pair
 from relata.operators import audit, compare, ledger, metrics, ordering, pairs, ranking, selection, sweep, validate
+from relata.operators.quantiles import exact_quantiles
 from relata.params import AuditRules, PairRules, RankRules, SceneRules
 from relata.plans import bindings as B
-from relata.storage import materialize
+from relata.sources import files
+from relata.storage import materialize, shared_dir
+from relata.streaming import ledgers
+from relata.streaming.commits import CommitLog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,6 +114,20 @@ def fold_structure(spark, d):
     return shown(metrics.fold_violations(B.relations(spark, d)), "scene", "n_a", "n_b", "rule")
 
 
+@query("select l_returnflag, l_linestatus, count(*) as n, round(quantile_cont(l_extendedprice, 0.9), 4) as price_90, round(min(l_extendedprice), 4) as price_least from lineitem group by 1, 2")
+def group_quantiles(spark, d):
+    """Large groups: ranks are found by histograms, whatever the table's size."""
+    found = exact_quantiles(B.table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", 0.9, "price_90", [F.count("*").alias("n"), F.min("l_extendedprice").alias("price_least")], few=500)
+    return found.select("l_returnflag", "l_linestatus", "n", F.round("price_90", 4).alias("price_90"), F.round("price_least", 4).alias("price_least"))
+
+
+@query("select round(quantile_cont(l_extendedprice, 0.123), 4) as low, round(quantile_cont(l_extendedprice, 0.987), 4) as high from lineitem")
+def table_quantiles(spark, d):
+    rows = B.table(spark, d, "lineitem").select("l_extendedprice")
+    low, high = (exact_quantiles(rows, [], "l_extendedprice", q, n, few=500) for q, n in ((0.123, "low"), (0.987, "high")))
+    return low.crossJoin(F.broadcast(high)).select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))  # one row is broadcast
+
+
 # ------------------------------------------------------------ frames
 
 
@@ -224,6 +245,12 @@ def pair_geometry(spark, d):
     return shown(found, "capture_id", "frame_index", "first_instance_index", "second_instance_index", "distance_m", "both_interior", "box_iou", "intersection_over_smaller_box", "minimum_box_area_px2", "box_center_distance_px", "minimum_visible_fraction", "minimum_border_margin_px")
 
 
+@query(f"with {B.INSTANCES_SQL} select capture_id, frame_index, i1 as first_instance_index, i2 as second_instance_index, round(distance_m, 6) as distance_m, round(iou, 6) as box_iou from p")
+def crowded_frame_pairs(spark, d):
+    """Frames of more than four objects are cut into tiles, so the way of crowded frames is taken at every size."""
+    return shown(pairs.build_pairs(_objects(spark, d), crowded=4, block=3), "capture_id", "frame_index", "first_instance_index", "second_instance_index", "distance_m", "box_iou")
+
+
 @query(f"""with {B.INSTANCES_SQL}, q as (select *, distance_m >= 0.25 as far from p) select capture_id, frame_index, count(*) as number_of_all_natural_pairs, count_if(far)::bigint as number_of_eligible_pairs, count_if(far and both_interior)::bigint as number_of_interior_eligible_pairs,
   count_if(far and visible >= 0.8)::bigint as visible_80, count_if(far and visible >= 1)::bigint as visible_100, count_if(far and iou <= 0.25)::bigint as iou_25, count_if(far and visible >= 1 and iou <= 0.5 and ios <= 0.8)::bigint as combined from q group by 1, 2""")
 def pair_threshold_counts(spark, d):
@@ -471,6 +498,17 @@ def run_diff_counts(spark, d):
     return shown(compare.difference_counts(compare.diff_by_key(*_runs(spark, d), ["pair_id"], **FIELDS)), "category", "n", "largest")
 
 
+@query(f"""with {RUNS_SQL}, c as (select unnest(case when x.pair_id <> y.pair_id then ['order'] else [{_CHECKS}] end) as category from x join y on x.run_index = y.run_index)
+select category, count(*) as n from c where category is not null group by 1 union all select 'row_count', 1 where (select count(*) from x) <> (select count(*) from y)""")
+def run_difference_counters(spark, d):
+    return shown(compare.difference_counts(compare.diff_runs(*_runs(spark, d), "pair_id", **FIELDS)), "category", "n")
+
+
+@query(f"""with {RUNS_SQL} select coalesce(x.run_index, y.run_index) as run_index, case when y.run_index is null then 'missing' else 'differs' end as rule, x.pair_id::varchar as expected, y.pair_id::varchar as found from x full outer join y on x.run_index = y.run_index where x.pair_id is distinct from y.pair_id""")
+def reference_order_differences(spark, d):
+    return compare.order_differences(*_runs(spark, d))
+
+
 @query("with a as (select distinct c_custkey as k from customer), b as (select distinct o_custkey + 3 as k from orders) select k, 'missing' as side from a where k not in (select k from b) union all select k, 'extra' from b where k not in (select k from a)")
 def key_set_missing_extra(spark, d):
     a, b = B.table(spark, d, "customer").select(F.col("c_custkey").alias("k")), B.table(spark, d, "orders").select((F.col("o_custkey") + 3).alias("k"))
@@ -575,7 +613,9 @@ def _batch(spark, d):
     return ledger.batch_commit(official, log.filter(n <= 100), log.filter(n.between(101, 130) & (n != 115)), ["capture_id", "visual_qc"])
 
 
-@query("select * from (values (40::bigint, 'prefix'), (110, 'differs'), (115, 'outside')) v(order_index, rule)")
+@query(f"""with {B.LEDGER_SQL}, o as (select order_index, capture_id, case when order_index in (110, 40) then 'changed' else qc end as qc from l where order_index <= 120), s as (select * from l where order_index <= 100), n as (select * from l where order_index between 101 and 130 and order_index <> 115)
+select order_index, rule from (select coalesce(o.order_index, s.order_index) as order_index, case when s.order_index is not null then case when (o.capture_id, o.qc) is distinct from (s.capture_id, s.qc) then 'prefix' end when n.order_index is null then 'outside' when (o.capture_id, o.qc) is distinct from (n.capture_id, n.qc) then 'differs' end as rule
+  from o full outer join s using (order_index) left join n on n.order_index = coalesce(o.order_index, s.order_index)) where rule is not null""")
 def batch_commit_violations(spark, d):
     return _batch(spark, d)[0]
 
@@ -667,3 +707,110 @@ def identifiers(spark, d):
 @query("select l_orderkey, l_linenumber::bigint as l_linenumber, printf('%.6g', l_quantity / 7) as shown, printf('%.6g', l_discount) as discount from lineitem")
 def six_digit_keys(spark, d):
     return B.table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), six_digits(F.col("l_quantity") / 7).alias("shown"), six_digits(F.col("l_discount")).alias("discount"))
+
+
+# ------------------------------------------------------------ files and values as written
+
+
+@query("""with s as (select o_orderkey as k, 'P' || o_orderkey as pair_id, 'stimuli/' || o_orderkey || '.png' as stimulus, sha256(o_orderstatus || '|' || o_orderpriority || '|' || o_orderkey) as h from orders),
+m as (select * from s where k % 13 <> 5), r as (select pair_id, case when k % 11 = 0 then '' when k % 17 = 0 then 'other' else h end as expected from s where k % 19 <> 3), f as (select stimulus, h as found from s where k % 7 <> 0)
+select pair_id, rule from (select coalesce(m.pair_id, r.pair_id) as pair_id, case when m.pair_id is null then 'not_in_manifest' when r.pair_id is null then 'not_in_reference' when expected = '' then 'without_hash' when found is null then 'missing' when found <> expected then 'differs' end as rule
+  from m full outer join r on m.pair_id = r.pair_id left join f on f.stimulus = m.stimulus) where rule is not null""")
+def stimulus_hash_violations(spark, d):
+    k = F.col("o_orderkey")
+    content = F.concat_ws("|", "o_orderstatus", "o_orderpriority", k.cast("string"))
+    rows = B.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("P"), k.cast("string")).alias("pair_id"), F.concat(F.lit("stimuli/"), k.cast("string"), F.lit(".png")).alias("stimulus"), sha256_text(content).alias("sha256"))
+    reference = rows.filter(k % 19 != 3).select("pair_id", F.when(k % 11 == 0, "").when(k % 17 == 0, "other").otherwise(F.col("sha256")).alias("stimulus_sha256"))
+    return ledger.stimulus_violations(rows.filter(k % 13 != 5), reference, rows.filter(k % 7 != 0).select(F.col("stimulus").alias("path"), "sha256"))
+
+
+def _folder(spark, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _customer_lines(spark, d) -> str:
+    folder = _folder(spark, "customer-lines")
+    n = F.col("c_nationkey").cast("string")
+    rows = B.table(spark, d, "customer").select(F.concat(F.lit("nation-"), n, F.lit(".txt")).alias("file"), "c_custkey", F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment").alias("line"))
+    files.write_lines(rows, folder, "file", ["c_custkey"])
+    return folder
+
+
+@query("with l as (select 'nation-' || c_nationkey || '.txt' as name, c_custkey, c_custkey || '|' || c_name || '|' || c_mktsegment as line from customer) select name, sum(octet_length(encode(line)) + 1)::bigint as size_bytes, sha256(string_agg(line || chr(10), '' order by c_custkey)) as sha256 from l group by 1")
+def file_digests(spark, d):
+    """Files on shared storage, one for each nation, hashed chunk by chunk."""
+    found = files.file_hashes(files.file_sizes(spark, _customer_lines(spark, d)))
+    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "size_bytes", "sha256")
+
+
+@query("with l as (select 'nation-' || c_nationkey || '.txt' as name, c_nationkey, c_custkey, c_custkey || '|' || c_name || '|' || c_mktsegment as line from customer) select name, row_number() over (partition by c_nationkey order by c_custkey) as line_number, line from l")
+def numbered_file_lines(spark, d):
+    """Lines of the same files, numbered by ranges of 1,000 bytes."""
+    found = files.numbered_lines(spark, _customer_lines(spark, d), split=1000)
+    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "line_number", "line")
+
+
+@query("""with m as (select 'set-' || c_nationkey || '.tar' as archive, c_custkey || '/instances.json' as member, '{"name": "' || c_name || '"}' as content from customer) select archive, member, octet_length(encode(content))::bigint as size_bytes, sha256(content) as sha256 from m""")
+def archive_member_digests(spark, d):
+    """Archives with two members a customer; the wanted ones are read by their offsets, in parts of 4,000 bytes."""
+    folder, k = _folder(spark, "customer-archives"), F.col("c_custkey").cast("string")
+    rows = B.table(spark, d, "customer").select(F.concat(F.lit("set-"), F.col("c_nationkey").cast("string"), F.lit(".tar")).alias("archive"), k.alias("k"), "c_name", "c_mktsegment")
+    document = F.concat(F.lit('{"name": "'), F.col("c_name"), F.lit('"}'))
+    members = F.array(F.struct(F.concat("k", F.lit("/instances.json")).alias("member"), document.cast("binary").alias("content")), F.struct(F.concat("k", F.lit("/other.bin")).alias("member"), F.repeat("c_mktsegment", F.lit(9)).cast("binary").alias("content")))
+    files.write_archives(rows.select("archive", F.inline(members)), folder)
+    found = files.archive_members(spark, folder, ("/instances.json",), split=4000)
+    return found.select(F.regexp_extract("archive", "([^/]+)$", 1).alias("archive"), "member", F.octet_length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def _written_values(spark, d):
+    """Distances written in seven ways, by event id."""
+    v = F.col("value").cast("string")
+    ways = {0: F.concat(F.lit('{"distance_m": '), v, F.lit("}")), 1: F.lit('{"distance_m": true}'), 2: F.lit('{"distance_m": null}'), 3: F.lit('{"other": 1}'), 4: F.concat(F.lit('{"distance_m": "'), v, F.lit('"}')), 5: F.concat(F.lit('{"distance_m": '), F.col("event_id").cast("string"), F.lit("}")), 6: F.lit('["distance_m", 1]')}
+    return B.table(spark, d, "events").select("event_id", "event_type", F.coalesce(*(F.when(F.col("event_id") % 7 == k, t) for k, t in ways.items())).alias("line"))
+
+
+@query("""with w as (select event_id, event_type, case event_id % 7 when 0 then '{"distance_m": ' || value || '}' when 1 then '{"distance_m": true}' when 2 then '{"distance_m": null}' when 3 then '{"other": 1}' when 4 then '{"distance_m": "' || value || '"}' when 5 then '{"distance_m": ' || event_id || '}' else '["distance_m", 1]' end as line from events),
+k as (select *, json_type(line) = 'OBJECT' as is_object, json_type(line, '$.distance_m') as t, line ->> '$.distance_m' as x from w),
+n as (select *, case when t is null then 'missing' when t = 'NULL' then 'null' when t = 'BOOLEAN' then 'boolean' when t = 'VARCHAR' then 'string' else 'number' end as kind from k)
+select event_type, kind, is_object, count(*) as n, count_if(kind = 'number')::bigint as strict, count_if(kind in ('number', 'boolean'))::bigint as loose, count_if(kind in ('number', 'boolean', 'string'))::bigint as floats, count_if(kind = 'number' and try_cast(x as double) = floor(try_cast(x as double)))::bigint + count_if(kind = 'string' and regexp_full_match(x, '[+-]?[0-9]+'))::bigint as ints,
+  round(sum(case when kind = 'boolean' then 1 when kind in ('number', 'string') then try_cast(x as double) end), 4) as total, sum(length(line))::bigint as characters from n group by 1, 2, 3""")
+def written_value_kinds(spark, d):
+    """What typed schemas lose: booleans against numbers, nulls against missing fields; the lines pass unchanged."""
+    rows = variants.with_variant(_written_values(spark, d))
+    v = F.col("value")
+    told = rows.select("event_type", "line", variants.kind(v, "distance_m").alias("kind"), variants.is_object(v).alias("is_object"), variants.finite_number(v, "distance_m").alias("strict"), variants.finite_number(v, "distance_m", booleans=True).alias("loose"), variants.finite_float(v, "distance_m").alias("float"), variants.finite_int(v, "distance_m").alias("int"))
+    return told.groupBy("event_type", "kind", "is_object").agg(F.count("*").alias("n"), F.count("strict").alias("strict"), F.count("loose").alias("loose"), F.count("float").alias("floats"), F.count("int").alias("ints"), F.round(F.sum("float"), 4).alias("total"), F.sum(F.length("line")).alias("characters"))
+
+
+# ------------------------------------------------------------ logs
+
+
+@query(f"""with {B.LEDGER_SQL}, c as (select 'part ' || order_index % 4 as ledger, order_index // 4 + 1 as k, capture_id, yes, order_index from l where order_index % 29 <> 12 or order_index < 100),
+f as (select ledger, min(k) as stop from (select ledger, k, sum(yes::int) over (partition by ledger order by k) as s from c) where s >= 200 group by 1),
+g as (select ledger, min(k) as gap from (select ledger, k, row_number() over (partition by ledger order by k) as r from c) where k <> r group by 1)
+select c.ledger, c.k as order_index, capture_id, sum(yes::int) over (partition by c.ledger order by c.k)::bigint as accepted_so_far from c left join f using (ledger) left join g using (ledger) where k <= coalesce(stop, k) and k < coalesce(gap, k + 1)""")
+def ledger_stream(spark, d):
+    """Four ledgers as a stream of two files, the later rows first; what is recorded before the first gap, up to 200 acceptances."""
+    folder, n = _folder(spark, "ledger-stream"), F.col("order_index")
+    rows = B.ledger(spark, d).filter((n % 29 != 12) | (n < 100)).select(F.concat(F.lit("part "), (n % 4).cast("string")).alias("ledger"), (F.floor(n / 4) + 1).alias("order_index"), "capture_id", F.col("selection_accepted").alias("accepted"))
+    for k in (1, 0):
+        rows.filter(F.pmod(F.xxhash64("capture_id"), F.lit(2)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", ledgers.PROVIDER)
+    session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    stream = session.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = ledgers.record_in_order(stream, target=200)
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(ledgers.RESULT).parquet(f"{folder}/out").filter("status = 'recorded'").select("ledger", "order_index", "capture_id", "accepted_so_far")
+
+
+@query(f"with {B.LEDGER_SQL}, b as (select *, case when order_index <= 400 then 1 when order_index <= 900 then 2 else 3 end as version from l where order_index >= 1) select version::bigint as version, count(*) as n, min(order_index)::bigint as first, max(order_index)::bigint as last, count_if(yes)::bigint as accepted from b group by 1")
+def commit_log_batches(spark, d):
+    """The ledger committed in three batches, the second one sent twice; counts of each commit's own rows."""
+    log = CommitLog(spark, _folder(spark, "commit-log"), order="order_index")
+    rows, n = B.ledger(spark, d).select("order_index", "capture_id", "selection_accepted").filter("order_index >= 1"), F.col("order_index")
+    for batch, part in enumerate((n <= 400, n.between(401, 900), n.between(401, 900), n > 900)):
+        log.append(rows.filter(part), writer="w", batch_id=batch - (batch > 1))
+    found = [log.read(v).withColumn("version", F.lit(v).cast("long")) for v in log.versions()]
+    own = [found[0], *(b.join(a, "order_index", "left_anti").select(*b.columns) for a, b in zip(found, found[1:]))]
+    return reduce(DataFrame.unionByName, own).groupBy("version").agg(F.count("*").alias("n"), F.min("order_index").alias("first"), F.max("order_index").alias("last"), F.count_if("selection_accepted").alias("accepted"))

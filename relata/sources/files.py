@@ -11,10 +11,13 @@ members of an archive, the lines of a text) and else have a task of their own
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 import tarfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import AbstractContextManager, contextmanager
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -32,15 +35,36 @@ MAX_VALUE_BYTES = (1 << 31) - (1 << 20)
 MAX_TASKS = 20_000
 
 
-def opened(path: str) -> pa.NativeFile:
-    """A seekable file by its path as Spark names it."""
+def _located(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a path as Spark names it, and the place in it."""
     if re.match("file:|/", path):
-        return pa.fs.LocalFileSystem().open_input_file(re.sub("^file:/+", "/", path))
+        return pa.fs.LocalFileSystem(), re.sub("^file:/+", "/", path)
     scheme, rest = path.split("://", 1)
-    system, place = pa.fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{quote(rest)}")
+    return pa.fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{quote(rest)}")
+
+
+def opened(path: str) -> pa.NativeFile:
+    """A seekable file."""
+    system, place = _located(path)
     return system.open_input_file(place)
 
 
+@contextmanager
+def created(path: str) -> Iterator[pa.NativeFile]:
+    """A new file, in its place once it is whole; a task that is run again replaces it."""
+    system, place = _located(path)
+    system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    part = f"{place}.{uuid.uuid4().hex}.part"
+    try:
+        with system.open_output_stream(part) as f:
+            yield f
+        system.move(part, place)
+    except BaseException:
+        if system.get_file_info(part).type == pa.fs.FileType.File:
+            system.delete_file(part)
+        raise
+
+
 def file_sizes(spark: SparkSession, path: str, recursive: bool = True, pattern: str | None = None) -> DataFrame:
     """(path, size_bytes) of files, from their listing alone; hidden ones are left out."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
@@ -278,7 +302,7 @@ class TarReader(DataSourceReader):
     def _archives(self) -> list[str]:
         found = []
         for path in self.paths:
-            system, place = (pa.fs.LocalFileSystem(), re.sub("^file:/+", "/", path)) if re.match("file:|/", path) else pa.fs.FileSystem.from_uri(path)
+            system, place = _located(path)
             if system.get_file_info(place).type == pa.fs.FileType.File:
                 found.append(path)
                 continue
@@ -302,3 +326,55 @@ class TarReader(DataSourceReader):
 
     def read(self, partition: Members) -> Iterator[pa.RecordBatch]:
         return _contents(partition.archive, partition.members) if partition.members else iter(())
+
+
+# ------------------------------------------------------------ writing
+
+
+def _write_files(rows: DataFrame, file: str, order: list[str], columns: list[str], begin: Callable[[str], AbstractContextManager]) -> None:
+    """Each file's rows pass in order through one task: ``begin`` opens a file and gives a function that takes the columns' values."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, None
+        for batch in batches:
+            for own, *values in zip(*(batch.column(k).to_pylist() for k in range(1 + len(columns)))):
+                if own != name:
+                    if held is not None:
+                        held.__exit__(None, None, None)
+                    name, held = own, begin(own)
+                    put = held.__enter__()
+                put(*values)
+        if held is not None:
+            held.__exit__(None, None, None)
+        yield from ()
+
+    dealt = rows.repartition(file).sortWithinPartitions(file, *order).select(file, *columns)
+    dealt.mapInArrow(work, "done int").write.format("noop").mode("overwrite").save()
+
+
+def write_lines(rows: DataFrame, folder: str, file: str, order: list[str], line: str = "line") -> None:
+    """Text files in a folder, one for each value of ``file``, with its lines in order."""
+
+    @contextmanager
+    def begin(name: str) -> Iterator[Callable[[str], object]]:
+        with created(f"{folder}/{name}") as f:
+            yield lambda text: f.write(f"{text}\n".encode())
+
+    _write_files(rows, file, order, [line], begin)
+
+
+def write_archives(rows: DataFrame, folder: str, archive: str = "archive", member: str = "member", content: str = "content") -> None:
+    """Tar archives in a folder, one for each value of ``archive``, with their members in the order of their names."""
+
+    @contextmanager
+    def begin(name: str) -> Iterator[Callable[[str, bytes], None]]:
+        with created(f"{folder}/{name}") as f, tarfile.open(fileobj=f, mode="w|") as tar:
+
+            def put(path: str, data: bytes) -> None:
+                info = tarfile.TarInfo(path)
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+
+            yield put
+
+    _write_files(rows, archive, [member], [member, content], begin)

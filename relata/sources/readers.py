@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relata.functions.variants import is_object, with_variant
 from relata.sources.files import file_hashes, file_sizes, numbered_lines
 
 
@@ -39,6 +40,22 @@ def json_lines_with_numbers(spark: SparkSession, path: str, schema: str) -> Data
     return parsed.select("line_number", F.coalesce(F.startswith(document, F.lit("OBJECT")), F.lit(False)).alias("valid"), "row.*")
 
 
+def json_variant_lines(spark: SparkSession, path: str, expected_rows: int | None = None) -> DataFrame:
+    """(path, line_number, line, value) of the lines that are not blank: the line as it was written and its value as a VARIANT.
+
+    With ``expected_rows`` another number of lines is an error, and so is a line that is no object.
+    """
+    lines = numbered_lines(spark, path).filter(F.col("line").rlike(r"\S")).withColumn("line", F.regexp_replace("line", "\r$", ""))
+    rows = with_variant(lines)
+    if expected_rows is not None:
+        n, others, first = rows.agg(F.count("*"), F.count_if(~is_object(F.col("value"))), F.min(F.when(~is_object(F.col("value")), F.struct("path", "line_number")))).first()
+        if n != expected_rows:
+            raise ValueError(f"{path} has {n} rows; expected {expected_rows}")
+        if others:
+            raise ValueError(f"{first['path']}, line {first['line_number']}: no object")
+    return rows
+
+
 def json_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """One row for each file whose root is an object."""
     reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")

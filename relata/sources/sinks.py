@@ -130,6 +130,11 @@ def publish_json_lines(df: DataFrame, path: str, order: list[str], overwrite: bo
     return publish_bytes(df.sparkSession, path, _chunks(lines), overwrite)
 
 
+def publish_lines(df: DataFrame, path: str, order: list[str], line: str = "line", overwrite: bool = False) -> str:
+    """One file with a column's lines as they are, in order (a bounded number, checked); returns its SHA-256."""
+    return publish_bytes(df.sparkSession, path, _chunks(r[line] + "\n" for r in _bounded(df.select(*dict.fromkeys([line, *order])), order)), overwrite)
+
+
 def publish_csv(df: DataFrame, path: str, columns: list[str], order: list[str], overwrite: bool = False) -> str:
     def lines() -> Iterator[str]:
         out = io.StringIO()
