@@ -86,6 +86,22 @@ def pooled(scenes: DataFrame) -> DataFrame:
     return sums.select("n", gain(F.col("raw"), F.col("corrected")).alias("pooled_g_cv"), F.sqrt(F.col("raw") / F.col("n")).alias("pooled_raw_rmse"), F.sqrt(F.col("corrected") / F.col("n")).alias("pooled_corrected_rmse"))
 
 
+def gain_levels(rows: DataFrame, dimensions: list[str], scene: str = "scene", sets: list[list[str]] | None = None) -> DataFrame:
+    """Gain and errors on every level over a scene's dimensions and the test fold, from one aggregation of the folds' sums.
+
+    dimensions: columns that are the same for all rows of a scene.  ``sets``
+    names the grouping sets, each a list of dimensions and 'test_fold'; without
+    it, all of them (a cube).  ``level`` has a bit for each column that is
+    summed over, the last one the lowest; such a column is null.
+    """
+    own = rows.groupBy(scene).agg(*(F.first(d).alias(d) for d in dimensions))
+    folds = fold_metrics(rows, scene).select(scene, "test_fold", "n", "raw_sse", "corrected_sse").join(own, scene)
+    columns = [*dimensions, "test_fold"]
+    grouped = folds.cube(*columns) if sets is None else folds.groupingSets([[F.col(c) for c in s] for s in sets], *columns)
+    sums = grouped.agg(F.grouping_id().alias("level"), F.count_distinct(scene).alias("scenes"), F.sum("n").alias("n"), F.sum("raw_sse").alias("raw_sse"), F.sum("corrected_sse").alias("corrected_sse"))
+    return sums.withColumns({"g_cv": gain(F.col("raw_sse"), F.col("corrected_sse")), "raw_rmse": F.sqrt(F.col("raw_sse") / F.col("n")), "corrected_rmse": F.sqrt(F.col("corrected_sse") / F.col("n"))})
+
+
 def timing_summary(rows: DataFrame, elapsed: str = "elapsed_seconds") -> DataFrame:
     """Values that are no numbers are left out; all null if none is left."""
     values = rows.select(F.col(elapsed).try_cast("double").alias("value"))

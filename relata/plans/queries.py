@@ -17,7 +17,7 @@ from relata.functions import predicates as P
 from relata.functions import responses as R
 from relata.functions import variants
 from relata.functions.text import archive_capture_id, pair_id, sha256_text, six_digits, unordered_pair
-from relata.operators import audit, compare, ledger, metrics, ordering, pairs, ranking, selection, sweep, validate
+from relata.operators import audit, compare, ledger, metrics, ordering, pairs, ranking, selection, sketches, sweep, timejoins, validate
 from relata.operators.quantiles import exact_quantiles
 from relata.params import AuditRules, PairRules, RankRules, SceneRules
 from relata.plans import bindings as B
@@ -98,6 +98,41 @@ def aggregate_pooled(spark, d):
     return shown(metrics.pooled(metrics.scene_gain(B.relations(spark, d))), "n", "pooled_g_cv", "pooled_raw_rmse", "pooled_corrected_rmse")
 
 
+LEVELS_SQL = FOLDS_SQL + ", d as (select x.*, n_regionkey as region, s_nationkey as nation from x join supplier on s_suppkey = scene join nation on n_nationkey = s_nationkey)"
+_LEVEL = "grouping(region, nation, test_fold)::bigint as level, region::bigint as region, nation::bigint as nation, test_fold, count(distinct scene) as scenes, sum(n)::bigint as n, round(1 - sum(corrected_sse) / sum(raw_sse), 6) as g_cv, round(sqrt(sum(raw_sse) / sum(n)), 6) as raw_rmse, round(sqrt(sum(corrected_sse) / sum(n)), 6) as corrected_rmse from d group by"
+
+
+def _levels(spark, d, sets=None):
+    supplier, nation = B.table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), B.table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    places = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("scene"), F.col("n_regionkey").alias("region"), F.col("s_nationkey").alias("nation"))
+    return shown(metrics.gain_levels(B.relations(spark, d).join(places, "scene"), ["region", "nation"], sets=sets), "level", "region", "nation", "test_fold", "scenes", "n", "g_cv", "raw_rmse", "corrected_rmse")
+
+
+@query(f"{LEVELS_SQL} select {_LEVEL} cube (region, nation, test_fold)")
+def gain_cube(spark, d):
+    return _levels(spark, d)
+
+
+@query(f"{LEVELS_SQL} select {_LEVEL} grouping sets ((region, nation), (region, test_fold), ())")
+def gain_grouping_sets(spark, d):
+    return _levels(spark, d, [["region", "nation"], ["region", "test_fold"], []])
+
+
+@query("""with t as (select l_returnflag, count(*) as n, count(distinct l_partkey) as parts, quantile_cont(l_extendedprice, 0.5) as median from lineitem group by 1)
+select l_returnflag, n, true as median_within, true as parts_within, parts > 0.9 * (select count(distinct l_partkey) from lineitem) as most_parts, median > 40000 as dear from t""")
+def sketched_verdicts(spark, d):
+    """Sketches stored for each supplier and put together by return flag give the exact figures' verdicts, within their stated errors."""
+    rows = B.table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", F.col("l_extendedprice"), F.col("l_partkey"))
+    by_value = {v: materialize(sketches.sketch(rows, ["l_suppkey", "l_returnflag"], v), f"sketches-{v}") for v in ("l_extendedprice", "l_partkey")}
+    price, parts = (sketches.estimates(sketches.combine(s, ["l_returnflag"]), {"median": 0.5}) for s in by_value.values())
+    every = sketches.estimates(sketches.combine(by_value["l_partkey"], []), {}).select(F.col("n_distinct").alias("every_part"))
+    exact = rows.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("exact_parts"))
+    found = price.select("l_returnflag", "n", "median").join(parts.select("l_returnflag", F.col("n_distinct").alias("parts")), "l_returnflag").join(exact, "l_returnflag").crossJoin(F.broadcast(every))  # one row is broadcast
+    below = rows.join(F.broadcast(found.select("l_returnflag", "median")), "l_returnflag").groupBy("l_returnflag").agg(F.avg((F.col("l_extendedprice") <= F.col("median")).cast("double")).alias("rank"))  # a row for each of three flags
+    within = (F.abs(F.col("rank") - 0.5) <= sketches.RANK_ERROR + 1 / F.col("n")).alias("median_within")
+    return found.join(below, "l_returnflag").select("l_returnflag", "n", within, (F.abs(F.col("parts") - F.col("exact_parts")) <= sketches.DISTINCT_ERROR * F.col("exact_parts") + 1).alias("parts_within"), (F.col("parts") > 0.9 * F.col("every_part")).alias("most_parts"), (F.col("median") > 40000).alias("dear"))
+
+
 @query(f"with {B.RELATIONS_SQL} select scene, l_discount as value, count(*) as n from r group by 1, 2")
 def prediction_histogram(spark, d):
     return metrics.prediction_histogram(B.relations(spark, d), "l_discount", ("scene",))
@@ -182,6 +217,31 @@ def unknown_exclusions(spark, d):
     return ranking.unknown_exclusions(B.frames(spark, d), excluded)
 
 
+ASOF_SQL = "with a as (select event_id, case when event_id % 3 = 0 then 0 else user_id end as capture_id, ts from events where event_type <> 'view'), b as (select event_id as frame_id, case when event_id % 3 = 0 then 0 else user_id end as capture_id, ts as frame_ts, value as sharpness from events where event_type = 'view')"
+
+
+@query(ASOF_SQL + " select a.event_id, a.capture_id, b.frame_id, b.sharpness from a asof left join b on a.capture_id = b.capture_id and a.ts >= b.frame_ts")
+def events_at_last_frame(spark, d):
+    """Each event with the last frame of its capture up to its time; one capture holds a third of the rows."""
+    rows = B.table(spark, d, "events").withColumn("capture_id", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")))
+    frames = rows.filter("event_type = 'view'").select(F.col("event_id").alias("frame_id"), "capture_id", F.col("ts").alias("frame_ts"), F.col("value").alias("sharpness"))
+    found = timejoins.asof_join(rows.filter("event_type <> 'view'").select("event_id", "capture_id", "ts"), frames, ["capture_id"], "ts", "frame_ts", ["frame_id", "sharpness"])
+    return found.select("event_id", "capture_id", "frame_id", "sharpness")
+
+
+@query("""with e as (select event_id, epoch_ms(ts) as t, case when event_id % 251 = 0 then 86400000 when event_id % 5 = 0 then 600000 else (event_id % 40) * 1000 end as d, user_id % 10 as site from events),
+a as (select event_id as first_id, site, t as a0, t + d as a1 from e where event_id % 2 = 0), b as (select event_id as second_id, site, t as b0, t + d // 2 as b1 from e where event_id % 2 = 1)
+select first_id, second_id from a join b on a.site = b.site and a0 <= b1 and b0 <= a1""")
+def overlapping_sessions(spark, d):
+    """Intervals of a second to a day at ten sites."""
+    k = F.col("event_id")
+    length = F.when(k % 251 == 0, 86_400_000).when(k % 5 == 0, 600_000).otherwise(k % 40 * 1000)
+    rows = B.table(spark, d, "events").select("event_id", (F.col("user_id") % 10).alias("site"), F.timestamp_diff("MILLISECOND", F.lit("2000-01-01").cast("timestamp_ntz"), F.col("ts")).alias("t"), length.alias("d"))
+    a = rows.filter(k % 2 == 0).select(k.alias("first_id"), "site", F.col("t").alias("a0"), (F.col("t") + F.col("d")).alias("a1"))
+    b = rows.filter(k % 2 == 1).select(k.alias("second_id"), "site", F.col("t").alias("b0"), (F.col("t") + F.floor(F.col("d") / 2)).alias("b1"))
+    return timejoins.interval_join(a, b, "a0", "a1", "b0", "b1", ["site"]).select("first_id", "second_id")
+
+
 @query("""with m as (select user_id as capture_id, (event_id % 500)::bigint as frame, case when event_type = 'click' then 'i' when event_type = 'view' then 'p' end as kind from events)
 select distinct capture_id, frame from m where kind = 'i' and exists (select 1 from m b where b.kind = 'p' and b.capture_id = m.capture_id and b.frame = m.frame)""")
 def sibling_semi(spark, d):
