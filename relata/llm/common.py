@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relata.llm import workers
 from relata.storage import discard, intermediates, materialize, shared_dir
 
-__all__ = ["bounded_sample", "discard", "free_name", "held_out", "intermediates", "materialize", "passed", "read_table", "sampled", "shared_dir", "slices"]
+__all__ = ["bounded_sample", "discard", "free_name", "held_out", "intermediates", "map_arrow", "materialize", "passed", "quoted", "read_table", "sampled", "shared_dir", "slices"]
 
 TRAIN_REMAINDER = 2
 
@@ -47,6 +48,16 @@ def passed(columns: list[str], out: tuple[str, ...]) -> list[str]:
     return [c for c in columns if c.lower() not in taken]
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, whatever stands in the name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name: the batches' columns go by their places."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(work, schema)
+
+
 def free_name(columns: list[str], base: str) -> str:
     """A column name that is not taken yet."""
     taken = {c.lower() for c in columns}

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relata.llm import workers
-from relata.llm.common import free_name, held_out, materialize, passed, read_table, sampled, slices
+from relata.llm.common import free_name, held_out, map_arrow, materialize, passed, quoted, read_table, sampled, slices
 
 SAMPLE_ROWS = 20_000
 EM_STEPS = 2
@@ -359,7 +359,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_column: str = "text", ke
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(by_letter, pa.float64())], names=[*keep, *out])
 
     # The text is read by its place behind the kept columns, so no name of theirs can take its part.
-    return docs.select(*[F.col(c) for c in keep], F.col(text_column).alias(free_name(keep, "text"))).mapInArrow(score, schema)
+    return map_arrow(docs.select(*map(quoted, keep), quoted(text_column).alias(free_name(keep, "text"))), score, schema)
 
 
 def known_language(by_letter: Column, floor: float = LETTER_FLOOR) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relata.llm import workers
-from relata.llm.common import bounded_sample, free_name, held_out, passed, read_table, slices
+from relata.llm.common import bounded_sample, free_name, held_out, map_arrow, passed, quoted, read_table, slices
 
 SAMPLE_ROWS = 12_000
 HASH_BITS = 18
@@ -164,7 +164,7 @@ def predict(docs: DataFrame, weights: np.ndarray, text_column: str = "text", kee
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.float64()), pa.array([int(s >= threshold) for s in found], pa.int32())], names=[*keep, *out])
 
     # The text is read by its place behind the kept columns, so no name of theirs can take its part.
-    return docs.select(*[F.col(c) for c in keep], F.col(text_column).alias(free_name(keep, "text"))).mapInArrow(score, schema)
+    return map_arrow(docs.select(*map(quoted, keep), quoted(text_column).alias(free_name(keep, "text"))), score, schema)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

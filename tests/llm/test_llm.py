@@ -613,36 +613,95 @@ def test_repeated_chunks_go_and_first_ones_stay(spark):
     assert out[3].text == "" and out[3].n_removed > 0 and out[6].text == "" and out[5].text == texts[5]
 
 
-def brute_line_dedup(texts):
-    """Every passage of every text compared with all others, byte by byte, in plain loops; texts in order of their ids."""
+def brute_line_dedup(texts, with_chunks=True):
+    """The rule in plain loops, without the operator's code: texts in order of their ids, lines as bytes."""
+    multiplier, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def cut(lines):
+        """(first, after) line numbers of the chunks."""
+        h = [xxhash.xxh64_intdigest(x) for x in lines]
+        value = [(h[i] + (h[i - 1] * multiplier if i else 0)) & mask for i in range(len(lines))]
+        value = [v ^ (v >> 29) for v in value]
+        long = [len(x.split()) >= 50 for x in lines]
+        out, first = [], 0
+        for i in range(len(lines)):
+            low = 1 <= i < len(lines) - 2 and value[i] < value[i - 1] and value[i] <= value[i + 1]
+            if i + 1 == len(lines) or low or long[i] or long[i + 1] or i + 1 - first == 64:
+                out.append((first, i + 1))
+                first = i + 1
+        return out
+
+    docs = [(text or "").encode().split(b"\n") for text in texts]
+    gone = [[False] * len(lines) for lines in docs]
+    parts = [cut(lines) for lines in docs]
     first = {}
-    for k, text in enumerate(texts):
-        data = (text or "").encode()
-        for start, end in linededup.passages(data):
-            first.setdefault(data[start:end], (k, start))
-    out = []
-    for k, text in enumerate(texts):
-        if text is None:
-            out.append(None)
+    found = []  # doc, first line, line after, chunk number or None
+    for d, lines in enumerate(docs):
+        if with_chunks:
+            found += [(d, a, b, k) for k, (a, b) in enumerate(parts[d]) if (b - a > 1 or len(lines[a].split()) >= 50) and any(x.strip() for x in lines[a:b])]
+        full = [i for i, x in enumerate(lines) if x.strip()]
+        found += [(d, i, j + 1, None) for i, j in zip(full, full[1:]) if len(lines[i].split()) + len(lines[j].split()) >= 12]
+    for place in sorted(found, key=lambda x: (x[0], x[1], x[3] is None)):
+        first.setdefault(tuple(docs[place[0]][place[1] : place[2]]), place)
+    for d, a, b, k in found:
+        e, c, _, m = first[tuple(docs[d][a:b])]
+        if (d, a) == (e, c):
             continue
-        data, gone = text.encode(), bytearray(len(text.encode()) + 1)
-        for start, end in linededup.passages(data):
-            if first[data[start:end]] != (k, start):
-                gone[start:end] = b"\1" * (end - start)
-        # A run of removed bytes takes the line break after it along, or at the text's end the one before it.
-        kept = b"".join(data[i : i + 1] for i in range(len(data)) if not gone[i] and not (i > 0 and gone[i - 1] and data[i : i + 1] == b"\n"))
-        out.append((kept.removesuffix(b"\n") if data and gone[len(data) - 1] else kept).decode())
-    return out
-
-
-def test_line_dedup_equals_brute_force(spark):
-    rng = random.Random(17)
-    lines = [words(rng, rng.randrange(1, 9), 60) for _ in range(40)] + [words(rng, 55, 400) for _ in range(4)] + ["", "  ", "\t"]
-    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 14))) for _ in range(60)] + ["same\nlines\nhere"] * 90 + [None, "", "\n"]
+        gone[d][a:b] = [True] * (b - a)
+        if k is None or m is None:
+            continue
+        here, there = docs[d], docs[e]
+        for step, edge, other, at, to in ((-1, parts[d][k - 1][0] if k else a, parts[e][m - 1][0] if m else c, a - 1, c - 1), (1, parts[d][k + 1][1] - 1 if k + 1 < len(parts[d]) else b - 1, parts[e][m + 1][1] - 1 if m + 1 < len(parts[e]) else c + b - a - 1, b, c + b - a)):
+            run = []
+            while (at >= edge and to >= other if step < 0 else at <= edge and to <= other) and here[at] == there[to]:
+                run.append(at)
+                at, to = at + step, to + step
+            if any(here[i] for i in run):
+                for i in run:
+                    gone[d][i] = True
+    return [None if text is None else "\n".join(x.decode() for x, g in zip(docs[d], gone[d]) if not g) for d, text in enumerate(texts)]
+
+
+def line_corpus(rng):
+    lines = [words(rng, rng.randrange(1, 9), 60) for _ in range(40)] + [words(rng, rng.randrange(8, 15), 300) for _ in range(30)] + [words(rng, 55, 400) for _ in range(4)] + ["", "  ", "\t"]
+    passage = [words(rng, rng.randrange(1, 12)) for _ in range(20)]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 14))) for _ in range(60)] + ["same\nlines\nhere"] * 90 + [None, "", "\n"] + ["one line\n" * 200, "one line\n" * 150 + "end"]
+    for _ in range(30):
+        a = rng.randrange(16)
+        texts.append("\n".join([words(rng, 3), *passage[a : a + rng.randrange(2, 14)], words(rng, 4), *(rng.choice(lines) for _ in range(3))]))
+    return texts
+
+
+@pytest.mark.parametrize("seed", [17, 18, 19])
+def test_line_dedup_equals_brute_force(spark, seed):
+    texts = line_corpus(random.Random(seed))
     found = {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, texts)).collect()}
     assert [found[k] for k in range(len(texts))] == brute_line_dedup(texts)
 
 
+def test_chunks_carry_the_result(spark, monkeypatch):
+    """Without chunks, or without their extension, other texts come out."""
+    texts = line_corpus(random.Random(17))
+    whole = {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, texts)).collect()}
+    alone = {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, texts), few_words=None).collect()}
+    short = lambda own: sum(len(t or "") for t in own.values())
+    assert short(whole) < short(alone) < sum(len(t or "") for t in texts)
+    monkeypatch.setattr(linededup, "_extended", lambda met: met.select(*linededup.PLACE, *linededup.CHUNK, "first").limit(0))
+    unextended = {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, texts), few_words=None).collect()}
+    assert short(alone) < short(unextended)
+    second_step_alone = brute_line_dedup(texts, with_chunks=False)
+    assert short(whole) < sum(len(t or "") for t in second_step_alone) and [whole[k] for k in range(len(texts))] != second_step_alone
+
+
+def test_lines_beside_columns_of_any_name(spark):
+    df = docs(spark, ["same line of many words\nand one more line here\nx y", "a b\nsame line of many words\nand one more line here\nx y"]).withColumn("a.b", F.lit(1)).withColumn("c`d", F.lit("x"))
+    out = linededup.dedup_lines(df)
+    assert out.columns == [*df.columns, "n_removed", "removed_bytes"] and out.count() == 2
+    model = langid.fit(df)
+    assert langid.predict(df, model).columns[: len(df.columns)] == df.columns and langid.predict(df, model).count() == 2
+    assert quality.predict(df, np.zeros((1 << quality.HASH_BITS) + 1, np.float32)).count() == 2
+
+
 def test_chunks_cover_a_text_and_shift_with_it():
     rng = random.Random(8)
     data = "\n".join(words(rng, 5) for _ in range(60)).encode()
