@@ -26,6 +26,12 @@ def archive_capture_id(name: Column, pattern: str = r"(\d+)\.tar$") -> Column:
     return F.nullif(F.regexp_extract(name, pattern, 1), F.lit(""))
 
 
+def display_path(path: Column, root: str) -> Column:
+    """A path as it is shown: below the root by its place there, the root itself as a dot, others whole."""
+    base = root.rstrip("/")
+    return F.when(path == base, ".").when(F.startswith(path, F.lit(base + "/")), F.substring(path, F.lit(len(base) + 2), F.length(path))).otherwise(path)
+
+
 def salted_key(salt: str, identifier: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{salt}:"), identifier.cast("string")), 256)
 

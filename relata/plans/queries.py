@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from relata.functions import predicates as P
 from relata.functions import responses as R
 from relata.functions import variants
-from relata.functions.text import archive_capture_id, pair_id, sha256_text, six_digits, unordered_pair
+from relata.functions.text import archive_capture_id, display_path, pair_id, sha256_text, six_digits, unordered_pair
 from relata.operators import audit, compare, ledger, metrics, ordering, pairs, ranking, selection, sketches, sweep, timejoins, validate
 from relata.operators.quantiles import exact_quantiles
 from relata.params import AuditRules, PairRules, RankRules, SceneRules
@@ -764,6 +764,14 @@ def identifiers(spark, d):
     return B.table(spark, d, "part").select("p_partkey", pair_id(F.col("p_brand"), F.col("p_partkey") % 100).alias("pair_id"), archive_capture_id(name).alias("capture_id"))
 
 
+@query("""with p as (select p_partkey, case p_partkey % 4 when 0 then '/data/project/sets/' || p_partkey || '.tar' when 1 then '/data/projects/' || p_partkey when 2 then '/other/' || p_partkey else '/data/project' end as path from part)
+select p_partkey, case when path = '/data/project' then '.' when starts_with(path, '/data/project/') then substr(path, 15) else path end as shown from p""")
+def displayed_paths(spark, d):
+    k = F.col("p_partkey").cast("string")
+    path = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("/data/project/sets/"), k, F.lit(".tar"))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("/data/projects/"), k)).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("/other/"), k)).otherwise("/data/project")
+    return B.table(spark, d, "part").select("p_partkey", display_path(path, "/data/project").alias("shown"))
+
+
 @query("select l_orderkey, l_linenumber::bigint as l_linenumber, printf('%.6g', l_quantity / 7) as shown, printf('%.6g', l_discount) as discount from lineitem")
 def six_digit_keys(spark, d):
     return B.table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), six_digits(F.col("l_quantity") / 7).alias("shown"), six_digits(F.col("l_discount")).alias("discount"))

@@ -65,6 +65,18 @@ def created(path: str) -> Iterator[pa.NativeFile]:
         raise
 
 
+def digest_of(path: str, algorithm: str = "sha256") -> str | None:
+    """A file's digest, read in chunks; None if there is no file."""
+    system, place = _located(path)
+    if system.get_file_info(place).type != pa.fs.FileType.File:
+        return None
+    digest = hashlib.new(algorithm)
+    with system.open_input_file(place) as f:
+        while chunk := f.read(CHUNK_BYTES):
+            digest.update(chunk)
+    return digest.hexdigest()
+
+
 def file_sizes(spark: SparkSession, path: str, recursive: bool = True, pattern: str | None = None) -> DataFrame:
     """(path, size_bytes) of files, from their listing alone; hidden ones are left out."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
@@ -91,13 +103,7 @@ def file_hashes(files: DataFrame, algorithm: str = "sha256") -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for path in batch.column(0).to_pylist():
-                digest = hashlib.new(algorithm)
-                with opened(path) as f:
-                    while chunk := f.read(CHUNK_BYTES):
-                        digest.update(chunk)
-                found.append(digest.hexdigest())
+            found = [digest_of(path, algorithm) for path in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=["path", "size_bytes", algorithm])
 
     return _dealt(files.select("path", "size_bytes")).mapInArrow(work, f"path string, size_bytes long, {algorithm} string")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relata.sources.files import created, digest_of
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
@@ -230,24 +232,27 @@ def scene_sheets(stimuli: DataFrame, scene: str = "scene", order: str = "pair_in
     return stimuli.select(*wanted).groupBy(scene).applyInArrow(lay_out, T.StructType([stimuli.schema[scene], T.StructField("sheet", T.BinaryType())]))
 
 
-def write_images(images: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
-    """Writes every image to a file of the folder, in parallel and whole or not at all; returns (name, size_bytes, sha256)."""
-    import hashlib
-    import uuid
+def write_images(images: DataFrame, folder: str, name: str = "name", content: str = "content", overwrite: bool = False) -> DataFrame:
+    """Writes every image to a file of the folder, in parallel and whole or not at all; returns (name, size_bytes, sha256).
 
-    from pyarrow import fs
+    A name must lead to a place below the folder.  A file that stands there is
+    an error unless it is the same image or ``overwrite`` is given.
+    """
+    import hashlib
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
-        store.create_dir(root, recursive=True)
         for batch in batches:
             done = []
             for own, data in zip(*(c.to_pylist() for c in batch.columns)):
-                part = f"{root}/{own}.{uuid.uuid4().hex}.part"
-                with store.open_output_stream(part, compression=None) as out:
-                    out.write(data)
-                store.move(part, f"{root}/{own}")
-                done.append((own, len(data), hashlib.sha256(data).hexdigest()))
+                if not own or own.startswith("/") or ".." in own.split("/"):
+                    raise ValueError(f"{own!r} is no name of a file below {folder}")
+                digest = hashlib.sha256(data).hexdigest()
+                if (standing := digest_of(f"{folder}/{own}")) is not None and standing != digest and not overwrite:
+                    raise FileExistsError(f"{folder}/{own}")
+                if standing != digest:
+                    with created(f"{folder}/{own}") as out:
+                        out.write(data)
+                done.append((own, len(data), digest))
             yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["name", "size_bytes", "sha256"])
 
     return images.select(F.col(name).cast("string"), content).mapInArrow(write, "name string, size_bytes long, sha256 string")

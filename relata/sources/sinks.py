@@ -181,22 +181,6 @@ def protocol(inputs: dict[str, str], parameters: dict, counts: dict[str, int], o
     return {"created_at_utc": datetime.now(timezone.utc).isoformat(), "inputs_sha256": inputs, "parameters": parameters, "counts": counts, "output": output, "next_stage": following}
 
 
-def publish_qc_packet(spark: SparkSession, path: str, batch_id: str, sheets: list[tuple[int, str, bytes]], overwrite: bool = False) -> dict[str, str]:
-    """A folder for the check by eye: the numerically accepted captures' sheets by page, one PDF of them, an index, and a form for the decisions.
-
-    sheets: (order_index, capture_id, PNG bytes), in the order of the pages; a batch of a bounded size.
-    """
-    from relata.sources.images import decode_png, pdf
-
-    names = [f"page-{page:02d}_order-{order:03d}_capture-{capture}.png" for page, (order, capture, _) in enumerate(sheets, 1)]
-    index = "page,order_index,capture_id,contact_sheet\n" + "".join(f"{page},{order},{capture},{name}\n" for page, ((order, capture, _), name) in enumerate(zip(sheets, names), 1))
-    form = {"schema_version": "1.0", "batch_id": batch_id, "decisions": {capture: {"visual_qc": "pass_or_fail", "visual_qc_note": ""} for _, capture, _ in sheets}}
-    files = {name: data for name, (_, _, data) in zip(names, sheets)} | {"qc_index.csv": index.encode(), "visual_qc_decisions.template.json": (json.dumps(form, indent=2, ensure_ascii=False) + "\n").encode()}
-    if sheets:
-        files["qc_packet.pdf"] = pdf([decode_png(data) for _, _, data in sheets])
-    return publish_folder(spark, path, files, overwrite)
-
-
 def run_logged(command: list[str], log: str, echo: TextIO = sys.stdout) -> int:
     """Runs a command, its output line by line in a log file and on ``echo`` as it comes; returns its exit code."""
     with open(log, "a", encoding="utf-8") as out, subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.STDOUT, text=True) as process:

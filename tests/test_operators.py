@@ -365,15 +365,12 @@ def test_labels_headings_and_sheets(spark):
     assert len(sheets) == 2 and [int(px[-1, 8 * k + 4, 0]) for k in range(3)] == [10, 20, 30]
 
 
-def test_packet_for_the_check_by_eye(spark, tmp_path):
+def test_pages_and_image_files(spark, tmp_path):
     import re
     import zlib
 
     sheets = [(7, "c7", images.encode_png(np.full((15, 30, 3), 9, np.uint8))), (9, "c9", images.encode_png(np.full((30, 15, 3), 8, np.uint8)))]
-    sinks.publish_qc_packet(spark, str(tmp_path / "packet"), "b1", sheets)
-    assert (tmp_path / "packet" / "qc_index.csv").read_text().splitlines()[1] == "1,7,c7,page-01_order-007_capture-c7.png"
-    assert json.loads((tmp_path / "packet" / "visual_qc_decisions.template.json").read_text())["decisions"]["c9"]["visual_qc"] == "pass_or_fail"
-    data = (tmp_path / "packet" / "qc_packet.pdf").read_bytes()
+    data = images.pdf([images.decode_png(d) for _, _, d in sheets])
     assert data.startswith(b"%PDF-") and b"/Count 2" in data
     table = int(re.search(rb"startxref\n(\d+)", data)[1])
     for k, place in enumerate(re.findall(rb"(\d{10}) 00000 n", data[table:]), 1):
@@ -382,6 +379,14 @@ def test_packet_for_the_check_by_eye(spark, tmp_path):
     assert zlib.decompress(data[first.end() : first.end() + int(first[1])]) == bytes([9]) * 15 * 30 * 3
     written = images.write_images(spark.createDataFrame([(f"{k}.png", d) for k, _, d in sheets], "name string, content binary"), str(tmp_path / "images")).collect()
     assert {r.name: r.sha256 for r in written} == {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in (tmp_path / "images").iterdir()}
+    again = lambda rows, **k: images.write_images(spark.createDataFrame(rows, "name string, content binary"), str(tmp_path / "images"), **k).count()
+    assert again([("7.png", sheets[0][2])]) == 1
+    with pytest.raises(Exception, match="FileExistsError"):
+        again([("7.png", b"other")])
+    assert again([("7.png", b"other")], overwrite=True) == 1 and (tmp_path / "images/7.png").read_bytes() == b"other"
+    for bad in (None, "", "../x.png", "/x.png", "a/../../x.png"):
+        with pytest.raises(Exception, match="no name of a file"):
+            again([(bad, b"x")])
 
 
 def test_commands_environment_and_gate(tmp_path):
