@@ -47,7 +47,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from relata.llm import workers
 from relata.llm.common import discard, intermediates, materialize, read_table, shared_dir, slices
-from relata.llm.skew import join_counted
+from relata.llm.skew import bit_filter, join_counted, parted
 from relata.operators.compare import number_rows
 
 FILE_BYTES = 32 << 20
@@ -195,9 +195,14 @@ def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", ur
     payload = F.coalesce(html_column, F.lit("")).cast("binary")
     when = F.date_format(F.to_utc_timestamp(time_column, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'") if time_column else F.lit(None).cast("string")
     id_type = pages.schema[id_column].dataType
-    own = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), payload.alias("payload"), when.alias("when"), F.sha2(payload, 256).alias("same"))
-    first = own.filter(F.octet_length("payload") >= min_revisit_bytes).groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    paired = join_counted(own, first, ["same"], pages.count(), how="left").select("page_id", "url", "payload", "when", "first")
+    own = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), payload.alias("payload"), when.alias("when"), F.xxhash64(payload).alias("mark"))
+    # Only digests are brought together.  Of the payloads those move that repeat, by a filter of fixed size over their marks.
+    digests = own.filter(F.octet_length("payload") >= min_revisit_bytes).select("page_id", "mark", F.sha2("payload", 256).alias("same"))
+    first = materialize(digests.groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n"), F.first("mark").alias("mark")).filter("n > 1"), "warc-repeated")
+    lone, perhaps = parted(own, bit_filter(first, "mark"), "mark")
+    met = join_counted(perhaps.withColumn("same", F.sha2("payload", 256)), first.drop("mark"), ["same"], pages.count(), how="left")
+    columns = ("page_id", "url", "payload", "when")
+    paired = met.select(*columns, "first").union(lone.select(*columns, F.lit(None).cast(id_type).alias("first")))
     schema, entry = _fence_schema(id_type), _index_schema(id_type)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
