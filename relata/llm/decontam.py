@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from relata.llm.common import materialize, read_table, slices
+from relata.llm.common import free_name, materialize, quoted, read_table, slices
 
 PASSAGE, STRIDE = 64, 32
 RANK, OVERSAMPLE, SEED = 120, 8, 7
@@ -477,8 +477,9 @@ def _find_block(docs: DataFrame, benchmark: DataFrame, id_column: str, text_colu
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no benchmark item was found."""
-    leaked = find_leaks(docs, benchmark, id_column, text_column).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaked, F.col(id_column).eqNullSafe(F.col("__leaked")), "left_anti")
+    own = free_name(docs.columns, "leaked")
+    leaked = find_leaks(docs, benchmark, id_column, text_column).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(leaked, quoted(id_column).eqNullSafe(F.col(own)), "left_anti")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

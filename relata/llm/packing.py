@@ -42,7 +42,8 @@ CAPACITY = 1024
 CLOSING_ID = 2
 CELL_ROWS, CELLS_TOGETHER = 1024, 1024
 MAX_PLAN_BLOCKS = 1_000_000
-KEPT_UNITS, NEW_UNITS = 300_000, 100_000
+KEPT_BYTES, NEW_BYTES = 72 << 20, 24 << 20
+UNIT_BYTES = 180
 WHOLE = b""
 SPACE_TOKEN = "Ġ"
 # Fixed value: the pattern by which byte-level vocabularies of this kind split a text.
@@ -64,6 +65,11 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def unit_bytes(unit: str, ids: bytes) -> int:
+    """About what a kept unit takes: two objects, their place in the table, and what they hold (up to two bytes a character as a rule)."""
+    return UNIT_BYTES + 2 * len(unit) + len(ids)
+
+
 class UnitEncoder:
     """Token ids (little-endian bytes) of texts, put together from those of space-led units, which are kept.
 
@@ -92,6 +98,7 @@ class UnitEncoder:
         self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
         self.leads[[k for token, k in vocabulary.items() if token.startswith(SPACE_TOKEN)]] = True
         self.units: dict[str, bytes] = {}
+        self.held = 0
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -127,9 +134,11 @@ class UnitEncoder:
         self.units.update((u, data[a:b]) for u, a, b in zip(new, at, at[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.units) > KEPT_UNITS + NEW_UNITS:  # what came early, and so often, stays
-            for u in list(self.units)[KEPT_UNITS:]:
-                del self.units[u]
+        if self.held > KEPT_BYTES + NEW_BYTES:  # what came early, and so often, stays
+            for u in reversed(list(self.units)):
+                if self.held <= KEPT_BYTES:
+                    break
+                self.held -= unit_bytes(u, self.units.pop(u))
         get = self.units.get
         split: list[list[str] | None] = [None if any(map(t.__contains__, self.special)) else t.split(" ") for t in texts]
         first = [units.pop(0) if units else "" for units in split]
@@ -137,6 +146,7 @@ class UnitEncoder:
         unknown = {u for units, own in zip(split, known) if None in own for u, x in zip(units, own) if x is None}
         if unknown:
             self._learn(list(unknown))
+            self.held += UNIT_BYTES * len(unknown) + 2 * sum(map(len, unknown)) + sum(map(len, map(get, unknown)))
         out = []
         for text, head, units, own in zip(texts, first, split, known):
             if None in own:

@@ -35,7 +35,7 @@ HASH_BITS = 18
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-4
 THRESHOLD = 0.7
-KEPT_WORDS, SLICE_BYTES = 200_000, 4 << 20
+KEPT_WORDS, LONG_WORD, SLICE_BYTES = 200_000, 64, 4 << 20
 _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _KINDS = (np.uint64(0x51), np.uint64(0xA7), np.uint64(0xC3), np.uint64(0xE9))
@@ -65,7 +65,9 @@ def features(text: str | None, known: dict[str, tuple[int, int]] | None = None)
     for w in words:
         pair = known.get(w)
         if pair is None:
-            pair = known[w] = _hashes(w)
+            pair = _hashes(w)
+            if len(w) <= LONG_WORD:  # longer ones are seldom met again, and their number would not bound their bytes
+                known[w] = pair
         pairs.append(pair)
     h = np.array(pairs, dtype=np.uint64)
     word, shape = h[:, 0], h[:, 1].copy()

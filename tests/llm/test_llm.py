@@ -1050,3 +1050,66 @@ def test_pipeline_equals_brute_force(spark, tmp_path, tokenizer):
     for places in bins.values():
         assert all(a + n == b for (a, n), (b, _) in zip(sorted(places), sorted(places)[1:])) and min(places)[0] == 0 and sum(n for _, n in places) <= 1024
     assert len(bins) <= -(-sum(r.length for r in found) // 1024) + 1
+
+
+# ------------------------------------------------------------ bounds
+
+
+def test_a_filter_of_hashes_loses_none(spark):
+    from relata.llm.skew import bit_filter, parted
+
+    rows = spark.range(5000).select("id", F.xxhash64("id").alias("mark"), F.lit("x").alias("segment_"))
+    kept = rows.filter("id % 7 = 0")
+    lone, perhaps = parted(rows, bit_filter(kept, "mark"), "mark")
+    assert lone.columns == rows.columns and lone.count() + perhaps.count() == 5000
+    assert perhaps.join(kept.select("id"), "id", "left_semi").count() == kept.count() and perhaps.count() <= kept.count() + 10
+    lone, perhaps = parted(rows, bit_filter(kept.limit(0), "mark"), "mark")
+    assert lone.count() == 5000 and perhaps.count() == 0
+
+
+def test_leaks_go_beside_columns_of_any_name(spark):
+    item = " ".join(f"word{k}" for k in range(30))
+    df = docs(spark, [item, "clean text of its own"], leaked=1, __leaked=2).withColumn("a.b", F.lit(3))
+    out = decontam.drop_leaks(df, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert out.columns == df.columns and [r.doc_id for r in out.select("doc_id").collect()] == [1]
+
+
+def test_kept_units_and_words_are_bounded_by_bytes(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_BYTES", 20_000)
+    monkeypatch.setattr(packing, "NEW_BYTES", 5_000)
+    encoder = packing.UnitEncoder(packing.default_tokenizer())
+    rng = random.Random(4)
+    for _ in range(12):
+        texts = [" ".join("".join(rng.choices("abcdefgh日本", k=rng.choice([3, 8, 300]))) for _ in range(40)) for _ in range(4)]
+        assert encoder.encode(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert encoder.held == sum(packing.unit_bytes(u, x) for u, x in encoder.units.items())
+    encoder.encode(["a b"])
+    assert encoder.held <= 26_000
+    known = {}
+    quality.features("short " + "x" * 5000 + " short", known)
+    assert set(known) == {"short"}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no generated tables")
+def test_every_transform_is_written_and_inverted_on_real_rows(monkeypatch):
+    texts = [t or "" for (t,) in duckdb.sql("select text from '/root/testdata/sf0.1/documents.parquet' where doc_id < 4000 order by doc_id").fetchall()]
+    payloads = [media.padded(t.encode()) for t in texts]
+    files = list(media.to_media_many(payloads))
+    assert files == [media.to_media(p) for p in payloads[:200]] + files[200:]
+    inverted, modes = Counter(), set()
+
+    def counted(name, real):
+        def call(*args):
+            if not args[-1]:
+                inverted[name] += 1
+                if name == "predictor":
+                    modes.update(np.asarray(args[3]).tolist())
+            return real(*args)
+
+        return call
+
+    for name in ("predictor", "cross_colour", "subtract_green"):
+        monkeypatch.setattr(webp, name, counted(name, getattr(webp, name)))
+    assert all(media.from_media(f, len(p)) == p for f, p in zip(files, payloads))
+    varied = sum(media.varied(p) is not None for p in payloads)
+    assert varied >= 8 and all(inverted[n] >= varied for n in ("predictor", "cross_colour", "subtract_green")) and modes >= set(range(14))
