@@ -66,12 +66,14 @@ def free_name(columns: list[str], base: str) -> str:
     return base
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, column: int | None = None, most: int = 0) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that few of them are Python values at a time; frees what another operator kept.
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, column: int | None = None, most: int = 0, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few of them are Python values at a time.
 
-    ``column``: a binary column of which a batch holds about ``most`` bytes, or one longer value.
+    ``column``: a binary column of which a batch holds about ``most`` bytes, or one longer value.  ``keep``: what the
+    worker kept stays until the operator asks for values of its own; else it is freed.
     """
-    workers.release()
+    if not keep:
+        workers.release()
     for batch in batches:
         sizes = [] if column is None else [x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()]
         at = 0

@@ -283,7 +283,7 @@ def encoded(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     path = model or default_model()
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, column=1, most=GROUP_BYTES):
+        for part in slices(batches, column=1, most=GROUP_BYTES, keep=True):
             pieces = workers.kept(("pieces", path), lambda: Pieces(path))
             rows = []
             for ids, written in pieces.encode([t.decode() if t else "" for t in part.column(1).to_pylist()]):

@@ -40,6 +40,7 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
 WALK_BYTES, CACHED, REFERENCE = 1 << 14, 64, 128
 MAX_CACHE, CACHE_SHARE, MAX_TILE_BITS = 10, 3, 9
 #: For estimates: bits of a used symbol's code length and of a transform; the share that a cache must gain; multipliers below which cross-colour is not tried.
+FEW_PIXELS = 1024
 LENGTH_BITS, TRANSFORM_BITS, LEAST_GAIN, LEAST_SLOPE = 4, 64, 16, 4
 
 
@@ -845,8 +846,10 @@ def encode(px: np.ndarray, width: int, height: int, transforms: tuple[int, ...]
     colours = None
     if transforms is None or PALETTE in transforms:
         argb = _argb(px)
-        colours = np.unique(argb)
-        n = len(colours)
+        n = len(np.unique(argb[:FEW_PIXELS]))  # more colours than a palette holds show early as a rule
+        if n <= 256:
+            colours = np.unique(argb)
+            n = len(colours)
         chosen = n <= 256 and (transforms is not None or 40 * n + len(px) * (8 >> bundle_bits(n)) < 26 * len(px))
         if transforms is not None and not chosen:
             raise ValueError("too many colours for a palette")
