@@ -53,7 +53,7 @@ def large(tmp_path_factory):
 def test_an_archive_over_two_gigabytes_is_read_by_several_tasks(spark, large):
     path, wanted = large
     assert path.stat().st_size > 2 * GB
-    found = files.archive_members(spark, str(path.parent), ("instances.json",), split=500_000).withColumn("task", F.spark_partition_id()).collect()
+    found = files.archive_members(spark, str(path.parent), ("instances.json",), split=100_000).withColumn("task", F.spark_partition_id()).collect()
     assert {r["member"]: bytes(r["content"]) for r in found} == wanted and len({r["task"] for r in found}) > 2
     index = {r["member"]: (r["offset"], r["size"]) for r in files.archive_index(spark, str(path.parent)).collect()}
     assert len(index) == 13 and index["1/depth.bin"][1] > 2 * GB
