@@ -236,14 +236,15 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     groups = table.groupBy(*CHUNK).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE, "before", "after")).alias("place"), F.max(F.struct(*PLACE)).alias("last")).filter(F.struct(*(F.col(f"place.{c}") for c in PLACE)) != F.col("last")).drop("last")
     repeated = materialize(groups, "line-groups")
     places = join_counted(table, repeated, list(CHUNK), table.count())
-    told = places.withColumn("first", F.struct(*PLACE).eqNullSafe(F.struct(*(F.col(f"place.{c}").alias(c) for c in PLACE))))
+    told = materialize(places.withColumn("first", F.struct(*PLACE).eqNullSafe(F.struct(*(F.col(f"place.{c}").alias(c) for c in PLACE)))), "line-places")
+    discard(table, repeated)
     met = told.select(*PLACE, *CHUNK, "first").union(_extended(told))
     wanted = met.groupBy("id", "text_key").agg(F.collect_set(F.struct("start", "size", "h1", "h2", "first")).alias("spans"))
     texts = docs.filter(quoted(text_column).isNotNull()).select(quoted(id_column).alias("i"), F.xxhash64(quoted(text_column)).alias("k"), quoted(text_column).alias("t"))
     both = texts.join(wanted.hint("shuffle_hash"), F.col("i").eqNullSafe(F.col("id")) & (F.col("k") == F.col("text_key"))).select("id", "text_key", "t", "spans")
     schema = T.StructType([wanted.schema["id"]] + T._parse_datatype_string("text_key long, start int, size int, h1 long, h2 long, first boolean, bytes binary").fields)
     found = materialize(both.mapInArrow(_cut_out, schema), "line-repeats")
-    discard(table, repeated)
+    discard(told)
     # Equal bytes are brought together in every task first, so a passage that is everywhere is a few rows here.
     contents = found.groupBy(*CHUNK, "bytes").agg(F.count("*").alias("n")).groupBy(*CHUNK).agg(F.count("*").alias("contents"), F.sum("n").alias("n"))
     kinds = materialize(contents, "line-contents")
