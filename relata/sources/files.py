@@ -18,6 +18,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import AbstractContextManager, contextmanager
+from itertools import groupby
+from operator import itemgetter
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
@@ -33,6 +35,8 @@ CHUNK_BYTES = 4 << 20
 BATCH_BYTES = 32 << 20
 MAX_VALUE_BYTES = (1 << 31) - (1 << 20)
 MAX_TASKS = 20_000
+TASKS_A_CORE, BLOCKS_A_TASK = 4, 16
+BEHIND_BYTES = 1 << 12
 
 
 def _located(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -112,36 +116,52 @@ def file_hashes(files: DataFrame, algorithm: str = "sha256") -> DataFrame:
 # ------------------------------------------------------------ lines
 
 
+def _tasks(spark: SparkSession, pieces: int, size: int) -> int:
+    """Into how many tasks so many pieces of so many bytes in all are dealt: small pieces share tasks, of which there are a few a core or one for ``SPLIT_BYTES``."""
+    return int(max(1, min(MAX_TASKS, pieces, max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, -(-size // SPLIT_BYTES)))))
+
+
+def _by_file(batch: pa.RecordBatch) -> Iterator[tuple[str, Iterator[tuple]]]:
+    """(path, rows) of neighbouring rows with one path, so that a file is opened once for them."""
+    return groupby(zip(*(c.to_pylist() for c in batch.columns)), key=itemgetter(0))
+
+
 def _count_breaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts = []
-        for path, start, end in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            n = 0
+        for path, rows in _by_file(batch):
             with opened(path) as f:
-                f.seek(start)
-                while start < end and (chunk := f.read(min(CHUNK_BYTES, end - start))):
-                    n += chunk.count(b"\n")
-                    start += len(chunk)
-            counts.append(n)
+                for _, start, end in rows:
+                    n = 0
+                    f.seek(start)
+                    while start < end and (chunk := f.read(min(CHUNK_BYTES, end - start))):
+                        n += chunk.count(b"\n")
+                        start += len(chunk)
+                    counts.append(n)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=["path", "start", "end", "breaks"])
 
 
-def _lines_of(path: str, start: int, end: int) -> Iterator[bytes]:
-    """The lines that begin in [start, end), without their breaks; the last one may end behind."""
+def _lines_of(f: pa.NativeFile, start: int, end: int) -> Iterator[bytes]:
+    """The lines that begin in [start, end), without their breaks; the last one may end behind, and no more than it asks for is read there."""
     at, skip, held = max(0, start - 1), start > 0, []  # where the next line begins; whether it began before the range; its parts so far
-    with opened(path) as f:
-        f.seek(at)
-        while chunk := f.read(CHUNK_BYTES):
-            *whole, rest = chunk.split(b"\n")
-            for part in whole:
-                line = b"".join([*held, part])
-                held.clear()
-                if not skip:
-                    yield line
-                skip, at = False, at + len(line) + 1
-                if at >= end:
-                    return
-            held.append(rest)
+    place, ahead = at, BEHIND_BYTES
+    f.seek(place)
+    while chunk := f.read(min(CHUNK_BYTES, end - place) if place < end else ahead):
+        if place >= end:
+            ahead = min(2 * ahead, CHUNK_BYTES)
+        place += len(chunk)
+        *whole, rest = chunk.split(b"\n")
+        for part in whole:
+            line = b"".join([*held, part])
+            held.clear()
+            if not skip:
+                yield line
+            skip, at = False, at + len(line) + 1
+            if at >= end:
+                return
+        if skip and place >= end:  # the line that began before ends behind the range: none begins here
+            return
+        held.append(rest)
     if any(held) and not skip:
         yield b"".join(held)
 
@@ -150,38 +170,45 @@ def numbered_lines(spark: SparkSession, path: str, split: int = SPLIT_BYTES) ->
     """(path, line_number, line) of text files, from 1 in each, every line as it stands but for its break.
 
     Ranges of the files' bytes are read apart: line breaks are counted first,
-    then each range numbers the lines that begin in it.
+    then each range numbers the lines that begin in it.  Short ranges share
+    tasks, neighbours together.
     """
     files = file_sizes(spark, path).filter("size_bytes > 0")
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size_bytes") - 1, F.lit(split).cast("long"))).alias("start"), "size_bytes")
     ranges = ranges.select("path", "start", F.least(F.col("start") + split, "size_bytes").alias("end"))
-    n = min(MAX_TASKS, max(1, files.agg(F.sum(F.ceil(F.col("size_bytes") / split))).first()[0] or 1))
-    counted = materialize(ranges.repartition(int(n), "path", "start").mapInArrow(_count_breaks, "path string, start long, end long, breaks long"), "line-ranges", rows=0)
+    pieces, size = files.agg(F.sum(F.ceil(F.col("size_bytes") / split)), F.sum("size_bytes")).first()
+    n = _tasks(spark, pieces or 1, size or 0)
+    block = F.floor(F.col("start") / (split * max(1, (pieces or 1) // (n * BLOCKS_A_TASK))))
+    deal = lambda df: df.repartition(n, "path", block).sortWithinPartitions("path", "start")
+    counted = materialize(deal(ranges).mapInArrow(_count_breaks, "path string, start long, end long, breaks long"), "line-ranges")
     before = F.coalesce(F.sum("breaks").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per range
-    placed = counted.withColumn("before", before)
+    placed = counted.select("path", "start", "end", before.alias("before"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, start, end, _, earlier in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                number, held, size, lines = earlier + 1, [], 0, _lines_of(name, start, end)
-                if start:  # a line that began before the range has its number there
-                    with opened(name) as f:
-                        f.seek(start - 1)
-                        number += f.read(1) != b"\n"
-                for line in lines:
-                    held.append(line.decode("utf-8", "replace"))
-                    size += len(line)
-                    if size >= BATCH_BYTES or len(held) >= 10_000:
-                        yield _numbered(name, number, held)
-                        number, held, size = number + len(held), [], 0
+            for name, rows in _by_file(batch):
+                numbers, held, size = [], [], 0
+                with opened(name) as f:
+                    for _, start, end, earlier in rows:
+                        number = earlier + 1
+                        if start:  # a line that began before the range has its number there
+                            f.seek(start - 1)
+                            number += f.read(1) != b"\n"
+                        for number, line in enumerate(_lines_of(f, start, end), number):
+                            numbers.append(number)
+                            held.append(line.decode("utf-8", "replace"))
+                            size += len(line)
+                            if size >= BATCH_BYTES or len(held) >= 10_000:
+                                yield _numbered(name, numbers, held)
+                                numbers, held, size = [], [], 0
                 if held:
-                    yield _numbered(name, number, held)
+                    yield _numbered(name, numbers, held)
 
-    return placed.repartition(int(n), "path", "start").mapInArrow(read, "path string, line_number long, line string")
+    return deal(placed).mapInArrow(read, "path string, line_number long, line string")
 
 
-def _numbered(path: str, first: int, lines: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([path] * len(lines), pa.string()), pa.array(range(first, first + len(lines)), pa.int64()), pa.array(lines, pa.string())], names=["path", "line_number", "line"])
+def _numbered(path: str, numbers: list[int], lines: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([path] * len(lines), pa.string()), pa.array(numbers, pa.int64()), pa.array(lines, pa.string())], names=["path", "line_number", "line"])
 
 
 # ------------------------------------------------------------ archives
@@ -257,8 +284,7 @@ def archive_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] =
     index = materialize(wanted, "archive-index", rows=0)
     reach = F.sum("size").over(Window.partitionBy("archive").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1))  # names and offsets of one archive
     placed = index.withColumn("slot", F.floor(F.coalesce(reach, F.lit(0)) / split))
-    total = index.agg(F.sum("size")).first()[0] or 0
-    n = int(min(MAX_TASKS, max(spark.sparkContext.defaultParallelism, -(-total // split))))
+    n = _tasks(spark, MAX_TASKS, index.agg(F.sum("size")).first()[0] or 0)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

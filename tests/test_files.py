@@ -131,3 +131,29 @@ def test_numbered_lines_by_ranges(spark, tmp_path, split, monkeypatch):
         lines = text.split("\n")
         expected += [(name, k, line) for k, line in enumerate(lines[:-1] if not lines[-1] else lines, 1)]
     assert found == sorted(expected)
+
+
+def test_short_ranges_share_tasks_and_read_little_behind_them(spark, tmp_path):
+    class Counted:
+        def __init__(self, f):
+            self.f, self.n, self.seek = f, 0, f.seek
+
+        def read(self, size):
+            data = self.f.read(size)
+            self.n += len(data)
+            return data
+
+    path = tmp_path / "a.txt"
+    path.write_bytes(b"".join(b"%07d\n" % k for k in range(100_000)) + b"x" * 500_000 + b"\nlast")
+    few = 4 * spark.sparkContext.defaultParallelism
+    assert files.numbered_lines(spark, str(tmp_path), 1000).rdd.getNumPartitions() <= few
+    archive(tmp_path / "a.tar", [(f"{k}/instances.json", bytes(100)) for k in range(500)])
+    assert files.archive_members(spark, str(tmp_path), split=100).rdd.getNumPartitions() <= few
+    with files.opened(str(path)) as f:
+        read = Counted(f)
+        assert list(files._lines_of(read, 8000, 8016)) == [b"0001000", b"0001001"] and read.n < 10_000
+        read = Counted(f)
+        assert list(files._lines_of(read, 900_000, 901_000)) == [] and read.n < 10_000  # inside one long line
+        read = Counted(f)
+        assert [len(x) for x in files._lines_of(read, 800_000, 800_001)] == [500_000] and read.n < 2_000_000
+        assert list(files._lines_of(Counted(f), 1_300_001, 1_300_005)) == [b"last"]
