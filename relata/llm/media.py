@@ -36,7 +36,7 @@ from relata.llm.webp import CROSS_COLOUR, MAX_SIDE, PREDICTOR, SUBTRACT_GREEN, c
 
 BLOCK = 64
 ROW = 16
-PLANNED_PIXELS = 1 << 17
+PLANNED_PIXELS = 1 << 14
 VARIED, TILE_BITS, MODES = 512, 2, 14
 KEPT_ROWS = 20_000
 

@@ -17,6 +17,7 @@ alpha.
 
 from __future__ import annotations
 
+import math
 from functools import cache, lru_cache
 
 import numpy as np
@@ -118,9 +119,13 @@ class Code:
             symbols, shares = np.zeros(1, np.int64), np.ones(1, np.int64)
         order = _reversed_range(self.longest)
         self.symbols = np.repeat(symbols, shares).take(order)
-        self.lengths = np.repeat(lengths[symbols] if self.longest else np.zeros(1, np.int64), shares).take(order)
-        # For the walk over a green code: lengths, with a mark for what is no literal.
-        self.advance = self.lengths + CACHED * (self.symbols >= 256) + (REFERENCE - CACHED) * ((self.symbols >= 256) & (self.symbols < 256 + N_LENGTH_CODES))
+        self.lengths = lengths.take(self.symbols) if self.longest else np.zeros(1, np.int64)
+        self.steps = self.lengths.astype(np.uint8)
+
+    def advance(self) -> np.ndarray:
+        """For the walk over a green code: lengths, with a mark for what is no literal."""
+        other = self.symbols >= 256
+        return self.steps + CACHED * other.view(np.uint8) + (REFERENCE - CACHED) * (other & (self.symbols < 256 + N_LENGTH_CODES)).view(np.uint8)
 
     def read(self, bits: Bits) -> int:
         if not self.longest:
@@ -226,7 +231,7 @@ def _tokens(bits: Bits, codes: list[Code], n: int, width: int) -> tuple[list[np.
     """Literal pixels and cached colours in order (parts of rows green or cache symbol, red, blue, alpha), and (place, length, distance) of the references."""
     data = np.frombuffer(bits.data + b"\0" * 16, np.uint8)
     green, red, blue, alpha = codes[:4]
-    parts, refs, done = [], [], 0
+    parts, refs, done, advance = [], [], 0, green.advance()
     while done < n:
         base = bits.at & ~7
         first = base >> 3
@@ -235,11 +240,13 @@ def _tokens(bits: Bits, codes: list[Code], n: int, width: int) -> tuple[list[np.
         ahead = (words[:, None] >> np.arange(8)).reshape(-1)
         end = len(ahead) - 64
         # Where the next token begins is looked up in two steps: past green, then past the other three.
-        green_at = memoryview(green.advance.take(ahead & ((1 << green.longest) - 1)))
+        marks = advance.take(ahead & ((1 << green.longest) - 1))
+        marks[end:] = 255  # the walk stops here as at a reference
+        green_at = marks.tobytes()
         seen, beyond = {}, []
         for code in (red, blue, alpha):
             if id(code) not in seen:
-                seen[id(code)] = memoryview(code.lengths.take(ahead & ((1 << code.longest) - 1)))
+                seen[id(code)] = code.steps.take(ahead & ((1 << code.longest) - 1)).tobytes()
             beyond.append(seen[id(code)])
         red_at, blue_at, alpha_at = beyond
         at, starts = bits.at - base, []
@@ -247,8 +254,6 @@ def _tokens(bits: Bits, codes: list[Code], n: int, width: int) -> tuple[list[np.
         while done < n and at < end:
             count = len(starts)
             for _ in range(n - done):
-                if at >= end:
-                    break
                 step = green_at[at]
                 if step < CACHED:
                     push(at)
@@ -294,6 +299,8 @@ def _read_pixels(bits: Bits, codes: list[Code], n: int, width: int, cache_bits:
     """The pixels of an image with one group of prefix codes."""
     parts, refs = _tokens(bits, codes, n, width)
     rows = np.concatenate(parts) if len(parts) > 1 else parts[0]
+    if not refs and rows[:, 0].max() < 256:
+        return rows[:, [1, 0, 2, 3]].astype(np.uint8)
     source, copied = np.arange(n + 1), np.zeros(n, bool)
     for at, length, distance in refs:
         source[at : at + length] -= distance
@@ -558,7 +565,7 @@ class Writer:
         total = int(ends[-1])
         begins = ends - widths
         word, shift = (begins >> np.uint64(6)).astype(np.int64), begins & np.uint64(63)
-        heads = np.nonzero(np.diff(word, prepend=-1))[0]
+        heads = np.append(0, np.flatnonzero(word[1:] != word[:-1]) + 1)
         out = np.zeros(len(heads) + 1, np.uint64)
         out[:-1] = np.bitwise_or.reduceat(values << shift, heads)
         last = np.append(heads[1:], len(word)) - 1
@@ -594,18 +601,26 @@ def huffman_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
         order = used[np.argsort(counts[used], kind="stable")]
         # Leaves in order and the sums made of them, which come in order too, are two queues.
         n = len(order)
-        weight, parent = counts[order].tolist() + [0] * (n - 1), [0] * (2 * n - 1)
-        leaf, inner = 0, n
-        for made in range(n, 2 * n - 1):
-            total = 0
-            for _ in (0, 1):
-                if leaf < n and (inner >= made or weight[leaf] <= weight[inner]):
-                    take, leaf = leaf, leaf + 1
-                else:
-                    take, inner = inner, inner + 1
-                total += weight[take]
-                parent[take] = made
-            weight[made] = total
+        none = math.inf
+        leaves, sums, parent = [*counts[order].tolist(), none], [none] * n, [0] * (2 * n - 1)
+        leaf = inner = 0
+        for made in range(n - 1):
+            if leaves[leaf] <= sums[inner]:
+                total = leaves[leaf]
+                parent[leaf] = made + n
+                leaf += 1
+            else:
+                total = sums[inner]
+                parent[inner + n] = made + n
+                inner += 1
+            if leaves[leaf] <= sums[inner]:
+                sums[made] = total + leaves[leaf]
+                parent[leaf] = made + n
+                leaf += 1
+            else:
+                sums[made] = total + sums[inner]
+                parent[inner + n] = made + n
+                inner += 1
         depth = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[parent[k]] + 1
@@ -617,39 +632,30 @@ def huffman_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
 
 def write_code(w: Writer, lengths: np.ndarray, times: int = 1) -> None:
     """Write a code's lengths, so many times."""
-    used = np.nonzero(lengths)[0].tolist()
-    if len(used) <= 2 and (not used or used[-1] < 256):
+    used = np.nonzero(lengths)[0]
+    if len(used) <= 2 and (not len(used) or used[-1] < 256):
         for _ in range(times):
             w.put(1 | (len(used) == 2) << 1 | 1 << 2, 3)
-            for s in used or [0]:
+            for s in used.tolist() or [0]:
                 w.put(s, 8)
         return
-    # Lengths one by one, runs of unused symbols by their number.
-    own = lengths[used].tolist()
-    tokens, extra, wide, start, following = [], [], [], 0, 0
-    for stop in [*(k for k in range(1, len(used)) if used[k] != used[k - 1] + 1), len(used)]:
-        gap = used[start] - following
-        while gap > 2:
-            run = min(gap, 138)
-            gap -= run
-            tokens.append(17 if run < 11 else 18)
-            extra.append(run - (3 if run < 11 else 11))
-            wide.append(3 if run < 11 else 7)
-        plain = gap + stop - start
-        tokens += [0] * gap + own[start:stop]
-        extra += [0] * plain
-        wide += [0] * plain
-        start, following = stop, used[stop - 1] + 1
-    kinds = np.array(tokens)
-    limit = len(tokens)
+    # Lengths one by one, runs of unused symbols by their number; each used symbol and those unused before it are one number.
+    own, gaps = lengths[used], used.copy()
+    gaps[1:] -= used[:-1] + 1
+    (codes, bits), (gap_values, gap_widths, gap_tokens), (head, head_bits) = _header_code(), _gaps(), _header()
+    longer = gaps // MAX_GAP if gaps.max() > MAX_GAP else None
+    if longer is not None:
+        gaps = gaps - longer * MAX_GAP
+    values, widths = gap_values[gaps] | codes[own] << gap_widths[gaps], gap_widths[gaps] + bits[own]
+    limit = len(own) + int(gap_tokens[gaps].sum())
+    if longer is not None:
+        limit += int(longer.sum() * gap_tokens[MAX_GAP])
+        before = np.repeat(np.arange(len(own)), longer)
+        values, widths = np.insert(values, before, gap_values[MAX_GAP]), np.insert(widths, before, gap_widths[MAX_GAP])
     nbits = max(2, -(-(limit - 2).bit_length() // 2) * 2)
-    head = (len(CODE_LENGTH_ORDER) - 4 << 1, 5), *((HEADER_LENGTHS[s], 3) for s in CODE_LENGTH_ORDER), (1 | (nbits - 2) // 2 << 1 | limit - 2 << 4, 4 + nbits)
-    codes, bits = _header_code()
-    widths = bits[kinds]
-    values, widths = codes[kinds] | np.array(extra, np.uint64) << widths, widths + np.array(wide, np.uint64)
+    values = np.concatenate([np.array([head, 1 | (nbits - 2) // 2 << 1 | limit - 2 << 4], np.uint64), values])
+    widths = np.concatenate([np.array([head_bits, 4 + nbits], np.uint64), widths])
     for _ in range(times):
-        for value, n in head:
-            w.put(value, n)
         w.put_rows(values, widths)
 
 
@@ -662,6 +668,37 @@ def _header_code() -> tuple[np.ndarray, np.ndarray]:
     return code_arrays(np.array(HEADER_LENGTHS))
 
 
+@cache
+def _header() -> tuple[int, int]:
+    """The code in which code lengths are written, as a number and its bits."""
+    value, n = len(CODE_LENGTH_ORDER) - 4 << 1, 5
+    for s in CODE_LENGTH_ORDER:
+        value |= HEADER_LENGTHS[s] << n
+        n += 3
+    return value, n
+
+
+#: Unused symbols that one number holds: four runs of the greatest length.
+MAX_GAP = 4 * 138
+
+
+@cache
+def _gaps() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By the number of unused symbols in a row: how they are written, in how many bits and code lengths."""
+    codes, bits = (x.tolist() for x in _header_code())
+    rows = []
+    for gap in range(MAX_GAP + 1):
+        value = n = tokens = 0
+        while gap:
+            run = min(gap, 138) if gap > 2 else 1
+            kind, base, more = (0, run, 0) if gap <= 2 else (17, 3, 3) if run < 11 else (18, 11, 7)
+            value |= (codes[kind] | run - base << bits[kind]) << n
+            n, tokens, gap = n + bits[kind] + more, tokens + 1, gap - run
+        rows.append((value, n, tokens))
+    values, widths, tokens = zip(*rows)
+    return np.array(values, np.uint64), np.array(widths, np.uint64), np.array(tokens)
+
+
 def _prefix(value: int) -> tuple[int, int, int]:
     """(code, extra bits, their number) of a length or distance."""
     if value <= 4:
@@ -702,12 +739,22 @@ def matches(argb: np.ndarray) -> list[tuple[int, int, int]]:
 
 def _bits_of(counts: np.ndarray) -> np.ndarray:
     """About how many bits symbols with these counts, a row for each code, take; their code lengths among them."""
-    c = np.maximum(counts, 1)
-    sums, used = counts.sum(axis=-1), (counts > 0).sum(axis=-1)
-    return sums * np.log2(np.maximum(sums, 1)) - (counts * LOGARITHMS.take(c, mode="clip") if sums.max(initial=0) < len(LOGARITHMS) else counts * np.log2(c)).sum(axis=-1) + LENGTH_BITS * np.where(used > 1, used, 0)
+    sums, used = counts.sum(axis=-1), np.count_nonzero(counts, axis=-1)
+    spread = _TIMES_LOGARITHMS.take(counts, mode="clip") if sums.max(initial=0) < len(_TIMES_LOGARITHMS) else counts * np.log2(np.maximum(counts, 1))
+    return sums * np.log2(np.maximum(sums, 1)) - spread.sum(axis=-1) + LENGTH_BITS * np.where(used > 1, used, 0)
+
+
+_TIMES_LOGARITHMS = np.arange(1 << 12) * np.log2(np.maximum(np.arange(1 << 12), 1))
+
+
+def _literal_bits(counts: list[np.ndarray], n: int) -> float:
+    """About how many bits a pixel takes of n that are given in full: ``_bits_of`` its four codes."""
+    c = np.concatenate(counts)
+    spread = _TIMES_LOGARITHMS.take(c).sum() if n < len(_TIMES_LOGARITHMS) else (c * np.log2(np.maximum(c, 1))).sum()
+    used = sum(k for k in map(np.count_nonzero, counts) if k > 1)
+    return len(counts) * math.log2(n) + (LENGTH_BITS * used - float(spread)) / n
 
 
-LOGARITHMS = np.log2(np.maximum(np.arange(1 << 12), 1))
 _CHANNELS = np.array([256, 0, 512, 768])
 
 
@@ -731,25 +778,27 @@ def write_image(w: Writer, px: np.ndarray, main: bool, cache_bits: int | None =
     """cache_bits: None lets a colour cache be chosen where it is smaller."""
     argb, n = _argb(px), len(px)
     refs = matches(argb) if references and main else []
-    begins = np.ones(n, bool)  # where a token begins
-    starts = np.zeros(n, bool)
-    for at, length, _ in refs:
-        begins[at + 1 : at + length] = False
-        starts[at] = True
-    place = np.nonzero(begins)[0]
-    single = place[~starts[place]]
+    place = single = np.arange(n)
+    if refs:
+        begins = np.ones(n, bool)  # where a token begins
+        for at, length, _ in refs:
+            begins[at + 1 : at + length] = False
+        place = np.flatnonzero(begins)
+        begins[[at for at, _, _ in refs]] = False
+        single = np.flatnonzero(begins)
 
     def from_cache(bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Which single pixels the cache holds when they come, and all pixels' slots."""
         slots = _cache_slots(argb, bits)
         before = _before(slots)
-        return (np.append(argb, 0).take(before) == argb)[single] & (before[single] < n), slots
+        before = before.take(single)
+        return (argb.take(before, mode="clip") == argb.take(single)) & (before < n), slots
 
     literal, hits, counts, held = single, single[:0], None, None
     if cache_bits is None:
         cache_bits, counts = min(MAX_CACHE, max(2, n.bit_length() - CACHE_SHARE)), _counts(px, single, single[:0], refs, 0)
         held, slots = from_cache(cache_bits)
-        each = _bits_of(np.stack([counts[0][:256], *counts[1:4]])).sum() / max(1, len(single))
+        each = _literal_bits([counts[0][:256], *counts[1:4]], max(1, len(single)))
         # A cached colour takes about as many bits as the cache's size has, and its slot a code length; less than a sixteenth gained is not worth the time.
         gain = held.sum() * (each - cache_bits - 1) - LENGTH_BITS * np.count_nonzero(np.bincount(slots[single[held]]))
         if gain * LEAST_GAIN <= each * len(single):
@@ -773,12 +822,15 @@ def write_image(w: Writer, px: np.ndarray, main: bool, cache_bits: int | None =
     for one, times in zip(lengths, (1, 3, 1) if alike else (1,) * 5):
         write_code(w, one, times)
     codes = [codes[0], *codes[1:2] * 3, codes[2]] if alike else codes
+    whole = px.T.take(literal, axis=1).astype(np.intp)
+    v, k = codes[0][0].take(whole[1]), codes[0][1].take(whole[1])
+    for (code, bits), channel in zip(codes[1:], (0, 2, 3)):
+        v |= code.take(whole[channel]) << k
+        k += bits.take(whole[channel])
+    if len(literal) == n:
+        w.put_rows(v, k)
+        return
     value, wide = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    whole = px[literal]
-    v, k = np.zeros(len(literal), np.uint64), np.zeros(len(literal), np.uint64)
-    for (code, bits), channel in zip(codes, (1, 0, 2, 3)):
-        v |= code[whole[:, channel]] << k
-        k += bits[whole[:, channel]]
     value[literal], wide[literal] = v, k
     if len(hits):
         symbols = 256 + N_LENGTH_CODES + _cache_slots(argb[hits], cache_bits)
@@ -811,23 +863,26 @@ def choose_transforms(images: list[np.ndarray], width: int) -> list[Plan]:
     upper[tops] = left[tops]
     places = (owner * 1024)[:, None] + _CHANNELS
 
-    def estimate(samples: np.ndarray) -> np.ndarray:
-        counts = np.bincount((samples.reshape(-1, 4) + places).reshape(-1), minlength=1024 * len(images))
+    def estimate(samples: np.ndarray, at: np.ndarray = places) -> np.ndarray:
+        counts = np.bincount((samples.reshape(-1, 4) + at).reshape(-1), minlength=1024 * len(images))
         return _bits_of(counts.reshape(-1, 4, 256)).sum(axis=-1)
 
     bits = np.stack([estimate(px), estimate(left) + TRANSFORM_BITS, estimate(upper) + TRANSFORM_BITS])
     mode = bits.argmin(axis=0)
-    plain = np.choose(mode[owner][:, None], [px, left.reshape(-1, 4), upper.reshape(-1, 4)])
+    plain = px if not mode.any() else np.choose(mode[owner][:, None], [px, left.reshape(-1, 4), upper.reshape(-1, 4)])
     red, green, blue = (plain[:, c].astype(np.int8).astype(np.float64) for c in range(3))
     add = lambda x: np.bincount(owner, weights=x, minlength=len(images))
     total = add(green)
     spread = sizes * add(green * green) - total * total
     slopes = [np.clip(np.rint(32 * (sizes * add(green * c) - total * add(c)) / np.maximum(spread, 1)), -128, 127).astype(np.int64) for c in (blue, red)]
-    tied = plain.copy()
-    for k, channel in zip(slopes, (2, 0)):
-        tied[:, channel] -= ((k[owner] * green.astype(np.int64)) >> 5).astype(np.uint8)
-    tie = estimate(tied) + TRANSFORM_BITS
-    tie[np.maximum(*np.abs(slopes)) < LEAST_SLOPE] = np.inf
+    steep = np.maximum(*np.abs(slopes)) >= LEAST_SLOPE
+    tie = np.full(len(images), np.inf)
+    if steep.any():
+        tried = np.flatnonzero(steep[owner])
+        tied, their, greens = plain[tried], owner[tried], green[tried].astype(np.int64)
+        for k, channel in zip(slopes, (2, 0)):
+            tied[:, channel] -= ((k[their] * greens) >> 5).astype(np.uint8)
+        tie[steep] = estimate(tied, places[tried])[steep] + TRANSFORM_BITS
     colour = np.stack([bits.min(axis=0), estimate(subtract_green(plain, True)), tie]).argmin(axis=0)
     return [
         ((PREDICTOR,) * (m > 0) + ((), (SUBTRACT_GREEN,), (CROSS_COLOUR,))[c], max(1, m), (0, to_blue & 255, to_red & 255))
@@ -846,7 +901,8 @@ def encode(px: np.ndarray, width: int, height: int, transforms: tuple[int, ...]
     colours = None
     if transforms is None or PALETTE in transforms:
         argb = _argb(px)
-        n = len(np.unique(argb[:FEW_PIXELS]))  # more colours than a palette holds show early as a rule
+        early = np.sort(argb[:FEW_PIXELS])
+        n = 1 + np.count_nonzero(early[1:] != early[:-1])  # more colours than a palette holds show early as a rule
         if n <= 256:
             colours = np.unique(argb)
             n = len(colours)

@@ -1113,3 +1113,19 @@ def test_every_transform_is_written_and_inverted_on_real_rows(monkeypatch):
     assert all(media.from_media(f, len(p)) == p for f, p in zip(files, payloads))
     varied = sum(media.varied(p) is not None for p in payloads)
     assert varied >= 8 and all(inverted[n] >= varied for n in ("predictor", "cross_colour", "subtract_green")) and modes >= set(range(14))
+
+
+@pytest.mark.parametrize("used", [[0, 255], [0, 1, 2, 255], [3, 5, 8, 200, 700, 1303], [700, 1252, 1303], [0, 1, 554, 1107], [5, 6, 7], list(range(1304))])
+def test_a_code_is_written_in_few_numbers_and_read_back(used):
+    counts = np.zeros(1304, np.int64)
+    counts[used] = np.arange(1, len(used) + 1)
+    lengths, w = webp.huffman_lengths(counts), webp.Writer()
+    webp.write_code(w, lengths, 2)
+    data = w.bytes()
+    assert sum(map(len, w.values)) <= 2 * (len(used) + 2 + 1304 // 552)
+    bits = webp.Bits(data)
+    for _ in (0, 1):
+        code = webp.read_code(bits, 1304)
+        n = np.zeros(1304, np.int64)
+        n[code.symbols] = code.lengths
+        assert n.tolist() == lengths.tolist()
