@@ -20,6 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relata.storage import materialize
 
@@ -59,6 +60,18 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
     return out.unionByName(rest.select("*", *(F.lit(None).cast(right.schema[c].dataType).alias(c) for c in columns)))
 
 
+def epoch_millis(df: DataFrame, column: str) -> Column:
+    """Milliseconds from 1970 to a time, to the nearest one, halves away from zero; a time without a zone is taken as it stands, whatever the session's zone."""
+    at = F.col(column)
+    if isinstance(df.schema[column].dataType, T.TimestampType):
+        micros = F.unix_micros(at)
+    else:
+        days = F.datediff(at.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+        seconds = (days * 24 + F.hour(at)) * 3600 + F.minute(at) * 60
+        micros = seconds * 1_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long")
+    return F.call_function("div", F.round(micros, -3), F.lit(1000))
+
+
 def _length(start: str, end: str) -> Column:
     return (F.col(end) - F.col(start)).cast("double")
 

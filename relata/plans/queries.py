@@ -236,7 +236,8 @@ def overlapping_sessions(spark, d):
     """Intervals of a second to a day at ten sites."""
     k = F.col("event_id")
     length = F.when(k % 251 == 0, 86_400_000).when(k % 5 == 0, 600_000).otherwise(k % 40 * 1000)
-    rows = B.table(spark, d, "events").select("event_id", (F.col("user_id") % 10).alias("site"), F.timestamp_diff("MILLISECOND", F.lit("2000-01-01").cast("timestamp_ntz"), F.col("ts")).alias("t"), length.alias("d"))
+    events = B.table(spark, d, "events")
+    rows = events.select("event_id", (F.col("user_id") % 10).alias("site"), timejoins.epoch_millis(events, "ts").alias("t"), length.alias("d"))
     a = rows.filter(k % 2 == 0).select(k.alias("first_id"), "site", F.col("t").alias("a0"), (F.col("t") + F.col("d")).alias("a1"))
     b = rows.filter(k % 2 == 1).select(k.alias("second_id"), "site", F.col("t").alias("b0"), (F.col("t") + F.floor(F.col("d") / 2)).alias("b1"))
     return timejoins.interval_join(a, b, "a0", "a1", "b0", "b1", ["site"]).select("first_id", "second_id")

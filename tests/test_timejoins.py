@@ -3,11 +3,13 @@
 import random
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from relata.operators import metrics, sketches, timejoins
+from relata.plans.queries import ORACLES, QUERIES
 
 
 def brute_asof(left, right, strict):
@@ -136,3 +138,23 @@ def test_gain_on_all_levels(spark):
         assert found[key]["g_cv"] == pytest.approx(1 - cor / raw) and found[key]["n"] == m and found[key]["scenes"] == len(scenes) and found[key]["raw_rmse"] == pytest.approx((raw / m) ** 0.5)
     assert metrics.gain_levels(df, ["site", "kind"], sets=[["site"], []]).count() == 3
     assert {r["level"] for r in metrics.gain_levels(df, ["site"], sets=[["site", "test_fold"]]).select(F.col("level")).collect()} == {0}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_milliseconds_are_rounded_as_in_sql(spark, tmp_path, zone):
+    """A start and an end that only meet once both are rounded; hours that the session's zone leaves out; times before 1970."""
+    con = duckdb.connect()
+    times = ["2024-01-01 00:00:00.000600", "2024-01-01 00:00:00.501400", "2024-03-10 02:30:00.0005", "2024-03-10 03:30:00.4", "1969-12-31 23:59:59.9995", "1969-12-31 23:59:59.998499", "1999-12-31 23:59:59.9995"]
+    con.execute("create table events (event_id bigint, ts timestamp, user_id bigint)")
+    con.executemany("insert into events values (?, ?::timestamp, 3)", list(enumerate(times, 1)))
+    con.execute(f"copy events to '{tmp_path}/events.parquet'")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        events = spark.read.parquet(f"{tmp_path}/events.parquet")
+        found = {r[0]: r[1] for r in events.select("event_id", timejoins.epoch_millis(events, "ts")).collect()}
+        pairs = sorted(map(tuple, QUERIES["overlapping_sessions"](spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert found == dict(con.sql("select event_id, epoch_ms(ts) from events").fetchall())
+    assert pairs == sorted(con.sql(ORACLES["overlapping_sessions"]).fetchall()) and (2, 1) in pairs
