@@ -62,14 +62,11 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
 
 def epoch_millis(df: DataFrame, column: str) -> Column:
     """Milliseconds from 1970 to a time, to the nearest one, halves away from zero; a time without a zone is taken as it stands, whatever the session's zone."""
-    at = F.col(column)
     if isinstance(df.schema[column].dataType, T.TimestampType):
-        micros = F.unix_micros(at)
+        millis = F.unix_micros(column).cast("decimal(20,0)") / 1000
     else:
-        days = F.datediff(at.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
-        seconds = (days * 24 + F.hour(at)) * 3600 + F.minute(at) * 60
-        micros = seconds * 1_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long")
-    return F.call_function("div", F.round(micros, -3), F.lit(1000))
+        millis = (F.col(column) - F.lit("1970-01-01").cast("timestamp_ntz")).cast("interval second").cast("decimal(20,6)") * 1000
+    return F.round(millis).cast("long")
 
 
 def _length(start: str, end: str) -> Column:
